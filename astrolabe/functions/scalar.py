@@ -161,5 +161,5 @@ def string_features(s) -> Column:
 def normalise_key(s) -> Column:
     """F24 (re-aimed): one spelling per item — collapse whitespace, trim,
     lower-case; empty → NULL."""
-    t = F.lower(F.trim(F.regexp_replace(_c(s), r"\s+", " ")))
+    t = F.lower(F.trim(F.regexp_replace(_c(s), r"[ \t\r\n]+", " ")))
     return F.when(t != "", t)

@@ -95,6 +95,8 @@ def pair_distances(queries: np.ndarray, refs: np.ndarray, metric: str = "euclide
     out = np.empty((nq, nr), dtype=np.float64)
     if nq == 0 or nr == 0:
         return out
+    if metric == "dot":
+        return queries @ refs.T
     if metric == "cosine":
         qn = np.linalg.norm(queries, axis=1)
         rn = np.linalg.norm(refs, axis=1)

@@ -272,3 +272,77 @@ def pair_distances(candidates: DataFrame, anchors: DataFrame, *, cand_id: str =
 def rec_counts(topk: DataFrame) -> DataFrame:
     """A5: how many anchors recommended each candidate."""
     return topk.groupBy("entry").agg(F.count(F.lit(1)).alias("counts"))
+
+
+def pairwise_similarity(df: DataFrame, *, key: str = "vec_id", vec: str = "vec",
+                        max_rows: int = MAX_CHUNK_ROWS) -> DataFrame:
+    """cosine similarity of every pair ``i <= j`` of a bounded set (symmetry used)."""
+    bounded_rows(df, max_rows, "pairwise_similarity")
+    renamed = df.select(F.col(key).alias("anchor_id"), F.col(vec).alias("__v"))
+    d = pair_distances(df.select(key, vec), renamed, cand_id=key, anchor_id="anchor_id",
+                       vec=vec, anchor_vec="__v", metric="cosine")
+    return (d.where(F.col("anchor_id") <= F.col("entry"))
+            .select(F.col("anchor_id").alias("i"), F.col("entry").alias("j"),
+                    (1.0 - F.col("distance")).alias("sim")))
+
+
+def greedy_assignment(candidates: DataFrame, queries: DataFrame, *, cand_id: str = "vec_id",
+                      query_id: str = "anchor_id", query_order: str | None = None,
+                      vec: str = "vec", query_vec: str = "vec", metric: str = "euclidean") -> DataFrame:
+    """Walk queries in order; each takes its nearest not-yet-taken candidate.
+
+    Exact reduction: with Q queries at most Q-1 candidates are taken before any
+    query picks, so only each query's Q nearest candidates can matter.  Spark
+    computes those (J3), then one grouped pandas step resolves the Q x Q rows.
+    """
+    q = bounded_rows(queries, MAX_CHUNK_ROWS, "greedy_assignment queries")
+    order_col = query_order or query_id
+    qsel = queries.select(F.col(query_id).alias("anchor_id"), F.col(query_vec).alias("__qv"),
+                          F.col(order_col).alias("__ord"))
+    top = knn_topk(candidates, qsel, q, cand_id=cand_id, anchor_id="anchor_id",
+                   vec=vec, anchor_vec="__qv", metric=metric)
+    top = top.join(qsel.select("anchor_id", "__ord"), "anchor_id")
+
+    def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
+        taken, rows = set(), []
+        for (ordv, aid), grp in pdf.sort_values(["__ord", "anchor_id"]).groupby(["__ord", "anchor_id"], sort=False):
+            for e, d in zip(*grp.sort_values(["distance", "entry"])[["entry", "distance"]].T.values):
+                if e not in taken:
+                    taken.add(e)
+                    rows.append((int(aid), int(e), float(d), len(rows) + 1))
+                    break
+        return pd.DataFrame(rows, columns=["anchor_id", "entry", "distance", "step"])
+
+    return (top.select("anchor_id", "entry", "distance", "__ord")
+            .groupBy(F.lit(0).alias("__g"))
+            .applyInPandas(resolve, "anchor_id long, entry long, distance double, step long"))
+
+
+def distance_profile(pairs: DataFrame, probs: list[float], names: list[str],
+                     col: str = "distance", digits: int = 6) -> DataFrame:
+    """Min / max / mean / population std and exact percentiles over all pairs."""
+    from astrolabe.operators import stats
+    basic = pairs.agg(F.min(col).alias("d_min"), F.max(col).alias("d_max"), F.avg(col).alias("d_mean"),
+                      F.stddev_pop(col).alias("d_std"))
+    pct = stats.exact_percentiles(pairs, col, probs, names)
+    out = stats.with_scalars(basic, pct)
+    return out.select(*[F.round(c, digits).alias(c) for c in out.columns])
+
+
+def distant_flag(pairs: DataFrame, upper_percentile: float, const: float,
+                 col: str = "distance") -> DataFrame:
+    """Per candidate mean distance to all anchors; flag above the global
+    percentile of all pair distances, and above a constant."""
+    from astrolabe.operators import stats
+    upper = stats.exact_percentiles(pairs, col, [upper_percentile], ["upper"])
+    m = pairs.groupBy("entry").agg(F.avg(col).alias("mean_d"))
+    return stats.with_scalars(m, upper).select(
+        "entry", F.round("mean_d", 6).alias("mean_d"), (F.col("mean_d") > F.col("upper")).alias("above_pct"),
+        (F.col("mean_d") > const).alias("above_const"))
+
+
+def covariance_rows(cov: DataFrame) -> DataFrame:
+    """Zero the diagonal, mean per row, and the column of the largest entry per row."""
+    z = cov.withColumn("cov", F.when(F.col("i") == F.col("j"), F.lit(0.0)).otherwise(F.col("cov")))
+    return z.groupBy("i").agg(F.round(F.avg("cov"), 6).alias("mean_cov"),
+                              F.max_by("j", F.struct("cov", (-F.col("j")).alias("nj"))).alias("top_j"))

@@ -42,3 +42,16 @@ def list_fingerprint(df: DataFrame, group: str | None, key: str, value: str,
         F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("blk", "d"))),
                                        lambda r: r["d"]), "\n")).alias("fingerprint"),
         F.count(F.lit(1)).alias("n_blocks"))
+
+
+def formula_mass(formula, masses: dict) -> Column:
+    """Σ mass(symbol) × count over ``<Symbol><digits>`` tokens, per row (no shuffle)."""
+    toks = F.regexp_extract_all(_c(formula), F.lit(r"[A-Z][a-z]?[0-9]*"), 0)
+    m = F.create_map(*[F.lit(x) for kv in masses.items() for x in kv])
+
+    def term(t):
+        sym_mass = F.coalesce(F.try_element_at(m, F.regexp_extract(t, r"^[A-Z][a-z]?", 0)), F.lit(0.0))
+        n = F.coalesce(F.nullif(F.regexp_extract(t, r"[0-9]+", 0), F.lit("")).cast("int"), F.lit(1))
+        return sym_mass * n
+
+    return F.aggregate(toks, F.lit(0.0), lambda acc, t: acc + term(t))

@@ -41,3 +41,135 @@ def q_recommend(spark, sf_dir):
     vecs = tables.vectors(spark, sf_dir)
     return recommend(vecs, anchors_of(vecs), top=10, dist_thres=1e-5, cluster=True,
                      n_neighbors=4)
+
+
+from astrolabe.operators import search, stats  # noqa: E402
+
+
+def _anchor_frame(vecs):
+    return anchors_of(vecs).withColumnRenamed("vec_id", "anchor_id")
+
+
+_D = """d AS (SELECT a.anchor_id, v.vec_id AS entry, {dist} AS distance FROM a, v)"""
+_EUC = "list_distance(a.avec, v.vec)"
+_COS = "1 - list_cosine_similarity(a.avec, v.vec)"
+
+
+@register("knn_join_euclid", f"""
+WITH {_V}, {_A}, {_D.format(dist=_EUC)}
+SELECT anchor_id, entry, round(distance, 6) AS distance, rank FROM
+ (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY distance, entry) AS rank FROM d) WHERE rank <= 5
+""")
+def q_knn_join_euclid(spark, sf):
+    v = tables.vectors(spark, sf)
+    t = search.knn_topk(v, _anchor_frame(v), 5)
+    return t.select("anchor_id", "entry", F.round("distance", 6).alias("distance"), "rank")
+
+
+@register("knn_join_cosine", f"""
+WITH {_V}, {_A}, {_D.format(dist=_COS)}
+SELECT anchor_id, entry, round(distance, 6) AS distance, rank FROM
+ (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY distance, entry) AS rank FROM d) WHERE rank <= 5
+""")
+def q_knn_join_cosine(spark, sf):
+    v = tables.vectors(spark, sf)
+    t = search.knn_topk(v, _anchor_frame(v), 5, metric="cosine")
+    return t.select("anchor_id", "entry", F.round("distance", 6).alias("distance"), "rank")
+
+
+@register("cluster_semi_join", f"""
+WITH {_V}, {_A} SELECT vec_id, label FROM v WHERE label IN (SELECT alabel FROM a)
+""")
+def q_cluster_semi_join(spark, sf):
+    v = tables.vectors(spark, sf)
+    return search.cluster_semi_join(v, anchors_of(v), "label").select("vec_id", "label")
+
+
+@register("distance_anti_join", f"""
+WITH {_V}, {_A}, {_D.format(dist=_EUC)}
+SELECT entry AS vec_id FROM d GROUP BY entry HAVING min(distance) > 1.2
+""")
+def q_distance_anti_join(spark, sf):
+    v = tables.vectors(spark, sf)
+    return search.distance_anti_join(v, _anchor_frame(v), 1.2).select("vec_id")
+
+
+@register("rec_counts", f"""
+WITH {_V}, {_A}, {_D.format(dist=_EUC)},
+t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY distance, entry) AS rn FROM d)
+      WHERE rn <= 10)
+SELECT entry, count(*) AS counts FROM t GROUP BY entry
+""")
+def q_rec_counts(spark, sf):
+    v = tables.vectors(spark, sf)
+    return search.rec_counts(search.knn_topk(v, _anchor_frame(v), 10))
+
+
+@register("distance_profile", f"""
+WITH {_V}, {_A}, {_D.format(dist=_COS)}
+SELECT round(min(distance), 6) AS d_min, round(max(distance), 6) AS d_max, round(avg(distance), 6) AS d_mean,
+       round(stddev_pop(distance), 6) AS d_std, round(quantile_cont(distance, 0.03), 6) AS p3,
+       round(quantile_cont(distance, 0.5), 6) AS p50, round(quantile_cont(distance, 0.97), 6) AS p97
+FROM d
+""")
+def q_distance_profile(spark, sf):
+    v = tables.vectors(spark, sf)
+    d = search.pair_distances(v, _anchor_frame(v), metric="cosine")
+    return search.distance_profile(d, [0.03, 0.5, 0.97], ["p3", "p50", "p97"])
+
+
+@register("distant_flag", f"""
+WITH {_V}, {_A}, {_D.format(dist=_COS)},
+p AS (SELECT quantile_cont(distance, 0.97) AS upper FROM d),
+m AS (SELECT entry, avg(distance) AS mean_d FROM d GROUP BY entry)
+SELECT entry, round(mean_d, 6) AS mean_d, mean_d > upper AS above_pct, mean_d > 0.88 AS above_const FROM m, p
+""")
+def q_distant_flag(spark, sf):
+    v = tables.vectors(spark, sf)
+    d = search.pair_distances(v, _anchor_frame(v), metric="cosine")
+    return search.distant_flag(d, 0.97, 0.88)
+
+
+@register("covariance_rows", f"""
+WITH {_V}, {_A},
+c AS (SELECT x.anchor_id AS i, y.anchor_id AS j, list_dot_product(x.avec, y.avec) AS cov FROM a x, a y),
+z AS (SELECT i, j, CASE WHEN i = j THEN 0.0 ELSE cov END AS cov FROM c)
+SELECT i, round(avg(cov), 6) AS mean_cov, arg_max(j, (cov, -j)) AS top_j FROM z GROUP BY i
+""")
+def q_covariance_rows(spark, sf):
+    v = tables.vectors(spark, sf)
+    a = anchors_of(v)
+    cov = search.pair_distances(a, a.withColumnRenamed("vec_id", "anchor_id"), metric="dot")
+    cov = cov.select(F.col("anchor_id").alias("i"), F.col("entry").alias("j"), F.col("distance").alias("cov"))
+    return search.covariance_rows(cov)
+
+
+@register("pairwise_similarity", f"""
+WITH {_V}, {_A}
+SELECT x.anchor_id AS i, y.anchor_id AS j, round(list_cosine_similarity(x.avec, y.avec), 6) AS sim
+FROM a x, a y WHERE x.anchor_id <= y.anchor_id
+""")
+def q_pairwise_similarity(spark, sf):
+    v = tables.vectors(spark, sf)
+    s = search.pairwise_similarity(anchors_of(v))
+    return s.select("i", "j", F.round("sim", 6).alias("sim"))
+
+
+@register("greedy_assignment")
+def q_greedy_assignment(spark, sf):
+    # queries: the inventory; candidates: every other vector of the store
+    v = tables.vectors(spark, sf)
+    cands = v.where(F.col("vec_id") >= ANCHOR_LIMIT)
+    return search.greedy_assignment(cands, _anchor_frame(v))
+
+
+@register("knn_regress", f"""
+WITH {_V}, {_A}, {_D.format(dist=_EUC)},
+t AS (SELECT d.entry, a.alabel, row_number() OVER (PARTITION BY d.entry ORDER BY d.distance, d.anchor_id) AS rn
+      FROM d JOIN a USING (anchor_id))
+SELECT entry AS vec_id, round(avg(alabel), 6) AS prediction FROM t WHERE rn <= 3 GROUP BY entry
+""")
+def q_knn_regress(spark, sf):
+    v = tables.vectors(spark, sf)
+    p = search.knn_regress(v, anchors_of(v), 3, query_id="vec_id", train_id="vec_id", target="label")
+    return p.select("vec_id", F.round("prediction", 6).alias("prediction"))

@@ -29,5 +29,6 @@ def load_all() -> None:
     # import for the side effect of registration
     from astrolabe.plans import (  # noqa: F401
         q_relational,
+        q_scalar,
         q_search,
     )
