@@ -1,55 +1,81 @@
 """Distributed scalar statistics that must not funnel a column into one task.
 
 Spark's exact ``percentile`` aggregate merges every distinct value into one
-buffer in the final task.  ``exact_percentiles`` instead sorts the column with
-a range-partitioned sort, counts rows per sorted partition, turns the counts
-into global rank offsets, and picks the rows at the two ranks around each
-requested position — all as DataFrame operations.  The result is the same
-linear-interpolation percentile as NumPy / DuckDB ``quantile_cont``.
+buffer in the final task.  ``exact_percentiles`` instead range-partitions and
+sorts the column once, reads one row count per sorted partition, and fetches
+only the rows at the two ranks around each requested position.  The result
+is the same linear-interpolation percentile as NumPy / DuckDB
+``quantile_cont``.  Global row numbers, ranks and running sums use the same
+range-partition-plus-offsets idea instead of a window without partition.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_LOCAL_BITS = (1 << 33) - 1  # lower 33 bits of monotonically_increasing_id
+
+def _range_sorted(df: DataFrame, order: list, n_parts: int | None) -> DataFrame:
+    n_parts = n_parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # An explicit partition count: AQE never coalesces these partitions, so the
+    # layout (and every partition id) is the same in each pass over the plan.
+    return df.repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
 
 
 def exact_percentiles(df: DataFrame, col: str, probs: list[float],
-                      names: list[str] | None = None) -> DataFrame:
-    """One-row DataFrame with the exact linear-interpolated percentiles of ``col``."""
+                      names: list[str] | None = None, n_parts: int | None = None) -> DataFrame:
+    """One-row DataFrame with the exact linear-interpolated percentiles of ``col``.
+
+    One range-partitioned sort (persisted for the two passes below); the
+    driver only sees the per-partition row counts and the at most
+    ``2 * len(probs)`` rows it asked for, never the column itself.
+    """
+    from pyspark import StorageLevel, TaskContext
+    import pandas as pd
+
     names = names or [f"p{i}" for i in range(len(probs))]
+    spark = df.sparkSession
     v = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull())
-    ranked = (v.orderBy("v")
-              .select("v", F.spark_partition_id().alias("pid"),
-                      (F.monotonically_increasing_id().bitwiseAND(F.lit(_LOCAL_BITS)))
-                      .alias("local")))
-    counts = ranked.groupBy("pid").agg(F.count(F.lit(1)).alias("c"))
-    # one row per sorted partition: bounded by the partition count
-    offsets = counts.select(
-        "pid", (F.sum("c").over(Window.orderBy("pid")) - F.col("c")).alias("off"),
-        F.sum("c").over(Window.partitionBy()).alias("n"))
-    targets = offsets.select("n").limit(1).select(
-        F.explode(F.array(*[
-            F.struct(F.lit(i).alias("qi"), (F.lit(p) * (F.col("n") - 1)).alias("pos"))
-            for i, p in enumerate(probs)])).alias("t")).select("t.*")
-    targets = targets.select("qi", F.floor("pos").cast("long").alias("lo"),
-                             F.ceil("pos").cast("long").alias("hi"),
-                             (F.col("pos") - F.floor("pos")).alias("frac"))
-    glob = ranked.join(F.broadcast(offsets.select("pid", "off")), "pid") \
-        .select("v", (F.col("off") + F.col("local")).alias("r"))
-    want = targets.select("qi", F.col("lo").alias("r")).unionByName(
-        targets.select("qi", F.col("hi").alias("r"))).distinct()
-    picked = glob.join(F.broadcast(want), "r")
-    vals = (picked.join(F.broadcast(targets), "qi")
-            .groupBy("qi", "frac")
-            .agg(F.max(F.when(F.col("r") == F.col("lo"), F.col("v"))).alias("vlo"),
-                 F.max(F.when(F.col("r") == F.col("hi"), F.col("v"))).alias("vhi"))
-            .select("qi", (F.col("vlo") + (F.col("vhi") - F.col("vlo")) * F.col("frac"))
-                    .alias("q")))
-    return vals.groupBy().agg(*[F.max(F.when(F.col("qi") == i, F.col("q"))).alias(nm)
-                                for i, nm in enumerate(names)])
+    # both passes below read this one persisted plan, so the (seeded-by-RDD-id)
+    # range boundaries are fixed for the counts and the picks alike
+    srt = _range_sorted(v, ["v"], n_parts).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        counts = dict(srt.groupBy(F.spark_partition_id().alias("pid")).count().collect())
+        n = sum(counts.values())
+        if n == 0:
+            return spark.createDataFrame([tuple([None] * len(probs))],
+                                         ", ".join(f"{nm} double" for nm in names))
+        offsets, acc = {}, 0
+        for pid in sorted(counts):
+            offsets[pid] = acc
+            acc += counts[pid]
+        wanted: dict[int, dict[int, int]] = {}  # pid -> {local index: global rank}
+        plan = []
+        for p in probs:
+            pos = p * (n - 1)
+            lo, hi = int(np.floor(pos)), int(np.ceil(pos))
+            plan.append((lo, hi, pos - lo))
+            for r in (lo, hi):
+                pid = max(k for k in offsets if offsets[k] <= r and counts[k] > 0)
+                wanted.setdefault(pid, {})[r - offsets[pid]] = r
+
+        def pick(it):
+            want = wanted.get(TaskContext.get().partitionId(), {})
+            base = 0
+            for pdf in it:
+                m = len(pdf)
+                hits = [(i, r) for i, r in want.items() if base <= i < base + m]
+                if hits:
+                    yield pd.DataFrame({"r": [r for _, r in hits],
+                                        "v": [pdf["v"].iat[i - base] for i, _ in hits]})
+                base += m
+
+        got = {row["r"]: row["v"] for row in srt.mapInPandas(pick, "r long, v double").collect()}
+        vals = tuple(float(got[lo] + (got[hi] - got[lo]) * frac) for lo, hi, frac in plan)
+        return spark.createDataFrame([vals], ", ".join(f"{nm} double" for nm in names))
+    finally:
+        srt.unpersist()
 
 
 def with_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
@@ -75,8 +101,7 @@ def _local_positions(df: DataFrame, order: list, method: str, value_cols: list[s
     import pandas as pd
     from pyspark import TaskContext
 
-    n_parts = n_parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_df = df.repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
+    sorted_df = _range_sorted(df, order, n_parts)
     from pyspark.sql.types import IntegerType, LongType, StructType
     schema = StructType(list(sorted_df.schema.fields)).add("__pid", IntegerType()).add("__local", LongType())
     cols = list(sorted_df.columns)
@@ -115,16 +140,26 @@ def global_position(df: DataFrame, order: list, out: str = "pos", method: str =
     """1-based global ``row_number`` (or competition ``rank``) over ``order``.
 
     ``value_cols`` are the plain column names the order is made of (needed for
-    rank ties).  One range shuffle + a per-partition count; the offsets table
-    has one row per partition and is broadcast.
+    rank ties).  One range shuffle with a fixed partition count; the driver
+    reads one count per partition and turns them into offsets, which travel
+    back as a literal map (no join).
     """
-    loc = _local_positions(df, order, method, value_cols or [], n_parts)
-    counts = loc.groupBy("__pid").agg(F.count(F.lit(1)).alias("__c"))
-    offsets = counts.select("__pid", (F.sum("__c").over(Window.orderBy("__pid")) - F.col("__c"))
-                            .alias("__off"))
-    return (loc.join(F.broadcast(offsets), "__pid")
-            .withColumn(out, F.col("__off") + F.col("__local") + 1)
-            .drop("__pid", "__local", "__off"))
+    from astrolabe.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    # Range boundaries are sampled with a seed derived from the RDD id, so a
+    # second job over the same plan may cut partitions differently.  A reliable
+    # checkpoint (shared checkpoint folder) pins the positions once; counts and
+    # the result both read it, and it survives executor loss.
+    loc = _local_positions(df, order, method, value_cols or [], n_parts).checkpoint(eager=True)
+    counts = dict(loc.groupBy("__pid").agg(F.count(F.lit(1)).alias("c")).collect())
+    offsets, acc = {}, 0
+    for pid in sorted(counts):
+        offsets[pid] = acc
+        acc += counts[pid]
+    off = F.create_map(*[x for kv in offsets.items() for x in (F.lit(kv[0]), F.lit(kv[1]))]) \
+        if offsets else F.create_map().cast("map<int,bigint>")
+    return (loc.withColumn(out, F.coalesce(F.element_at(off, F.col("__pid")), F.lit(0)) + F.col("__local") + 1)
+            .drop("__pid", "__local"))
 
 
 def running_sum(df: DataFrame, order: list, value: str, out: str = "running",

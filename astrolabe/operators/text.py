@@ -55,3 +55,99 @@ def formula_mass(formula, masses: dict) -> Column:
         return sym_mass * n
 
     return F.aggregate(toks, F.lit(0.0), lambda acc, t: acc + term(t))
+
+
+# ---- lines tables ----------------------------------------------------------------
+
+def lines_of(df: DataFrame, file_cols: list[str], text_col: str, order_cols: list[str] = ()) -> DataFrame:
+    """Split each text into lines: ``(*file_cols, *order_cols, pos, line)``.
+
+    A file's line order is ``(*order_cols, pos)``.  Lines are produced by a
+    generator per row, so no shuffle is involved.
+    """
+    return df.select(*file_cols, *order_cols,
+                     F.posexplode(F.split(_c(text_col), "\n")).alias("pos", "line"))
+
+
+def tokens(line) -> Column:
+    """Whitespace tokens of a line (like ``str.split()``: no empty tokens)."""
+    return F.filter(F.split(F.trim(_c(line)), r"[ \t\r\n\f]+"), lambda t: t != "")
+
+
+def tok(line, k: int) -> Column:
+    """Token k (0-based; negative from the end) or NULL when the line is shorter."""
+    t = tokens(line)
+    return F.get(t, k) if k >= 0 else F.get(t, F.size(t) + k)
+
+
+def last_match(lines: DataFrame, file_cols: list[str], order: list[str], marker: str,
+               value: Column, name: str) -> DataFrame:
+    """Value from the *last* line containing ``marker`` per file (last match wins).
+
+    ``max_by`` is a partial aggregate: each task reduces its lines first.
+    """
+    hit = lines.where(F.col("line").contains(marker))
+    return hit.groupBy(*file_cols).agg(F.max_by(value, F.struct(*order)).alias(name))
+
+
+def harvest_digits(lines: DataFrame, file_cols: list[str], order: list[str], marker: str,
+                   decimals: bool = False) -> DataFrame:
+    """Per file, the last three tokens of every marker line that are all digits,
+    appended in line order.  ``decimals=True`` also keeps decimal numbers."""
+    pat = r"^[0-9]+(\.[0-9]+)?$" if decimals else r"^[0-9]+$"
+    t = tokens("line")
+    last3 = F.slice(t, F.greatest(F.size(t) - 2, F.lit(1)), 3)
+    kept = F.filter(last3, lambda x: x.rlike(pat))
+    hit = lines.where(F.col("line").contains(marker)).select(*file_cols, *order, kept.alias("vals"))
+    agg = hit.groupBy(*file_cols).agg(F.array_sort(F.collect_list(F.struct(*order, "vals"))).alias("s"))
+    return agg.select(*file_cols, F.flatten(F.transform("s", lambda r: r["vals"])).alias("values"))
+
+
+def next_line_tokens(lines: DataFrame, file_cols: list[str], order: list[str], marker: str,
+                     positions: list[int], n_following: int = 1) -> DataFrame:
+    """For marker lines, the following line(s) joined and tokenised."""
+    w = Window.partitionBy(*file_cols).orderBy(*order)
+    nxt = [F.lead("line", i).over(w) for i in range(1, n_following + 1)]
+    joined = F.concat_ws("\t", *nxt) if n_following > 1 else nxt[0]
+    out = lines.withColumn("__next", joined).where(F.col("line").contains(marker))
+    return out.select(*file_cols, *order, *[tok("__next", p).alias(f"t{p}") for p in positions],
+                      tokens("__next").alias("__toks"))
+
+
+def last_block(lines: DataFrame, file_cols: list[str], order_key: str, marker: str) -> DataFrame:
+    """Lines strictly after the last marker line of each file."""
+    last = (lines.where(F.col("line").contains(marker))
+            .groupBy(*file_cols).agg(F.max(order_key).alias("__last")))
+    return lines.join(last, file_cols).where(F.col(order_key) > F.col("__last")).drop("__last")
+
+
+def any_marker(lines: DataFrame, file_cols: list[str], markers: list[str], name: str) -> DataFrame:
+    """Per file, whether any line contains any marker (``bool_or``)."""
+    hit = F.lit(False)
+    for m in markers:
+        hit = hit | F.col("line").contains(m)
+    return lines.groupBy(*file_cols).agg(F.bool_or(hit).alias(name))
+
+
+# ---- M1 / M3: token corpus and summed vectors ---------------------------------------
+
+def token_sentence(s, radius: int = 1) -> Column:
+    """M1 (re-aimed): word tokens plus, for radius 1, each word joined with its
+    neighbours (a centred trigram), interleaved per position like an
+    alternating sentence.
+
+    Built from shifted copies of the word array with ``zip_with`` so lambdas
+    only touch their own elements: a lambda that indexes into an outer array
+    expression would re-evaluate that expression per element (quadratic).
+    """
+    words = F.filter(F.split(F.lower(_c(s)), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    if radius == 0:
+        return words
+    n = F.size(words)
+    null_arr = F.array(F.lit(None).cast("string"))
+    prev = F.concat(null_arr, F.slice(words, 1, F.greatest(n - 1, F.lit(0))))
+    nxt = F.concat(F.slice(words, 2, F.greatest(n - 1, F.lit(0))), null_arr)
+    grams = F.zip_with(F.zip_with(prev, words, lambda a, b: F.concat_ws("_", a, b)), nxt,
+                       lambda ab, c: F.concat_ws("_", ab, c))
+    pairs = F.zip_with(words, grams, lambda w, g: F.array(w, g))
+    return F.when(n > 0, F.flatten(pairs)).otherwise(F.array().cast("array<string>"))
