@@ -101,8 +101,9 @@ def dict_map(col, mapping: dict) -> Column:
 def clean_nonfinite(col, fill: float = 0.0) -> Column:
     """NULL / NaN / ±inf → ``fill``."""
     c = _c(col)
-    return (F.when(c.isNull() | F.isnan(c) | (c == float("inf")) | (c == float("-inf")),
-                   F.lit(fill)).otherwise(c))
+    # NULL, NaN (greater than every double in Spark) and ±inf all fail this range test
+    finite = (c >= F.lit(-1.7976931348623157e308)) & (c <= F.lit(1.7976931348623157e308))
+    return F.when(finite, c).otherwise(F.lit(fill))
 
 
 def clamp(col, lo: float, hi: float) -> Column:

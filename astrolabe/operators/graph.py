@@ -51,7 +51,10 @@ def weighted_edges(df: DataFrame, temperature: float = 5.0, floor_pct: float = 0
     """Rate at T → log10 (non-finite → 0) → values under the global p5 → 0
     → min-max weight → class colour."""
     rate = S.compute_rate("react_class", F.lit(temperature), "alpha", "beta", "gamma")
-    e = df.withColumn("rate", C.clean_nonfinite(S.log10_pos(rate)))
+    # the raw rate gets its own column: the clean-up below references its
+    # input several times and would otherwise inline the whole rate law each time
+    e = (df.withColumn("__raw", rate)
+         .withColumn("rate", C.clean_nonfinite(S.log10_pos("__raw"))).drop("__raw"))
     e = C.percentile_floor(e, "rate", floor_pct)
     mm = e.agg(F.min("rate").alias("__lo"), F.max("rate").alias("__hi"))
     e = stats.with_scalars(e, mm).withColumn(

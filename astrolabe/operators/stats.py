@@ -36,12 +36,17 @@ def exact_percentiles(df: DataFrame, col: str, probs: list[float],
 
     names = names or [f"p{i}" for i in range(len(probs))]
     spark = df.sparkSession
-    v = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull())
+    # No ``v IS NOT NULL`` filter here: Catalyst would push it below the
+    # projections that derive ``col`` and evaluate that expression tree inside
+    # the filter once per reference.  NULLs sort first instead; they are left
+    # out of the counts and skipped when picking.
+    v = df.select(F.col(col).cast("double").alias("v"))
     # both passes below read this one persisted plan, so the (seeded-by-RDD-id)
     # range boundaries are fixed for the counts and the picks alike
     srt = _range_sorted(v, ["v"], n_parts).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        counts = dict(srt.groupBy(F.spark_partition_id().alias("pid")).count().collect())
+        counts = dict(srt.groupBy(F.spark_partition_id().alias("pid")).agg(F.count("v")).collect())
+        counts = {k: c for k, c in counts.items() if c > 0}
         n = sum(counts.values())
         if n == 0:
             return spark.createDataFrame([tuple([None] * len(probs))],
@@ -64,6 +69,7 @@ def exact_percentiles(df: DataFrame, col: str, probs: list[float],
             want = wanted.get(TaskContext.get().partitionId(), {})
             base = 0
             for pdf in it:
+                pdf = pdf[pdf["v"].notna()]
                 m = len(pdf)
                 hits = [(i, r) for i, r in want.items() if base <= i < base + m]
                 if hits:
