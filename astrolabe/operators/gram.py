@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from astrolabe.functions import schema as S
 from astrolabe.operators import stats
 
 
@@ -62,31 +63,96 @@ def prefix_totals(df: DataFrame, order: list, value: str, fractions: list[float]
 
 # ---- Gramian statistics -------------------------------------------------------------
 
-def features_array(cols: list) -> Column:
-    return F.array(*[_c(c).cast("double") for c in cols])
+def _xcols(x) -> list[Column]:
+    return [_c(c).cast("double") for c in x]
 
 
-def gramian(df: DataFrame, x: str, y: str, group: list[str] | None = None,
-            intercept: bool = True) -> DataFrame:
-    """Per group: ``n, sx (Σx), sy (Σy), syy (Σy²), xty (Xᵀy), xtx (XᵀX row-major)``.
+def sufficient_stats(df: DataFrame, x: list, y, group: list | None = None) -> DataFrame:
+    """Per group: ``n, sy, syy, sx_i, sxy_i, sxx_i_j (i <= j)`` as one hash aggregate.
 
-    ``x`` is an ``array<double>`` column of fixed length d.  Element-wise sums
-    of arrays are expressed as sums of ``posexplode``-free per-position
-    aggregates, so the whole pass is one hash aggregate with partial
-    (map-side) combination.
+    For a handful of features (the fold / split / sweep queries) the sums are
+    plain aggregate columns; Spark combines them map-side, so the shuffle
+    carries one partial row per task and group.  Wide feature vectors use
+    :func:`vector_stats` instead.
     """
-    first = df.select(F.size(x).alias("d")).limit(1).collect()
-    d = first[0]["d"] if first else 0
-    g = group or []
-    aggs = [F.count(F.lit(1)).alias("n"), F.sum(y).alias("sy"), F.sum(_c(y) * _c(y)).alias("syy")]
-    aggs += [F.sum(F.get(x, i)).alias(f"sx_{i}") for i in range(d)]
-    aggs += [F.sum(F.get(x, i) * _c(y)).alias(f"xy_{i}") for i in range(d)]
-    aggs += [F.sum(F.get(x, i) * F.get(x, j)).alias(f"xx_{i}_{j}") for i in range(d) for j in range(i, d)]
-    raw = df.groupBy(*g).agg(*aggs)
-    sx = F.array(*[F.col(f"sx_{i}") for i in range(d)])
-    xy = F.array(*[F.col(f"xy_{i}") for i in range(d)])
-    xx = F.array(*[F.col(f"xx_{min(i, j)}_{max(i, j)}") for i in range(d) for j in range(d)])
-    return raw.select(*g, "n", "sy", "syy", sx.alias("sx"), xy.alias("xty"), xx.alias("xtx"))
+    xs = _xcols(x)
+    d = len(xs)
+    yy = _c(y).cast("double")
+    aggs = [F.count(F.lit(1)).alias("n"), F.sum(yy).alias("sy"), F.sum(yy * yy).alias("syy")]
+    aggs += [F.sum(xs[i]).alias(f"sx_{i}") for i in range(d)]
+    aggs += [F.sum(xs[i] * yy).alias(f"sxy_{i}") for i in range(d)]
+    aggs += [F.sum(xs[i] * xs[j]).alias(f"sxx_{i}_{j}") for i in range(d) for j in range(i, d)]
+    return df.groupBy(*(group or [])).agg(*aggs)
+
+
+def stats_to_arrays(row, d: int):
+    """One stats row (mapping) → (n, sx, sy, syy, xtx, xty) NumPy values."""
+    n = float(row["n"])
+    sx = np.array([row[f"sx_{i}"] for i in range(d)], float)
+    xty = np.array([row[f"sxy_{i}"] for i in range(d)], float)
+    xtx = np.empty((d, d))
+    for i in range(d):
+        for j in range(i, d):
+            xtx[i, j] = xtx[j, i] = row[f"sxx_{i}_{j}"]
+    return n, sx, float(row["sy"]), float(row["syy"]), xtx, xty
+
+
+def vector_stats(df: DataFrame, vec: str, y: str | None = None, group: list[str] | None = None,
+                 tree_buckets: int = 256) -> DataFrame:
+    """Gramian of a wide ``array<double>`` column: per group ``n, sx, sy, syy, xty, xtx``.
+
+    Each task folds its rows into NumPy partial sums (one output row per task
+    and group); partials are then summed in a two-level tree of grouped
+    aggregates, so no single task ever merges more than ``tree_buckets``
+    (or partitions / tree_buckets) partial rows.
+    """
+    import pandas as pd
+    from pyspark import TaskContext
+
+    g = list(group or [])
+    cols = g + [vec] + ([y] if y else [])
+    gschema = df.select(*g).schema
+
+    def kernel(it):
+        acc = {}
+        for pdf in it:
+            if len(pdf) == 0:
+                continue
+            keys = pdf[g].itertuples(index=False, name=None) if g else [()] * len(pdf)
+            x = np.vstack(pdf[vec].to_numpy())
+            yy = pdf[y].to_numpy(dtype=float) if y else np.zeros(len(pdf))
+            frame = pd.DataFrame({"__k": list(keys)})
+            for key, idx in frame.groupby("__k").indices.items():
+                xi, yi = x[idx], yy[idx]
+                a = acc.setdefault(key, [0, 0.0, 0.0, 0.0, 0.0, 0.0])
+                a[0] += len(idx)
+                a[1] = a[1] + xi.sum(axis=0)
+                a[2] += float(yi.sum())
+                a[3] += float(yi @ yi)
+                a[4] = a[4] + xi.T @ yi
+                a[5] = a[5] + (xi.T @ xi).ravel()
+        pid = TaskContext.get().partitionId()
+        rows = []
+        for key, (n, sx, sy, syy, xty, xtx) in acc.items():
+            rows.append(tuple(key) + (pid, n, list(np.atleast_1d(sx)), sy, syy,
+                                      list(np.atleast_1d(xty)), list(np.atleast_1d(xtx))))
+        if rows:
+            yield pd.DataFrame(rows, columns=g + ["__pid", "n", "sx", "sy", "syy", "xty", "xtx"])
+
+    schema = S.extend(gschema, ("__pid", "int"), ("n", "long"), ("sx", "array<double>"), ("sy", "double"),
+                      ("syy", "double"), ("xty", "array<double>"), ("xtx", "array<double>"))
+    part = df.select(*cols).mapInPandas(kernel, schema)
+
+    def vsum(c):
+        return F.aggregate(F.collect_list(c), F.lit(None).cast("array<double>"),
+                           lambda acc, x: F.when(acc.isNull(), x).otherwise(F.zip_with(acc, x, lambda a, b: a + b)))
+
+    def merge(frame, keys):
+        return frame.groupBy(*keys).agg(F.sum("n").alias("n"), vsum("sx").alias("sx"), F.sum("sy").alias("sy"),
+                                        F.sum("syy").alias("syy"), vsum("xty").alias("xty"), vsum("xtx").alias("xtx"))
+
+    level1 = merge(part.withColumn("__b", F.pmod(F.col("__pid"), F.lit(tree_buckets))), g + ["__b"])
+    return merge(level1, g)
 
 
 def solve_ridge(n, sx, sy, xtx, xty, alpha: float = 0.0, intercept: bool = True):
@@ -112,3 +178,155 @@ def sse_from_stats(n, sx, sy, syy, xtx, xty, b0, w):
     xtx = np.asarray(xtx, float).reshape(d, d)
     sx, xty = np.asarray(sx, float), np.asarray(xty, float)
     return float(syy - 2 * b0 * sy - 2 * w @ xty + n * b0 * b0 + 2 * b0 * (sx @ w) + w @ xtx @ w)
+
+
+def sst_from_stats(n, sy, syy):
+    return float(syy - sy * sy / n)
+
+
+# ---- fold algebra: every fit is "all minus one fold" of the same statistics ---------------
+
+def fold_scores(stats: DataFrame, d: int, fold_col: str, alphas: list[float],
+                intercept: bool = True, digits: int | None = 6) -> DataFrame:
+    """Ridge (alpha=0: OLS) k-fold scores from per-fold statistics.
+
+    Output ``alpha, fold, train_mse, test_mse, test_r2``.  The algebra runs in
+    one pandas group over the (folds x d²)-sized statistics table.
+    """
+    import pandas as pd
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        per = {r[fold_col]: stats_to_arrays(r, d) for _, r in pdf.iterrows()}
+        tot = [sum(v[i] for v in per.values()) for i in range(6)]
+        for alpha in alphas:
+            for f, (n_t, sx_t, sy_t, syy_t, xtx_t, xty_t) in sorted(per.items()):
+                n_r, sx_r, sy_r, syy_r = tot[0] - n_t, tot[1] - sx_t, tot[2] - sy_t, tot[3] - syy_t
+                xtx_r, xty_r = tot[4] - xtx_t, tot[5] - xty_t
+                b0, w = solve_ridge(n_r, sx_r, sy_r, xtx_r, xty_r, alpha, intercept)
+                tr = sse_from_stats(n_r, sx_r, sy_r, syy_r, xtx_r, xty_r, b0, w) / n_r
+                te_sse = sse_from_stats(n_t, sx_t, sy_t, syy_t, xtx_t, xty_t, b0, w)
+                r2 = 1 - te_sse / sst_from_stats(n_t, sy_t, syy_t)
+                rows.append((float(alpha), int(f), tr, te_sse / n_t, r2))
+        return pd.DataFrame(rows, columns=["alpha", "fold", "train_mse", "test_mse", "test_r2"])
+
+    out = stats.groupBy(F.lit(0).alias("__one")).applyInPandas(
+        solve, "alpha double, fold long, train_mse double, test_mse double, test_r2 double")
+    if digits is not None:
+        out = out.select("alpha", "fold", *[F.round(c, digits).alias(c) for c in ("train_mse", "test_mse", "test_r2")])
+    return out
+
+
+def summarize_scores(scores: DataFrame, by: list[str], col: str = "test_mse", digits: int = 6) -> DataFrame:
+    """Mean and population std of per-split scores per setting, plus rank."""
+    agg = scores.groupBy(*by).agg(F.avg(col).alias("mean_score"), F.stddev_pop(col).alias("std_score"))
+    from pyspark.sql import Window
+    w = Window.orderBy(F.col("mean_score").asc())  # one row per setting: bounded
+    return agg.select(*by, F.round("mean_score", digits).alias("mean_score"),
+                      F.round("std_score", digits).alias("std_score"),
+                      F.rank().over(w).alias("rank"))
+
+
+def split_scores(stats: DataFrame, d: int, split_col: str, test_col: str,
+                 alpha: float = 0.0, intercept: bool = True) -> DataFrame:
+    """Per split: fit on the train side's statistics, score both sides."""
+    import pandas as pd
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        sides = {bool(r[test_col]): stats_to_arrays(r, d) for _, r in pdf.iterrows()}
+        tr = sides.get(False)
+        te = sides.get(True)
+        if tr is None:
+            return pd.DataFrame(columns=[split_col, "train_mse", "test_mse"])
+        b0, w = solve_ridge(tr[0], tr[1], tr[2], tr[4], tr[5], alpha, intercept)
+        tr_mse = sse_from_stats(tr[0], tr[1], tr[2], tr[3], tr[4], tr[5], b0, w) / tr[0]
+        te_mse = (sse_from_stats(te[0], te[1], te[2], te[3], te[4], te[5], b0, w) / te[0]) if te else np.nan
+        return pd.DataFrame([[pdf[split_col].iloc[0], tr_mse, te_mse]], columns=[split_col, "train_mse", "test_mse"])
+
+    schema = S.extend(stats.select(split_col).schema, ("train_mse", "double"), ("test_mse", "double"))
+    return stats.groupBy(split_col).applyInPandas(solve, schema)
+
+
+def best_fold_refit(stats: DataFrame, d: int, fold_col: str, alpha: float = 0.0) -> DataFrame:
+    """The fold whose held-out R² is highest (ties → lowest fold), refit on its
+    training side (all other folds)."""
+    import pandas as pd
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        per = {int(r[fold_col]): stats_to_arrays(r, d) for _, r in pdf.iterrows()}
+        tot = [sum(v[i] for v in per.values()) for i in range(6)]
+        best = None
+        for f in sorted(per):
+            n_t, sx_t, sy_t, syy_t, xtx_t, xty_t = per[f]
+            args = [tot[i] - per[f][i] for i in range(6)]
+            b0, w = solve_ridge(args[0], args[1], args[2], args[4], args[5], alpha)
+            r2 = 1 - sse_from_stats(n_t, sx_t, sy_t, syy_t, xtx_t, xty_t, b0, w) / sst_from_stats(n_t, sy_t, syy_t)
+            if best is None or r2 > best[0]:
+                best = (r2, f, b0, w)
+        _, f, b0, w = best
+        return pd.DataFrame([[f, round(b0, 6), *[round(x, 6) for x in w]]],
+                            columns=["best_fold", "intercept"] + [f"w{i}" for i in range(d)])
+
+    schema = "best_fold long, intercept double, " + ", ".join(f"w{i} double" for i in range(d))
+    return stats.groupBy(F.lit(0).alias("__one")).applyInPandas(solve, schema)
+
+
+def learning_curve(df: DataFrame, key: str, x: list[str], y: str, fractions: list[float],
+                   n_splits: int = 5, test_size: float = 0.2, seed: int = 42, stream: str = "lc") -> DataFrame:
+    """For each split, fit on the first ``fraction`` of the train side (in key
+    order) and score on the split's test side; mean / std over splits.
+
+    ``split x row`` membership is an ``explode`` (bounded multiplier); prefix
+    positions come from a distributed global order per split; all fits come
+    from one pass of conditional sufficient statistics.
+    """
+    from astrolabe.operators import resample as R
+
+    rows = df.select("*", S.seq_long(n_splits).alias("split_id"))
+    rows = rows.withColumn("is_test", R.uniform(seed, F.concat(F.lit(stream), F.col("split_id").cast("string")),
+                                                F.col(key)) < test_size)
+    train = rows.where(~F.col("is_test"))
+    pos = stats.global_position(train, ["split_id", key], "__gpos")
+    first = pos.groupBy("split_id").agg(F.min("__gpos").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    pos = pos.join(F.broadcast(first), "split_id")  # one row per split
+    pos = pos.withColumn("__rn", F.col("__gpos") - F.col("__first") + 1)
+    fr = F.explode(F.array(*[F.lit(float(f)) for f in fractions])).alias("fraction")
+    pref = pos.select("*", fr).where(F.col("__rn") <= F.floor(F.col("fraction") * F.col("__n")))
+    st_tr = sufficient_stats(pref, x, y, ["split_id", "fraction"]).withColumn("is_test", F.lit(False))
+    st_te = sufficient_stats(rows.where("is_test"), x, y, ["split_id"])
+    st_te = st_te.select("*", F.explode(F.array(*[F.lit(float(f)) for f in fractions])).alias("fraction")) \
+        .withColumn("is_test", F.lit(True))
+    both = st_tr.unionByName(st_te)
+    both = both.withColumn("__sf", F.struct("split_id", "fraction"))
+    sc = split_scores(both.drop("split_id", "fraction"), len(x), "__sf", "is_test")
+    sc = sc.select(F.col("__sf.fraction").alias("fraction"), "test_mse")
+    return sc.groupBy("fraction").agg(F.round(F.avg("test_mse"), 6).alias("mean_mse"),
+                                      F.round(F.stddev_pop("test_mse"), 6).alias("std_mse"))
+
+
+def data_importance(df: DataFrame, key: str, x: list[str], y: str, n_splits: int, test_size: float,
+                    seed: int = 42, stream: str = "di") -> DataFrame:
+    """Per row, std over splits of (split test error when the row trained, else 0),
+    divided by the smallest such std over all rows."""
+    from astrolabe.operators import resample as R
+
+    rows = df.select("*", S.seq_long(n_splits).alias("split_id"))
+    rows = rows.withColumn("is_test", R.uniform(seed, F.concat(F.lit(stream), F.col("split_id").cast("string")),
+                                                F.col(key)) < test_size)
+    st = sufficient_stats(rows, x, y, ["split_id", "is_test"])
+    err = split_scores(st, len(x), "split_id", "is_test").select("split_id", F.col("test_mse").alias("err"))
+    # n_splits rows: broadcast
+    per_row = rows.select(key, "split_id", "is_test").join(F.broadcast(err), "split_id")
+    s = per_row.groupBy(key).agg(F.stddev_pop(F.when(F.col("is_test"), F.lit(0.0)).otherwise(F.col("err"))).alias("s"))
+    mn = s.agg(F.min("s").alias("__min"))
+    return stats.with_scalars(s, mn).select(key, (F.col("s") / F.col("__min")).alias("importance"))
+
+
+def unpivot_codes(df: DataFrame, id_col: str, cols: list[str]) -> DataFrame:
+    """Wide settings → long ``(param, value)`` → ordinal code per parameter
+    (dense rank of the value, NULL → 0)."""
+    from pyspark.sql import Window
+    long = df.unpivot(id_col, cols, "param", "value")
+    w = Window.partitionBy("param").orderBy("value")  # one partition per parameter: settings-sized
+    return long.select(id_col, "param", F.when(F.col("value").isNull(), F.lit(0))
+                       .otherwise(F.dense_rank().over(w)).alias("code"))

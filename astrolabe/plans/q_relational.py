@@ -51,7 +51,7 @@ def q_filter_eq(spark, sf):
 
 
 @register("drop_empty", r"""
-SELECT doc_id, length(text) AS n_chars FROM documents
+SELECT doc_id, CAST(length(text) AS INTEGER) AS n_chars FROM documents
 WHERE text IS NOT NULL AND length(regexp_replace(text, '[ \t\r\n]', '', 'g')) > 0
 """)
 def q_drop_empty(spark, sf):

@@ -185,7 +185,7 @@ def q_formula_counts(spark, sf):
                     S.heavy_atom_count("formula").alias("heavy"))
 
 
-_MASS_VALUES = ", ".join(f"('{k}', {v})" for k, v in S.ATOMIC_MASS.items())
+_MASS_VALUES = ", ".join(f"('{k}', CAST({v} AS DOUBLE))" for k, v in S.ATOMIC_MASS.items())
 
 
 @register("formula_mass", f"""

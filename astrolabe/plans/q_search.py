@@ -63,7 +63,7 @@ SELECT anchor_id, entry, round(distance, 6) AS distance, rank FROM
 def q_knn_join_euclid(spark, sf):
     v = tables.vectors(spark, sf)
     t = search.knn_topk(v, _anchor_frame(v), 5)
-    return t.select("anchor_id", "entry", F.round("distance", 6).alias("distance"), "rank")
+    return t.select("anchor_id", "entry", F.round("distance", 6).alias("distance"), F.col("rank").cast("long"))
 
 
 @register("knn_join_cosine", f"""
@@ -74,7 +74,7 @@ SELECT anchor_id, entry, round(distance, 6) AS distance, rank FROM
 def q_knn_join_cosine(spark, sf):
     v = tables.vectors(spark, sf)
     t = search.knn_topk(v, _anchor_frame(v), 5, metric="cosine")
-    return t.select("anchor_id", "entry", F.round("distance", 6).alias("distance"), "rank")
+    return t.select("anchor_id", "entry", F.round("distance", 6).alias("distance"), F.col("rank").cast("long"))
 
 
 @register("cluster_semi_join", f"""

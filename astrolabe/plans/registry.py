@@ -29,6 +29,7 @@ def load_all() -> None:
     # import for the side effect of registration
     from astrolabe.plans import (  # noqa: F401
         q_graph,
+        q_ml,
         q_relational,
         q_scalar,
         q_search,
