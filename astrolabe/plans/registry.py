@@ -28,8 +28,10 @@ def register(name: str, sql: str | None = None):
 def load_all() -> None:
     # import for the side effect of registration
     from astrolabe.plans import (  # noqa: F401
+        q_composite,
         q_graph,
         q_ml,
+        q_models,
         q_relational,
         q_scalar,
         q_search,
