@@ -12,13 +12,26 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from astrolabe.operators.stats import exact_percentiles, with_scalars
+from astrolabe.operators.stats import exact_percentiles
 
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def compute_once(df: DataFrame, **cols: Column) -> DataFrame:
+    """Add derived columns that are evaluated exactly once per row.
+
+    A filter on a plain derived column is pushed below its projection with the
+    expression substituted, so an expensive expression (a regex over a whole
+    text) would run again inside the filter for every reference.  Producing
+    the columns through a one-element generator (``inline``) is an optimizer
+    barrier: later filters on them stay above it.
+    """
+    row = F.struct(*[F.col(c) for c in df.columns], *[e.alias(n) for n, e in cols.items()])
+    return df.select(F.inline(F.array(row)))
+
+
 # ---- P2-P10 -------------------------------------------------------------------
 
 def filter_eq(df: DataFrame, col: str, value, keep: bool = True) -> DataFrame:
@@ -113,12 +126,11 @@ def clamp(col, lo: float, hi: float) -> Column:
 
 def percentile_floor(df: DataFrame, col: str, pct: float, out: str | None = None) -> DataFrame:
     """Values below the global ``pct`` percentile become 0 (exact, distributed)."""
-    p = exact_percentiles(df, col, [pct], ["__floor"])
+    floor = exact_percentiles(df, col, [pct], ["__floor"]).collect()[0][0]  # one scalar
     out = out or col
-    return (with_scalars(df, p)
-            .withColumn(out, F.when(F.col(col) < F.col("__floor"), F.lit(0.0))
-                        .otherwise(F.col(col)))
-            .drop("__floor"))
+    if floor is None:  # no non-null values
+        return df.withColumn(out, F.col(col))
+    return df.withColumn(out, F.when(F.col(col) < F.lit(floor), F.lit(0.0)).otherwise(F.col(col)))
 
 
 def numeric_id_sort(df: DataFrame, col: str) -> DataFrame:

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from astrolabe.functions import scalar as S
 from astrolabe.operators import curate as C
-from astrolabe.operators import stats
 
 # A float with 3-4 decimals and a 1-2 digit exponent; a 1-2 digit
 # integer between whitespace.
@@ -55,12 +54,17 @@ def weighted_edges(df: DataFrame, temperature: float = 5.0, floor_pct: float = 0
     # input several times and would otherwise inline the whole rate law each time
     e = (df.withColumn("__raw", rate)
          .withColumn("rate", C.clean_nonfinite(S.log10_pos("__raw"))).drop("__raw"))
+    # The percentile, the bounds and the output each read the edge table: parse
+    # the records and evaluate the rate law once, into the shared checkpoint
+    # folder (this also cuts the lineage back to the text scan).
+    from astrolabe.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    e = e.checkpoint(eager=True)
     e = C.percentile_floor(e, "rate", floor_pct)
-    mm = e.agg(F.min("rate").alias("__lo"), F.max("rate").alias("__hi"))
-    e = stats.with_scalars(e, mm).withColumn(
-        "norm_rate", F.coalesce(F.try_divide(F.col("rate") - F.col("__lo"), F.col("__hi") - F.col("__lo")),
-                                F.lit(0.0))).drop("__lo", "__hi")
-    return e.withColumn("colour", C.dict_map("react_class", CLASS_COLOURS))
+    lo, hi = e.agg(F.min("rate"), F.max("rate")).collect()[0]  # two scalars
+    span = (hi - lo) if lo is not None and hi is not None else None
+    norm = (F.col("rate") - F.lit(lo)) / F.lit(span) if span else F.lit(0.0)
+    return e.withColumn("norm_rate", norm).withColumn("colour", C.dict_map("react_class", CLASS_COLOURS))
 
 
 def undirected_edges(df: DataFrame, a: str, b: str, attrs: list[str], order: list[str]) -> DataFrame:

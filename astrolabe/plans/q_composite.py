@@ -108,12 +108,16 @@ def q_curate_pool(spark, sf):
                                              F.col("item_id").alias("o1"), F.lit(0).cast("long").alias("o2"))
     conv = T(spark, sf, "conversations").select(F.col("text").alias("raw"), F.lit(2).alias("source"),
                                                 F.col("conv_id").alias("o1"), F.col("turn").alias("o2"))
-    pool = docs.unionByName(bench).unionByName(conv).withColumn("key", S.normalise_key("raw"))
+    pool = C.compute_once(docs.unionByName(bench).unionByName(conv), key=S.normalise_key("raw"))
     pool = C.drop_empty(pool, "key")
-    first = pool.groupBy("key").agg(F.min_by(F.struct("source", "raw"), F.struct("source", "o1", "o2")).alias("f"))
-    # the element list is case-sensitive, so it is tested on the first occurrence's original text
-    kept = C.exclude_words(first.select("key", "f.source", "f.raw"), "raw", EXCLUDED_ELEMENTS)
-    return kept.select(F.md5("key").alias("key_md5"), "source", F.length("key").alias("weight"))
+    # Shuffle a 128-bit digest of the key (plus its length) instead of whole texts;
+    # the case-sensitive element test runs on the original text before the shuffle
+    # and only its boolean travels with the row.
+    slim = pool.select(F.md5("key").alias("key_md5"), F.length("key").alias("weight"), "source", "o1", "o2",
+                       C.contains_word("raw", EXCLUDED_ELEMENTS).alias("excluded"))
+    first = slim.groupBy("key_md5", "weight").agg(
+        F.min_by(F.struct("source", "excluded"), F.struct("source", "o1", "o2")).alias("f"))
+    return first.where(~F.col("f.excluded")).select("key_md5", F.col("f.source").alias("source"), "weight")
 
 
 HASH_DIM = 4
