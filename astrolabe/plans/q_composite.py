@@ -239,3 +239,32 @@ def q_rec_report(spark, sf):
                                  F.count_if("dig").alias("n_digit"),
                                  F.count_if(~F.col("lic") & ~F.col("dig")).alias("n_plain"),
                                  F.round(F.avg("n_chars"), 6).alias("mean_chars"))
+
+
+@register("curation_funnel", f"""
+WITH k AS (SELECT doc_id, text, nullif(lower(trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g'))), '') AS key FROM documents),
+f AS (SELECT *, key IS NOT NULL AS nonempty,
+             key IS NOT NULL AND row_number() OVER (PARTITION BY key ORDER BY doc_id) = 1 AS first FROM k),
+c AS (SELECT count(*) AS n0, count_if(nonempty) AS n1, count_if(first) AS n2,
+             count_if(first AND NOT regexp_matches(text, '{_EXCL_SQL}')) AS n3 FROM f)
+SELECT 0 AS step_no, 'pooled' AS step, CAST(n0 AS BIGINT) AS n_rows FROM c
+UNION ALL SELECT 1, 'non-empty key', CAST(n1 AS BIGINT) FROM c
+UNION ALL SELECT 2, 'first per key', CAST(n2 AS BIGINT) FROM c
+UNION ALL SELECT 3, 'element exclusion', CAST(n3 AS BIGINT) FROM c
+""")
+def q_curation_funnel(spark, sf):
+    """Rows left after each curation step.  Row-level steps are conditional
+    counts; "first per key" is a group-by on the key digest with ``min_by`` of the
+    exclusion flag (partial aggregation, so a hot key is reduced map-side)."""
+    d = C.compute_once(T(spark, sf, "documents").select("doc_id", "text"), key=S.normalise_key("text"))
+    base = d.select("doc_id", F.md5("key").alias("h"), F.length("key").alias("l"),
+                    C.contains_word("text", EXCLUDED_ELEMENTS).alias("excluded"))
+    rows = base.agg(F.count(F.lit(1)).alias("n0"), F.count(F.col("h")).alias("n1"))
+    keys = (base.where(F.col("h").isNotNull()).groupBy("h", "l")
+            .agg(F.min_by("excluded", "doc_id").alias("ex"))
+            .agg(F.count(F.lit(1)).alias("n2"), F.count_if(~F.col("ex")).alias("n3")))
+    c = rows.crossJoin(keys)  # one row x one row
+    steps = ["pooled", "non-empty key", "first per key", "element exclusion"]
+    return c.select(F.explode(F.array(*[F.struct(F.lit(i).alias("step_no"), F.lit(s).alias("step"),
+                                                 F.col(f"n{i}").alias("n_rows"))
+                                        for i, s in enumerate(steps)])).alias("r")).select("r.*")

@@ -457,8 +457,8 @@ WITH v AS (SELECT CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE
 f AS (SELECT covar_pop(x, y) * count(*) / (var_pop(x) * count(*) + 1.0) AS b1, avg(x) AS mx, avg(y) AS my,
              min(x) - 0.5 AS lo, max(x) + 0.5 AS hi FROM v),
 g AS (SELECT range AS i FROM range(1000))
-SELECT CAST(i AS BIGINT) AS i, round(lo + i * (hi - lo) / 999.0, 6) AS x,
-       round(my + b1 * (lo + i * (hi - lo) / 999.0 - mx), 6) AS y FROM g, f
+SELECT CAST(i AS BIGINT) AS i, round(lo + i * (hi - lo) / 999.0, 6) + 0.0 AS x,
+       round(my + b1 * (lo + i * (hi - lo) / 999.0 - mx), 6) + 0.0 AS y FROM g, f
 """)
 def q_trend_line(spark, sf):
     """Ridge (alpha=1) line through the first two coordinates, on a padded 1000-point grid."""
@@ -468,8 +468,9 @@ def q_trend_line(spark, sf):
               (F.max("x") + 0.5).alias("hi"))
     g = stats.with_scalars(spark.range(1000).withColumnRenamed("id", "i"), f)
     gx = F.col("lo") + F.col("i") * (F.col("hi") - F.col("lo")) / 999.0
-    return g.select("i", F.round(gx, 6).alias("x"),
-                    F.round(F.col("my") + F.col("b1") * (gx - F.col("mx")), 6).alias("y"))
+    # "+ 0.0": a value that rounds to zero is +0.0 in every engine
+    return g.select("i", (F.round(gx, 6) + 0.0).alias("x"),
+                    (F.round(F.col("my") + F.col("b1") * (gx - F.col("mx")), 6) + 0.0).alias("y"))
 
 
 # ---- M3 / M5 / M6 / M8 / M11 / M12 ---------------------------------------------------------------
