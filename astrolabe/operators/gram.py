@@ -97,17 +97,48 @@ def stats_to_arrays(row, d: int):
     return n, sx, float(row["sy"]), float(row["syy"]), xtx, xty
 
 
+_STAT_SCALARS = ["n", "sy", "syy"]
+_STAT_ARRAYS = ["sx", "xty", "xtx"]
+
+
+def _stream_sum(frame: DataFrame, g: list[str]) -> DataFrame:
+    """Sum statistic rows per group inside each task, streaming over Arrow batches
+    (memory: one accumulator of size d² per group present in the task)."""
+    import pandas as pd
+
+    def kernel(it):
+        acc = {}
+        for pdf in it:
+            for r in pdf.to_dict("records"):
+                key = tuple(r[c] for c in g)
+                a = acc.get(key)
+                if a is None:
+                    acc[key] = {c: r[c] for c in _STAT_SCALARS} | {c: np.asarray(r[c], float).copy()
+                                                                    for c in _STAT_ARRAYS}
+                else:
+                    for c in _STAT_SCALARS:
+                        a[c] += r[c]
+                    for c in _STAT_ARRAYS:
+                        a[c] += np.asarray(r[c], float)
+        if acc:
+            rows = [list(k) + [a["n"], list(a["sx"]), a["sy"], a["syy"], list(a["xty"]), list(a["xtx"])]
+                    for k, a in acc.items()]
+            yield pd.DataFrame(rows, columns=g + ["n", "sx", "sy", "syy", "xty", "xtx"])
+
+    return frame.mapInPandas(kernel, frame.schema)
+
+
 def vector_stats(df: DataFrame, vec: str, y: str | None = None, group: list[str] | None = None,
-                 tree_buckets: int = 256) -> DataFrame:
+                 fan_in: int = 64) -> DataFrame:
     """Gramian of a wide ``array<double>`` column: per group ``n, sx, sy, syy, xty, xtx``.
 
     Each task folds its rows into NumPy partial sums (one output row per task
-    and group); partials are then summed in a two-level tree of grouped
-    aggregates, so no single task ever merges more than ``tree_buckets``
-    (or partitions / tree_buckets) partial rows.
+    and group).  The partial rows are then reduced as a tree: round-robin into
+    ``ceil(P / fan_in)`` partitions, streaming sums per task, repeated until one
+    partition is left — the DataFrame form of a tree aggregate.  No task ever
+    holds more than one d x d accumulator per group.
     """
     import pandas as pd
-    from pyspark import TaskContext
 
     g = list(group or [])
     cols = g + [vec] + ([y] if y else [])
@@ -118,10 +149,10 @@ def vector_stats(df: DataFrame, vec: str, y: str | None = None, group: list[str]
         for pdf in it:
             if len(pdf) == 0:
                 continue
-            keys = pdf[g].itertuples(index=False, name=None) if g else [()] * len(pdf)
+            keys = list(pdf[g].itertuples(index=False, name=None)) if g else [()] * len(pdf)
             x = np.vstack(pdf[vec].to_numpy())
             yy = pdf[y].to_numpy(dtype=float) if y else np.zeros(len(pdf))
-            frame = pd.DataFrame({"__k": list(keys)})
+            frame = pd.DataFrame({"__k": keys})
             for key, idx in frame.groupby("__k").indices.items():
                 xi, yi = x[idx], yy[idx]
                 a = acc.setdefault(key, [0, 0.0, 0.0, 0.0, 0.0, 0.0])
@@ -131,28 +162,26 @@ def vector_stats(df: DataFrame, vec: str, y: str | None = None, group: list[str]
                 a[3] += float(yi @ yi)
                 a[4] = a[4] + xi.T @ yi
                 a[5] = a[5] + (xi.T @ xi).ravel()
-        pid = TaskContext.get().partitionId()
         rows = []
         for key, (n, sx, sy, syy, xty, xtx) in acc.items():
-            rows.append(tuple(key) + (pid, n, list(np.atleast_1d(sx)), sy, syy,
+            rows.append(tuple(key) + (n, list(np.atleast_1d(sx)), sy, syy,
                                       list(np.atleast_1d(xty)), list(np.atleast_1d(xtx))))
         if rows:
-            yield pd.DataFrame(rows, columns=g + ["__pid", "n", "sx", "sy", "syy", "xty", "xtx"])
+            yield pd.DataFrame(rows, columns=g + ["n", "sx", "sy", "syy", "xty", "xtx"])
 
-    schema = S.extend(gschema, ("__pid", "int"), ("n", "long"), ("sx", "array<double>"), ("sy", "double"),
+    schema = S.extend(gschema, ("n", "long"), ("sx", "array<double>"), ("sy", "double"),
                       ("syy", "double"), ("xty", "array<double>"), ("xtx", "array<double>"))
-    part = df.select(*cols).mapInPandas(kernel, schema)
-
-    def vsum(c):
-        return F.aggregate(F.collect_list(c), F.lit(None).cast("array<double>"),
-                           lambda acc, x: F.when(acc.isNull(), x).otherwise(F.zip_with(acc, x, lambda a, b: a + b)))
-
-    def merge(frame, keys):
-        return frame.groupBy(*keys).agg(F.sum("n").alias("n"), vsum("sx").alias("sx"), F.sum("sy").alias("sy"),
-                                        F.sum("syy").alias("syy"), vsum("xty").alias("xty"), vsum("xtx").alias("xtx"))
-
-    level1 = merge(part.withColumn("__b", F.pmod(F.col("__pid"), F.lit(tree_buckets))), g + ["__b"])
-    return merge(level1, g)
+    level = df.select(*cols).mapInPandas(kernel, schema)
+    try:
+        n = level.rdd.getNumPartitions()
+    except Exception:  # Spark Connect: assume a wide input
+        n = fan_in * fan_in
+    while True:
+        n = max(1, -(-n // fan_in))
+        level = _stream_sum(level.repartition(n), g)
+        if n == 1:
+            break
+    return level
 
 
 def solve_ridge(n, sx, sy, xtx, xty, alpha: float = 0.0, intercept: bool = True):

@@ -16,8 +16,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _sort_partitions(df: DataFrame) -> int:
+    """Range partitions for a global sort: at least the shuffle setting, and at
+    least as many as the input has splits, so a partition holds about one
+    input split's worth of rows however large the table is."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        n = max(n, df.rdd.getNumPartitions())
+    except Exception:  # Spark Connect: no RDD view
+        pass
+    return n
+
+
 def _range_sorted(df: DataFrame, order: list, n_parts: int | None) -> DataFrame:
-    n_parts = n_parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_parts = n_parts or _sort_partitions(df)
     # An explicit partition count: AQE never coalesces these partitions, so the
     # layout (and every partition id) is the same in each pass over the plan.
     return df.repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
@@ -176,7 +188,6 @@ def running_sum(df: DataFrame, order: list, value: str, out: str = "running",
     give each partition its starting offset; inside a partition the running
     sum is a window over that partition's rows only.
     """
-    n_parts = n_parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pos = global_position(df, order, "__pos", n_parts=n_parts)
     # blocks of contiguous positions: bounded rows per window partition
     block = F.floor((F.col("__pos") - 1) / F.lit(1 << 20))
