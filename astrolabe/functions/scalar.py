@@ -16,22 +16,29 @@ def _c(x) -> Column:
 
 # ---- F6-F9: rate laws ------------------------------------------------------
 
+# Rate-law constants (reference temperature in K; the two
+# ion-polar formulas' coefficients).
+T_REF = 300.0
+IONPOL1_CONST, IONPOL1_COEF = 0.62, 0.4767
+IONPOL2_COEF, IONPOL2_DIV = 0.0967, 10.526
+
+
 def arrhenius_rate(T, alpha, beta, gamma) -> Column:
-    """alpha * (T/300)^beta * exp(-gamma/T)."""
+    """alpha * (T/T_REF)^beta * exp(-gamma/T)."""
     T, a, b, g = map(_c, (T, alpha, beta, gamma))
-    return a * F.pow(T / 300.0, b) * F.exp(-g / T)
+    return a * F.pow(T / T_REF, b) * F.exp(-g / T)
 
 
 def ionpol1(T, alpha, beta, gamma) -> Column:
-    """alpha*beta*(0.62 + 0.4767*gamma*sqrt(300/T))."""
+    """alpha*beta*(IONPOL1_CONST + IONPOL1_COEF*gamma*sqrt(T_REF/T))."""
     T, a, b, g = map(_c, (T, alpha, beta, gamma))
-    return a * b * (0.62 + 0.4767 * g * F.sqrt(300.0 / T))
+    return a * b * (IONPOL1_CONST + IONPOL1_COEF * g * F.sqrt(T_REF / T))
 
 
 def ionpol2(T, alpha, beta, gamma) -> Column:
-    """F8: alpha*beta*(1 + 0.0967*gamma*sqrt(300/T) + gamma^2/10.526 * 300/T)."""
+    """F8: alpha*beta*(1 + IONPOL2_COEF*gamma*sqrt(T_REF/T) + gamma^2/IONPOL2_DIV * T_REF/T)."""
     T, a, b, g = map(_c, (T, alpha, beta, gamma))
-    return a * b * (1.0 + 0.0967 * g * F.sqrt(300.0 / T) + (g * g / 10.526) * (300.0 / T))
+    return a * b * (1.0 + IONPOL2_COEF * g * F.sqrt(T_REF / T) + (g * g / IONPOL2_DIV) * (T_REF / T))
 
 
 def compute_rate(react_class, T, alpha, beta, gamma, lenient: bool = True) -> Column:
