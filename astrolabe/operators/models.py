@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from astrolabe.functions import schema as S
 from astrolabe.functions import vectors as V
 from astrolabe.operators import gram
+from astrolabe.operators.search import _split
 
 MAX_LANDMARKS = 20_000
 
@@ -76,7 +77,7 @@ class GPModel:
         model, cols = self, df.columns
 
         def kernel(it):
-            for pdf in it:
+            for pdf in _split(it, len(model.landmarks)):
                 if len(pdf) == 0:
                     continue
                 m, s = model.predict_arrays(np.vstack(pdf[vec].to_numpy()))
@@ -113,7 +114,7 @@ def fit_gp(train: DataFrame, *, key: str, vec: str, target: str, kernel: Kernel,
     k = kernel
 
     def feats(it):
-        for pdf in it:
+        for pdf in _split(it, len(z)):
             if len(pdf) == 0:
                 continue
             phi = k(z, np.vstack(pdf[vec].to_numpy())).T
@@ -131,16 +132,27 @@ def fit_gp(train: DataFrame, *, key: str, vec: str, target: str, kernel: Kernel,
 
 
 def gp_covariance_table(model: GPModel, rows: DataFrame, *, key: str, vec: str) -> DataFrame:
-    """Posterior covariance among a bounded set of rows as ``(i, j, cov)``."""
+    """Posterior covariance among a bounded set of rows as ``(i, j, cov)``.
+
+    The (bounded) row set is shipped to the tasks; each task emits the
+    covariance of its own rows against all of them, so the m x m table is
+    produced in parallel, never on the driver.
+    """
     from astrolabe.operators.search import bounded_rows
     bounded_rows(rows, MAX_LANDMARKS, "GP covariance rows")
-    pdf = rows.select(key, vec).toPandas()
-    x = np.vstack(pdf[vec].to_numpy())
-    cov = model.covariance(x, x)
-    ids = pdf[key].to_numpy()
-    i, j = np.meshgrid(ids, ids, indexing="ij")
-    return rows.sparkSession.createDataFrame(
-        pd.DataFrame({"i": i.ravel().astype(np.int64), "j": j.ravel().astype(np.int64), "cov": cov.ravel()}))
+    allp = rows.select(key, vec).toPandas()
+    x_all = np.vstack(allp[vec].to_numpy())
+    ids_all = allp[key].to_numpy().astype(np.int64)
+
+    def kernel(it):
+        for pdf in _split(it, len(ids_all)):
+            if len(pdf) == 0:
+                continue
+            cov = model.covariance(np.vstack(pdf[vec].to_numpy()), x_all)
+            i = np.repeat(pdf[key].to_numpy().astype(np.int64), len(ids_all))
+            yield pd.DataFrame({"i": i, "j": np.tile(ids_all, len(pdf)), "cov": cov.ravel()})
+
+    return rows.select(key, vec).mapInPandas(kernel, "i long, j long, cov double")
 
 
 # ---- L3: Bayesian ridge -------------------------------------------------------------------

@@ -21,9 +21,13 @@ from pyspark.sql import functions as F
 
 from astrolabe.functions import vectors as V
 
-# Anchors / training rows shipped to every task per chunk.  64-300 doubles per
-# row → at most ~480 MB per chunk at d=300; larger sides are split in chunks.
-MAX_CHUNK_ROWS = 200_000
+# Anchors / training rows shipped to every task per chunk (at d=300 about
+# 120 MB); larger sides are split into several chunks, each its own pass.
+MAX_CHUNK_ROWS = 50_000
+# Distance cells materialised at once inside a task (x 8 bytes ≈ 32 MB).
+CELL_BUDGET = 4_000_000
+# Greedy one-to-one assignment resolves Q x Q candidate rows in one group.
+MAX_GREEDY_QUERIES = 2_000
 
 
 def bounded_rows(df: DataFrame, max_rows: int, what: str) -> int:
@@ -44,6 +48,15 @@ def _chunks(df: DataFrame, id_col: str, max_rows: int) -> list[DataFrame]:
     return [df.where(bucket == i) for i in range(n_chunks)]
 
 
+def _split(it: Iterator[pd.DataFrame], other_rows: int) -> Iterator[pd.DataFrame]:
+    """Re-slice Arrow batches so a batch x other-side distance block stays
+    within ``CELL_BUDGET`` cells, whatever the batch size and side size."""
+    step = max(1, CELL_BUDGET // max(1, other_rows))
+    for pdf in it:
+        for s in range(0, len(pdf), step):
+            yield pdf.iloc[s:s + step]
+
+
 def _to_numpy(df: DataFrame, id_col: str, vec_col: str, extra: list[str] = ()):
     pdf = df.select(id_col, vec_col, *extra).toPandas()
     return pdf[id_col].to_numpy(), V.stack(pdf[vec_col]), {c: pdf[c].to_numpy() for c in extra}
@@ -66,7 +79,7 @@ def _close_candidates(candidates: DataFrame, anchors: DataFrame, cand_id: str,
     a_ids, a_mat, _ = _to_numpy(anchors, anchors.columns[0], anchor_vec)
 
     def kernel(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
+        for pdf in _split(it, len(a_mat)):
             if len(pdf) == 0:
                 continue
             d = V.pair_distances(a_mat, V.stack(pdf[vec]), metric)
@@ -122,7 +135,7 @@ def knn_topk(candidates: DataFrame, anchors: DataFrame, k: int, *,
             best_d = np.empty((m, 0))
             best_i = np.empty((m, 0), dtype=np.int64)
             best_p = np.empty((m, 0))
-            for pdf in it:
+            for pdf in _split(it, m):
                 if len(pdf) == 0 or m == 0:
                     continue
                 ids = pdf["__cid"].to_numpy().astype(np.int64)
@@ -173,7 +186,7 @@ def knn_neighbours(queries: DataFrame, train: DataFrame, k: int, *, query_id: st
 
         def kernel(it, t_ids=t_ids, t_mat=t_mat, t_y=t_y):
             kk = min(k, len(t_ids))
-            for pdf in it:
+            for pdf in _split(it, len(t_ids)):
                 if len(pdf) == 0 or kk == 0:
                     continue
                 q = pdf["__qid"].to_numpy().astype(np.int64)
@@ -255,7 +268,7 @@ def pair_distances(candidates: DataFrame, anchors: DataFrame, *, cand_id: str =
         a_ids = a_ids.astype(np.int64)
 
         def kernel(it, a_ids=a_ids, a_mat=a_mat):
-            for pdf in it:
+            for pdf in _split(it, len(a_ids)):
                 if len(pdf) == 0:
                     continue
                 ids = pdf[cand_id].to_numpy().astype(np.int64)
@@ -295,7 +308,7 @@ def greedy_assignment(candidates: DataFrame, queries: DataFrame, *, cand_id: str
     query picks, so only each query's Q nearest candidates can matter.  Spark
     computes those (J3), then one grouped pandas step resolves the Q x Q rows.
     """
-    q = bounded_rows(queries, MAX_CHUNK_ROWS, "greedy_assignment queries")
+    q = bounded_rows(queries, MAX_GREEDY_QUERIES, "greedy_assignment queries")
     order_col = query_order or query_id
     qsel = queries.select(F.col(query_id).alias("anchor_id"), F.col(query_vec).alias("__qv"),
                           F.col(order_col).alias("__ord"))

@@ -199,3 +199,13 @@ def test_sum_pool_unknown_tokens_add_zero(spark):
     vocab = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [0.5, 0.5])], "token string, tvec array<double>")
     got = {r.d: r.vec for r in X.sum_pool(toks, vocab, "d", "token", "tvec", 2).collect()}
     assert got == {1: [2.5, 4.5], 2: [0.0, 0.0]}
+
+
+def test_split_respects_cell_budget():
+    import pandas as pd
+    from astrolabe.operators.search import CELL_BUDGET, _split
+    frames = [pd.DataFrame({"x": range(10)}), pd.DataFrame({"x": range(10, 13)})]
+    other = CELL_BUDGET // 4  # → at most 4 rows per slice
+    parts = list(_split(iter(frames), other))
+    assert all(len(p) <= 4 for p in parts)
+    assert pd.concat(parts)["x"].tolist() == list(range(13))
