@@ -580,3 +580,12 @@ def q_set_intersection(spark, sf):
     d = T(spark, sf, "documents").select(F.md5("text").alias("text_md5"))
     c = T(spark, sf, "conversations").select(F.md5("text").alias("text_md5"))
     return d.intersect(c)
+
+
+@register("drop_zero_vectors", """
+SELECT vec_id FROM embeddings WHERE list_sum(CAST(embedding AS DOUBLE[])) <> 0
+""")
+def q_drop_zero_vectors(spark, sf):
+    """P16 (second half): vectors whose components sum to zero are dropped."""
+    v = tables.vectors(spark, sf)
+    return v.where(V.vsum("vec") != 0).select("vec_id")
