@@ -38,12 +38,18 @@ def bounded_rows(df: DataFrame, max_rows: int, what: str) -> int:
     return n
 
 
-def _chunks(df: DataFrame, id_col: str, max_rows: int) -> list[DataFrame]:
-    """Split a side into hash chunks of at most ~max_rows rows each."""
+def _chunks(df: DataFrame, id_col: str, max_rows: int) -> list:
+    """The small side, ready to ship to the tasks.
+
+    One job collects at most ``max_rows + 1`` rows; if the side fits, that
+    pandas frame is the single chunk.  Otherwise the side is split into hash
+    chunks of about ``max_rows`` rows, each collected only when its pass runs.
+    """
+    first = df.limit(max_rows + 1).toPandas()
+    if len(first) <= max_rows:
+        return [first]
     n = df.count()
-    n_chunks = max(1, -(-n // max_rows))
-    if n_chunks == 1:
-        return [df]
+    n_chunks = max(2, -(-n // max_rows))
     bucket = F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_chunks))
     return [df.where(bucket == i) for i in range(n_chunks)]
 
@@ -57,8 +63,10 @@ def _split(it: Iterator[pd.DataFrame], other_rows: int) -> Iterator[pd.DataFrame
             yield pdf.iloc[s:s + step]
 
 
-def _to_numpy(df: DataFrame, id_col: str, vec_col: str, extra: list[str] = ()):
-    pdf = df.select(id_col, vec_col, *extra).toPandas()
+def _to_numpy(side, id_col: str, vec_col: str, extra: list[str] = ()):
+    """(ids, matrix, extras) of a chunk: a collected pandas frame or a DataFrame to collect."""
+    cols = [id_col, vec_col, *extra]
+    pdf = side[cols] if isinstance(side, pd.DataFrame) else side.select(*cols).toPandas()
     return pdf[id_col].to_numpy(), V.stack(pdf[vec_col]), {c: pdf[c].to_numpy() for c in extra}
 
 
@@ -76,7 +84,7 @@ def _topk_rows(d: np.ndarray, ids: np.ndarray, k: int):
 def _close_candidates(candidates: DataFrame, anchors: DataFrame, cand_id: str,
                       anchor_vec: str, vec: str, metric: str, within: float) -> DataFrame:
     """Candidate ids within ``within`` of at least one anchor (J5 helper)."""
-    a_ids, a_mat, _ = _to_numpy(anchors, anchors.columns[0], anchor_vec)
+    a_ids, a_mat, _ = _to_numpy(anchors, list(anchors.columns)[0], anchor_vec)
 
     def kernel(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _split(it, len(a_mat)):
