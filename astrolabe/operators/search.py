@@ -339,23 +339,43 @@ def greedy_assignment(candidates: DataFrame, queries: DataFrame, *, cand_id: str
             .applyInPandas(resolve, "anchor_id long, entry long, distance double, step long"))
 
 
+def _pair_percentiles(pairs: DataFrame, col: str, probs: list[float], names: list[str],
+                      exact: bool, accuracy: int) -> DataFrame:
+    """Percentiles over all pair distances: exact (one distributed sort) or, for
+    pair counts too large to sort, Spark's mergeable quantile summaries."""
+    from astrolabe.operators import stats
+    if exact:
+        return stats.exact_percentiles(pairs, col, probs, names)
+    q = pairs.agg(F.percentile_approx(col, probs, accuracy).alias("__q"))
+    return q.select(*[F.col("__q")[i].alias(n) for i, n in enumerate(names)])
+
+
 def distance_profile(pairs: DataFrame, probs: list[float], names: list[str],
-                     col: str = "distance", digits: int = 6) -> DataFrame:
-    """Min / max / mean / population std and exact percentiles over all pairs."""
+                     col: str = "distance", digits: int = 6, exact: bool = True,
+                     accuracy: int = 100_000) -> DataFrame:
+    """Min / max / mean / population std and percentiles over all pairs.
+
+    The moments are partial aggregates: pair rows stream from the distance
+    kernel into the map-side aggregate of the same stage, never shuffled.
+    """
     from astrolabe.operators import stats
     basic = pairs.agg(F.min(col).alias("d_min"), F.max(col).alias("d_max"), F.avg(col).alias("d_mean"),
                       F.stddev_pop(col).alias("d_std"))
-    pct = stats.exact_percentiles(pairs, col, probs, names)
+    pct = _pair_percentiles(pairs, col, probs, names, exact, accuracy)
     out = stats.with_scalars(basic, pct)
     return out.select(*[F.round(c, digits).alias(c) for c in out.columns])
 
 
 def distant_flag(pairs: DataFrame, upper_percentile: float, const: float,
-                 col: str = "distance") -> DataFrame:
+                 col: str = "distance", exact: bool = True, accuracy: int = 100_000) -> DataFrame:
     """Per candidate mean distance to all anchors; flag above the global
-    percentile of all pair distances, and above a constant."""
+    percentile of all pair distances, and above a constant.
+
+    A candidate's pairs are all produced in the task that holds the candidate,
+    so the partial aggregate leaves one row per candidate before the shuffle.
+    """
     from astrolabe.operators import stats
-    upper = stats.exact_percentiles(pairs, col, [upper_percentile], ["upper"])
+    upper = _pair_percentiles(pairs, col, [upper_percentile], ["upper"], exact, accuracy)
     m = pairs.groupBy("entry").agg(F.avg(col).alias("mean_d"))
     return stats.with_scalars(m, upper).select(
         "entry", F.round("mean_d", 6).alias("mean_d"), (F.col("mean_d") > F.col("upper")).alias("above_pct"),

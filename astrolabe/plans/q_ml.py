@@ -399,19 +399,27 @@ def q_data_importance(spark, sf):
 
 # ---- L22-L24, L26 ----------------------------------------------------------------------------
 
-@register("cv_unpivot", _SETTINGS_SQL.replace("SELECT range AS setting_id", "WITH s AS (SELECT range AS setting_id", 1)
-          + """),
-w AS (SELECT setting_id, CAST(round(alpha, 6) AS VARCHAR) AS alpha, CAST(icpt AS VARCHAR) AS fit_intercept FROM s),
-l AS (UNPIVOT w ON alpha, fit_intercept INTO NAME param VALUE value)
+_RANDOM_SEARCH_SELECT = """
+SELECT setting_id, round(alpha, 6) AS alpha, icpt AS fit_intercept, round(avg(test_mse), 6) AS mean_score,
+       round(stddev_pop(test_mse), 6) AS std_score,
+       CAST(rank() OVER (ORDER BY avg(test_mse)) AS INTEGER) AS rank
+FROM e GROUP BY setting_id, alpha, icpt
+"""
+
+
+@register("cv_unpivot", _cv_sql("", settings=_SETTINGS_SQL) + """,
+res AS (""" + _RANDOM_SEARCH_SELECT + """),
+wide AS (SELECT setting_id, CAST(alpha AS VARCHAR) AS alpha, CAST(fit_intercept AS VARCHAR) AS fit_intercept FROM res),
+l AS (UNPIVOT wide ON alpha, fit_intercept INTO NAME param VALUE value)
 SELECT setting_id, param, CAST(dense_rank() OVER (PARTITION BY param ORDER BY value) AS INTEGER) AS code FROM l
 """)
 def q_cv_unpivot(spark, sf):
-    """Wide settings → long (param, value) → ordinal code per parameter."""
-    s = _settings(spark, N_SETTINGS).select(
-        "setting_id", F.round("alpha", 6).cast("string").alias("alpha"),
-        F.col("icpt").cast("string").alias("fit_intercept"))
-    s = s.withColumn("fit_intercept", F.lower("fit_intercept"))
-    return gram.unpivot_codes(s, "setting_id", ["alpha", "fit_intercept"])
+    """The wide CV results table (one row per setting, scored on lineitem folds)
+    → long (param, value) → ordinal code per parameter."""
+    res = q_random_search(spark, sf)
+    w = res.select("setting_id", F.col("alpha").cast("string").alias("alpha"),
+                   F.lower(F.col("fit_intercept").cast("string")).alias("fit_intercept"))
+    return gram.unpivot_codes(w, "setting_id", ["alpha", "fit_intercept"])
 
 
 @register("negative_augment", """
