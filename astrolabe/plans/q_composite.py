@@ -19,43 +19,49 @@ def T(spark, sf, name):
     return tables.load(spark, sf, name)
 
 
-_FIRST_TOKEN = r"^[^ \t\r\n\f]+"
 _V = "v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS vec, label FROM embeddings)"
 _A = "a AS (SELECT vec_id AS anchor_id, vec AS avec FROM v WHERE vec_id < 20)"
 _TOPK = """t AS (SELECT * FROM (SELECT a.anchor_id, v.vec_id AS entry, list_distance(a.avec, v.vec) AS distance,
                        row_number() OVER (PARTITION BY a.anchor_id ORDER BY list_distance(a.avec, v.vec), v.vec_id) AS rank
                 FROM a, v) WHERE rank <= {k})"""
 
-# Substrings a recommendation may not contain (P6 stand-in for the excluded-element list).
-BATCH_NEEDLES = ["q", "z", "x"]
+# Content filters applied to a recommendation's whole text: substrings it may not
+# contain (P6), a forbidden character (P8) and a single-letter test.
+BATCH_NEEDLES = ["ß", "ñ", "@"]
+FORBIDDEN_CHAR = "$"
+
+
+def _content_ok(text):
+    return (~C.contains_any(text, BATCH_NEEDLES) & ~F.contains(text, F.lit(FORBIDDEN_CHAR))
+            & ~C.only_letter(text, "e"))
+
+
+_CONTENT_SQL = """NOT (contains(text, 'ß') OR contains(text, 'ñ') OR contains(text, '@'))
+  AND NOT contains(text, '$')
+  AND NOT (len(list_distinct(list_filter(string_split(text, ''), lambda x: regexp_matches(x, '^[A-Za-z]$')))) = 1
+           AND list_distinct(list_filter(string_split(text, ''), lambda x: regexp_matches(x, '^[A-Za-z]$')))[1] = 'e')"""
 
 
 def recommend_batch_rows(spark, sf):
     """R2 up to scoring: top-100 per inventory item → drop self → first occurrence per
-    entry (anchor order, then rank) → content filters on the entry's text."""
+    entry (anchor order, then rank) → content filters on the entry's whole text."""
     v = tables.vectors(spark, sf)
     anchors = v.where("vec_id < 20").withColumnRenamed("vec_id", "anchor_id")
     top = search.knn_topk(v, anchors, 100).where(F.col("entry") != F.col("anchor_id"))
     first = C.dedupe_first(top, "entry", ["anchor_id", "rank"])
-    docs = T(spark, sf, "documents").select(F.col("doc_id").alias("entry"),
-                                            F.regexp_extract("text", _FIRST_TOKEN, 0).alias("recommendation"))
-    j = first.join(docs, "entry")
-    rec = F.col("recommendation")
-    keep = ~C.contains_any(rec, BATCH_NEEDLES) & ~F.contains(rec, F.lit(".")) & ~C.only_letter(rec, "e")
-    return j.where(keep).select("entry", F.col("anchor_id").alias("anchor"),
-                                F.round("distance", 6).alias("distance"), "recommendation")
+    docs = T(spark, sf, "documents").select(F.col("doc_id").alias("entry"), "text", "n_chars")
+    j = first.join(docs, "entry").where(_content_ok(F.col("text")))
+    return j.select("entry", F.col("anchor_id").alias("anchor"), F.round("distance", 6).alias("distance"),
+                    "n_chars")
 
 
 @register("recommend_batch", f"""
 WITH {_V}, {_A}, {_TOPK.format(k=100)},
 f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entry ORDER BY anchor_id, rank) AS rn
-                     FROM t WHERE entry <> anchor_id) WHERE rn = 1),
-d AS (SELECT doc_id AS entry, regexp_extract(text, '{_FIRST_TOKEN}') AS recommendation FROM documents),
-j AS (SELECT f.entry, f.anchor_id, f.distance, d.recommendation FROM f JOIN d USING (entry)),
-l AS (SELECT *, list_distinct(list_filter(string_split(recommendation, ''), lambda x: regexp_matches(x, '^[A-Za-z]$'))) AS ls FROM j)
-SELECT entry, anchor_id AS anchor, round(distance, 6) AS distance, recommendation FROM l
-WHERE NOT (contains(recommendation, 'q') OR contains(recommendation, 'z') OR contains(recommendation, 'x'))
-  AND NOT contains(recommendation, '.') AND NOT (len(ls) = 1 AND ls[1] = 'e')
+                     FROM t WHERE entry <> anchor_id) WHERE rn = 1)
+SELECT f.entry, f.anchor_id AS anchor, round(f.distance, 6) AS distance, d.n_chars
+FROM f JOIN documents d ON d.doc_id = f.entry
+WHERE {_CONTENT_SQL.replace('text', 'd.text')}
 """)
 def q_recommend_batch(spark, sf):
     return recommend_batch_rows(spark, sf)
@@ -63,25 +69,25 @@ def q_recommend_batch(spark, sf):
 
 @register("target_list", f"""
 WITH {_V}, {_A}, {_TOPK.format(k=50)},
-u AS (SELECT DISTINCT entry FROM t),
-d AS (SELECT doc_id AS entry, n_chars, regexp_extract(text, '{_FIRST_TOKEN}') AS tok FROM documents)
-SELECT u.entry, d.tok FROM u JOIN d USING (entry)
-WHERE d.n_chars > 200 AND length(d.tok) < 12
-  AND NOT (contains(d.tok, 'q') OR contains(d.tok, 'z') OR contains(d.tok, 'x'))
-  AND u.entry NOT IN (SELECT anchor_id FROM a) AND length(d.tok) > 3
+u AS (SELECT DISTINCT entry FROM t)
+SELECT u.entry, d.n_chars FROM u JOIN documents d ON d.doc_id = u.entry
+WHERE d.n_chars > 200 AND len(regexp_extract_all(d.text, '[0-9]')) * 100 < length(d.text)
+  AND NOT (contains(d.text, 'ß') OR contains(d.text, 'ñ') OR contains(d.text, '@'))
+  AND u.entry NOT IN (SELECT anchor_id FROM a) AND length(d.text) > 3
 """)
 def q_target_list(spark, sf):
-    """Union of every anchor's top 50 → distinct → descriptor filters → substring
-    exclusion → not in the inventory → length > 3."""
+    """Union of every anchor's top 50 → distinct → numeric descriptors (more than
+    200 characters, under 1 % digits) → substring exclusion → not in the inventory →
+    length > 3."""
     v = tables.vectors(spark, sf)
     anchors = v.where("vec_id < 20").withColumnRenamed("vec_id", "anchor_id")
     u = search.knn_topk(v, anchors, 50).select("entry").distinct()
-    docs = T(spark, sf, "documents").select(F.col("doc_id").alias("entry"), "n_chars",
-                                            F.regexp_extract("text", _FIRST_TOKEN, 0).alias("tok"))
-    j = u.join(docs, "entry").where((F.col("n_chars") > 200) & (F.length("tok") < 12))
-    j = C.exclude_substrings(j, "tok", BATCH_NEEDLES)
+    docs = T(spark, sf, "documents").select(F.col("doc_id").alias("entry"), "n_chars", "text")
+    j = u.join(docs, "entry").where(
+        (F.col("n_chars") > 200) & (F.regexp_count("text", F.lit("[0-9]")) * 100 < F.length("text")))
+    j = C.exclude_substrings(j, "text", BATCH_NEEDLES)
     j = j.join(F.broadcast(anchors.select(F.col("anchor_id").alias("entry"))), "entry", "left_anti")
-    return j.where(F.length("tok") > 3).select("entry", "tok")
+    return j.where(F.length("text") > 3).select("entry", "n_chars")
 
 
 # Element symbols excluded from the pool (same list as the P5 query).

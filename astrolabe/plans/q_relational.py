@@ -85,17 +85,17 @@ def q_exclude_substrings(spark, sf):
 
 
 @register("letter_set_filter", """
-WITH t AS (SELECT doc_id, string_split(split_part(text, ' ', 1), '') AS ch FROM documents),
-l AS (SELECT doc_id, list_distinct(list_filter(ch, lambda x: regexp_matches(x, '^[A-Za-z]$'))) AS s FROM t)
-SELECT doc_id, CAST(len(s) AS INTEGER) AS n_letters,
-       (len(s) = 1 AND s[1] = 'H') AS only_h
-FROM l WHERE len(s) <= 3
+WITH l AS (SELECT doc_id, list_distinct(list_filter(string_split(text, ''), lambda x: regexp_matches(x, '^[A-Za-z]$'))) AS s
+           FROM documents)
+SELECT doc_id, CAST(len(s) AS INTEGER) AS n_letters, (len(s) = 1 AND s[1] = 'H') AS only_h,
+       (len(s) = 1 AND s[1] = 'C') AS only_c
+FROM l
 """)
 def q_letter_set_filter(spark, sf):
-    d = T(spark, sf, "documents").withColumn("w", F.get(F.split("text", " "), 0))
-    s = C.letter_set("w")
-    return (d.select("doc_id", F.size(s).alias("n_letters"), C.only_letter("w", "H").alias("only_h"))
-            .where(F.col("n_letters") <= 3))
+    """P7 over whole texts: size of the distinct-letter set and the "only H" / "only C" tests."""
+    d = T(spark, sf, "documents")
+    return d.select("doc_id", F.size(C.letter_set("text")).alias("n_letters"),
+                    C.only_letter("text", "H").alias("only_h"), C.only_letter("text", "C").alias("only_c"))
 
 
 @register("exclude_char", "SELECT doc_id FROM documents WHERE NOT contains(text, '.')")

@@ -27,21 +27,22 @@ def q_csv_scan(spark, sf):
     return io.read_csv_column(spark, path, PART_SCHEMA, "p_name")
 
 
-_FIRST = r"regexp_extract(text, '^[^ \t\r\n\f]+')"
+_KEY_SQL = r"nullif(lower(trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g'))), '')"
 
 
 @register("multi_file_scan", f"""
-SELECT {_FIRST} AS smiles FROM documents WHERE {_FIRST} <> ''
+SELECT md5({_KEY_SQL}) AS smiles_md5 FROM documents WHERE {_KEY_SQL} IS NOT NULL
 """)
 def q_multi_file_scan(spark, sf):
-    d = T(spark, sf, "documents").select(
-        F.regexp_extract("text", r"^[^ \t\r\n\f]+", 0).alias("smiles"), "doc_id", "lang")
-    d = d.where(F.col("smiles") != "")
+    """A tree of files (one directory per language, several files each, each
+    file starting with its own header line); read back recursively, skipping the
+    first line of every file and keeping the first field (the whole normalised text)."""
+    d = T(spark, sf, "documents").select(S.normalise_key("text").alias("smiles"), "doc_id", "lang")
+    d = d.where(F.col("smiles").isNotNull())
     path = scratch_path(spark, "pool-files")
-    # one directory per language, several files each, every file with its own header line
-    (d.select("smiles", "doc_id", "lang").write.mode("overwrite").partitionBy("lang")
+    (d.write.mode("overwrite").partitionBy("lang")
      .option("header", True).option("sep", " ").option("escape", '"').csv(path))
-    return io.read_first_field(spark, path, " ").select("smiles")
+    return io.read_first_field(spark, path, " ").select(F.md5("smiles").alias("smiles_md5"))
 
 
 @register("token_file_scan", r"""
@@ -55,17 +56,19 @@ def q_token_file_scan(spark, sf):
     return toks.agg(F.count(F.lit(1)).alias("n_tokens"), F.countDistinct("token").alias("n_distinct"))
 
 
-@register("capped_valid_scan", """
-SELECT DISTINCT value FROM (
-  SELECT doc_id, lower(regexp_extract(text, '^[A-Za-z]+')) AS value FROM documents
-  WHERE regexp_matches(lower(regexp_extract(text, '^[A-Za-z]+')), '^[a-z]{3,}$') ORDER BY doc_id LIMIT 300)
+@register("capped_valid_scan", f"""
+SELECT DISTINCT md5(value) AS value_md5 FROM (
+  SELECT doc_id, {_KEY_SQL} AS value FROM documents
+  WHERE regexp_matches({_KEY_SQL}, '^[a-z]{{3}}') ORDER BY doc_id LIMIT 300)
 """)
 def q_capped_valid_scan(spark, sf):
+    """``id<TAB>value`` file; the first 300 *valid* rows in id order (the cap is
+    the feature), distinct values."""
     path = scratch_path(spark, "id-value")
-    d = T(spark, sf, "documents").select(
-        "doc_id", F.lower(F.regexp_extract("text", r"^[A-Za-z]+", 0)).alias("value"))
+    d = T(spark, sf, "documents").select("doc_id", S.normalise_key("text").alias("value"))
     d.write.mode("overwrite").option("sep", "\t").option("escape", '"').csv(path)
-    return io.read_capped_valid(spark, path, 300, r"^[a-z]{3,}$", id_col="doc_id")
+    out = io.read_capped_valid(spark, path, 300, r"^[a-z]{3}", id_col="doc_id")
+    return out.select(F.md5("value").alias("value_md5"))
 
 
 @register("series_scan", """
