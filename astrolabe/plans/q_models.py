@@ -205,3 +205,25 @@ def q_hyperparam_importance(spark, sf):
                           F.col("mean_score").alias("y"))
     m = MD.fit_forest(feats, "vec", "y", n_trees=10, max_depth=3)
     return MD.importances(m, spark)
+
+
+@register("tree_grid_search")
+def q_tree_grid_search(spark, sf):
+    """L10 for trees: ``CrossValidator`` over a depth grid with the same hash folds as
+    the linear grid search (``foldCol``), fits run in parallel."""
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.regression import RandomForestRegressor
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+    from astrolabe.operators.resample import fold_of
+    v = tables.vectors(spark, sf)
+    data = v.select(array_to_vector("vec").alias("features"), F.col("label").cast("double").alias("y"),
+                    fold_of(F.col("vec_id"), 5).cast("int").alias("fold"))
+    rf = RandomForestRegressor(featuresCol="features", labelCol="y", numTrees=10, seed=42)
+    grid = ParamGridBuilder().addGrid(rf.maxDepth, [2, 4]).addGrid(rf.numTrees, [5, 10]).build()
+    cv = CrossValidator(estimator=rf, estimatorParamMaps=grid, foldCol="fold", numFolds=5, parallelism=4,
+                        evaluator=RegressionEvaluator(labelCol="y", metricName="mse"))
+    model = cv.fit(data)
+    rows = [(int(pm[rf.maxDepth]), int(pm[rf.numTrees]), float(m))
+            for pm, m in zip(grid, model.avgMetrics)]
+    return spark.createDataFrame(rows, "max_depth int, num_trees int, mean_mse double")
