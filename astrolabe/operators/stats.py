@@ -132,18 +132,21 @@ def _local_positions(df: DataFrame, order: list, method: str, value_cols: list[s
             n = len(pdf)
             if n == 0:
                 continue
-            pos = pd.RangeIndex(base, base + n).to_numpy()
+            pos = np.arange(base, base + n, dtype=np.int64)
             if method == "row_number":
                 local = pos
-            else:  # competition rank within the partition: first position of the key
-                keys = list(zip(*[pdf[c] for c in value_cols]))
-                local = pos.copy()
-                for i, k in enumerate(keys):
-                    if k == prev_key:
-                        local[i] = prev_rank
-                    else:
-                        prev_key, prev_rank = k, pos[i]
-                        local[i] = pos[i]
+            else:  # competition rank within the partition: first position of each key run
+                keys = pdf[value_cols].reset_index(drop=True)
+                new_run = keys.ne(keys.shift()).any(axis=1).to_numpy()
+                first = tuple(keys.iloc[0])
+                new_run[0] = prev_key is None or first != prev_key
+                run_id = np.cumsum(new_run) - 1
+                starts = pos[new_run]
+                if not new_run[0]:  # the first run continues the previous batch's run
+                    starts = np.concatenate([[prev_rank], starts])
+                    run_id = run_id + 1
+                local = starts[run_id]
+                prev_key, prev_rank = tuple(keys.iloc[-1]), int(local[-1])
             out = pdf[cols].copy()
             out["__pid"] = pid
             out["__local"] = local

@@ -3,7 +3,6 @@ and table-scale reduction / clustering (M2-M13)."""
 
 from __future__ import annotations
 
-import math
 
 import numpy as np
 import pandas as pd

@@ -4,7 +4,6 @@ L22 importances, L27, S15, R3, R5, J9 composites."""
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 

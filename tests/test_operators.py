@@ -209,3 +209,16 @@ def test_split_respects_cell_budget():
     parts = list(_split(iter(frames), other))
     assert all(len(p) <= 4 for p in parts)
     assert pd.concat(parts)["x"].tolist() == list(range(13))
+
+
+def test_global_rank_ties_across_arrow_batches(spark):
+    vals = [7, 7, 7, 5, 5, 3, 3, 3, 3, 1, 9, 9]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "k long, v long")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        rk = stats.global_position(df, [F.desc("v")], "r", method="rank", value_cols=["v"], n_parts=2)
+        got = {r.k: r.r for r in rk.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert got == {i: 1 + sum(1 for w in vals if w > v) for i, v in enumerate(vals)}
