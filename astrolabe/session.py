@@ -43,6 +43,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -73,3 +74,38 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``astrolabe`` importable in the Python workers (once per application).
+
+    Kernels run inside ``mapInPandas`` / ``applyInPandas`` on the executors,
+    which import this package by name; the driver zips its ``.py`` files and
+    registers the archive with ``addPyFile`` (``addArtifacts`` on Spark
+    Connect), the programmatic form of ``--py-files``.
+    """
+    import zipfile
+
+    try:
+        key = spark.sparkContext.applicationId
+    except Exception:
+        key = f"connect-{id(spark)}"
+    if key in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    out = os.path.join(tempfile.mkdtemp(prefix="astrolabe-pyfiles-"), "astrolabe.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as zf:
+        for dirpath, _, files in os.walk(pkg_dir):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(dirpath, name)
+                    zf.write(full, os.path.relpath(full, root))
+    try:
+        spark.sparkContext.addPyFile(out)
+    except Exception:
+        spark.addArtifacts(out, pyfile=True)
+    _SHIPPED.add(key)
