@@ -12,7 +12,7 @@ SF_SMALL = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     from pyspark.sql import SparkSession
-    from astrolabe.session import ensure_checkpoint_dir
+    from astrolabe.session import ensure_checkpoint_dir, ship_package
     s = (SparkSession.builder.master("local[4]")
          .config("spark.sql.shuffle.partitions", "8")
          .config("spark.ui.enabled", "false")
@@ -24,4 +24,5 @@ def spark():
     if not s.conf.get("spark.checkpoint.dir", None):
         s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="astrolabe-test-ckpt-"))
     ensure_checkpoint_dir(s)
+    ship_package(s)
     yield s
