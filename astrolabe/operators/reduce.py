@@ -35,8 +35,9 @@ def moments(df: DataFrame, vec: str) -> DataFrame:
 
 def standardise(df: DataFrame, vec: str, out: str = "z") -> DataFrame:
     """M5: (x - mean) / population std per dimension; zero std → scale 1."""
+    from astrolabe.operators.stats import with_scalars
     m = moments(df, vec).select("mean", "std")
-    j = df.crossJoin(F.broadcast(m))  # one-row statistics
+    j = with_scalars(df, m)  # one-row statistics as literals
     z = F.zip_with(F.zip_with(vec, "mean", lambda x, mu: x - mu), "std",
                    lambda c, s: c / F.when(s == 0, F.lit(1.0)).otherwise(s))
     return j.withColumn(out, z).drop("mean", "std")

@@ -244,6 +244,7 @@ def cluster_semi_join(candidates: DataFrame, anchors: DataFrame, cluster_col: st
     the cluster column, dynamic partition pruning skips whole directories.
     """
     keys = anchors.select(F.col(anchor_cluster_col or cluster_col).alias(cluster_col)).distinct()
+    bounded_rows(keys, MAX_CHUNK_ROWS, "anchor cluster ids")  # proven bound before broadcasting
     return candidates.join(F.broadcast(keys), cluster_col, "left_semi")
 
 

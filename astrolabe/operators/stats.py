@@ -97,11 +97,18 @@ def exact_percentiles(df: DataFrame, col: str, probs: list[float],
 
 
 def with_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
-    """Attach a one-row scalar DataFrame (global aggregate) to every row.
+    """Attach the values of a one-row DataFrame (a global aggregate, a keyed
+    lookup) to every row as typed literals.
 
-    The right side is exactly one row by construction, so it is broadcast.
+    The row is fetched once (at most two rows are read, to prove there is
+    exactly one); the result plan has no join at all.
     """
-    return df.crossJoin(F.broadcast(scalars))
+    rows = scalars.limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError(f"with_scalars expects exactly one row, got {len(rows)}")
+    row = rows[0]
+    lits = [F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in scalars.schema.fields]
+    return df.select("*", *lits)
 
 
 # --------------------------------------------------------------------------

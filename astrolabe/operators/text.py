@@ -27,21 +27,30 @@ def list_fingerprint(df: DataFrame, group: str | None, key: str, value: str,
                      block: int = 1000) -> DataFrame:
     """Order-preserving MD5 fingerprint of the newline-joined ``value`` list.
 
-    A Merkle form keeps every group bounded: level 1 hashes the values of each
-    run of ``block`` consecutive keys; the fingerprint is the MD5 of the
-    newline-joined level-1 digests in key order.  (A hot group is split into
-    key blocks, never collected whole into one task.)
+    Merkle form, so no group is ever collected whole: level 1 hashes the
+    values of each run of ``block`` consecutive keys; each further level hashes
+    ``block`` consecutive digests of the level below, until a group has at most
+    ``block`` digests; the fingerprint is the MD5 of those, newline-joined in
+    key order.  (Two levels for up to ``block²`` keys per group.)
     """
     g = [group] if group else []
-    blk = F.floor(_c(key) / F.lit(block)).alias("blk")
-    lvl1 = df.groupBy(*g, blk).agg(
-        F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(_c(key).alias("k"),
-                                                                              _c(value).alias("v")))),
-                                       lambda r: r["v"]), "\n")).alias("d"))
-    return lvl1.groupBy(*g).agg(
-        F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("blk", "d"))),
-                                       lambda r: r["d"]), "\n")).alias("fingerprint"),
-        F.count(F.lit(1)).alias("n_blocks"))
+
+    def digest(col_order, col_value):
+        return F.md5(F.array_join(F.transform(
+            F.array_sort(F.collect_list(F.struct(F.col(col_order).alias("o"), F.col(col_value).alias("v")))),
+            lambda r: r["v"]), "\n"))
+
+    lvl = df.select(*g, F.col(key).alias("__k"), F.col(value).alias("__v"),
+                    F.floor(F.col(key) / F.lit(block)).alias("blk"))
+    lvl = lvl.groupBy(*g, "blk").agg(digest("__k", "__v").alias("d"))
+    while True:
+        widest = lvl.groupBy(*g).count().agg(F.max("count")).collect()[0][0] or 0  # one scalar
+        if widest <= block:
+            break
+        lvl = (lvl.withColumn("__up", F.floor(F.col("blk") / F.lit(block)))
+               .groupBy(*g, F.col("__up").alias("blk_up")).agg(digest("blk", "d").alias("d"))
+               .withColumnRenamed("blk_up", "blk"))
+    return lvl.groupBy(*g).agg(digest("blk", "d").alias("fingerprint"), F.count(F.lit(1)).alias("n_blocks"))
 
 
 def formula_mass(formula, masses: dict) -> Column:

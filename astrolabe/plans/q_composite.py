@@ -269,7 +269,7 @@ def q_curation_funnel(spark, sf):
     keys = (base.where(F.col("h").isNotNull()).groupBy("h", "l")
             .agg(F.min_by("excluded", "doc_id").alias("ex"))
             .agg(F.count(F.lit(1)).alias("n2"), F.count_if(~F.col("ex")).alias("n3")))
-    c = rows.crossJoin(keys)  # one row x one row
+    c = stats.with_scalars(rows, keys)
     steps = ["pooled", "non-empty key", "first per key", "element exclusion"]
     return c.select(F.explode(F.array(*[F.struct(F.lit(i).alias("step_no"), F.lit(s).alias("step"),
                                                  F.col(f"n{i}").alias("n_rows"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from astrolabe import tables
 from astrolabe.functions import vectors as V
 from astrolabe.operators import models as MD
-from astrolabe.operators import reduce, search
+from astrolabe.operators import reduce, search, stats
 from astrolabe.operators import text as X
 from astrolabe.plans.registry import register
 from astrolabe.session import scratch_path
@@ -171,13 +171,13 @@ def q_demo_set(spark, sf):
     v = tables.vectors(spark, sf)
     a = v.where("vec_id = 0").select(F.col("vec").alias("va"))
     b = v.where("vec_id = 1").select(F.col("vec").alias("vb"))
-    pts = (a.crossJoin(b)  # one row x one row
-           .select(F.explode(F.sequence(F.lit(0), F.lit(7))).alias("step"), "va", "vb")
+    ends = stats.with_scalars(a, b)  # both ends in one row
+    pts = (ends.select(F.explode(F.sequence(F.lit(0), F.lit(7))).alias("step"), "va", "vb")
            .select(F.col("step").cast("long").alias("anchor_id"), V.lerp("va", "vb", F.col("step") / 7.0).alias("vec")))
     assigned = search.greedy_assignment(v, pts)
     rows = v.join(assigned.select(F.col("entry").alias("vec_id"), "anchor_id"), "vec_id")
     start = v.where("vec_id = 0").select(F.col("vec").alias("v0"))
-    rows = rows.crossJoin(start).withColumn("distance", V.euclidean("vec", "v0")).drop("v0")
+    rows = stats.with_scalars(rows, start).withColumn("distance", V.euclidean("vec", "v0")).drop("v0")
     gp = MD.fit_gp(_inventory(v), key="vec_id", vec="vec", target="label", kernel=GP_KERNEL)
     scored = gp.predict(rows, "vec")
     return scored.select("anchor_id", "vec_id", "distance", "gp_mean", "gp_std",

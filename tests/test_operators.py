@@ -222,3 +222,18 @@ def test_global_rank_ties_across_arrow_batches(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
     assert got == {i: 1 + sum(1 for w in vals if w > v) for i, v in enumerate(vals)}
+
+
+def test_list_fingerprint_recurses_when_wide(spark):
+    import hashlib
+
+    def md5(xs):
+        return hashlib.md5("\n".join(xs).encode()).hexdigest()
+    rows = [(k, f"n{k}") for k in range(9)]
+    df = spark.createDataFrame(rows, "k long, v string")
+    got = X.list_fingerprint(df, None, "k", "v", block=2).collect()[0]
+    lvl1 = {b: md5([v for k, v in rows if k // 2 == b]) for b in range(5)}          # 5 blocks > 2
+    lvl2 = {b: md5([lvl1[x] for x in sorted(lvl1) if x // 2 == b]) for b in range(3)}  # 3 > 2
+    lvl3 = {b: md5([lvl2[x] for x in sorted(lvl2) if x // 2 == b]) for b in range(2)}  # 2 <= 2
+    assert got["fingerprint"] == md5([lvl3[b] for b in sorted(lvl3)])
+    assert got["n_blocks"] == 2
