@@ -171,11 +171,43 @@ def knn_topk(candidates: DataFrame, anchors: DataFrame, k: int, *,
         part = cands.mapInPandas(kernel, out_schema)
         partials = part if partials is None else partials.unionByName(part)
 
+    partials = _tree_topk(partials, k, "anchor_id", ["distance", "entry"])
     w = Window.partitionBy("anchor_id").orderBy("distance", "entry")
     out = partials.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return out if with_pred else out.drop("prediction")
 
 
+def _tree_topk(partials: DataFrame, k: int, group: str, order: list[str], fan_in: int = 64) -> DataFrame:
+    """Merge per-task top-k lists in a tree before the final per-group window.
+
+    Every candidate partition contributes ``k`` rows per anchor, so the final
+    window would see ``k x partitions`` rows per anchor in a single task.
+    Round-robin the partial rows into ``partitions / fan_in`` tasks that each
+    keep only the k best per anchor (streaming, memory ``anchors x k``),
+    repeated until at most ``fan_in`` partitions remain.
+    """
+    try:
+        n = partials.rdd.getNumPartitions()
+    except Exception:  # Spark Connect: no RDD view; rely on the window's partial limit
+        return partials
+    schema = partials.schema
+
+    def merge(it):
+        best = None
+        for pdf in it:
+            if len(pdf) == 0:
+                continue
+            cur = pdf if best is None else pd.concat([best, pdf], ignore_index=True)
+            best = cur.sort_values([group] + order, kind="mergesort").groupby(group, sort=False).head(k)
+        if best is not None:
+            yield best
+
+    while n > fan_in:
+        n = -(-n // fan_in)
+        partials = partials.repartition(n).mapInPandas(merge, schema)
+    return partials
+
+
 # --------------------------------------------------------------------------
 # L4: k-nearest-neighbour regression (training side small, queries large)
 # --------------------------------------------------------------------------

@@ -206,6 +206,7 @@ def running_sum(df: DataFrame, order: list, value: str, out: str = "running",
     offs = totals.select("__blk", (F.sum("__t").over(Window.orderBy("__blk")) - F.col("__t"))
                          .alias("__o"))
     w = Window.partitionBy("__blk").orderBy("__pos").rowsBetween(Window.unboundedPreceding, 0)
-    return (pos.join(F.broadcast(offs), "__blk")
+    # one row per 2^20-row block: small, but it grows with the data, so AQE decides
+    return (pos.join(offs, "__blk")
             .withColumn(out, F.col("__o") + F.sum(value).over(w))
             .drop("__blk", "__o"))

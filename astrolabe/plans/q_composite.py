@@ -86,7 +86,7 @@ def q_target_list(spark, sf):
     j = u.join(docs, "entry").where(
         (F.col("n_chars") > 200) & (F.regexp_count("text", F.lit("[0-9]")) * 100 < F.length("text")))
     j = C.exclude_substrings(j, "text", BATCH_NEEDLES)
-    j = j.join(F.broadcast(anchors.select(F.col("anchor_id").alias("entry"))), "entry", "left_anti")
+    j = j.join(anchors.select(F.col("anchor_id").alias("entry")), "entry", "left_anti")
     return j.where(F.length("text") > 3).select("entry", "n_chars")
 
 

@@ -82,7 +82,7 @@ def _trade_rows(spark, sf):
     o = T(spark, sf, "orders").select("o_orderkey", "o_custkey")
     s = T(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
     c = T(spark, sf, "customer").select("c_custkey", "c_nationkey")
-    n = T(spark, sf, "nation")  # 25-row dimension table
+    n = T(spark, sf, "nation")  # 25-row dimension table (fixed by the schema): broadcast
     ns = F.broadcast(n.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("s_nat")))
     nc = F.broadcast(n.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("c_nat")))
     j = (li.join(o, li.l_orderkey == o.o_orderkey).join(s, li.l_suppkey == s.s_suppkey)

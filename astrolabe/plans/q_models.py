@@ -127,7 +127,7 @@ def q_gp_covariance(spark, sf):
     """Posterior covariance among the inventory and its top recommendations."""
     v, gp = _gp(spark, sf)
     top = search.knn_topk(v, _inventory(v).withColumnRenamed("vec_id", "anchor_id"), 3)
-    rows = v.join(F.broadcast(top.select(F.col("entry").alias("vec_id")).distinct()), "vec_id", "left_semi") \
+    rows = v.join(top.select(F.col("entry").alias("vec_id")).distinct(), "vec_id", "left_semi") \
         .unionByName(_inventory(v)).dropDuplicates(["vec_id"])
     return MD.gp_covariance_table(gp, rows, key="vec_id", vec="vec")
 

@@ -11,7 +11,8 @@ from astrolabe.operators import search
 def recommend(vectors: DataFrame, anchors: DataFrame, *, top: int = 10,
               dist_thres: float = 1e-5, cluster: bool = True, n_neighbors: int = 4,
               metric: str = "euclidean", cluster_col: str = "label",
-              target_col: str = "label", key: str = "vec_id") -> DataFrame:
+              target_col: str = "label", key: str = "vec_id",
+              max_chunk_rows: int = search.MAX_CHUNK_ROWS) -> DataFrame:
     """Recommend unseen items for an observed inventory.
 
     inventory vectors → cluster semi-join (J4) → near-duplicate anti-join (J5)
@@ -25,16 +26,16 @@ def recommend(vectors: DataFrame, anchors: DataFrame, *, top: int = 10,
     topk = search.knn_topk(
         cands, anchors.withColumnRenamed(key, "anchor_id"), top, cand_id=key,
         anchor_id="anchor_id", metric=metric, exclude_within=dist_thres,
-        anchor_target=target_col, predict_k=n_neighbors)
+        anchor_target=target_col, predict_k=n_neighbors, max_chunk_rows=max_chunk_rows)
     if "prediction" in topk.columns:
         agg = topk.groupBy("entry").agg(F.count(F.lit(1)).alias("counts"),
                                         F.first("prediction").alias("prediction"))
     else:  # anchors were too many for one chunk: predict in a second bounded pass
         counts = search.rec_counts(topk)
-        chosen = vectors.join(F.broadcast(counts.select(F.col("entry").alias(key))), key,
-                              "left_semi")
+        # anchors x top rows: not bounded here (many anchors), so AQE picks the join
+        chosen = vectors.join(counts.select(F.col("entry").alias(key)), key, "left_semi")
         pred = search.knn_regress(chosen, anchors, n_neighbors, query_id=key, train_id=key,
-                                  target=target_col, metric=metric)
+                                  target=target_col, metric=metric, max_chunk_rows=max_chunk_rows)
         agg = counts.join(pred.withColumnRenamed(key, "entry"), "entry")
     return (agg.select(F.col("entry"), F.col("counts"),
                        F.round("prediction", 6).alias("prediction"))

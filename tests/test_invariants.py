@@ -153,3 +153,11 @@ def test_model_roundtrip_same_predictions(spark):
                                   "tree_grid_search"])
 def test_rows_only_queries_run(spark, name):
     assert Q[name](spark, SF_SMALL).count() > 0
+
+
+def test_recommend_chunked_anchors_exact(spark):
+    from astrolabe.plans.recommend import recommend
+    v = _vecs(spark)
+    one = sorted(tuple(r) for r in recommend(v, v.where("vec_id < 20")).collect())
+    many = sorted(tuple(r) for r in recommend(v, v.where("vec_id < 20"), max_chunk_rows=7).collect())
+    assert one == many and len(one) == 156

@@ -237,3 +237,17 @@ def test_list_fingerprint_recurses_when_wide(spark):
     lvl3 = {b: md5([lvl2[x] for x in sorted(lvl2) if x // 2 == b]) for b in range(2)}  # 2 <= 2
     assert got["fingerprint"] == md5([lvl3[b] for b in sorted(lvl3)])
     assert got["n_blocks"] == 2
+
+
+def test_knn_topk_tree_merge_many_partitions(spark):
+    rng = np.random.default_rng(7)
+    cand = rng.normal(size=(300, 4))
+    anc = rng.normal(size=(3, 4))
+    cdf = spark.createDataFrame([(i, cand[i].tolist()) for i in range(300)],
+                                "vec_id long, vec array<double>").repartition(150)  # > fan-in of 64
+    adf = spark.createDataFrame([(100 + i, anc[i].tolist()) for i in range(3)], "anchor_id long, vec array<double>")
+    got = search.knn_topk(cdf, adf, 6).collect()
+    by_anchor = {}
+    for r in sorted(got, key=lambda r: (r.anchor_id, r["rank"])):
+        by_anchor.setdefault(r.anchor_id, []).append(r.entry)
+    assert [by_anchor[100 + i] for i in range(3)] == _brute_topk(anc, cand, 6)
