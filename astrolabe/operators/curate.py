@@ -80,9 +80,12 @@ def letter_set(col) -> Column:
 
 
 def only_letter(col, letter: str) -> Column:
-    """The only letter in the string is ``letter``."""
-    s = letter_set(col)
-    return (F.size(s) == 1) & (F.get(s, 0) == letter)
+    """The only letter in the string is ``letter`` (distinct-letter set == {letter}).
+
+    Two regex passes over the letters, no per-character arrays (texts can be long).
+    """
+    letters = F.regexp_replace(_c(col), r"[^A-Za-z]", "")
+    return (F.length(letters) > 0) & (F.length(F.regexp_replace(letters, re.escape(letter), "")) == 0)
 
 
 def exclude_char(df: DataFrame, col: str, ch: str = ".") -> DataFrame:
