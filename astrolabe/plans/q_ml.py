@@ -486,10 +486,9 @@ HASH_DIM = 4
 
 
 def hashed_token_vectors(tokens_df, token_col="token", dim=HASH_DIM, seed=7):
-    """Token vectors as a pure function of the token (feature hashing), one row per distinct token."""
-    toks = tokens_df.select(token_col).distinct()
-    return toks.select(token_col, F.array(*[R.uniform(seed, f"dim{c}", F.col(token_col)) - 0.5
-                                             for c in range(dim)]).alias("tvec"))
+    """Token vectors as a pure function of the token (feature hashing)."""
+    from astrolabe.plans.store import hashed_token_vectors as hv
+    return hv(tokens_df, token_col, dim, seed)
 
 
 _WORDS_SQL = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda t: t <> '')"

@@ -226,3 +226,30 @@ def q_tree_grid_search(spark, sf):
     rows = [(int(pm[rf.maxDepth]), int(pm[rf.numTrees]), float(m))
             for pm, m in zip(grid, model.avgMetrics)]
     return spark.createDataFrame(rows, "max_depth int, num_trees int, mean_mse double")
+
+
+def _store(spark, sf):
+    from astrolabe.plans.store import build_vector_store
+    docs = tables.load(spark, sf, "documents").select("doc_id", "text")
+    return build_vector_store(docs, "doc_id", "text", scratch_path(spark, "vector-store"), dim=16, k_pca=8,
+                              k_clusters=5)
+
+
+@register("build_store")
+def q_build_store(spark, sf):
+    """§3.1 as one job: documents → sentences → summed vectors → standardise → PCA →
+    k-means → Parquet partitioned by cluster; reported as rows per cluster."""
+    return _store(spark, sf).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("store_recommend")
+def q_store_recommend(spark, sf):
+    """R1 served from the cluster-partitioned store: the cluster semi-join prunes
+    whole partition directories (dynamic partition pruning)."""
+    from astrolabe.plans.recommend import recommend
+    store = _store(spark, sf).select(F.col("doc_id").alias("vec_id"), F.col("pca").alias("vec"), "cluster_id")
+    docs = tables.load(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"),
+                                                      F.log10("n_chars").alias("y"))
+    items = store.join(docs, "vec_id")
+    anchors = items.where("vec_id < 20")
+    return recommend(items, anchors, top=10, cluster_col="cluster_id", target_col="y")
