@@ -43,3 +43,8 @@ def test_global_rank_has_no_unpartitioned_window(spark):
     # ranks come from range partitions + offsets, not rank() over one partition
     p = plan(spark, "rank_settings")
     assert "rank(" not in p and "SinglePartition" not in p
+
+
+def test_store_recommend_prunes_partitions(spark):
+    # the store is partitioned by cluster_id; the anchors' clusters prune it at run time
+    assert "dynamicpruning" in plan(spark, "store_recommend")
