@@ -4,10 +4,11 @@ Shape of the work at scale: a *large* candidate table (millions to billions
 of vectors, partitioned across the cluster) against a *small* anchor table
 (an observed inventory, ~10^2-10^5 rows).  The anchor side is shipped to the
 tasks in size-checked chunks; each task runs a NumPy block kernel over its
-Arrow batches and emits only per-anchor partial top-k rows, so the one shuffle
-in the plan carries ``anchors x k x partitions`` rows, never the ``m x n``
-pairs.  Spark then finishes the exact top-k with a ``row_number`` window,
-which Catalyst plans as ``WindowGroupLimit`` (partial + final).
+Arrow batches (re-sliced to a fixed cell budget) and emits only per-anchor
+partial top-k rows, never the ``m x n`` pairs.  Partial lists are merged in a
+tree of fan-in 64 when there are many candidate partitions, and Spark
+finishes the exact top-k with a ``row_number`` window, which Catalyst plans as
+``WindowGroupLimit`` (partial + final).
 """
 
 from __future__ import annotations
