@@ -148,7 +148,7 @@ def label_centres(df: DataFrame, vec: str, label: str) -> DataFrame:
 
 # ---- M9 / M13 ---------------------------------------------------------------------------
 
-def fit_embedding_pipeline(df: DataFrame, vec: str, k_pca: int, k_clusters: int, seed: int = 42):
+def fit_embedder(df: DataFrame, vec: str, k_pca: int, k_clusters: int, seed: int = 42):
     """Scaler → PCA → k-means as one ``pyspark.ml`` Pipeline.
 
     ``ml.StandardScaler`` divides by the *sample* std; ``ml.PCA`` does not

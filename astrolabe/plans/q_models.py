@@ -48,12 +48,12 @@ def q_kmeans_fit(spark, sf):
     return reduce.kmeans_assign(model, v, "vec").select("vec_id", "cluster_id")
 
 
-@register("pipeline_transform")
-def q_pipeline_transform(spark, sf):
+@register("embedder_transform")
+def q_embedder_transform(spark, sf):
     """M9: scaler → PCA → k-means; the embedder applies all but the last stage."""
     v = tables.vectors(spark, sf)
     from pyspark.ml.functions import array_to_vector
-    _, embedder = reduce.fit_embedding_pipeline(v, "vec", k_pca=8, k_clusters=10)
+    _, embedder = reduce.fit_embedder(v, "vec", k_pca=8, k_clusters=10)
     out = embedder.transform(v.withColumn("__features", array_to_vector("vec")))
     return out.select("vec_id", vector_to_array("__pca").alias("pca"))
 
@@ -72,8 +72,8 @@ def q_model_roundtrip(spark, sf):
     from pyspark.ml import PipelineModel
     from pyspark.ml.functions import array_to_vector
     v = tables.vectors(spark, sf)
-    model, _ = reduce.fit_embedding_pipeline(v, "vec", k_pca=8, k_clusters=10)
-    path = scratch_path(spark, "pipeline-model")
+    model, _ = reduce.fit_embedder(v, "vec", k_pca=8, k_clusters=10)
+    path = scratch_path(spark, "embedder-model")
     model.write().overwrite().save(path)
     loaded = PipelineModel.load(path)
     return loaded.transform(v.withColumn("__features", array_to_vector("vec"))).select("vec_id", "cluster_id")

@@ -146,7 +146,7 @@ def test_model_roundtrip_same_predictions(spark):
     assert len(a) == _vecs(spark).count()
 
 
-@pytest.mark.parametrize("name", ["train_word_vectors", "pca_variance", "kmeans_fit", "pipeline_transform",
+@pytest.mark.parametrize("name", ["train_word_vectors", "pca_variance", "kmeans_fit", "embedder_transform",
                                   "project_2d", "forest_fit", "boosted_fit", "gp_score", "gp_covariance",
                                   "score_all_models", "predict_list", "demo_set", "recommend_batch_scored",
                                   "metrics_sink", "hyperparam_importance", "forest_importance", "bayes_ridge",
