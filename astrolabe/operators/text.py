@@ -27,11 +27,12 @@ def list_fingerprint(df: DataFrame, group: str | None, key: str, value: str,
                      block: int = 1000) -> DataFrame:
     """Order-preserving MD5 fingerprint of the newline-joined ``value`` list.
 
-    Merkle form, so no group is ever collected whole: level 1 hashes the
-    values of each run of ``block`` consecutive keys; each further level hashes
-    ``block`` consecutive digests of the level below, until a group has at most
-    ``block`` digests; the fingerprint is the MD5 of those, newline-joined in
-    key order.  (Two levels for up to ``block²`` keys per group.)
+    A group of at most ``block`` rows gets exactly ``md5(join(values in key
+    order))`` (a bounded collect).  A larger group is never gathered in one
+    task: it gets a Merkle form — level 1 hashes the values of each run of
+    ``block`` consecutive keys, each further level hashes ``block`` consecutive
+    digests of the level below, and the fingerprint is the MD5 of the top
+    level's digests in key order.
     """
     g = [group] if group else []
 
@@ -40,8 +41,19 @@ def list_fingerprint(df: DataFrame, group: str | None, key: str, value: str,
             F.array_sort(F.collect_list(F.struct(F.col(col_order).alias("o"), F.col(col_value).alias("v")))),
             lambda r: r["v"]), "\n"))
 
-    lvl = df.select(*g, F.col(key).alias("__k"), F.col(value).alias("__v"),
-                    F.floor(F.col(key) / F.lit(block)).alias("blk"))
+    rows = df.select(*g, F.col(key).alias("__k"), F.col(value).alias("__v"))
+    if g:
+        sizes = rows.groupBy(*g).agg(F.count(F.lit(1)).alias("__n"))
+        small = rows.join(sizes.where(F.col("__n") <= block).select(*g), g, "left_semi")
+        big = rows.join(sizes.where(F.col("__n") > block).select(*g), g, "left_semi")
+    else:  # one list: pick the form once (a global aggregate always yields a row)
+        n = rows.count()
+        small, big = (rows, rows.limit(0)) if n <= block else (rows.limit(0), rows)
+    exact = small.groupBy(*g).agg(digest("__k", "__v").alias("fingerprint"), F.lit(1).cast("long").alias("n_blocks"))
+    if not g:
+        exact = exact.where(F.lit(n <= block))
+
+    lvl = big.withColumn("blk", F.floor(F.col("__k") / F.lit(block)))
     lvl = lvl.groupBy(*g, "blk").agg(digest("__k", "__v").alias("d"))
     while True:
         widest = lvl.groupBy(*g).count().agg(F.max("count")).collect()[0][0] or 0  # one scalar
@@ -50,7 +62,10 @@ def list_fingerprint(df: DataFrame, group: str | None, key: str, value: str,
         lvl = (lvl.withColumn("__up", F.floor(F.col("blk") / F.lit(block)))
                .groupBy(*g, F.col("__up").alias("blk_up")).agg(digest("blk", "d").alias("d"))
                .withColumnRenamed("blk_up", "blk"))
-    return lvl.groupBy(*g).agg(digest("blk", "d").alias("fingerprint"), F.count(F.lit(1)).alias("n_blocks"))
+    merkle = lvl.groupBy(*g).agg(digest("blk", "d").alias("fingerprint"), F.count(F.lit(1)).alias("n_blocks"))
+    if not g:
+        merkle = merkle.where(F.lit(n > block))
+    return exact.unionByName(merkle)
 
 
 def formula_mass(formula, masses: dict) -> Column:

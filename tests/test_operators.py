@@ -251,3 +251,11 @@ def test_knn_topk_tree_merge_many_partitions(spark):
     for r in sorted(got, key=lambda r: (r.anchor_id, r["rank"])):
         by_anchor.setdefault(r.anchor_id, []).append(r.entry)
     assert [by_anchor[100 + i] for i in range(3)] == _brute_topk(anc, cand, 6)
+
+
+def test_list_fingerprint_small_group_is_plain_md5(spark):
+    import hashlib
+    rows = [("a", 3, "z"), ("a", 1, "x"), ("a", 2, "y"), ("b", 5, "q")]
+    df = spark.createDataFrame(rows, "g string, k long, v string")
+    got = {r.g: r.fingerprint for r in X.list_fingerprint(df, "g", "k", "v", block=10).collect()}
+    assert got == {"a": hashlib.md5("x\ny\nz".encode()).hexdigest(), "b": hashlib.md5(b"q").hexdigest()}
