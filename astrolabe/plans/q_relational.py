@@ -310,8 +310,9 @@ SELECT doc_id, md5(text) AS text_md5 FROM
   (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1
 """)
 def q_dedupe_first(spark, sf):
-    d = T(spark, sf, "documents").select("doc_id", "text")
-    return C.dedupe_first(d, "text", "doc_id").select("doc_id", F.md5("text").alias("text_md5"))
+    # keyed on the 128-bit digest: the shuffle carries 32 characters per row, not whole texts
+    d = T(spark, sf, "documents").select("doc_id", F.md5("text").alias("text_md5"))
+    return C.dedupe_first(d, "text_md5", "doc_id").select("doc_id", "text_md5")
 
 
 @register("arg_max", """
