@@ -13,6 +13,7 @@ from astrolabe.operators import gram, reduce, search, stats
 from astrolabe.operators import resample as R
 from astrolabe.operators import text as X
 from astrolabe.functions.schema import seq_long
+from astrolabe.constants import DISTANT_CONST
 from astrolabe.plans.registry import register
 
 
@@ -434,7 +435,7 @@ def q_negative_augment(spark, sf):
     v = tables.vectors(spark, sf)
     anchors = v.where("vec_id < 20")
     d = search.pair_distances(v, anchors.withColumnRenamed("vec_id", "anchor_id"), metric="cosine")
-    flags = search.distant_flag(d, 0.97, 0.88).where("above_pct")
+    flags = search.distant_flag(d, 0.97, DISTANT_CONST).where("above_pct")
     neg = flags.select(F.col("entry").alias("vec_id"), F.lit(0.0).alias("y"), F.lit(True).alias("is_negative"))
     pos = anchors.select("vec_id", F.col("label").cast("double").alias("y"), F.lit(False).alias("is_negative"))
     return pos.unionByName(neg)

@@ -12,6 +12,7 @@ from astrolabe.functions import vectors as V
 from astrolabe.operators import curate as C
 from astrolabe.operators import stats
 from astrolabe.operators.resample import uniform, uniform_sql
+from astrolabe.constants import CUMULATIVE_TARGET, ROW_SCALE
 from astrolabe.plans.registry import register
 
 
@@ -207,10 +208,10 @@ def q_pattern_flags(spark, sf):
                  F.count_if(~F.col("lic") & ~F.col("email") & ~F.col("phone")).alias("n_none"))
 
 
-@register("row_template", r"""
+@register("row_template", rf"""
 SELECT p_partkey,
        p_name || ' & ' || CASE WHEN p_size > 25
-                 THEN CAST(CAST(round(CAST(p_retailprice AS DECIMAL(12,2)) * CAST(0.9971 AS DECIMAL(6,4)), 4)
+                 THEN CAST(CAST(round(CAST(p_retailprice AS DECIMAL(12,2)) * CAST({ROW_SCALE} AS DECIMAL(6,4)), 4)
                                 AS DECIMAL(18,4)) AS VARCHAR)
                                ELSE ' - ' END
               || ' & ' || CAST(p_size AS VARCHAR) AS row_text
@@ -218,7 +219,7 @@ FROM part
 """)
 def q_row_template(spark, sf):
     # exact decimal arithmetic: binary doubles round ties differently per engine
-    scaled = F.round(F.col("p_retailprice").cast("decimal(12,2)") * F.lit(0.9971).cast("decimal(6,4)"), 4)
+    scaled = F.round(F.col("p_retailprice").cast("decimal(12,2)") * F.lit(ROW_SCALE).cast("decimal(6,4)"), 4)
     scaled = scaled.cast("decimal(18,4)").cast("string")
     txt = F.concat_ws(" & ", "p_name",
                       F.when(F.col("p_size") > 25, scaled).otherwise(F.lit(" - ")),
@@ -464,11 +465,11 @@ def q_rank_settings(spark, sf):
     return r.select("o_orderkey", "rnk")
 
 
-@register("cumulative_threshold", """
+@register("cumulative_threshold", f"""
 WITH c AS (SELECT p_partkey, sum(p_retailprice) OVER (ORDER BY p_partkey ROWS UNBOUNDED PRECEDING)
                              / sum(p_retailprice) OVER () AS frac FROM part)
 SELECT min_by(p_partkey, (abs(frac - 0.5), p_partkey)) AS k_at_half,
-       min_by(p_partkey, (abs(frac - 0.98758), p_partkey)) AS k_at_target FROM c
+       min_by(p_partkey, (abs(frac - {CUMULATIVE_TARGET}), p_partkey)) AS k_at_target FROM c
 """)
 def q_cumulative_threshold(spark, sf):
     p = T(spark, sf, "part").select("p_partkey", "p_retailprice")
@@ -477,7 +478,7 @@ def q_cumulative_threshold(spark, sf):
     c = stats.with_scalars(c, tot).withColumn("frac", F.col("run") / F.col("tot"))
     return c.agg(
         F.min_by("p_partkey", F.struct(F.abs(F.col("frac") - 0.5), F.col("p_partkey"))).alias("k_at_half"),
-        F.min_by("p_partkey", F.struct(F.abs(F.col("frac") - 0.98758), F.col("p_partkey"))).alias("k_at_target"))
+        F.min_by("p_partkey", F.struct(F.abs(F.col("frac") - CUMULATIVE_TARGET), F.col("p_partkey"))).alias("k_at_target"))
 
 
 @register("prefix_sets", """

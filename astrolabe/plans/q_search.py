@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from astrolabe import tables
 from astrolabe.plans.recommend import recommend
+from astrolabe.constants import DIST_THRES, DISTANT_CONST
 from astrolabe.plans.registry import register
 
 # Inventory stand-in: the first 20 vectors of the store are the "observed" items.
@@ -25,7 +26,7 @@ WITH {_V}, {_A},
 c AS (SELECT * FROM v WHERE label IN (SELECT alabel FROM a)),
 d AS (SELECT a.anchor_id, a.alabel, c.vec_id AS entry, list_distance(a.avec, c.vec) AS distance
       FROM a, c),
-keep AS (SELECT entry FROM d GROUP BY entry HAVING min(distance) > 1e-5),
+keep AS (SELECT entry FROM d GROUP BY entry HAVING min(distance) > {DIST_THRES}),
 dk AS (SELECT d.* FROM d JOIN keep USING (entry)),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY distance, entry) AS rn
                        FROM dk) WHERE rn <= 10),
@@ -39,7 +40,7 @@ FROM cnt JOIN pred USING (entry) ORDER BY prediction DESC, entry
 """)
 def q_recommend(spark, sf_dir):
     vecs = tables.vectors(spark, sf_dir)
-    return recommend(vecs, anchors_of(vecs), top=10, dist_thres=1e-5, cluster=True,
+    return recommend(vecs, anchors_of(vecs), top=10, dist_thres=DIST_THRES, cluster=True,
                      n_neighbors=4)
 
 
@@ -122,12 +123,12 @@ def q_distance_profile(spark, sf):
 WITH {_V}, {_A}, {_D.format(dist=_COS)},
 p AS (SELECT quantile_cont(distance, 0.97) AS upper FROM d),
 m AS (SELECT entry, avg(distance) AS mean_d FROM d GROUP BY entry)
-SELECT entry, round(mean_d, 6) AS mean_d, mean_d > upper AS above_pct, mean_d > 0.88 AS above_const FROM m, p
+SELECT entry, round(mean_d, 6) AS mean_d, mean_d > upper AS above_pct, mean_d > {DISTANT_CONST} AS above_const FROM m, p
 """)
 def q_distant_flag(spark, sf):
     v = tables.vectors(spark, sf)
     d = search.pair_distances(v, _anchor_frame(v), metric="cosine")
-    return search.distant_flag(d, 0.97, 0.88)
+    return search.distant_flag(d, 0.97, DISTANT_CONST)
 
 
 @register("covariance_rows", f"""

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from astrolabe.constants import DIST_THRES
 from astrolabe.operators import search
 
 
 def recommend(vectors: DataFrame, anchors: DataFrame, *, top: int = 10,
-              dist_thres: float = 1e-5, cluster: bool = True, n_neighbors: int = 4,
+              dist_thres: float = DIST_THRES, cluster: bool = True, n_neighbors: int = 4,
               metric: str = "euclidean", cluster_col: str = "label",
               target_col: str = "label", key: str = "vec_id",
               max_chunk_rows: int = search.MAX_CHUNK_ROWS) -> DataFrame:
