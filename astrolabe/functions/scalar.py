@@ -170,3 +170,12 @@ def normalise_key(s) -> Column:
     lower-case; empty → NULL."""
     t = F.lower(F.trim(F.regexp_replace(_c(s), r"[ \t\r\n]+", " ")))
     return F.when(t != "", t)
+
+
+def round6(x, digits: int = 6) -> Column:
+    """Round a double to ``digits`` decimals by scaling, rounding half away from
+    zero, and unscaling — the same arithmetic as SQL engines that round the
+    binary value (Spark's own ``round`` on doubles goes through the shortest
+    decimal string, which decides exact-looking ties differently)."""
+    m = 10.0 ** digits
+    return F.round(_c(x) * F.lit(m), 0) / F.lit(m)

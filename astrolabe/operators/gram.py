@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from astrolabe.functions.scalar import round6
 
 from astrolabe.functions import schema as S
 from astrolabe.operators import stats
@@ -34,7 +35,7 @@ def regression_metrics(df: DataFrame, y: str, yhat: str, group: list[str] | None
             (1 - F.try_divide(F.sum(res2), F.var_pop(y) * F.count(y))).alias("r2")]
     out = df.groupBy(*(group or [])).agg(*aggs)
     if digits is not None:
-        out = out.select(*(group or []), *[F.round(c, digits).alias(c) for c in ("mse", "masked_mse", "r2")])
+        out = out.select(*(group or []), *[round6(c, digits).alias(c) for c in ("mse", "masked_mse", "r2")])
     return out
 
 
@@ -56,7 +57,7 @@ def prefix_totals(df: DataFrame, order: list, value: str, fractions: list[float]
         aggs += [F.count(F.when(inside, 1)).alias(f"c{i}"), F.sum(F.when(inside, F.col(value))).alias(f"s{i}")]
     wide = j.agg(*aggs)
     rows = F.explode(F.array(*[F.struct(F.lit(f).alias("fraction"), F.col(f"c{i}").alias("n_rows"),
-                                        F.round(F.col(f"s{i}"), 6).alias("total"))
+                                        round6(F.col(f"s{i}")).alias("total"))
                                for i, f in enumerate(fractions)]))
     return wide.select(rows.alias("r")).select("r.*")
 
@@ -242,7 +243,7 @@ def fold_scores(stats: DataFrame, d: int, fold_col: str, alphas: list[float],
     out = stats.groupBy(F.lit(0).alias("__one")).applyInPandas(
         solve, "alpha double, fold long, train_mse double, test_mse double, test_r2 double")
     if digits is not None:
-        out = out.select("alpha", "fold", *[F.round(c, digits).alias(c) for c in ("train_mse", "test_mse", "test_r2")])
+        out = out.select("alpha", "fold", *[round6(c, digits).alias(c) for c in ("train_mse", "test_mse", "test_r2")])
     return out
 
 
@@ -251,8 +252,8 @@ def summarize_scores(scores: DataFrame, by: list[str], col: str = "test_mse", di
     agg = scores.groupBy(*by).agg(F.avg(col).alias("mean_score"), F.stddev_pop(col).alias("std_score"))
     from pyspark.sql import Window
     w = Window.orderBy(F.col("mean_score").asc())  # one row per setting: bounded
-    return agg.select(*by, F.round("mean_score", digits).alias("mean_score"),
-                      F.round("std_score", digits).alias("std_score"),
+    return agg.select(*by, round6("mean_score", digits).alias("mean_score"),
+                      round6("std_score", digits).alias("std_score"),
                       F.rank().over(w).alias("rank"))
 
 
@@ -329,8 +330,8 @@ def learning_curve(df: DataFrame, key: str, x: list[str], y: str, fractions: lis
     both = both.withColumn("__sf", F.struct("split_id", "fraction"))
     sc = split_scores(both.drop("split_id", "fraction"), len(x), "__sf", "is_test")
     sc = sc.select(F.col("__sf.fraction").alias("fraction"), "test_mse")
-    return sc.groupBy("fraction").agg(F.round(F.avg("test_mse"), 6).alias("mean_mse"),
-                                      F.round(F.stddev_pop("test_mse"), 6).alias("std_mse"))
+    return sc.groupBy("fraction").agg(round6(F.avg("test_mse")).alias("mean_mse"),
+                                      round6(F.stddev_pop("test_mse")).alias("std_mse"))
 
 
 def data_importance(df: DataFrame, key: str, x: list[str], y: str, n_splits: int, test_size: float,

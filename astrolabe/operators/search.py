@@ -19,6 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from astrolabe.functions.scalar import round6
 
 from astrolabe.functions import vectors as V
 
@@ -397,7 +398,7 @@ def distance_profile(pairs: DataFrame, probs: list[float], names: list[str],
                       F.stddev_pop(col).alias("d_std"))
     pct = _pair_percentiles(pairs, col, probs, names, exact, accuracy)
     out = stats.with_scalars(basic, pct)
-    return out.select(*[F.round(c, digits).alias(c) for c in out.columns])
+    return out.select(*[round6(c, digits).alias(c) for c in out.columns])
 
 
 def distant_flag(pairs: DataFrame, upper_percentile: float, const: float,
@@ -412,12 +413,12 @@ def distant_flag(pairs: DataFrame, upper_percentile: float, const: float,
     upper = _pair_percentiles(pairs, col, [upper_percentile], ["upper"], exact, accuracy)
     m = pairs.groupBy("entry").agg(F.avg(col).alias("mean_d"))
     return stats.with_scalars(m, upper).select(
-        "entry", F.round("mean_d", 6).alias("mean_d"), (F.col("mean_d") > F.col("upper")).alias("above_pct"),
+        "entry", round6("mean_d").alias("mean_d"), (F.col("mean_d") > F.col("upper")).alias("above_pct"),
         (F.col("mean_d") > const).alias("above_const"))
 
 
 def covariance_rows(cov: DataFrame) -> DataFrame:
     """Zero the diagonal, mean per row, and the column of the largest entry per row."""
     z = cov.withColumn("cov", F.when(F.col("i") == F.col("j"), F.lit(0.0)).otherwise(F.col("cov")))
-    return z.groupBy("i").agg(F.round(F.avg("cov"), 6).alias("mean_cov"),
+    return z.groupBy("i").agg(round6(F.avg("cov")).alias("mean_cov"),
                               F.max_by("j", F.struct("cov", (-F.col("j")).alias("nj"))).alias("top_j"))

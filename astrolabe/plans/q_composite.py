@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from astrolabe.functions.scalar import round6
 
 from astrolabe import tables
 from astrolabe.functions import scalar as S
@@ -51,7 +52,7 @@ def recommend_batch_rows(spark, sf):
     first = C.dedupe_first(top, "entry", ["anchor_id", "rank"])
     docs = T(spark, sf, "documents").select(F.col("doc_id").alias("entry"), "text", "n_chars")
     j = first.join(docs, "entry").where(_content_ok(F.col("text")))
-    return j.select("entry", F.col("anchor_id").alias("anchor"), F.round("distance", 6).alias("distance"),
+    return j.select("entry", F.col("anchor_id").alias("anchor"), round6("distance").alias("distance"),
                     "n_chars")
 
 
@@ -144,7 +145,7 @@ def q_prepare_inventory(spark, sf):
     toks = p.select("p_partkey", F.explode(X.token_sentence("key", radius=0)).alias("token"))
     pooled = X.sum_pool(toks, hashed_token_vectors(toks), "p_partkey", "token", "tvec", HASH_DIM)
     return p.join(pooled, "p_partkey").select(
-        "p_partkey", "key", *[F.round(F.get("vec", c), 6).alias(f"v{c}") for c in range(HASH_DIM)])
+        "p_partkey", "key", *[round6(F.get("vec", c)).alias(f"v{c}") for c in range(HASH_DIM)])
 
 
 @register("model_comparison", """
@@ -168,9 +169,9 @@ def q_model_comparison(spark, sf):
          .select("user_id", "value"))
     fit = p.agg(F.regr_intercept("p_retailprice", "p_size").alias("b0"), F.regr_slope("p_retailprice", "p_size").alias("b1"))
     j = stats.with_scalars(o.join(e, o.size == e.user_id), fit)
-    return j.select("p_name", F.round("obs", 6).alias("obs"),
-                    F.round(S.error_factor(F.col("value") * 10, F.col("obs")), 6).alias("factor_a"),
-                    F.round(S.error_factor(F.col("b0") + F.col("b1") * F.col("size"), F.col("obs")), 6).alias("factor_b"))
+    return j.select("p_name", round6("obs").alias("obs"),
+                    round6(S.error_factor(F.col("value") * 10, F.col("obs"))).alias("factor_a"),
+                    round6(S.error_factor(F.col("b0") + F.col("b1") * F.col("size"), F.col("obs"))).alias("factor_b"))
 
 
 @register("ratio_curve", """
@@ -184,7 +185,7 @@ def q_ratio_curve(spark, sf):
     m = e.groupBy("user_id").agg(F.avg("value").alias("mean_v"))
     after = e.where(F.col("ts") >= F.lit("2024-01-15 00:00:00").cast("timestamp_ntz"))
     return after.join(m, "user_id").select("event_id", "user_id",
-                                           F.round(F.try_divide(F.col("value"), F.col("mean_v")), 6).alias("ratio"))
+                                           round6(F.try_divide(F.col("value"), F.col("mean_v"))).alias("ratio"))
 
 
 @register("series_validation", """
@@ -202,7 +203,7 @@ def q_series_validation(spark, sf):
         "p_partkey", (F.col("b0") + F.col("b1") * F.col("p_size")).alias("pred"))
     j = part.select("p_partkey", "p_type", "p_retailprice").join(pred, "p_partkey")
     r2 = (F.col("p_retailprice") - F.col("pred")) ** 2
-    return j.groupBy("p_type").agg(F.round(F.avg(r2), 6).alias("mse"), F.count(F.lit(1)).alias("n"))
+    return j.groupBy("p_type").agg(round6(F.avg(r2)).alias("mse"), F.count(F.lit(1)).alias("n"))
 
 
 @register("similarity_ranking", f"""
@@ -219,7 +220,7 @@ def q_similarity_ranking(spark, sf):
     first = v.where("vec_id = 0").select(F.col("vec").alias("v0"))
     j = stats.with_scalars(lst, first).withColumn("c", V.cosine_similarity("vec", "v0"))
     r = stats.global_position(j.select("vec_id", "c", "vec", "v0"), [F.desc("c"), "vec_id"], "rank")
-    return r.select("vec_id", F.round("c", 6).alias("cos"), F.round(V.sq_euclidean("vec", "v0"), 6).alias("sqdist"),
+    return r.select("vec_id", round6("c").alias("cos"), round6(V.sq_euclidean("vec", "v0")).alias("sqdist"),
                     "rank")
 
 
@@ -244,7 +245,7 @@ def q_rec_report(spark, sf):
     return j.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if("lic").alias("n_license"),
                                  F.count_if("dig").alias("n_digit"),
                                  F.count_if(~F.col("lic") & ~F.col("dig")).alias("n_plain"),
-                                 F.round(F.avg("n_chars"), 6).alias("mean_chars"))
+                                 round6(F.avg("n_chars")).alias("mean_chars"))
 
 
 @register("curation_funnel", f"""

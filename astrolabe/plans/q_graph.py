@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from astrolabe.functions.scalar import round6
 
 from astrolabe import tables
 from astrolabe.operators import graph as G
@@ -72,8 +73,8 @@ FROM f, m
 def q_weighted_edges(spark, sf):
     r = G.reaction_filter(G.parse_reactions(reaction_text(spark, sf)), IGNORE_SPECIES, [3, 4, 5])
     e = G.weighted_edges(r, temperature=5.0)
-    return e.select("A", "B", "react_class", F.round("rate", 6).alias("rate"),
-                    F.round("norm_rate", 6).alias("norm_rate"), "colour")
+    return e.select("A", "B", "react_class", round6("rate").alias("rate"),
+                    round6("norm_rate").alias("norm_rate"), "colour")
 
 
 def _trade_rows(spark, sf):
@@ -120,6 +121,6 @@ SELECT vec_id AS node, round(CAST(embedding[1] AS DOUBLE), 6) AS x, round(CAST(e
 """)
 def q_node_properties(spark, sf):
     v = tables.vectors(spark, sf)
-    return v.select(F.col("vec_id").alias("node"), F.round(F.get("vec", 0), 6).alias("x"),
-                    F.round(F.get("vec", 1), 6).alias("y"), F.lit(0.0).alias("logncol"),
+    return v.select(F.col("vec_id").alias("node"), round6(F.get("vec", 0)).alias("x"),
+                    round6(F.get("vec", 1)).alias("y"), F.lit(0.0).alias("logncol"),
                     F.when(F.col("label") == 3, F.lit(3)).otherwise(F.lit(0)).alias("source"))

@@ -7,6 +7,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from astrolabe.functions.scalar import round6
 
 from astrolabe import tables
 from astrolabe.operators import gram, reduce, search, stats
@@ -44,7 +45,7 @@ def fit_table(stats_df, d, alpha=0.0, intercept=True):
         return pd.DataFrame([[b0, *w]], columns=["intercept"] + [f"w{i}" for i in range(d)])
     schema = "intercept double, " + ", ".join(f"w{i} double" for i in range(d))
     out = stats_df.groupBy(F.lit(0).alias("__one")).applyInPandas(solve, schema)
-    return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
+    return out.select(*[round6(c).alias(c) for c in out.columns])
 
 
 @register("linear_fit", """
@@ -144,7 +145,7 @@ def q_random_search(spark, sf):
     sdf = _settings(spark, N_SETTINGS)
     j = sc.join(sdf, ["alpha", "icpt"])
     out = gram.summarize_scores(j, ["setting_id", "alpha", "icpt"])
-    return out.select("setting_id", F.round("alpha", 6).alias("alpha"), F.col("icpt").alias("fit_intercept"),
+    return out.select("setting_id", round6("alpha").alias("alpha"), F.col("icpt").alias("fit_intercept"),
                       "mean_score", "std_score", "rank")
 
 
@@ -203,8 +204,8 @@ def q_alpha_sweep(spark, sf):
         return pd.DataFrame(rows, columns=["alpha", "n_features", "test_mse"])
 
     sc = st.groupBy(F.lit(0).alias("__one")).applyInPandas(sweep, "alpha double, n_features int, test_mse double")
-    return sc.groupBy("alpha", "n_features").agg(F.round(F.avg("test_mse"), 6).alias("mean_score"),
-                                                 F.round(F.stddev_pop("test_mse"), 6).alias("std_score"))
+    return sc.groupBy("alpha", "n_features").agg(round6(F.avg("test_mse")).alias("mean_score"),
+                                                 round6(F.stddev_pop("test_mse")).alias("std_score"))
 
 
 # ---- L12-L16: bootstrap and shuffle splits -------------------------------------------------
@@ -222,7 +223,7 @@ FROM d JOIN r ON r.pos = d.pick
 def q_bootstrap_sample(spark, sf):
     p = T(spark, sf, "part").select("p_partkey", F.col("p_retailprice").alias("y_noisy"))
     b = R.bootstrap(p, ["p_partkey"], noise_col="y_noisy")
-    return b.select("draw_id", "p_partkey", F.round("y_noisy", 6).alias("y_noisy"))
+    return b.select("draw_id", "p_partkey", round6("y_noisy").alias("y_noisy"))
 
 
 @register("group_bootstrap", f"""
@@ -269,9 +270,9 @@ def q_bootstrap_fit(spark, sf):
     e = stats.with_scalars(b, fit).withColumn("yhat", F.col("b0") + F.col("b1") * F.col("x"))
     r2 = (F.col("y") - F.col("yhat")) ** 2
     t = F.col("is_test")
-    return e.agg(F.round(F.avg(F.when(~t, r2)), 6).alias("train_mse"),
-                 F.round(F.avg(F.when(t, r2)), 6).alias("test_mse"),
-                 F.round(1 - F.sum(F.when(t, r2)) / (F.var_pop(F.when(t, F.col("y"))) * F.count(F.when(t, F.col("y")))), 6)
+    return e.agg(round6(F.avg(F.when(~t, r2))).alias("train_mse"),
+                 round6(F.avg(F.when(t, r2))).alias("test_mse"),
+                 round6(1 - F.sum(F.when(t, r2)) / (F.var_pop(F.when(t, F.col("y"))) * F.count(F.when(t, F.col("y")))))
                  .alias("test_r2"))
 
 
@@ -301,7 +302,7 @@ def q_shuffle_split_fit(spark, sf):
     sc = gram.split_scores(st, 1, "split_id", "is_test")
     best = sc.agg(F.min_by("split_id", F.struct("test_mse", "split_id")).alias("best"))
     return stats.with_scalars(sc, best).select(
-        "split_id", F.round("train_mse", 6).alias("train_mse"), F.round("test_mse", 6).alias("test_mse"),
+        "split_id", round6("train_mse").alias("train_mse"), round6("test_mse").alias("test_mse"),
         (F.col("split_id") == F.col("best")).alias("is_best"))
 
 
@@ -394,7 +395,7 @@ SELECT p_partkey, round(s / (SELECT min(s) FROM v), 6) AS importance FROM v
 def q_data_importance(spark, sf):
     p = T(spark, sf, "part").select("p_partkey", F.col("p_size").alias("x"), F.col("p_retailprice").alias("y"))
     imp = gram.data_importance(p, "p_partkey", ["x"], "y", N_IMPORTANCE, 0.2, seed=42, stream="di")
-    return imp.select("p_partkey", F.round("importance", 6).alias("importance"))
+    return imp.select("p_partkey", round6("importance").alias("importance"))
 
 
 # ---- L22-L24, L26 ----------------------------------------------------------------------------
@@ -457,7 +458,7 @@ def q_holdout_fit(spark, sf):
                              F.regr_slope("p_retailprice", "p_size").alias("b1"))
     pred = F.col("b0") + F.col("b1") * F.col("p_size")
     return stats.with_scalars(p.where(held), fit).select(
-        "p_partkey", F.round(pred, 6).alias("prediction"), F.round(F.col("p_retailprice") - pred, 6).alias("error"))
+        "p_partkey", round6(pred).alias("prediction"), round6(F.col("p_retailprice") - pred).alias("error"))
 
 
 @register("trend_line", """
@@ -477,8 +478,8 @@ def q_trend_line(spark, sf):
     g = stats.with_scalars(spark.range(1000).withColumnRenamed("id", "i"), f)
     gx = F.col("lo") + F.col("i") * (F.col("hi") - F.col("lo")) / 999.0
     # "+ 0.0": a value that rounds to zero is +0.0 in every engine
-    return g.select("i", (F.round(gx, 6) + 0.0).alias("x"),
-                    (F.round(F.col("my") + F.col("b1") * (gx - F.col("mx")), 6) + 0.0).alias("y"))
+    return g.select("i", (round6(gx) + 0.0).alias("x"),
+                    (round6(F.col("my") + F.col("b1") * (gx - F.col("mx"))) + 0.0).alias("y"))
 
 
 # ---- M3 / M5 / M6 / M8 / M11 / M12 ---------------------------------------------------------------
@@ -505,7 +506,7 @@ def q_sum_pool_vectors(spark, sf):
     toks = d.select("doc_id", F.explode(X.token_sentence("text", radius=0)).alias("token"))
     vocab = hashed_token_vectors(toks)
     pooled = X.sum_pool(toks, vocab, "doc_id", "token", "tvec", HASH_DIM)
-    return pooled.select("doc_id", *[F.round(F.get("vec", c), 6).alias(f"v{c}") for c in range(HASH_DIM)])
+    return pooled.select("doc_id", *[round6(F.get("vec", c)).alias(f"v{c}") for c in range(HASH_DIM)])
 
 
 _UNNEST_V = """u AS (SELECT vec_id, label, unnest(CAST(embedding AS DOUBLE[])) AS x,
@@ -522,7 +523,7 @@ FROM u JOIN m USING (i) GROUP BY vec_id
 """)
 def q_standardise(spark, sf):
     z = reduce.standardise(tables.vectors(spark, sf), "vec")
-    return z.select("vec_id", *[F.round(F.get("z", i), 6).alias(f"z{i}") for i in (0, 1, 63)])
+    return z.select("vec_id", *[round6(F.get("z", i)).alias(f"z{i}") for i in (0, 1, 63)])
 
 
 @register("covariance_matrix", f"""
@@ -533,7 +534,7 @@ FROM u a JOIN u b ON a.vec_id = b.vec_id GROUP BY a.i, b.i
 def q_covariance_matrix(spark, sf):
     c = reduce.covariance(tables.vectors(spark, sf), "vec")
     # "+ 0.0" turns a rounded -0.0 into 0.0 (entries near zero carry either sign)
-    return c.select("i", "j", (F.round("cov", 6) + F.lit(0.0)).alias("cov"))
+    return c.select("i", "j", (round6("cov") + F.lit(0.0)).alias("cov"))
 
 
 @register("assign_cluster", f"""
@@ -578,4 +579,4 @@ def q_batched_apply(spark, sf):
     v = tables.vectors(spark, sf)
     cen = reduce.moments(v.where("vec_id < 20"), "vec").collect()[0]["mean"]  # d numbers
     scored = LinearModel(np.asarray(cen), 0.0).predict(v.select("vec_id", "vec"), "vec", "score")
-    return scored.select("vec_id", F.round("score", 6).alias("score"))
+    return scored.select("vec_id", round6("score").alias("score"))

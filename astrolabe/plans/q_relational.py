@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from astrolabe.functions.scalar import round6
 
 from astrolabe import tables
 from astrolabe.functions import scalar as S
@@ -39,7 +40,7 @@ SELECT p_partkey, upper(p_name) AS name_uc, round(p_retailprice / 1000.0, 6) AS
 def q_project(spark, sf):
     return (T(spark, sf, "part")
             .withColumn("name_uc", F.upper("p_name"))
-            .withColumn("price_k", F.round(F.col("p_retailprice") / 1000.0, 6))
+            .withColumn("price_k", round6(F.col("p_retailprice") / 1000.0))
             .drop("p_name", "p_brand", "p_type", "p_size", "p_retailprice"))
 
 
@@ -161,7 +162,7 @@ SELECT {_LKEY}, round(CASE WHEN l_tax > 0 THEN log10(l_tax) ELSE 0.0 END, 6) AS
 def q_clean_nonfinite(spark, sf):
     li = T(spark, sf, "lineitem")
     return li.select(*tables.ROW_KEYS["lineitem"],
-                     F.round(C.clean_nonfinite(S.log10_pos("l_tax")), 6).alias("log_tax"))
+                     round6(C.clean_nonfinite(S.log10_pos("l_tax"))).alias("log_tax"))
 
 
 @register("clamp", "SELECT event_id, least(greatest(value, 1.0), 100.0) AS clamped FROM events")
@@ -256,7 +257,7 @@ SELECT a.vec_id, a.label, b.norm FROM a JOIN b USING (vec_id)
 def q_aligned_join(spark, sf):
     v = tables.vectors(spark, sf)
     a = v.select("vec_id", "label")
-    b = v.select("vec_id", F.round(V.l2norm("vec"), 6).alias("norm"))
+    b = v.select("vec_id", round6(V.l2norm("vec")).alias("norm"))
     return a.join(b, "vec_id")
 
 
@@ -331,8 +332,8 @@ def q_arg_max(spark, sf):
 SELECT round(avg(p_size), 6) AS mean_size, round(avg(p_retailprice), 6) AS mean_price FROM part
 """)
 def q_column_means(spark, sf):
-    return T(spark, sf, "part").agg(F.round(F.avg("p_size"), 6).alias("mean_size"),
-                                    F.round(F.avg("p_retailprice"), 6).alias("mean_price"))
+    return T(spark, sf, "part").agg(round6(F.avg("p_size")).alias("mean_size"),
+                                    round6(F.avg("p_retailprice")).alias("mean_price"))
 
 
 @register("score_summary", """
@@ -341,8 +342,8 @@ SELECT l_returnflag, round(avg(l_discount), 6) AS mean_score, round(stddev_pop(l
 """)
 def q_score_summary(spark, sf):
     return T(spark, sf, "lineitem").groupBy("l_returnflag").agg(
-        F.round(F.avg("l_discount"), 6).alias("mean_score"),
-        F.round(F.stddev_pop("l_discount"), 6).alias("std_score"), F.count(F.lit(1)).alias("n"))
+        round6(F.avg("l_discount")).alias("mean_score"),
+        round6(F.stddev_pop("l_discount")).alias("std_score"), F.count(F.lit(1)).alias("n"))
 
 
 @register("cluster_histogram", """
@@ -406,8 +407,8 @@ def q_fit_gap(spark, sf):
     r2 = (F.col("p_retailprice") - F.col("b0") - F.col("b1") * F.col("p_size")) ** 2
     e = stats.with_scalars(s, fit).agg(F.avg(F.when(~F.col("is_test"), r2)).alias("train_mse"),
                                        F.avg(F.when(F.col("is_test"), r2)).alias("test_mse"))
-    return e.select(F.round("train_mse", 6).alias("train_mse"), F.round("test_mse", 6).alias("test_mse"),
-                    F.round(gram.fit_gap("train_mse", "test_mse"), 6).alias("gap"))
+    return e.select(round6("train_mse").alias("train_mse"), round6("test_mse").alias("test_mse"),
+                    round6(gram.fit_gap("train_mse", "test_mse")).alias("gap"))
 
 
 @register("list_fingerprint", """
@@ -428,7 +429,7 @@ def q_minmax_scale(spark, sf):
     m = li.agg(F.min("l_extendedprice").alias("lo"), F.max("l_extendedprice").alias("hi"))
     return stats.with_scalars(li, m).select(
         *tables.ROW_KEYS["lineitem"],
-        F.round(F.try_divide(F.col("l_extendedprice") - F.col("lo"), F.col("hi") - F.col("lo")), 6)
+        round6(F.try_divide(F.col("l_extendedprice") - F.col("lo"), F.col("hi") - F.col("lo")))
         .alias("scaled"))
 
 
@@ -438,7 +439,7 @@ SELECT p_partkey, round(p_retailprice / (SELECT max(p_retailprice) FROM part), 6
 def q_max_norm(spark, sf):
     p = T(spark, sf, "part")
     m = p.agg(F.max("p_retailprice").alias("mx"))
-    return stats.with_scalars(p, m).select("p_partkey", F.round(F.col("p_retailprice") / F.col("mx"), 6).alias("rel"))
+    return stats.with_scalars(p, m).select("p_partkey", round6(F.col("p_retailprice") / F.col("mx")).alias("rel"))
 
 
 @register("composition_string", """
@@ -516,7 +517,7 @@ SELECT p_partkey, round(p_retailprice * p_size, 6) AS weight FROM part
 ORDER BY p_retailprice * p_size DESC, p_partkey LIMIT 20
 """)
 def q_top_weight(spark, sf):
-    p = T(spark, sf, "part").select("p_partkey", F.round(F.col("p_retailprice") * F.col("p_size"), 6).alias("weight"),
+    p = T(spark, sf, "part").select("p_partkey", round6(F.col("p_retailprice") * F.col("p_size")).alias("weight"),
                                     (F.col("p_retailprice") * F.col("p_size")).alias("w"))
     return p.orderBy(F.desc("w"), "p_partkey").limit(20).select("p_partkey", "weight")
 

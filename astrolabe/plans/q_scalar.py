@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from astrolabe.functions.scalar import round6
 
 from astrolabe import tables
 from astrolabe.functions import scalar as S
@@ -31,7 +32,7 @@ FROM v a JOIN v b ON b.vec_id = a.vec_id + 1
 def q_cosine_pairs(spark, sf):
     v = tables.vectors(spark, sf).select("vec_id", "vec")
     nxt = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("vec").alias("vec_b"))
-    return v.join(nxt, "vec_id").select("vec_id", F.round(V.cosine_similarity("vec", "vec_b"), 6).alias("cos"))
+    return v.join(nxt, "vec_id").select("vec_id", round6(V.cosine_similarity("vec", "vec_b")).alias("cos"))
 
 
 @register("euclid_to_ref", f"""
@@ -42,8 +43,8 @@ SELECT vec_id, round(list_distance(vec, ref), 6) AS dist,
 def q_euclid_to_ref(spark, sf):
     v = tables.vectors(spark, sf)
     j = stats.with_scalars(v, _ref(v, 0, "ref"))
-    return j.select("vec_id", F.round(V.euclidean("vec", "ref"), 6).alias("dist"),
-                    F.round(V.sq_euclidean("vec", "ref"), 6).alias("dist2"))
+    return j.select("vec_id", round6(V.euclidean("vec", "ref")).alias("dist"),
+                    round6(V.sq_euclidean("vec", "ref")).alias("dist2"))
 
 
 @register("vector_analogy", f"""
@@ -59,8 +60,8 @@ def q_vector_analogy(spark, sf):
     v = tables.vectors(spark, sf)
     j = stats.with_scalars(stats.with_scalars(v, _ref(v, 0, "b")), _ref(v, 1, "c"))
     return j.select("vec_id",
-                    F.round(V.cosine_similarity(V.vadd("vec", "b"), "c"), 6).alias("sim_plus"),
-                    F.round(V.cosine_similarity(V.vsub("vec", "b"), "c"), 6).alias("sim_minus"))
+                    round6(V.cosine_similarity(V.vadd("vec", "b"), "c")).alias("sim_plus"),
+                    round6(V.cosine_similarity(V.vsub("vec", "b"), "c")).alias("sim_minus"))
 
 
 @register("interpolate_vectors", f"""
@@ -77,8 +78,8 @@ def q_interpolate_vectors(spark, sf):
     p = v.join(nxt, "vec_id").select("vec_id", "vec", "vec_b",
                                      F.explode(F.sequence(F.lit(0), F.lit(7))).alias("step"))
     pt = V.lerp("vec", "vec_b", F.col("step") / 7.0)
-    return p.select("vec_id", "step", F.round(F.get(pt, 0), 6).alias("x0"),
-                    F.round(V.l2norm(pt), 6).alias("norm"))
+    return p.select("vec_id", "step", round6(F.get(pt, 0)).alias("x0"),
+                    round6(V.l2norm(pt)).alias("norm"))
 
 
 _RATE_SQL = """
@@ -98,7 +99,7 @@ FROM lineitem
 """)
 def q_rate_law(spark, sf):
     li = T(spark, sf, "lineitem")
-    return li.select(*tables.ROW_KEYS["lineitem"], F.round(_rate(F.lit(10.0)), 6).alias("rate"))
+    return li.select(*tables.ROW_KEYS["lineitem"], round6(_rate(F.lit(10.0))).alias("rate"))
 
 
 @register("rate_grid", f"""
@@ -115,8 +116,8 @@ def q_rate_grid(spark, sf):
     g = g.withColumn("temp", F.lit(2.0) + F.col("t_idx") * F.lit(step))
     return (g.groupBy(F.col("l_linenumber").alias("react_class"), "t_idx", "temp")
             .agg(F.avg(_rate(F.col("temp"))).alias("mean_rate"))
-            .select("react_class", "t_idx", F.round("temp", 6).alias("temp"),
-                    F.round("mean_rate", 6).alias("mean_rate")))
+            .select("react_class", "t_idx", round6("temp").alias("temp"),
+                    round6("mean_rate").alias("mean_rate")))
 
 
 @register("log_target", """
@@ -126,7 +127,7 @@ FROM part
 def q_log_target(spark, sf):
     p = T(spark, sf, "part")
     ly = S.log10_pos("p_retailprice")
-    return p.select("p_partkey", F.round(ly, 6).alias("log_y"), F.round(S.exp10(ly), 6).alias("y_back"))
+    return p.select("p_partkey", round6(ly).alias("log_y"), round6(S.exp10(ly)).alias("y_back"))
 
 
 @register("abundance_ratio", """
@@ -139,8 +140,8 @@ def q_abundance_ratio(spark, sf):
     e = T(spark, sf, "events")
     m = e.groupBy("user_id").agg(F.avg("value").alias("mean_v"))
     return e.join(m, "user_id").select(
-        "event_id", F.round(F.try_divide(F.col("value"), F.col("mean_v")), 6).alias("ratio"),
-        F.round(S.log10_pos(F.col("value") / 1e11), 6).alias("log_abundance"))
+        "event_id", round6(F.try_divide(F.col("value"), F.col("mean_v"))).alias("ratio"),
+        round6(S.log10_pos(F.col("value") / 1e11)).alias("log_abundance"))
 
 
 @register("error_factor", """
@@ -148,8 +149,8 @@ SELECT p_partkey, round(pow(10, abs(log10((900.0 + 2 * p_size) / p_retailprice))
 """)
 def q_error_factor(spark, sf):
     p = T(spark, sf, "part")
-    return p.select("p_partkey", F.round(S.error_factor(F.lit(900.0) + 2 * F.col("p_size"),
-                                                        F.col("p_retailprice")), 6).alias("factor"))
+    return p.select("p_partkey", round6(S.error_factor(F.lit(900.0) + 2 * F.col("p_size"),
+                                                        F.col("p_retailprice"))).alias("factor"))
 
 
 def part_formula(p):
@@ -199,7 +200,7 @@ FROM t JOIN m ON regexp_extract(tok, '^[A-Z][a-z]?') = m.sym GROUP BY p_partkey
 def q_formula_mass(spark, sf):
     from astrolabe.operators import text
     p = T(spark, sf, "part")
-    return p.select("p_partkey", F.round(text.formula_mass(part_formula(p), S.ATOMIC_MASS), 6).alias("mass"))
+    return p.select("p_partkey", round6(text.formula_mass(part_formula(p), S.ATOMIC_MASS)).alias("mass"))
 
 
 @register("strip_chars", "SELECT o_orderkey, translate(o_orderpriority, '+-', '') AS priority FROM orders")
@@ -238,8 +239,8 @@ SELECT user_id, round(m * s, 6) AS weight, round(pow(10, m) / pow(10, s), 6) AS
 def q_acquisition(spark, sf):
     s = T(spark, sf, "events").groupBy("user_id").agg(F.avg(F.col("value") / 100).alias("m"),
                                                       F.stddev_pop(F.col("value") / 100).alias("s"))
-    return s.select("user_id", F.round(S.acquisition_product("m", "s"), 6).alias("weight"),
-                    F.round(S.acquisition_ratio("m", "s"), 6).alias("ratio"))
+    return s.select("user_id", round6(S.acquisition_product("m", "s")).alias("weight"),
+                    round6(S.acquisition_ratio("m", "s")).alias("ratio"))
 
 
 @register("string_features", r"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from astrolabe.functions.scalar import round6
 
 from astrolabe import tables
 from astrolabe.plans.recommend import recommend
@@ -64,7 +65,7 @@ SELECT anchor_id, entry, round(distance, 6) AS distance, rank FROM
 def q_knn_join_euclid(spark, sf):
     v = tables.vectors(spark, sf)
     t = search.knn_topk(v, _anchor_frame(v), 5)
-    return t.select("anchor_id", "entry", F.round("distance", 6).alias("distance"), F.col("rank").cast("long"))
+    return t.select("anchor_id", "entry", round6("distance").alias("distance"), F.col("rank").cast("long"))
 
 
 @register("knn_join_cosine", f"""
@@ -75,7 +76,7 @@ SELECT anchor_id, entry, round(distance, 6) AS distance, rank FROM
 def q_knn_join_cosine(spark, sf):
     v = tables.vectors(spark, sf)
     t = search.knn_topk(v, _anchor_frame(v), 5, metric="cosine")
-    return t.select("anchor_id", "entry", F.round("distance", 6).alias("distance"), F.col("rank").cast("long"))
+    return t.select("anchor_id", "entry", round6("distance").alias("distance"), F.col("rank").cast("long"))
 
 
 @register("cluster_semi_join", f"""
@@ -153,7 +154,7 @@ FROM a x, a y WHERE x.anchor_id <= y.anchor_id
 def q_pairwise_similarity(spark, sf):
     v = tables.vectors(spark, sf)
     s = search.pairwise_similarity(anchors_of(v))
-    return s.select("i", "j", F.round("sim", 6).alias("sim"))
+    return s.select("i", "j", round6("sim").alias("sim"))
 
 
 @register("greedy_assignment")
@@ -173,4 +174,4 @@ SELECT entry AS vec_id, round(avg(alabel), 6) AS prediction FROM t WHERE rn <= 3
 def q_knn_regress(spark, sf):
     v = tables.vectors(spark, sf)
     p = search.knn_regress(v, anchors_of(v), 3, query_id="vec_id", train_id="vec_id", target="label")
-    return p.select("vec_id", F.round("prediction", 6).alias("prediction"))
+    return p.select("vec_id", round6("prediction").alias("prediction"))

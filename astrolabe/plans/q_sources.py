@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from astrolabe.functions.scalar import round6
 
 from astrolabe import tables
 from astrolabe.functions import scalar as S
@@ -92,7 +93,7 @@ FROM embeddings
 def q_vector_scan(spark, sf):
     e = T(spark, sf, "embeddings")
     c = io.vector_column(e)
-    return e.select("vec_id", F.round(V.l2norm(F.col(c).cast("array<double>")), 6).alias("norm"))
+    return e.select("vec_id", round6(V.l2norm(F.col(c).cast("array<double>"))).alias("norm"))
 
 
 @register("overwrite_sink", """
@@ -106,7 +107,7 @@ def q_overwrite_sink(spark, sf):
     # replace one partition's array with new values; the others stay untouched
     io.overwrite_partitions(v.where("label = 3").withColumn("x0", F.col("x0") * 2), path, "label")
     back = spark.read.parquet(path)
-    return back.select("vec_id", F.col("label").cast("int").alias("label"), F.round("x0", 6).alias("x0"))
+    return back.select("vec_id", F.col("label").cast("int").alias("label"), round6("x0").alias("x0"))
 
 
 @register("csv_sink", "SELECT p_partkey, p_name, p_retailprice FROM part")

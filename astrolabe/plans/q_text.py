@@ -4,6 +4,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from astrolabe.functions.scalar import round6
 
 from astrolabe import tables
 from astrolabe.functions import scalar as S
@@ -192,7 +193,7 @@ def q_result_summary(spark, sf):
     docs = T(spark, sf, "documents").select("doc_id", "lang", "n_chars")
     j = recs.where(F.col("distance") >= 1e-3).join(docs, recs.entry == docs.doc_id)
     return j.select(F.col("entry").alias("recommendation"), F.col("anchor_id").alias("anchor"),
-                    F.round("distance", 6).alias("distance"),
+                    round6("distance").alias("distance"),
                     F.coalesce(F.nullif("lang", F.lit("")), F.lit("unknown")).alias("lang"), "n_chars")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from astrolabe.functions.scalar import round6
 
 from astrolabe.constants import DIST_THRES
 from astrolabe.operators import search
@@ -39,5 +40,5 @@ def recommend(vectors: DataFrame, anchors: DataFrame, *, top: int = 10,
                                   target=target_col, metric=metric, max_chunk_rows=max_chunk_rows)
         agg = counts.join(pred.withColumnRenamed(key, "entry"), "entry")
     return (agg.select(F.col("entry"), F.col("counts"),
-                       F.round("prediction", 6).alias("prediction"))
+                       round6("prediction").alias("prediction"))
             .orderBy(F.desc("prediction"), F.asc("entry")))
