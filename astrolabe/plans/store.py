@@ -13,12 +13,22 @@ from astrolabe.operators import text as X
 
 
 def hashed_token_vectors(tokens_df: DataFrame, token_col: str = "token", dim: int = 16,
-                         seed: int = 7) -> DataFrame:
+                         seed: int = 7, one_hash: bool = False) -> DataFrame:
     """Token vectors as a pure function of the token (feature hashing): one row per
-    distinct token, so no model has to be trained or shipped for the vocabulary."""
+    distinct token, so no model has to be trained or shipped for the vocabulary.
+
+    Default: one md5 draw per component (the scheme the SQL oracles use).  With
+    ``one_hash`` (dim <= 16) all components come from one SHA-512 digest, eight
+    hex digits each — one hash per token instead of ``dim``.
+    """
     toks = tokens_df.select(token_col).distinct()
-    return toks.select(token_col, F.array(*[R.uniform(seed, f"dim{c}", F.col(token_col)) - 0.5
-                                            for c in range(dim)]).alias("tvec"))
+    if one_hash and dim <= 16:
+        h = F.sha2(F.concat_ws("_", F.lit(str(seed)), F.col(token_col)), 512)
+        comps = [F.conv(F.substring(h, 8 * c + 1, 8), 16, 10).cast("double") / F.lit(4294967296.0) - 0.5
+                 for c in range(dim)]
+    else:
+        comps = [R.uniform(seed, f"dim{c}", F.col(token_col)) - 0.5 for c in range(dim)]
+    return toks.select(token_col, F.array(*comps).alias("tvec"))
 
 
 def build_vector_store(items: DataFrame, key: str, text_col: str, path: str, *, dim: int = 16,
@@ -34,7 +44,8 @@ def build_vector_store(items: DataFrame, key: str, text_col: str, path: str, *,
     """
     spark: SparkSession = items.sparkSession
     toks = items.select(key, F.explode(X.token_sentence(text_col, radius=1)).alias("token"))
-    vocab = token_vectors if token_vectors is not None else hashed_token_vectors(toks, dim=dim, seed=seed)
+    vocab = (token_vectors if token_vectors is not None
+             else hashed_token_vectors(toks, dim=dim, seed=seed, one_hash=True))
     from astrolabe.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(spark)
     # The text work (tokenising, hashing, pooling) is read by the moments, the
