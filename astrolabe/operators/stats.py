@@ -184,10 +184,15 @@ def global_position(df: DataFrame, order: list, out: str = "pos", method: str =
     for pid in sorted(counts):
         offsets[pid] = acc
         acc += counts[pid]
-    off = F.create_map(*[x for kv in offsets.items() for x in (F.lit(kv[0]), F.lit(kv[1]))]) \
-        if offsets else F.create_map().cast("map<int,bigint>")
-    return (loc.withColumn(out, F.coalesce(F.element_at(off, F.col("__pid")), F.lit(0)) + F.col("__local") + 1)
-            .drop("__pid", "__local"))
+    if len(offsets) <= 10_000:  # a literal map in the plan
+        off = F.create_map(*[x for kv in offsets.items() for x in (F.lit(kv[0]), F.lit(kv[1]))]) \
+            if offsets else F.create_map().cast("map<int,bigint>")
+        return (loc.withColumn(out, F.coalesce(F.element_at(off, F.col("__pid")), F.lit(0)) + F.col("__local") + 1)
+                .drop("__pid", "__local"))
+    # very many partitions: a two-column offsets table (16 bytes per partition) joined on the id
+    offs = df.sparkSession.createDataFrame(list(offsets.items()), "__pid int, __off long")
+    return (loc.join(F.broadcast(offs), "__pid")
+            .withColumn(out, F.col("__off") + F.col("__local") + 1).drop("__pid", "__local", "__off"))
 
 
 def running_sum(df: DataFrame, order: list, value: str, out: str = "running",
