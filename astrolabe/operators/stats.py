@@ -164,7 +164,8 @@ def _local_positions(df: DataFrame, order: list, method: str, value_cols: list[s
 
 
 def global_position(df: DataFrame, order: list, out: str = "pos", method: str = "row_number",
-                    value_cols: list[str] | None = None, n_parts: int | None = None) -> DataFrame:
+                    value_cols: list[str] | None = None, n_parts: int | None = None,
+                    literal_limit: int = 10_000) -> DataFrame:
     """1-based global ``row_number`` (or competition ``rank``) over ``order``.
 
     ``value_cols`` are the plain column names the order is made of (needed for
@@ -184,7 +185,7 @@ def global_position(df: DataFrame, order: list, out: str = "pos", method: str =
     for pid in sorted(counts):
         offsets[pid] = acc
         acc += counts[pid]
-    if len(offsets) <= 10_000:  # a literal map in the plan
+    if len(offsets) <= literal_limit:  # a literal map in the plan
         off = F.create_map(*[x for kv in offsets.items() for x in (F.lit(kv[0]), F.lit(kv[1]))]) \
             if offsets else F.create_map().cast("map<int,bigint>")
         return (loc.withColumn(out, F.coalesce(F.element_at(off, F.col("__pid")), F.lit(0)) + F.col("__local") + 1)

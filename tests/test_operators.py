@@ -259,3 +259,10 @@ def test_list_fingerprint_small_group_is_plain_md5(spark):
     df = spark.createDataFrame(rows, "g string, k long, v string")
     got = {r.g: r.fingerprint for r in X.list_fingerprint(df, "g", "k", "v", block=10).collect()}
     assert got == {"a": hashlib.md5("x\ny\nz".encode()).hexdigest(), "b": hashlib.md5(b"q").hexdigest()}
+
+
+def test_global_position_offsets_join_path(spark):
+    df = spark.createDataFrame([(i, (i * 7) % 11) for i in range(40)], "k long, v long")
+    a = {r.k: r.p for r in stats.global_position(df, ["v", "k"], "p", n_parts=5).collect()}
+    b = {r.k: r.p for r in stats.global_position(df, ["v", "k"], "p", n_parts=5, literal_limit=0).collect()}
+    assert a == b and sorted(a.values()) == list(range(1, 41))
