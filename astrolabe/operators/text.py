@@ -129,12 +129,26 @@ def harvest_digits(lines: DataFrame, file_cols: list[str], order: list[str], mar
 
 def next_line_tokens(lines: DataFrame, file_cols: list[str], order: list[str], marker: str,
                      positions: list[int], n_following: int = 1) -> DataFrame:
-    """For marker lines, the following line(s) joined and tokenised."""
-    w = Window.partitionBy(*file_cols).orderBy(*order)
-    nxt = [F.lead("line", i).over(w) for i in range(1, n_following + 1)]
-    joined = F.concat_ws("\t", *nxt) if n_following > 1 else nxt[0]
-    out = lines.withColumn("__next", joined).where(F.col("line").contains(marker))
-    return out.select(*file_cols, *order, *[tok("__next", p).alias(f"t{p}") for p in positions],
+    """For marker lines, the following line(s) of the same file joined and tokenised.
+
+    No window over a whole file (one huge file would land in one task): every
+    line gets a global line number from a range-partitioned sort, and the
+    following lines are attached by equi-joins on ``number + i`` within the
+    same file (unique keys, so no join skew).
+    """
+    from astrolabe.operators import stats
+    num = stats.global_position(lines, [*file_cols, *order], "__g")
+    out = num
+    nxt_cols = []
+    for i in range(1, n_following + 1):
+        nxt = num.select(*[F.col(c).alias(f"__f{i}_{c}") for c in file_cols],
+                         (F.col("__g") - i).alias(f"__g{i}"), F.col("line").alias(f"__l{i}"))
+        cond = [out["__g"] == nxt[f"__g{i}"]] + [out[c] == nxt[f"__f{i}_{c}"] for c in file_cols]
+        out = out.join(nxt, cond, "left").drop(f"__g{i}", *[f"__f{i}_{c}" for c in file_cols])
+        nxt_cols.append(F.col(f"__l{i}"))
+    joined = F.concat_ws("\t", *nxt_cols) if n_following > 1 else nxt_cols[0]
+    res = out.withColumn("__next", joined).where(F.col("line").contains(marker))
+    return res.select(*file_cols, *order, *[tok("__next", p).alias(f"t{p}") for p in positions],
                       tokens("__next").alias("__toks"))
 
 
