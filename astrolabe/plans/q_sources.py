@@ -129,7 +129,14 @@ def q_text_sink(spark, sf):
     return spark.read.text(path).select(F.md5("value").alias("value_md5"))
 
 
-@register("metrics_sink")
+@register("metrics_sink", """
+WITH f AS (SELECT regr_intercept(p_retailprice, p_size) AS b0, regr_slope(p_retailprice, p_size) AS b1 FROM part),
+p AS (SELECT p_retailprice AS y, b0 + b1 * p_size AS yhat FROM part, f)
+SELECT 'linear' AS model, round(avg((y - yhat) * (y - yhat)), 6) AS mse,
+       round(avg(CASE WHEN y <> 0 THEN (y - yhat) * (y - yhat) END), 6) AS masked_mse,
+       round(1 - sum((y - yhat) * (y - yhat)) / (var_pop(y) * count(y)), 6) AS r2
+FROM p
+""")
 def q_metrics_sink(spark, sf):
     """One metrics record per model family, written as JSON and read back."""
     from astrolabe.operators import gram

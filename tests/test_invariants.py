@@ -149,7 +149,7 @@ def test_model_roundtrip_same_predictions(spark):
 @pytest.mark.parametrize("name", ["train_word_vectors", "pca_variance", "kmeans_fit", "embedder_transform",
                                   "project_2d", "forest_fit", "boosted_fit", "gp_score", "gp_covariance",
                                   "score_all_models", "predict_list", "demo_set", "recommend_batch_scored",
-                                  "metrics_sink", "hyperparam_importance", "forest_importance", "bayes_ridge",
+                                  "hyperparam_importance", "forest_importance", "bayes_ridge",
                                   "tree_grid_search", "build_store", "store_recommend"])
 def test_rows_only_queries_run(spark, name):
     assert Q[name](spark, SF_SMALL).count() > 0
