@@ -161,3 +161,45 @@ def test_recommend_chunked_anchors_exact(spark):
     one = sorted(tuple(r) for r in recommend(v, v.where("vec_id < 20")).collect())
     many = sorted(tuple(r) for r in recommend(v, v.where("vec_id < 20"), max_chunk_rows=7).collect())
     assert one == many and len(one) == 156
+
+
+def test_greedy_assignment_matches_brute_force(spark):
+    v = _vecs(spark)
+    rows = Q["greedy_assignment"](spark, SF_SMALL).collect()
+    got = {r.anchor_id: r.entry for r in rows}
+    anchors = sorted(v.where("vec_id < 20").collect(), key=lambda r: r.vec_id)
+    cands = sorted(v.where("vec_id >= 20").collect(), key=lambda r: r.vec_id)
+    cm = np.array([r.vec for r in cands])
+    ids = np.array([r.vec_id for r in cands])
+    taken, expect = set(), {}
+    for a in anchors:  # walk queries in order; each takes its nearest free candidate
+        d = np.sqrt(((cm - np.array(a.vec)) ** 2).sum(1))
+        for j in np.lexsort((ids, d)):
+            if ids[j] not in taken:
+                taken.add(ids[j])
+                expect[a.vec_id] = ids[j]
+                break
+    assert got == expect
+
+
+def test_bayes_ridge_matches_rowwise_evidence(spark):
+    v = _vecs(spark)
+    m = models.fit_bayes_ridge(v, "vec", "label")
+    rows = v.collect()
+    x = np.array([r.vec for r in rows])
+    y = np.array([r.label for r in rows], float)
+    xc, yc = x - x.mean(0), y - y.mean()
+    eig = np.clip(np.linalg.eigvalsh(xc.T @ xc), 0, None)
+    alpha, lam, coef = 1.0 / (yc.var() + 1e-12), 1.0, np.zeros(x.shape[1])
+    for _ in range(300):
+        new = alpha * np.linalg.solve(lam * np.eye(x.shape[1]) + alpha * xc.T @ xc, xc.T @ yc)
+        sse = ((yc - xc @ new) ** 2).sum()
+        gamma = np.sum(alpha * eig / (lam + alpha * eig))
+        lam = (gamma + 2e-6) / (new @ new + 2e-6)
+        alpha = (len(y) - gamma + 2e-6) / (sse + 2e-6)
+        done = np.sum(np.abs(coef - new)) < 1e-3
+        coef = new
+        if done:
+            break
+    assert m.coef == pytest.approx(coef, rel=1e-5, abs=1e-7)
+    assert m.alpha == pytest.approx(alpha, rel=1e-5)
