@@ -266,3 +266,21 @@ def test_global_position_offsets_join_path(spark):
     a = {r.k: r.p for r in stats.global_position(df, ["v", "k"], "p", n_parts=5).collect()}
     b = {r.k: r.p for r in stats.global_position(df, ["v", "k"], "p", n_parts=5, literal_limit=0).collect()}
     assert a == b and sorted(a.values()) == list(range(1, 41))
+
+
+def test_hot_key_third_of_rows(spark):
+    # one key holds a third of all rows; results must stay whole and exact
+    n = 3000
+    rows = [(i, "hot" if i % 3 == 0 else f"k{i}", float(i % 17)) for i in range(n)]
+    df = spark.createDataFrame(rows, "o long, key string, v double").repartition(12)
+    first = {r.key: r.o for r in C.dedupe_first(df, "key", "o").collect()}
+    agg = {r.key: r.o for r in C.dedupe_first_agg(df, "key", "o").collect()}
+    expect = {}
+    for o, k, _ in rows:
+        expect[k] = min(o, expect.get(k, o))
+    assert first == expect and agg == expect
+    assert len(first) == 1 + 2 * n // 3
+    from pyspark.sql import Window
+    w = Window.partitionBy("key").orderBy("o")
+    top3 = df.withColumn("rn", F.row_number().over(w)).where("rn <= 3").where("key = 'hot'").collect()
+    assert sorted(r.o for r in top3) == [0, 3, 6]
