@@ -169,9 +169,10 @@ def q_model_comparison(spark, sf):
          .select("user_id", "value"))
     fit = p.agg(F.regr_intercept("p_retailprice", "p_size").alias("b0"), F.regr_slope("p_retailprice", "p_size").alias("b1"))
     j = stats.with_scalars(o.join(e, o.size == e.user_id), fit)
-    return j.select("p_name", round6("obs").alias("obs"),
-                    round6(S.error_factor(F.col("value") * 10, F.col("obs"))).alias("factor_a"),
-                    round6(S.error_factor(F.col("b0") + F.col("b1") * F.col("size"), F.col("obs"))).alias("factor_b"))
+    out = j.select("p_name", round6("obs").alias("obs"),
+                   round6(S.error_factor(F.col("value") * 10, F.col("obs"))).alias("factor_a"),
+                   round6(S.error_factor(F.col("b0") + F.col("b1") * F.col("size"), F.col("obs"))).alias("factor_b"))
+    return out.orderBy(F.desc("factor_a"), "p_name")
 
 
 @register("ratio_curve", """

@@ -179,9 +179,11 @@ def q_demo_set(spark, sf):
     start = v.where("vec_id = 0").select(F.col("vec").alias("v0"))
     rows = stats.with_scalars(rows, start).withColumn("distance", V.euclidean("vec", "v0")).drop("v0")
     gp = MD.fit_gp(_inventory(v), key="vec_id", vec="vec", target="label", kernel=GP_KERNEL)
-    scored = gp.predict(rows, "vec")
-    return scored.select("anchor_id", "vec_id", "distance", "gp_mean", "gp_std",
-                         F.col("label").alias("truth")).orderBy("distance")
+    ridge = MD.fit_ridge_vec(v, "vec", "label", alpha=1.0)
+    scored = ridge.predict(gp.predict(rows, "vec"), "vec", "ridge")
+    from astrolabe.functions.scalar import log10_pos
+    return scored.select("anchor_id", "vec_id", "distance", "gp_mean", "gp_std", "ridge",
+                         F.col("label").alias("truth"), log10_pos("label").alias("log_truth")).orderBy("distance")
 
 
 @register("recommend_batch_scored")
@@ -189,9 +191,14 @@ def q_recommend_batch_scored(spark, sf):
     """R2 with scoring: the filtered batch, then GP mean and std per recommendation."""
     from astrolabe.plans.q_composite import recommend_batch_rows
     v, gp = _gp(spark, sf)
+    from astrolabe.sources import io
     recs = recommend_batch_rows(spark, sf)
     with_vec = recs.join(v.select(F.col("vec_id").alias("entry"), "vec"), "entry")
-    return gp.predict(with_vec, "vec").drop("vec")
+    scored = gp.predict(with_vec, "vec").drop("vec")
+    # the batch's two outputs: a CSV table (S13) and a one-per-line target list
+    io.write_csv(scored, scratch_path(spark, "recommendations-csv"))
+    io.write_lines(scored, "entry", scratch_path(spark, "targets"))
+    return scored
 
 
 @register("hyperparam_importance")
