@@ -203,3 +203,21 @@ def test_bayes_ridge_matches_rowwise_evidence(spark):
             break
     assert m.coef == pytest.approx(coef, rel=1e-5, abs=1e-7)
     assert m.alpha == pytest.approx(alpha, rel=1e-5)
+
+
+def test_sum_pool_equals_word2vec_mean_times_count(spark):
+    # M3: item vector = sum of token vectors; Spark's Word2Vec.transform averages,
+    # so the sum equals transform x number of tokens (all tokens are in the vocabulary)
+    from pyspark.ml.feature import Word2Vec
+    from pyspark.ml.functions import vector_to_array
+    from astrolabe.operators import text as X
+    docs = spark.createDataFrame([(1, "a b c a"), (2, "b c"), (3, "c c c d")], "doc_id long, text string")
+    toks = docs.select("doc_id", X.token_sentence("text", radius=0).alias("tokens"))
+    model = Word2Vec(vectorSize=5, minCount=1, seed=1, inputCol="tokens", outputCol="m").fit(toks)
+    vocab = model.getVectors().select(F.col("word").alias("token"), vector_to_array("vector").alias("tvec"))
+    exploded = toks.select("doc_id", F.explode("tokens").alias("token"))
+    pooled = {r.doc_id: np.array(r.vec) for r in X.sum_pool(exploded, vocab, "doc_id", "token", "tvec", 5).collect()}
+    via_mean = {r.doc_id: np.array(r.m) * len(r.tokens)
+                for r in model.transform(toks).select("doc_id", "tokens", vector_to_array("m").alias("m")).collect()}
+    for d in pooled:
+        assert np.allclose(pooled[d], via_mean[d], atol=1e-6)
