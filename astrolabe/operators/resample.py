@@ -73,8 +73,8 @@ def bootstrap(df: DataFrame, order: list, n_draws: int | None = None, seed: int
 
     spark = df.sparkSession
     pos = stats.global_position(df, order, "__pos")  # 1-based
-    n = df.count() if n_draws is None else n_draws
     total = df.count()
+    n = total if n_draws is None else n_draws
     draws = spark.range(n).select(F.col("id").alias("draw_id"),
                                   (F.floor(uniform(seed, stream, F.col("id")) * total) + 1).cast("long").alias("__pos"))
     out = draws.join(pos, "__pos").drop("__pos")
