@@ -52,10 +52,11 @@ def exact_percentiles(df: DataFrame, col: str, probs: list[float],
     # projections that derive ``col`` and evaluate that expression tree inside
     # the filter once per reference.  NULLs sort first instead; they are left
     # out of the counts and skipped when picking.
-    v = df.select(F.col(col).cast("double").alias("v"))
-    # both passes below read this one persisted plan, so the (seeded-by-RDD-id)
-    # range boundaries are fixed for the counts and the picks alike
-    srt = _range_sorted(v, ["v"], n_parts).persist(StorageLevel.MEMORY_AND_DISK)
+    # the random tiebreak spreads a value shared by many rows over several range
+    # partitions; both passes below read this one persisted plan, so the sampled
+    # range boundaries and the tiebreaks are fixed for the counts and the picks
+    v = df.select(F.col(col).cast("double").alias("v"), F.rand(7).alias("__t"))
+    srt = _range_sorted(v, ["v", "__t"], n_parts).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         counts = dict(srt.groupBy(F.spark_partition_id().alias("pid")).agg(F.count("v")).collect())
         counts = {k: c for k, c in counts.items() if c > 0}
@@ -115,48 +116,27 @@ def with_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
 # Global order without a single-partition window
 # --------------------------------------------------------------------------
 
-def _local_positions(df: DataFrame, order: list, method: str, value_cols: list[str],
-                     n_parts: int | None) -> DataFrame:
-    """Range-partition by the order key, number rows inside each partition.
-
-    Equal order keys always land in the same range partition, so ties never
-    straddle a partition boundary and a local rank plus the partition's row
-    offset is the exact global rank.
-    """
-    import pandas as pd
+def _local_positions(df: DataFrame, order: list, n_parts: int | None) -> DataFrame:
+    """Range-partition by the order key and number the rows inside each partition."""
     from pyspark import TaskContext
+    from pyspark.sql.types import IntegerType, LongType
+
+    from astrolabe.functions.schema import extend
 
     sorted_df = _range_sorted(df, order, n_parts)
-    from pyspark.sql.types import IntegerType, LongType, StructType
-    schema = StructType(list(sorted_df.schema.fields)).add("__pid", IntegerType()).add("__local", LongType())
+    schema = extend(sorted_df.schema, ("__pid", IntegerType()), ("__local", LongType()))
     cols = list(sorted_df.columns)
 
     def kernel(it):
         pid = TaskContext.get().partitionId()
         base = 0
-        prev_key, prev_rank = None, 0
         for pdf in it:
             n = len(pdf)
             if n == 0:
                 continue
-            pos = np.arange(base, base + n, dtype=np.int64)
-            if method == "row_number":
-                local = pos
-            else:  # competition rank within the partition: first position of each key run
-                keys = pdf[value_cols].reset_index(drop=True)
-                new_run = keys.ne(keys.shift()).any(axis=1).to_numpy()
-                first = tuple(keys.iloc[0])
-                new_run[0] = prev_key is None or first != prev_key
-                run_id = np.cumsum(new_run) - 1
-                starts = pos[new_run]
-                if not new_run[0]:  # the first run continues the previous batch's run
-                    starts = np.concatenate([[prev_rank], starts])
-                    run_id = run_id + 1
-                local = starts[run_id]
-                prev_key, prev_rank = tuple(keys.iloc[-1]), int(local[-1])
             out = pdf[cols].copy()
             out["__pid"] = pid
-            out["__local"] = local
+            out["__local"] = np.arange(base, base + n, dtype=np.int64)
             base += n
             yield out
 
@@ -168,32 +148,40 @@ def global_position(df: DataFrame, order: list, out: str = "pos", method: str =
                     literal_limit: int = 10_000) -> DataFrame:
     """1-based global ``row_number`` (or competition ``rank``) over ``order``.
 
-    ``value_cols`` are the plain column names the order is made of (needed for
-    rank ties).  One range shuffle with a fixed partition count; the driver
-    reads one count per partition and turns them into offsets, which travel
-    back as a literal map (no join).
+    A seeded random tiebreak is appended to the order, so a value shared by a
+    third of the rows is still spread over many range partitions.  One range
+    shuffle, one checkpoint (the positions are pinned: range boundaries are
+    sampled per job), one count per partition read by the driver.  For
+    ``rank`` (``value_cols`` = the plain columns the order is made of) every
+    tie group takes its smallest row number — a partial ``min`` aggregate
+    joined back on the key, so hot ties never meet in one task.
     """
     from astrolabe.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(df.sparkSession)
-    # Range boundaries are sampled with a seed derived from the RDD id, so a
-    # second job over the same plan may cut partitions differently.  A reliable
-    # checkpoint (shared checkpoint folder) pins the positions once; counts and
-    # the result both read it, and it survives executor loss.
-    loc = _local_positions(df, order, method, value_cols or [], n_parts).checkpoint(eager=True)
+    base = df.withColumn("__tb", F.rand(42))
+    loc = _local_positions(base, list(order) + [F.col("__tb")], n_parts).checkpoint(eager=True)
     counts = dict(loc.groupBy("__pid").agg(F.count(F.lit(1)).alias("c")).collect())
     offsets, acc = {}, 0
     for pid in sorted(counts):
         offsets[pid] = acc
         acc += counts[pid]
+    rn = "__rn" if method == "rank" else out
     if len(offsets) <= literal_limit:  # a literal map in the plan
         off = F.create_map(*[x for kv in offsets.items() for x in (F.lit(kv[0]), F.lit(kv[1]))]) \
             if offsets else F.create_map().cast("map<int,bigint>")
-        return (loc.withColumn(out, F.coalesce(F.element_at(off, F.col("__pid")), F.lit(0)) + F.col("__local") + 1)
-                .drop("__pid", "__local"))
-    # very many partitions: a two-column offsets table (16 bytes per partition) joined on the id
-    offs = df.sparkSession.createDataFrame(list(offsets.items()), "__pid int, __off long")
-    return (loc.join(F.broadcast(offs), "__pid")
-            .withColumn(out, F.col("__off") + F.col("__local") + 1).drop("__pid", "__local", "__off"))
+        res = loc.withColumn(rn, F.coalesce(F.element_at(off, F.col("__pid")), F.lit(0)) + F.col("__local") + 1)
+    else:  # very many partitions: a two-column offsets table (16 bytes per partition) joined on the id
+        offs = df.sparkSession.createDataFrame(list(offsets.items()), "__pid int, __off long")
+        res = loc.join(F.broadcast(offs), "__pid").withColumn(rn, F.col("__off") + F.col("__local") + 1) \
+            .drop("__off")
+    res = res.drop("__pid", "__local", "__tb")
+    if method != "rank":
+        return res
+    keys = list(value_cols or [])
+    first = res.groupBy(*keys).agg(F.min("__rn").alias(out))
+    first = first.select(*[F.col(k).alias(f"__k_{k}") for k in keys], out)
+    cond = [res[k].eqNullSafe(first[f"__k_{k}"]) for k in keys]
+    return res.join(first, cond).drop("__rn", *[f"__k_{k}" for k in keys])
 
 
 def running_sum(df: DataFrame, order: list, value: str, out: str = "running",
