@@ -284,3 +284,17 @@ def test_hot_key_third_of_rows(spark):
     w = Window.partitionBy("key").orderBy("o")
     top3 = df.withColumn("rn", F.row_number().over(w)).where("rn <= 3").where("key = 'hot'").collect()
     assert sorted(r.o for r in top3) == [0, 3, 6]
+
+
+def test_hot_value_percentiles_and_ranks(spark):
+    rng = np.random.default_rng(11)
+    vals = np.where(rng.random(3000) < 1 / 3, 0.0, rng.normal(size=3000).round(2))
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(vals)], "k long, v double").repartition(6)
+    probs = [0.1, 0.3, 0.5, 0.9]
+    got = stats.exact_percentiles(df, "v", probs, n_parts=6).collect()[0]
+    assert list(got) == pytest.approx(list(np.percentile(vals, [p * 100 for p in probs])))
+    rk = stats.global_position(df, [F.asc("v")], "r", method="rank", value_cols=["v"], n_parts=6)
+    got_r = {r.k: r.r for r in rk.collect()}
+    srt = np.sort(vals)
+    expect = {i: int(np.searchsorted(srt, v, side="left")) + 1 for i, v in enumerate(vals)}
+    assert got_r == expect
