@@ -298,3 +298,17 @@ def test_hot_value_percentiles_and_ranks(spark):
     srt = np.sort(vals)
     expect = {i: int(np.searchsorted(srt, v, side="left")) + 1 for i, v in enumerate(vals)}
     assert got_r == expect
+
+
+def test_spread_small_only_for_small_under_split_inputs(spark):
+    from astrolabe import tables
+    cores = spark.sparkContext.defaultParallelism
+    small = tables.load(spark, "/root/testdata/sf0.001", "nation")
+    assert small.rdd.getNumPartitions() == max(cores, 1)
+    old = tables.SPREAD_MAX_BYTES
+    tables.SPREAD_MAX_BYTES = 0  # pretend every input is large: the scan is left as it is
+    try:
+        big = tables.load(spark, "/root/testdata/sf0.001", "nation")
+        assert big.rdd.getNumPartitions() == 1
+    finally:
+        tables.SPREAD_MAX_BYTES = old
