@@ -3,4 +3,4 @@
 from __future__ import annotations
 
 from astrolabe.llm import ORACLES, QUERIES  # noqa: F401
-from astrolabe.llm import exact_dedup, mixing, simhash  # noqa: F401
+from astrolabe.llm import exact_dedup, mixing, sentencepiece_bpe, simhash  # noqa: F401
