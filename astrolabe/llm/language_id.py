@@ -164,7 +164,7 @@ def prototypes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              .groupBy("lang", "at").agg(F.sum("value").alias("value"))
              .groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("sums")))
     rows = sorted((r.lang, [x.value for x in r.sums]) for r in total.collect())
-    matrix = np.array([v for _, v in rows], dtype=np.float64).reshape(len(rows), -1)
+    matrix = np.array([v for _, v in rows], dtype=np.float64).reshape(len(rows), dimensions)
     norm = np.linalg.norm(matrix, axis=1)
     keep = norm > 0
     return [lang for (lang, _), ok in zip(rows, keep) if ok], matrix[keep] / norm[keep, None]
