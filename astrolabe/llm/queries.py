@@ -3,4 +3,4 @@
 from __future__ import annotations
 
 from astrolabe.llm import ORACLES, QUERIES  # noqa: F401
-from astrolabe.llm import exact_dedup, language_id, mixing, quality, sentencepiece_bpe, simhash  # noqa: F401
+from astrolabe.llm import exact_dedup, language_id, mixing, quality, sentencepiece_bpe, simhash, warc  # noqa: F401
