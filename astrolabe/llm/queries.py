@@ -3,4 +3,4 @@
 from __future__ import annotations
 
 from astrolabe.llm import ORACLES, QUERIES  # noqa: F401
-from astrolabe.llm import ann, exact_dedup, language_id, licenses, mixing, quality, sentencepiece_bpe, simhash, warc  # noqa: F401
+from astrolabe.llm import ann, exact_dedup, language_id, licenses, mixing, quality, sentencepiece_bpe, simhash, url_filter, warc  # noqa: F401
