@@ -10,7 +10,8 @@ merge across the border that would have come earlier.  The ids are recovered
 backwards from the end of the table.
 
 A text is cut where no piece can span (before a space that follows another
-character, and around characters that no piece holds), so equal words are
+character, between letters or digits and others, around line ends and characters
+that no piece holds; the vocabulary is checked for it), so equal words are
 encoded once per worker and then looked up; the memo is bounded and only saves
 work.  Pieces of spaces alone share one score, so their order of merging is by
 place, not by rank: their prefix table has a closed form.
@@ -28,6 +29,7 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
@@ -74,16 +76,15 @@ class PrefixTable:
                 self.halves[i] = merged
             self.automaton.add_word(piece, i)
         self.automaton.make_automaton()
-        if any("\n" in p or GAP in p.lstrip(GAP) for p in self.ids):
-            raise ValueError("a piece spans a line end or a space after another character")
+        if any(len(_CUT.findall(p)) > 1 for p in self.ids):
+            raise ValueError("a piece spans a place where texts are cut")
         self.letters = {p for p in self.ids if len(p) == 1}
         self.foreign = re.compile("[^" + re.escape("".join(sorted(self.letters))) + "]").search
         self.length = [len(p) for p in self.pieces]
         self.shown = ["" if i in self.hidden else p.replace(GAP, " ") for i, p in enumerate(self.pieces)]
         self.decimal = [str(i) for i in range(size)]
         self.compatible: dict[int, bool] = {}
-        self.memo: dict[str, tuple[int, str, str]] = {}
-        self.memo_old: dict[str, tuple[int, str, str]] = {}
+        self.memo = Memo(self)
 
     def _merge(self, piece: str) -> tuple[int, int] | None:
         """The two tokens that the last merge of ``piece`` joins; None if merging stops before."""
@@ -203,35 +204,48 @@ class PrefixTable:
         out.append(raw.decode("utf-8", "replace"))
         return "".join(out)
 
-    def _remember(self, word: str) -> tuple[int, str, str]:
-        known = self.memo_old.get(word)
+    def lines(self, text: str) -> tuple[int, str, str]:
+        """``(number of ids, ids in decimal, decoded text)`` of one whole text, by the memo."""
+        stretches = words(text)
+        counts, ids, decoded = zip(*map(self.memo.__getitem__, stretches)) if stretches else ((), (), ())
+        self.memo.trim()
+        plain = "".join(decoded)
+        return sum(counts) + 1, " ".join([*ids, str(self.eos)]), plain[1:] if plain.startswith(" ") else plain
+
+    def digest(self, text: str) -> tuple[int, str, str]:
+        """``(number of ids, SHA-256 of the ids, SHA-256 of the decoded text)`` of one whole text."""
+        count, line, plain = self.lines(text)
+        return count, _sha256(line), _sha256(plain)
+
+
+def _sha256(text: str) -> str:
+    return hashlib.sha256(text.encode("utf-8")).hexdigest()
+
+
+class Memo(dict):
+    """Stretch to ``(number of ids, ids in decimal, decoded text)``: two generations of bounded size."""
+
+    def __init__(self, table: PrefixTable) -> None:
+        super().__init__()
+        self.table, self.old = table, {}
+
+    def __missing__(self, word: str) -> tuple[int, str, str]:
+        known = self.old.get(word)
         if known is None:
-            ids = self.encode_word(word)
-            known = (len(ids), " ".join([self.decimal[i] for i in ids]), self._text(ids))
+            ids = self.table.encode_word(word)
+            known = (len(ids), " ".join([self.table.decimal[i] for i in ids]), self.table._text(ids))
         if len(word) <= MEMO_CHARS:
-            if len(self.memo) >= MEMO_WORDS:
-                self.memo_old, self.memo = self.memo, {}
-            self.memo[word] = known
+            self[word] = known
         return known
 
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """``(number of ids, SHA-256 of the ids, SHA-256 of the decoded text)`` of one whole text."""
-        memo, remember = self.memo, self._remember
-        found = []
-        for word in words(text):
-            known = memo.get(word)
-            if known is None:
-                known = remember(word)
-                memo = self.memo
-            found.append(known)
-        ids = " ".join([f[1] for f in found] + [str(self.eos)])
-        decoded = "".join([f[2] for f in found])
-        decoded = decoded[1:] if decoded.startswith(" ") else decoded
-        return (sum([f[0] for f in found]) + 1, hashlib.sha256(ids.encode()).hexdigest(),
-                hashlib.sha256(decoded.encode("utf-8")).hexdigest())
+    def trim(self) -> None:
+        if len(self) >= MEMO_WORDS:
+            self.old = dict(self)
+            self.clear()
 
 
-_CUT = re.compile(f"{GAP}*[^{GAP}\n]+|{GAP}+|\n+")
+# spaces, then word characters or others; the vocabulary uses _ and ² as others
+_CUT = re.compile(rf"{GAP}*[^\W_²]+|{GAP}*(?:[^\w{GAP}\n]|[_²])+|{GAP}+|\n+")
 
 
 def words(text: str) -> list[str]:
@@ -263,36 +277,40 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def encoder(model_path: str | None = None):
+    """Column function of a text: a struct of ``n_tokens, ids, ids_sha256, decoded, decoded_sha256``."""
+    @F.pandas_udf("n_tokens long, ids array<int>, ids_sha256 string, decoded string, decoded_sha256 string")
+    def of(text: pd.Series) -> pd.DataFrame:
+        table_ = prefix_table(model_path or default_model())
+        rows = []
+        for t in text.tolist():
+            count, line, plain = table_.lines(t if isinstance(t, str) else "")
+            rows.append((count, np.fromstring(line, dtype=np.int32, sep=" "), _sha256(line), plain, _sha256(plain)))
+        return pd.DataFrame(rows, columns=["n_tokens", "ids", "ids_sha256", "decoded", "decoded_sha256"])
+
+    return of.asNondeterministic()  # so that it isn't run once for each field read
+
+
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      model_path: str | None = None) -> DataFrame:
-    """``id, ids, decoded`` per row: the ids with the end id, and the text that they decode to."""
-    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = prefix_table(model_path or default_model())
-        for batch in batches:
-            ids = [encoder.encode(t or "") for t in batch["text"]]
-            yield pd.DataFrame({"id": batch["id"], "ids": ids, "decoded": [encoder.decode(x) for x in ids]})
-
-    return _mapped(docs, id_col, text_col, kernel, "ids array<int>, decoded string")
+    """``id, n_tokens, ids, ids_sha256, decoded, decoded_sha256`` per row."""
+    made = docs.select(F.col(id_col).alias("id"), encoder(model_path)(F.col(text_col).cast("string")).alias("made"))
+    return made.select("id", "made.*")
 
 
 def digest_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      model_path: str | None = None) -> DataFrame:
     """``id, n_tokens, ids_sha256, decoded_sha256`` per row, without keeping the ids."""
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = prefix_table(model_path or default_model())
+        table_ = prefix_table(model_path or default_model())
         for batch in batches:
-            rows = [encoder.digest(t or "") for t in batch["text"]]
+            rows = [table_.digest(t or "") for t in batch["text"]]
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
             yield out.assign(id=batch["id"].to_numpy())[["id", "n_tokens", "ids_sha256", "decoded_sha256"]]
 
-    return _mapped(docs, id_col, text_col, kernel, "n_tokens long, ids_sha256 string, decoded_sha256 string")
-
-
-def _mapped(docs: DataFrame, id_col: str, text_col: str, kernel, columns: str) -> DataFrame:
-    id_type = docs.schema[id_col].dataType
     base = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = base.mapInPandas(kernel, f"id string, {columns}")
-    return out.withColumn("id", F.col("id").cast(id_type))
+    out = base.mapInPandas(kernel, "id string, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return out.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType))
 
 
 @register("op4_sentencepiece")
