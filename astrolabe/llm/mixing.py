@@ -59,7 +59,8 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_
               .withColumn("free", F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
               .withColumn("share", F.col("free") / F.sum("weight").over(after))
               .withColumn("capped", F.col("level") < F.col("share")))
-    level = F.min(F.when(~F.col("capped"), F.col("share"))).over(Window.partitionBy())
+    # the first source below its cap has the common level; later shares only fall
+    level = F.max(F.when(~F.col("capped"), F.col("share"))).over(Window.partitionBy())
     return ranked.withColumn("open_level", level).select(
         "source", "source_size",
         F.when(F.col("capped") | F.col("open_level").isNull(), F.col("cap"))
@@ -215,7 +216,7 @@ l AS (SELECT *, 3.0::DOUBLE * source_size AS cap, (3.0::DOUBLE * source_size) /
              (sum(source_size) OVER ())::DOUBLE AS total FROM s),
 r AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY level, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
              / sum(weight) OVER (ORDER BY level, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share FROM l),
-o AS (SELECT *, min(CASE WHEN level >= share THEN share END) OVER () AS open_level FROM r),
+o AS (SELECT *, max(CASE WHEN level >= share THEN share END) OVER () AS open_level FROM r),
 t AS (SELECT source, source_size, CASE WHEN level < share OR open_level IS NULL THEN cap
                                        ELSE least(cap, weight * open_level) END AS target FROM o),
 p AS (SELECT d.*, t.source_size, t.target,
