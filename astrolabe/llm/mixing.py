@@ -198,7 +198,8 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     twin = Window.partitionBy("d_id", "d_source", "d_size").orderBy("d_id")
     taken = (whole.join(own, F.col("d_id").eqNullSafe(F.col("id")) & F.col("d_source").eqNullSafe(F.col("source"))
                         & (F.col("d_size") == F.col("size")))
-             .withColumn("words", F.explode(F.get("lists", F.row_number().over(twin) - 1))))
+             .withColumn("turn", F.row_number().over(twin) - 1)
+             .withColumn("words", F.explode(F.get("lists", F.col("turn")))))
     text = F.col("row").getField(text_col)
     begin = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"{SPACE[:-1]}*{WORD}"), F.lit(0)), 1,
                                  F.col("words").cast("int")), "")
