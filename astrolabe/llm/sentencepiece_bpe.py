@@ -277,40 +277,47 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def encoder(model_path: str | None = None):
-    """Column function of a text: a struct of ``n_tokens, ids, ids_sha256, decoded, decoded_sha256``."""
-    @F.pandas_udf("n_tokens long, ids array<int>, ids_sha256 string, decoded string, decoded_sha256 string")
-    def of(text: pd.Series) -> pd.DataFrame:
-        table_ = prefix_table(model_path or default_model())
-        rows = []
-        for t in text.tolist():
-            count, line, plain = table_.lines(t if isinstance(t, str) else "")
-            rows.append((count, np.fromstring(line, dtype=np.int32, sep=" "), _sha256(line), plain, _sha256(plain)))
-        return pd.DataFrame(rows, columns=["n_tokens", "ids", "ids_sha256", "decoded", "decoded_sha256"])
-
-    return of.asNondeterministic()  # so that it isn't run once for each field read
+#: Rows handed back at once, which bounds a worker's memory.
+SLICE_ROWS = 256
 
 
-def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (),
                      model_path: str | None = None) -> DataFrame:
-    """``id, n_tokens, ids, ids_sha256, decoded, decoded_sha256`` per row."""
-    made = docs.select(F.col(id_col).alias("id"), encoder(model_path)(F.col(text_col).cast("string")).alias("made"))
-    return made.select("id", "made.*")
+    """``id``, the columns ``carry``, and ``n_tokens, ids, ids_sha256, decoded, decoded_sha256`` per row."""
+    def row(table_: PrefixTable, text: str) -> tuple:
+        count, line, plain = table_.lines(text)
+        return count, np.fromstring(line, dtype=np.int32, sep=" "), _sha256(line), plain, _sha256(plain)
 
+    return _mapped(docs, id_col, text_col, carry, model_path, row, "n_tokens long, ids array<int>, ids_sha256 string, "
+                                                                   "decoded string, decoded_sha256 string")
 
-def digest_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+
+def digest_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (),
                      model_path: str | None = None) -> DataFrame:
-    """``id, n_tokens, ids_sha256, decoded_sha256`` per row, without keeping the ids."""
+    """``id``, the columns ``carry``, and ``n_tokens, ids_sha256, decoded_sha256`` per row, without ids and text."""
+    return _mapped(docs, id_col, text_col, carry, model_path, PrefixTable.digest,
+                   "n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def _mapped(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...], model_path: str | None, row,
+            columns: str) -> DataFrame:
+    """Identifier and carried columns cross to Python as text and get their types back."""
+    kept = [f"c{k}" for k in range(len(carry))]
+    names = [c.split()[0] for c in columns.split(", ")]
+
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table_ = prefix_table(model_path or default_model())
         for batch in batches:
-            rows = [table_.digest(t or "") for t in batch["text"]]
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            yield out.assign(id=batch["id"].to_numpy())[["id", "n_tokens", "ids_sha256", "decoded_sha256"]]
-
-    base = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = base.mapInPandas(kernel, "id string, n_tokens long, ids_sha256 string, decoded_sha256 string")
-    return out.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType))
+            for at in range(0, len(batch), SLICE_ROWS):
+                part = batch.iloc[at:at + SLICE_ROWS]
+                made = pd.DataFrame([row(table_, t or "") for t in part["text"]], columns=names, index=part.index)
+                yield pd.concat([part[["id", *kept]], made], axis=1)
+
+    base = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"),
+                       *[F.col(f"`{c}`").cast("string").alias(k) for c, k in zip(carry, kept)])
+    out = base.mapInPandas(kernel, ", ".join(["id string", *[f"{k} string" for k in kept], columns]))
+    return out.select(F.col("id").cast(docs.schema[id_col].dataType).alias("id"),
+                      *[F.col(k).cast(docs.schema[c].dataType).alias(c) for c, k in zip(carry, kept)], *names)
 
 
 @register("op4_sentencepiece")

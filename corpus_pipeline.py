@@ -41,8 +41,8 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every row, with the digests of ids and decoded text."""
     ship_package(spark)
-    made = docs.select("doc_id", "lang", "source", sentencepiece_bpe.encoder()("text").alias("made"))
-    return made.select("doc_id", "lang", "source", "made.n_tokens", "made.ids", "made.ids_sha256", "made.decoded_sha256")
+    made = sentencepiece_bpe.encode_documents(docs, carry=("lang", "source")).withColumnRenamed("id", "doc_id")
+    return made.drop("decoded")
 
 
 STAGES = [
