@@ -106,15 +106,15 @@ HEAVY_ELEMENTS = ["N", "O", "Si", "P", "S"]
 def element_count(formula, element: str) -> Column:
     """atom count of ``element`` from the last ``<El><digits>`` token.
 
-    Absent → 0, bare symbol → 1, symbol with digits → that number.  Like the
-    original rule, the pattern is a plain prefix match (``S`` also sees ``Si``).
+    Absent → 0, bare symbol → 1, symbol with digits → that number (all of its
+    digits; NULL beyond the integer range).  Like the original rule, the pattern is a plain prefix match (``S`` also sees ``Si``).
     """
-    toks = F.regexp_extract_all(_c(formula), F.lit(element + r"\d{0,2}"), 0)
+    toks = F.regexp_extract_all(_c(formula), F.lit(element + r"\d*"), 0)
     last = F.element_at(toks, -1)
     digits = F.regexp_replace(last, element, "")
     return (F.when(F.size(toks) == 0, F.lit(0))
             .when(digits == "", F.lit(1))
-            .otherwise(digits.cast("int")))
+            .otherwise(digits.try_cast("int")))
 
 
 def heavy_atom_count(formula) -> Column:

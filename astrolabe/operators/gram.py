@@ -71,23 +71,38 @@ def _xcols(x) -> list[Column]:
 def sufficient_stats(df: DataFrame, x: list, y, group: list | None = None) -> DataFrame:
     """Per group: ``n, sy, syy, sx_i, sxy_i, sxx_i_j (i <= j)`` as one hash aggregate.
 
-    For a handful of features (the fold / split / sweep queries) the sums are
-    plain aggregate columns; Spark combines them map-side, so the shuffle
-    carries one partial row per task and group.  Wide feature vectors use
-    :func:`vector_stats` instead.
+    The sums are taken around the column means of a first pass (``cx_i``, ``cy``,
+    literals on every row), so columns with a large offset lose no digits.  For a
+    handful of features (the fold / split / sweep queries) the sums are plain
+    aggregate columns; Spark combines them map-side, so the shuffle carries one
+    partial row per task and group.  Wide feature vectors use :func:`vector_stats`.
     """
-    xs = _xcols(x)
-    d = len(xs)
-    yy = _c(y).cast("double")
+    raw = [*_xcols(x), _c(y).cast("double")]
+    d = len(x)
+    means = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(raw)]).first()
+    center = [F.lit(float(m) if m is not None and np.isfinite(m) else 0.0) for m in means]
+    xs, yy = [c - m for c, m in zip(raw[:d], center)], raw[d] - center[d]
     aggs = [F.count(F.lit(1)).alias("n"), F.sum(yy).alias("sy"), F.sum(yy * yy).alias("syy")]
     aggs += [F.sum(xs[i]).alias(f"sx_{i}") for i in range(d)]
     aggs += [F.sum(xs[i] * yy).alias(f"sxy_{i}") for i in range(d)]
     aggs += [F.sum(xs[i] * xs[j]).alias(f"sxx_{i}_{j}") for i in range(d) for j in range(i, d)]
-    return df.groupBy(*(group or [])).agg(*aggs)
+    out = df.groupBy(*(group or [])).agg(*aggs)
+    return out.select("*", *[center[i].alias(f"cx_{i}") for i in range(d)], center[d].alias("cy"))
+
+
+def center_of(row, d: int):
+    """The point that a statistics row is centred on: ``(cx, cy)``."""
+    return np.array([row[f"cx_{i}"] for i in range(d)], float), float(row["cy"])
+
+
+def original_intercept(b0, w, center) -> float:
+    """Intercept in the columns' own coordinates, from one around ``center``."""
+    cx, cy = center
+    return float(b0 + cy - np.asarray(w) @ cx)
 
 
 def stats_to_arrays(row, d: int):
-    """One stats row (mapping) → (n, sx, sy, syy, xtx, xty) NumPy values."""
+    """One stats row (mapping) → (n, sx, sy, syy, xtx, xty) NumPy values, around its centre."""
     n = float(row["n"])
     sx = np.array([row[f"sx_{i}"] for i in range(d)], float)
     xty = np.array([row[f"sxy_{i}"] for i in range(d)], float)
@@ -130,8 +145,9 @@ def _stream_sum(frame: DataFrame, g: list[str]) -> DataFrame:
 
 
 def vector_stats(df: DataFrame, vec: str, y: str | None = None, group: list[str] | None = None,
-                 fan_in: int = 64) -> DataFrame:
-    """Gramian of a wide ``array<double>`` column: per group ``n, sx, sy, syy, xty, xtx``.
+                 fan_in: int = 64, centered: bool = True) -> DataFrame:
+    """Gramian of a wide ``array<double>`` column: per group ``n, sx, sy, syy, xty, xtx``,
+    around the means ``cx, cy`` of a first pass (around zero with ``centered=False``).
 
     Each task folds its rows into NumPy partial sums (one output row per task
     and group).  The partial rows are then reduced as a tree: round-robin into
@@ -143,6 +159,7 @@ def vector_stats(df: DataFrame, vec: str, y: str | None = None, group: list[str]
 
     g = list(group or [])
     cols = g + [vec] + ([y] if y else [])
+    cx, cy = _vector_means(df, vec, y) if centered else (None, 0.0)
     gschema = df.select(*g).schema
 
     def kernel(it):
@@ -152,7 +169,8 @@ def vector_stats(df: DataFrame, vec: str, y: str | None = None, group: list[str]
                 continue
             keys = list(pdf[g].itertuples(index=False, name=None)) if g else [()] * len(pdf)
             x = np.vstack(pdf[vec].to_numpy())
-            yy = pdf[y].to_numpy(dtype=float) if y else np.zeros(len(pdf))
+            x = x if cx is None else x - cx
+            yy = (pdf[y].to_numpy(dtype=float) if y else np.zeros(len(pdf))) - cy
             frame = pd.DataFrame({"__k": keys})
             for key, idx in frame.groupby("__k").indices.items():
                 xi, yi = x[idx], yy[idx]
@@ -182,11 +200,27 @@ def vector_stats(df: DataFrame, vec: str, y: str | None = None, group: list[str]
         level = _stream_sum(level.repartition(n), g)
         if n == 1:
             break
-    return level
+    at = F.array(*[F.lit(float(c)) for c in cx]) if cx is not None else F.transform("sx", lambda _: F.lit(0.0))
+    return level.withColumn("cx", at).withColumn("cy", F.lit(float(cy)))
+
 
+def _vector_means(df: DataFrame, vec: str, y: str | None):
+    """Means of the components and of ``y``: d + 1 numbers (None for an empty table)."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    row = df.select(vector_to_array(Summarizer.mean(array_to_vector(F.col(vec)))).alias("m"),
+                    (F.avg(_c(y).cast("double")) if y else F.lit(0.0)).alias("y")).first()
+    return (np.array(row.m, float), float(row.y or 0.0)) if row and row.m else (None, 0.0)
 
-def solve_ridge(n, sx, sy, xtx, xty, alpha: float = 0.0, intercept: bool = True):
-    """Coefficients from sufficient statistics; intercept unpenalised (centred solve)."""
+
+def solve_ridge(n, sx, sy, xtx, xty, alpha: float = 0.0, intercept: bool = True, center=None, normalize: bool = False):
+    """Intercept and coefficients from sufficient statistics; the intercept is unpenalised.
+
+    The intercept is in the statistics' own coordinates (see :func:`original_intercept`).
+    Without one, the fit goes through the columns' zero, which lies at ``-center``.
+    With ``normalize`` each centred column counts as divided by its length, so
+    its penalty is ``alpha`` times its sum of squares.
+    """
     d = len(sx)
     sx, xty = np.asarray(sx, float), np.asarray(xty, float)
     xtx = np.asarray(xtx, float).reshape(d, d)
@@ -195,11 +229,14 @@ def solve_ridge(n, sx, sy, xtx, xty, alpha: float = 0.0, intercept: bool = True)
         a = xtx - n * np.outer(mx, mx)
         b = xty - n * mx * my
     else:
-        a, b = xtx, xty
-    a = a + alpha * np.eye(d)
+        cx, cy = center if center is not None else (np.zeros(d), 0.0)
+        a = xtx + np.outer(sx, cx) + np.outer(cx, sx) + n * np.outer(cx, cx)
+        b = xty + sx * cy + cx * sy + n * cx * cy
+    a = a + alpha * (np.diag(np.diag(a)) if normalize and intercept else np.eye(d))
     w = np.linalg.lstsq(a, b, rcond=None)[0] if alpha == 0 else np.linalg.solve(a, b)
-    b0 = (sy / n - sx @ w / n) if intercept else 0.0
-    return float(b0), w
+    if intercept:
+        return float(sy / n - sx @ w / n), w
+    return float(w @ cx - cy), w
 
 
 def sse_from_stats(n, sx, sy, syy, xtx, xty, b0, w):
@@ -214,10 +251,16 @@ def sst_from_stats(n, sy, syy):
     return float(syy - sy * sy / n)
 
 
+def r2_from_stats(sse, n, sy, syy):
+    """1 - SSE / SST; None for a constant target."""
+    sst = sst_from_stats(n, sy, syy)
+    return 1 - sse / sst if sst > 1e-12 * max(1.0, abs(syy)) else None
+
+
 # ---- fold algebra: every fit is "all minus one fold" of the same statistics ---------------
 
 def fold_scores(stats: DataFrame, d: int, fold_col: str, alphas: list[float],
-                intercept: bool = True, digits: int | None = 6) -> DataFrame:
+                intercept: bool = True, digits: int | None = 6, normalize: bool = False) -> DataFrame:
     """Ridge (alpha=0: OLS) k-fold scores from per-fold statistics.
 
     Output ``alpha, fold, train_mse, test_mse, test_r2``.  The algebra runs in
@@ -228,17 +271,17 @@ def fold_scores(stats: DataFrame, d: int, fold_col: str, alphas: list[float],
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
         per = {r[fold_col]: stats_to_arrays(r, d) for _, r in pdf.iterrows()}
+        center = center_of(pdf.iloc[0], d)
         tot = [sum(v[i] for v in per.values()) for i in range(6)]
         for alpha in alphas:
             for f, (n_t, sx_t, sy_t, syy_t, xtx_t, xty_t) in sorted(per.items()):
                 n_r, sx_r, sy_r, syy_r = tot[0] - n_t, tot[1] - sx_t, tot[2] - sy_t, tot[3] - syy_t
                 xtx_r, xty_r = tot[4] - xtx_t, tot[5] - xty_t
-                b0, w = solve_ridge(n_r, sx_r, sy_r, xtx_r, xty_r, alpha, intercept)
+                b0, w = solve_ridge(n_r, sx_r, sy_r, xtx_r, xty_r, alpha, intercept, center, normalize)
                 tr = sse_from_stats(n_r, sx_r, sy_r, syy_r, xtx_r, xty_r, b0, w) / n_r
                 te_sse = sse_from_stats(n_t, sx_t, sy_t, syy_t, xtx_t, xty_t, b0, w)
-                r2 = 1 - te_sse / sst_from_stats(n_t, sy_t, syy_t)
-                rows.append((float(alpha), int(f), tr, te_sse / n_t, r2))
-        return pd.DataFrame(rows, columns=["alpha", "fold", "train_mse", "test_mse", "test_r2"])
+                rows.append((float(alpha), int(f), tr, te_sse / n_t, r2_from_stats(te_sse, n_t, sy_t, syy_t)))
+        return pd.DataFrame(rows, columns=["alpha", "fold", "train_mse", "test_mse", "test_r2"]).astype({"test_r2": object})
 
     out = stats.groupBy(F.lit(0).alias("__one")).applyInPandas(
         solve, "alpha double, fold long, train_mse double, test_mse double, test_r2 double")
@@ -257,6 +300,40 @@ def summarize_scores(scores: DataFrame, by: list[str], col: str = "test_mse", di
                       F.rank().over(w).alias("rank"))
 
 
+def grid_search(stats: DataFrame, d: int, fold_col: str, alphas: list[float], normalize: tuple[bool, ...] = (False,),
+                scoring: str = "mse") -> DataFrame:
+    """Every setting's cross-validated score, best first: ``alpha, normalize, mean_score, std_score, rank``.
+
+    ``scoring`` is ``mse`` (least is best) or ``r2`` (most is best; folds with a
+    constant target have none).  The folds are a column of the rows, so shuffled
+    and grouped folds come from how that column is made.
+    """
+    from pyspark.sql import Window
+    col = "test_mse" if scoring == "mse" else "test_r2"
+    parts = [fold_scores(stats, d, fold_col, alphas, digits=None, normalize=z).withColumn("normalize", F.lit(z)) for z in normalize]
+    scores = parts[0]
+    for part in parts[1:]:
+        scores = scores.unionByName(part)
+    agg = scores.groupBy("alpha", "normalize").agg(F.avg(col).alias("mean_score"), F.stddev_pop(col).alias("std_score"))
+    best = F.col("mean_score").asc_nulls_last() if scoring == "mse" else F.col("mean_score").desc_nulls_last()
+    return agg.withColumn("rank", F.rank().over(Window.orderBy(best)))  # one row per setting
+
+
+def refit_best(stats: DataFrame, d: int, settings: DataFrame) -> DataFrame:
+    """The best setting's fit on all folds: ``alpha, normalize, intercept, w0..`` (first of equal ones)."""
+    best = settings.orderBy("rank", "alpha", "normalize").first()
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        center = center_of(pdf.iloc[0], d)
+        n, sx, sy, _, xtx, xty = [sum(v) for v in zip(*(stats_to_arrays(r, d) for _, r in pdf.iterrows()))]
+        b0, w = solve_ridge(n, sx, sy, xtx, xty, best.alpha, normalize=best.normalize)
+        return pd.DataFrame([[best.alpha, best.normalize, original_intercept(b0, w, center), *w]],
+                            columns=["alpha", "normalize", "intercept"] + [f"w{i}" for i in range(d)])
+
+    schema = "alpha double, normalize boolean, intercept double, " + ", ".join(f"w{i} double" for i in range(d))
+    return stats.groupBy(F.lit(0).alias("__one")).applyInPandas(solve, schema)
+
+
 def split_scores(stats: DataFrame, d: int, split_col: str, test_col: str,
                  alpha: float = 0.0, intercept: bool = True) -> DataFrame:
     """Per split: fit on the train side's statistics, score both sides."""
@@ -268,7 +345,7 @@ def split_scores(stats: DataFrame, d: int, split_col: str, test_col: str,
         te = sides.get(True)
         if tr is None:
             return pd.DataFrame(columns=[split_col, "train_mse", "test_mse"])
-        b0, w = solve_ridge(tr[0], tr[1], tr[2], tr[4], tr[5], alpha, intercept)
+        b0, w = solve_ridge(tr[0], tr[1], tr[2], tr[4], tr[5], alpha, intercept, center_of(pdf.iloc[0], d))
         tr_mse = sse_from_stats(tr[0], tr[1], tr[2], tr[3], tr[4], tr[5], b0, w) / tr[0]
         te_mse = (sse_from_stats(te[0], te[1], te[2], te[3], te[4], te[5], b0, w) / te[0]) if te else np.nan
         return pd.DataFrame([[pdf[split_col].iloc[0], tr_mse, te_mse]], columns=[split_col, "train_mse", "test_mse"])
@@ -284,15 +361,17 @@ def best_fold_refit(stats: DataFrame, d: int, fold_col: str, alpha: float = 0.0)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         per = {int(r[fold_col]): stats_to_arrays(r, d) for _, r in pdf.iterrows()}
+        center = center_of(pdf.iloc[0], d)
         tot = [sum(v[i] for v in per.values()) for i in range(6)]
         best = None
         for f in sorted(per):
             n_t, sx_t, sy_t, syy_t, xtx_t, xty_t = per[f]
             args = [tot[i] - per[f][i] for i in range(6)]
             b0, w = solve_ridge(args[0], args[1], args[2], args[4], args[5], alpha)
-            r2 = 1 - sse_from_stats(n_t, sx_t, sy_t, syy_t, xtx_t, xty_t, b0, w) / sst_from_stats(n_t, sy_t, syy_t)
+            r2 = r2_from_stats(sse_from_stats(n_t, sx_t, sy_t, syy_t, xtx_t, xty_t, b0, w), n_t, sy_t, syy_t)
+            r2 = -np.inf if r2 is None else r2  # a fold with a constant target is never the best
             if best is None or r2 > best[0]:
-                best = (r2, f, b0, w)
+                best = (r2, f, original_intercept(b0, w, center), w)
         _, f, b0, w = best
         return pd.DataFrame([[f, round(b0, 6), *[round(x, 6) for x in w]]],
                             columns=["best_fold", "intercept"] + [f"w{i}" for i in range(d)])

@@ -27,12 +27,15 @@ MAX_LANDMARKS = 20_000
 
 @dataclass
 class Kernel:
-    """const * RBF(length) + rq_const * RationalQuadratic(rq_length, rq_alpha) + bias; noise on the diagonal."""
+    """const * RBF(length) + rq_const * RationalQuadratic(rq_length, rq_alpha) + dot_const * (dot_sigma² + a·b) + bias;
+    white noise on the diagonal."""
     const: float = 1.0
     length: float = 1.0
     rq_const: float = 0.0
     rq_length: float = 1.0
     rq_alpha: float = 1.0
+    dot_const: float = 0.0
+    dot_sigma: float = 1.0
     bias: float = 0.0
     noise: float = 1e-2
 
@@ -41,10 +44,13 @@ class Kernel:
         k = self.const * np.exp(-d2 / (2 * self.length ** 2)) + self.bias
         if self.rq_const:
             k = k + self.rq_const * (1 + d2 / (2 * self.rq_alpha * self.rq_length ** 2)) ** (-self.rq_alpha)
+        if self.dot_const:
+            k = k + self.dot_const * (self.dot_sigma ** 2 + a @ b.T)
         return k
 
     def diag(self, a: np.ndarray) -> np.ndarray:
-        return np.full(len(a), self.const + self.bias + self.rq_const)
+        same = np.full(len(a), self.const + self.bias + self.rq_const)
+        return same + self.dot_const * (self.dot_sigma ** 2 + (a * a).sum(axis=1)) if self.dot_const else same
 
 
 # ---- L7 / L8: Gaussian-process scoring -------------------------------------------------
@@ -54,8 +60,7 @@ class GPModel:
     kernel: Kernel
     landmarks: np.ndarray
     alpha: np.ndarray                # weights on landmark kernel features
-    kmm_inv: np.ndarray
-    sigma: np.ndarray                # posterior covariance of the landmark weights
+    root: np.ndarray                 # what the training rows take off the variance: |rootᵀ k_Z(x)|²
     include_noise: bool = False
     y_mean: float = 0.0
 
@@ -65,8 +70,7 @@ class GPModel:
     def predict_arrays(self, x: np.ndarray):
         ks = self._features(x)
         mean = ks.T @ self.alpha + self.y_mean
-        var = (self.kernel.diag(x) - np.einsum("ib,ij,jb->b", ks, self.kmm_inv, ks)
-               + np.einsum("ib,ij,jb->b", ks, self.sigma, ks))
+        var = self.kernel.diag(x) - ((self.root.T @ ks) ** 2).sum(axis=0)
         if self.include_noise:
             var = var + self.kernel.noise
         return mean, np.sqrt(np.clip(var, 0, None))
@@ -89,7 +93,7 @@ class GPModel:
 
     def covariance(self, xa: np.ndarray, xb: np.ndarray) -> np.ndarray:
         ka, kb = self._features(xa), self._features(xb)
-        return self.kernel(xa, xb) - ka.T @ self.kmm_inv @ kb + ka.T @ self.sigma @ kb
+        return self.kernel(xa, xb) - (self.root.T @ ka).T @ (self.root.T @ kb)
 
 
 def fit_gp(train: DataFrame, *, key: str, vec: str, target: str, kernel: Kernel,
@@ -103,9 +107,10 @@ def fit_gp(train: DataFrame, *, key: str, vec: str, target: str, kernel: Kernel,
     rows themselves (the default for a bounded training side), mean and
     variance are exactly those of the full GP.
     """
-    from astrolabe.operators.search import bounded_rows
     lm = landmarks if landmarks is not None else train
-    bounded_rows(lm, MAX_LANDMARKS, "GP landmarks")
+    n = lm.count()
+    if n > MAX_LANDMARKS:
+        raise ValueError(f"{n} landmarks exceed {MAX_LANDMARKS}: pass fewer (landmarks=); all training rows are used either way")
     zp = lm.select(key, vec).orderBy(key).toPandas()
     z = np.vstack(zp[vec].to_numpy())
     y_mean = 0.0
@@ -121,38 +126,40 @@ def fit_gp(train: DataFrame, *, key: str, vec: str, target: str, kernel: Kernel,
             yield pd.DataFrame({"phi": list(phi), "y": pdf[target].to_numpy(dtype=float) - y_mean})
 
     phi = train.select(vec, target).mapInPandas(feats, "phi array<double>, y double")
-    st = gram.vector_stats(phi, "phi", "y").collect()[0]
+    st = gram.vector_stats(phi, "phi", "y", centered=False).collect()[0]
     m = len(z)
     a = np.asarray(st["xtx"]).reshape(m, m)
     b = np.asarray(st["xty"])
-    kmm = k(z, z) + 1e-10 * np.eye(m)
-    sigma = np.linalg.inv(a / k.noise + kmm)
-    alpha = sigma @ b / k.noise
-    return GPModel(k, z, alpha, np.linalg.inv(kmm), sigma, include_noise, y_mean)
-
-
-def gp_covariance_table(model: GPModel, rows: DataFrame, *, key: str, vec: str) -> DataFrame:
-    """Posterior covariance among a bounded set of rows as ``(i, j, cov)``.
-
-    The (bounded) row set is shipped to the tasks; each task emits the
-    covariance of its own rows against all of them, so the m x m table is
-    produced in parallel, never on the driver.
+    # K_ZZ = L Lᵀ; in the basis of L the posterior is diagonal: I + E, with E the data's eigenvalues
+    low = np.linalg.cholesky(k(z, z) + 1e-10 * np.eye(m))
+    inner = np.linalg.solve(low, np.linalg.solve(low, a / k.noise).T)
+    e, q = np.linalg.eigh((inner + inner.T) / 2)
+    e = np.clip(e, 0.0, None)
+    basis = np.linalg.solve(low.T, q)
+    alpha = basis @ ((basis.T @ b) / k.noise / (1.0 + e))
+    return GPModel(k, z, alpha, basis * np.sqrt(e / (1.0 + e)), include_noise, y_mean)
+
+
+def gp_covariance_table(model: GPModel, rows: DataFrame, *, key: str, vec: str,
+                        max_chunk_rows: int | None = None) -> DataFrame:
+    """Posterior covariance among a set of rows as ``(i, j, cov)``; the result is the matrix.
+
+    The rows are shipped to the tasks one chunk at a time; each task emits the
+    covariance of its own rows against the chunk.
     """
-    from astrolabe.operators.search import bounded_rows
-    bounded_rows(rows, MAX_LANDMARKS, "GP covariance rows")
-    allp = rows.select(key, vec).toPandas()
-    x_all = np.vstack(allp[vec].to_numpy())
-    ids_all = allp[key].to_numpy().astype(np.int64)
-
-    def kernel(it):
-        for pdf in _split(it, len(ids_all)):
-            if len(pdf) == 0:
-                continue
-            cov = model.covariance(np.vstack(pdf[vec].to_numpy()), x_all)
-            i = np.repeat(pdf[key].to_numpy().astype(np.int64), len(ids_all))
-            yield pd.DataFrame({"i": i, "j": np.tile(ids_all, len(pdf)), "cov": cov.ravel()})
-
-    return rows.select(key, vec).mapInPandas(kernel, "i long, j long, cov double")
+    from astrolabe.operators import search
+    key_type = rows.schema[key].dataType.simpleString()
+    out = None
+    for n, ids, x, _ in search._chunks(rows, key, vec, [], max_chunk_rows or search.MAX_CHUNK_ROWS):
+        def kernel(it, ids=ids, x=x):
+            for pdf in _split(it, len(ids)):
+                if len(pdf) and len(ids):
+                    cov = model.covariance(np.vstack(pdf[vec].to_numpy()), x)
+                    yield pd.DataFrame({"i": np.repeat(pdf[key].to_numpy(), len(ids)), "j": np.tile(ids, len(pdf)), "cov": cov.ravel()})
+
+        part = search._settled(rows.select(key, vec).mapInPandas(kernel, f"i {key_type}, j {key_type}, cov double"), n)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 # ---- L3: Bayesian ridge -------------------------------------------------------------------
@@ -214,6 +221,7 @@ def fit_bayes_ridge(df: DataFrame, vec: str, target: str, n_iter: int = 300, tol
         if done:
             break
     sigma = np.linalg.inv(lam * np.eye(d) + alpha * cxx)
+    mx, my = mx + np.asarray(st["cx"]), my + float(st["cy"])  # back to the columns' own coordinates
     return BayesRidgeModel(coef, float(my - mx @ coef), float(alpha), float(lam), sigma, mx)
 
 
@@ -272,6 +280,7 @@ def fit_ridge_vec(df: DataFrame, vec: str, target: str, alpha: float = 1.0) -> L
     """L1/L2 on an array feature column: one Gramian pass, a d x d solve."""
     st = gram.vector_stats(df, vec, target).collect()[0]
     b0, w = gram.solve_ridge(float(st["n"]), st["sx"], float(st["sy"]), st["xtx"], st["xty"], alpha)
+    b0 = gram.original_intercept(b0, w, (np.asarray(st["cx"]), float(st["cy"])))
     return LinearModel(w, b0)
 
 

@@ -93,8 +93,9 @@ def fit_pca(df: DataFrame, vec: str, k: int | None = None) -> PCAModel:
     r = gram.vector_stats(df, vec).collect()[0]  # one row: n, sums, d x d Gramian
     n, sx, xtx = float(r["n"]), np.asarray(r["sx"]), np.asarray(r["xtx"])
     d = len(sx)
-    mean = sx / n
-    cov = xtx.reshape(d, d) / n - np.outer(mean, mean)
+    shift = sx / n  # from the centre of the statistics
+    cov = xtx.reshape(d, d) / n - np.outer(shift, shift)
+    mean = np.asarray(r["cx"]) + shift
     vals, vecs = np.linalg.eigh(cov)
     order = np.argsort(vals)[::-1]
     vals, vecs = np.clip(vals[order], 0, None), vecs[:, order].T

@@ -140,10 +140,12 @@ def group_bootstrap(df: DataFrame, key: str, group: str, test_size: float = 0.2,
     return out.select("draw_id", (~F.col("is_test")).alias("is_train"), key, F.col(group).alias("group_id"))
 
 
-def masked_resample(df: DataFrame, key: str, side: str, n_splits: int, fraction: float,
-                    seed: int = 42, stream: str = "mr") -> DataFrame:
+def masked_resample(df: DataFrame, key: str, side: str, n_splits: int, fraction: float | None = None,
+                    seed: int = 42, stream: str = "mr", n_rows: int | None = None) -> DataFrame:
     """Per split and side of a given mask, sample ``floor(fraction * n_side)``
-    rows without replacement (smallest hash draws)."""
+    rows, or ``n_rows`` of them (all, if fewer), without replacement (smallest hash draws)."""
+    if (fraction is None) == (n_rows is None):
+        raise ValueError("give a fraction or a number of rows")
     from astrolabe.operators import stats
 
     rows = df.select(key, side, seq_long(n_splits).alias("split_id"))
@@ -152,5 +154,6 @@ def masked_resample(df: DataFrame, key: str, side: str, n_splits: int, fraction:
     pos = stats.global_position(rows, ["split_id", side, "__u", key], "__pos")
     first = pos.groupBy("split_id", side).agg(F.min("__pos").alias("__first"), F.count(F.lit(1)).alias("__n"))
     pos = pos.join(F.broadcast(first), ["split_id", side])  # splits x 2 rows
-    keep = (F.col("__pos") - F.col("__first") + 1) <= F.floor(F.lit(fraction) * F.col("__n"))
+    most = F.lit(n_rows) if fraction is None else F.floor(F.lit(fraction) * F.col("__n"))
+    keep = (F.col("__pos") - F.col("__first") + 1) <= most
     return pos.where(keep).select("split_id", side, key)

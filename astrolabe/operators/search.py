@@ -3,12 +3,17 @@
 Shape of the work at scale: a *large* candidate table (millions to billions
 of vectors, partitioned across the cluster) against a *small* anchor table
 (an observed inventory, ~10^2-10^5 rows).  The anchor side is shipped to the
-tasks in size-checked chunks; each task runs a NumPy block kernel over its
-Arrow batches (re-sliced to a fixed cell budget) and emits only per-anchor
-partial top-k rows, never the ``m x n`` pairs.  Partial lists are merged in a
-tree of fan-in 64 when there are many candidate partitions, and Spark
-finishes the exact top-k with a ``row_number`` window, which Catalyst plans as
-``WindowGroupLimit`` (partial + final).
+tasks in chunks, one at a time: a chunk is collected, its pass runs, its
+partial result is checkpointed, and it is dropped before the next.  Each task
+runs a NumPy block kernel over its Arrow batches (re-sliced to a fixed cell
+budget) and emits only per-anchor partial top-k rows, never the ``m x n``
+pairs.  Partial lists are merged in a tree of fan-in 64 when there are many
+candidate partitions, and Spark finishes the exact top-k with a
+``row_number`` window, which Catalyst plans as ``WindowGroupLimit`` (partial +
+final).  Keys keep their type; results don't depend on the number of chunks.
+
+A distance that is not a number (cosine of a zero vector, NaN components)
+makes no neighbour: such pairs are left out everywhere.
 """
 
 from __future__ import annotations
@@ -26,34 +31,28 @@ from astrolabe.functions import vectors as V
 # Anchors / training rows shipped to every task per chunk (at d=300 about
 # 120 MB); larger sides are split into several chunks, each its own pass.
 MAX_CHUNK_ROWS = 50_000
-# Distance cells materialised at once inside a task (x 8 bytes ≈ 32 MB).
+# Distance cells materialised at once inside a task (x 8 bytes = 32 MB).
 CELL_BUDGET = 4_000_000
-# Greedy one-to-one assignment resolves Q x Q candidate rows in one group.
-MAX_GREEDY_QUERIES = 2_000
 
 
-def bounded_rows(df: DataFrame, max_rows: int, what: str) -> int:
-    """Count a side that is about to be shipped to every task; refuse if unbounded."""
-    n = df.count()
-    if n > max_rows:
-        raise ValueError(f"{what}: {n} rows exceeds the broadcast bound {max_rows}")
-    return n
-
+def _chunks(df: DataFrame, id_col: str, vec_col: str, extra: list[str], max_rows: int):
+    """The small side as ``(number of chunks, ids, matrix, extras)``, collected one chunk at a time."""
+    n_chunks = max(1, -(-df.count() // max_rows))
+    bucket = F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_chunks))
+    for i in range(n_chunks):
+        part = (df if n_chunks == 1 else df.where(bucket == i)).select(id_col, vec_col, *extra).toPandas()
+        part = part[part[vec_col].notna()]
+        yield (n_chunks, part[id_col].to_numpy(), V.stack(part[vec_col]),
+               {c: part[c].to_numpy() for c in extra})
 
-def _chunks(df: DataFrame, id_col: str, max_rows: int) -> list:
-    """The small side, ready to ship to the tasks.
 
-    One job collects at most ``max_rows + 1`` rows; if the side fits, that
-    pandas frame is the single chunk.  Otherwise the side is split into hash
-    chunks of about ``max_rows`` rows, each collected only when its pass runs.
-    """
-    first = df.limit(max_rows + 1).toPandas()
-    if len(first) <= max_rows:
-        return [first]
-    n = df.count()
-    n_chunks = max(2, -(-n // max_rows))
-    bucket = F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_chunks))
-    return [df.where(bucket == i) for i in range(n_chunks)]
+def _settled(df: DataFrame, n_chunks: int) -> DataFrame:
+    """With several chunks: run the pass now, so that its chunk can be dropped."""
+    if n_chunks == 1:
+        return df
+    from astrolabe.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def _split(it: Iterator[pd.DataFrame], other_rows: int) -> Iterator[pd.DataFrame]:
@@ -65,39 +64,59 @@ def _split(it: Iterator[pd.DataFrame], other_rows: int) -> Iterator[pd.DataFrame
             yield pdf.iloc[s:s + step]
 
 
-def _to_numpy(side, id_col: str, vec_col: str, extra: list[str] = ()):
-    """(ids, matrix, extras) of a chunk: a collected pandas frame or a DataFrame to collect."""
-    cols = [id_col, vec_col, *extra]
-    pdf = side[cols] if isinstance(side, pd.DataFrame) else side.select(*cols).toPandas()
-    return pdf[id_col].to_numpy(), V.stack(pdf[vec_col]), {c: pdf[c].to_numpy() for c in extra}
+def _codes(ids: np.ndarray) -> np.ndarray:
+    """Order codes of keys of any type, for tie-breaking."""
+    return ids if ids.dtype.kind in "iu" else np.unique(ids.astype(str), return_inverse=True)[1]
 
 
-def _topk_rows(d: np.ndarray, ids: np.ndarray, k: int):
-    """Per row of ``d`` the k smallest by (distance, id). ``ids`` is 2-D like ``d``."""
-    order = np.lexsort((ids, d), axis=-1)[:, :k]
-    rows = np.arange(d.shape[0])[:, None]
-    return d[rows, order], ids[rows, order]
+def _nearest(d: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Per row of ``d`` the positions of the ``k`` smallest by (distance, key); NaN last.
+
+    ``ids`` has one key per column.  Only the columns at or below a row's k-th
+    distance are sorted.
+    """
+    d = np.where(np.isnan(d), np.inf, d)
+    codes, k = _codes(ids), min(k, d.shape[1])
+    if k == 0:
+        return np.empty((len(d), 0), dtype=np.int64)
+    limit = np.partition(d, k - 1, axis=1)[:, k - 1]
+    out = np.empty((len(d), k), dtype=np.int64)
+    for r in range(len(d)):
+        near = np.flatnonzero(d[r] <= limit[r])
+        out[r] = near[np.lexsort((codes[near], d[r][near]))][:k]
+    return out
 
 
 # --------------------------------------------------------------------------
 # Exact top-k per anchor, optional near-duplicate exclusion
 # --------------------------------------------------------------------------
 
-def _close_candidates(candidates: DataFrame, anchors: DataFrame, cand_id: str,
-                      anchor_vec: str, vec: str, metric: str, within: float) -> DataFrame:
-    """Candidate ids within ``within`` of at least one anchor (J5 helper)."""
-    a_ids, a_mat, _ = _to_numpy(anchors, list(anchors.columns)[0], anchor_vec)
+def _far_from(a_mat: np.ndarray, metric: str, within: float):
+    """Column function of a vector: no row of ``a_mat`` is within ``within``."""
+    @F.pandas_udf("boolean")
+    def far(vec: pd.Series) -> pd.Series:
+        out = np.ones(len(vec), dtype=bool)
+        step = max(1, CELL_BUDGET // max(1, len(a_mat)))
+        for s in range(0, len(vec), step):
+            part = vec.iloc[s:s + step]
+            known = part.notna().to_numpy()
+            if known.any() and len(a_mat):
+                d = V.pair_distances(a_mat, V.stack(part[known]), metric)
+                out[np.arange(s, s + len(part))[known]] = ~(np.abs(d) <= within).any(axis=0)
+        return pd.Series(out)
+
+    return far.asNondeterministic()
 
-    def kernel(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in _split(it, len(a_mat)):
-            if len(pdf) == 0:
-                continue
-            d = V.pair_distances(a_mat, V.stack(pdf[vec]), metric)
-            hit = (np.abs(d) <= within).any(axis=0)
-            yield pd.DataFrame({cand_id: pdf[cand_id].to_numpy()[hit]})
 
-    schema = candidates.select(cand_id).schema
-    return candidates.select(cand_id, vec).mapInPandas(kernel, schema)
+def distance_anti_join(candidates: DataFrame, anchors: DataFrame, within: float, *,
+                       cand_id: str = "vec_id", anchor_id: str = "anchor_id",
+                       vec: str = "vec", anchor_vec: str = "vec", metric: str = "euclidean",
+                       max_chunk_rows: int = MAX_CHUNK_ROWS) -> DataFrame:
+    """Drop candidates within ``within`` of any anchor; a filter on the vector, no shuffle."""
+    out = candidates
+    for n, _, a_mat, _ in _chunks(anchors, anchor_id, anchor_vec, [], max_chunk_rows):
+        out = _settled(out.where(_far_from(a_mat, metric, within)(F.col(vec))), n)
+    return out
 
 
 def knn_topk(candidates: DataFrame, anchors: DataFrame, k: int, *,
@@ -112,70 +131,69 @@ def knn_topk(candidates: DataFrame, anchors: DataFrame, k: int, *,
     *any* anchor is ``<= exclude_within`` is removed first (this also removes
     the anchors themselves when they are part of the candidate table).
 
-    With ``anchor_target`` (and a single anchor chunk) a ``prediction`` column
-    is added: the uniform kNN regression (L4) of each emitted candidate over
-    the anchors, from the distances already computed for the top-k, so every
-    anchor x candidate distance is computed exactly once.
+    With ``anchor_target`` a ``prediction`` column is added: the uniform kNN
+    regression (L4) of each emitted candidate over the anchors.  In a single
+    chunk it comes from the distances already computed for the top-k, for the
+    surviving rows only; with several chunks the chosen candidates (anchors x k
+    at most) are predicted in a second pass.
     """
     tcol = F.col(anchor_target).cast("double") if anchor_target else F.lit(None).cast("double")
     anchors = anchors.select(F.col(anchor_id).alias("__aid"), F.col(anchor_vec).alias("__avec"),
                              tcol.alias("__ay"))
-    chunks = _chunks(anchors, "__aid", max_chunk_rows)
-    with_pred = anchor_target is not None and len(chunks) == 1
-    cands = candidates.select(F.col(cand_id).alias("__cid"), F.col(vec).alias("__cvec"))
-    fused_exclusion = exclude_within is not None and len(chunks) == 1
-    if exclude_within is not None and not fused_exclusion:
-        close = None
-        for ch in chunks:
-            part = _close_candidates(cands, ch, "__cid", "__avec", "__cvec", metric, exclude_within)
-            close = part if close is None else close.unionByName(part)
-        cands = cands.join(close.distinct(), "__cid", "left_anti")
-
-    out_schema = "anchor_id long, entry long, distance double, prediction double"
+    cands = candidates.select(F.col(cand_id).alias("__cid"), F.col(vec).alias("__cvec")).where("__cvec IS NOT NULL")
+    several = anchors.count() > max_chunk_rows
+    if exclude_within is not None and several:
+        cands = distance_anti_join(cands, anchors, exclude_within, anchor_id="__aid", vec="__cvec", anchor_vec="__avec",
+                                   metric=metric, max_chunk_rows=max_chunk_rows)
+    aid_type, cid_type = anchors.schema["__aid"].dataType.simpleString(), cands.schema["__cid"].dataType.simpleString()
+    out_schema = f"anchor_id {aid_type}, entry {cid_type}, distance double, prediction double"
+    with_pred = anchor_target is not None
     partials = None
-    for ch in chunks:
-        a_ids, a_mat, ex = _to_numpy(ch, "__aid", "__avec", ["__ay"])
-        a_ids = a_ids.astype(np.int64)
+    for n_chunks, a_ids, a_mat, ex in _chunks(anchors, "__aid", "__avec", ["__ay"], max_chunk_rows):
         a_y = ex["__ay"].astype(np.float64)
-        thr = exclude_within if fused_exclusion else None
+        thr = None if several else exclude_within
 
         def kernel(it: Iterator[pd.DataFrame], a_ids=a_ids, a_mat=a_mat, a_y=a_y, thr=thr):
             m = len(a_ids)
-            kp = min(predict_k, m)
-            best_d = np.empty((m, 0))
-            best_i = np.empty((m, 0), dtype=np.int64)
-            best_p = np.empty((m, 0))
+            best = None
             for pdf in _split(it, m):
                 if len(pdf) == 0 or m == 0:
                     continue
-                ids = pdf["__cid"].to_numpy().astype(np.int64)
+                ids = pdf["__cid"].to_numpy()
                 d = V.pair_distances(a_mat, V.stack(pdf["__cvec"]), metric)
                 if thr is not None:
                     keep = ~(np.abs(d) <= thr).any(axis=0)
                     d, ids = d[:, keep], ids[keep]
-                if with_pred and d.shape[1]:
-                    # per candidate column: nearest kp anchors by (distance, anchor id)
-                    near = np.lexsort((np.broadcast_to(a_ids[:, None], d.shape), d), axis=0)[:kp]
-                    pred = a_y[near].mean(axis=0)
-                else:
-                    pred = np.full(d.shape[1], np.nan)
-                d = np.concatenate([best_d, d], axis=1)
-                i2 = np.concatenate([best_i, np.broadcast_to(ids, (m, len(ids)))], axis=1)
-                p2 = np.concatenate([best_p, np.broadcast_to(pred, (m, len(pred)))], axis=1)
-                order = np.lexsort((i2, d), axis=-1)[:, :k]
-                rows = np.arange(m)[:, None]
-                best_d, best_i, best_p = d[rows, order], i2[rows, order], p2[rows, order]
-            if best_d.shape[1]:
-                yield pd.DataFrame({"anchor_id": np.repeat(a_ids, best_d.shape[1]),
-                                    "entry": best_i.ravel(), "distance": best_d.ravel(),
-                                    "prediction": best_p.ravel()})
-
-        part = cands.mapInPandas(kernel, out_schema)
+                near = _nearest(d, ids, k)
+                if near.shape[1] == 0:
+                    continue
+                rows = np.repeat(np.arange(m), near.shape[1])
+                cols = near.ravel()
+                pred = np.full(d.shape[1], np.nan)
+                if with_pred and not several:
+                    used = np.unique(cols)
+                    pred[used] = _mean_target(d[:, used].T, a_ids, a_y, predict_k)
+                cur = pd.DataFrame({"__row": rows, "entry": ids[cols], "distance": d[rows, cols], "prediction": pred[cols]})
+                cur = cur[cur["distance"].notna()]
+                cur = cur if best is None else pd.concat([best, cur], ignore_index=True)
+                best = cur.sort_values(["__row", "distance", "entry"], kind="mergesort").groupby("__row", sort=False).head(k)
+            if best is not None and len(best):
+                yield pd.DataFrame({"anchor_id": a_ids[best["__row"].to_numpy()], "entry": best["entry"].to_numpy(),
+                                    "distance": best["distance"].to_numpy(), "prediction": best["prediction"].to_numpy()})
+
+        part = _settled(cands.mapInPandas(kernel, out_schema), n_chunks)
         partials = part if partials is None else partials.unionByName(part)
 
     partials = _tree_topk(partials, k, "anchor_id", ["distance", "entry"])
     w = Window.partitionBy("anchor_id").orderBy("distance", "entry")
     out = partials.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    if with_pred and several:
+        out = out.drop("prediction")
+        chosen = cands.join(out.select(F.col("entry").alias("__cid")).distinct(), "__cid", "left_semi")
+        pred = knn_regress(chosen, anchors, predict_k, query_id="__cid", train_id="__aid", target="__ay", vec="__cvec",
+                           train_vec="__avec", metric=metric, max_chunk_rows=max_chunk_rows)
+        out = (out.join(pred.withColumnRenamed("__cid", "entry"), "entry", "left")
+               .select("anchor_id", "entry", "distance", "prediction", "rank"))
     return out if with_pred else out.drop("prediction")
 
 
@@ -214,54 +232,97 @@ def _tree_topk(partials: DataFrame, k: int, group: str, order: list[str], fan_in
 # L4: k-nearest-neighbour regression (training side small, queries large)
 # --------------------------------------------------------------------------
 
+def _mean_target(d: np.ndarray, ids: np.ndarray, y: np.ndarray, k: int, weights: str = "uniform") -> np.ndarray:
+    """Per row of ``d`` the (weighted) mean target of its ``k`` nearest columns; NaN without any."""
+    near = _nearest(d, ids, k)
+    dist = np.take_along_axis(d, near, axis=1)
+    known = ~np.isnan(dist)
+    if weights == "uniform":
+        w = known.astype(float)
+    else:  # neighbours at distance zero take all the weight
+        zero = (dist == 0) & known
+        with np.errstate(divide="ignore"):
+            w = np.where(zero.any(axis=1, keepdims=True), zero, np.where(known, 1.0 / np.where(known, dist, 1.0), 0.0))
+    total = w.sum(axis=1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where(total > 0, (w * y[near]).sum(axis=1) / total, np.nan)
+
+
 def knn_neighbours(queries: DataFrame, train: DataFrame, k: int, *, query_id: str,
                    train_id: str, target: str, vec: str = "vec", train_vec: str = "vec",
                    metric: str = "euclidean", max_chunk_rows: int = MAX_CHUNK_ROWS) -> DataFrame:
-    """For each query row its k nearest training rows: ``(qid, tid, distance, y, rank)``."""
+    """For each query row its k nearest training rows: ``(qid, tid, distance, y, rank)``.
+
+    With one chunk the kernel's lists are final; several chunks' lists are merged per query.
+    """
     tr = train.select(F.col(train_id).alias("__tid"), F.col(train_vec).alias("__tvec"),
                       F.col(target).cast("double").alias("__y"))
-    qs = queries.select(F.col(query_id).alias("__qid"), F.col(vec).alias("__qvec"))
-    partials = None
-    for ch in _chunks(tr, "__tid", max_chunk_rows):
-        t_ids, t_mat, ex = _to_numpy(ch, "__tid", "__tvec", ["__y"])
-        t_ids, t_y = t_ids.astype(np.int64), ex["__y"].astype(np.float64)
+    qs = queries.select(F.col(query_id).alias("__qid"), F.col(vec).alias("__qvec")).where("__qvec IS NOT NULL")
+    schema = (f"qid {qs.schema['__qid'].dataType.simpleString()}, tid {tr.schema['__tid'].dataType.simpleString()}, "
+              "distance double, y double, rank int")
+    partials, n = None, 1
+    for n, t_ids, t_mat, ex in _chunks(tr, "__tid", "__tvec", ["__y"], max_chunk_rows):
+        t_y = ex["__y"].astype(np.float64)
 
         def kernel(it, t_ids=t_ids, t_mat=t_mat, t_y=t_y):
-            kk = min(k, len(t_ids))
             for pdf in _split(it, len(t_ids)):
-                if len(pdf) == 0 or kk == 0:
+                if len(pdf) == 0 or len(t_ids) == 0:
                     continue
-                q = pdf["__qid"].to_numpy().astype(np.int64)
                 d = V.pair_distances(V.stack(pdf["__qvec"]), t_mat, metric)
-                ids = np.broadcast_to(t_ids, d.shape)
-                bd, bi = _topk_rows(d, ids, kk)
-                pos = np.searchsorted(np.sort(t_ids), bi)
-                y_sorted = t_y[np.argsort(t_ids)]
-                yield pd.DataFrame({"qid": np.repeat(q, kk), "tid": bi.ravel(),
-                                    "distance": bd.ravel(), "y": y_sorted[pos].ravel()})
-
-        part = qs.mapInPandas(kernel, "qid long, tid long, distance double, y double")
+                near = _nearest(d, t_ids, k)
+                kk, cols = near.shape[1], near.ravel()
+                rows = np.repeat(np.arange(len(pdf)), kk)
+                out = pd.DataFrame({"qid": pdf["__qid"].to_numpy()[rows], "tid": t_ids[cols], "distance": d[rows, cols],
+                                    "y": t_y[cols], "rank": np.tile(np.arange(1, kk + 1, dtype=np.int32), len(pdf))})
+                yield out[out["distance"].notna()]
+
+        part = _settled(qs.mapInPandas(kernel, schema), n)
         partials = part if partials is None else partials.unionByName(part)
+    if n == 1:
+        return partials
     w = Window.partitionBy("qid").orderBy("distance", "tid")
     return partials.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def knn_regress(queries: DataFrame, train: DataFrame, k: int, *, query_id: str,
-                train_id: str, target: str, weights: str = "uniform", **kw) -> DataFrame:
+                train_id: str, target: str, weights: str = "uniform", vec: str = "vec", train_vec: str = "vec",
+                metric: str = "euclidean", max_chunk_rows: int = MAX_CHUNK_ROWS) -> DataFrame:
     """L4: prediction = mean (uniform) or 1/d-weighted mean of the k nearest targets.
 
     With distance weights, neighbours at distance zero take all the weight
-    (their plain mean), as in the common kNN regressor definition.
+    (their plain mean), as in the common kNN regressor definition.  A query
+    without a neighbour (a zero vector under cosine) has a NULL prediction.
     """
-    nb = knn_neighbours(queries, train, k, query_id=query_id, train_id=train_id,
-                        target=target, **kw)
+    if train.count() <= max_chunk_rows:  # the kernel sees all neighbours: no shuffle
+        tr = train.select(F.col(train_id).alias("__tid"), F.col(train_vec).alias("__tvec"),
+                          F.col(target).cast("double").alias("__y"))
+        _, t_ids, t_mat, ex = next(_chunks(tr, "__tid", "__tvec", ["__y"], max_chunk_rows))
+        t_y = ex["__y"].astype(np.float64)
+
+        @F.pandas_udf("double")
+        def predict(v: pd.Series) -> pd.Series:
+            out = np.full(len(v), np.nan)
+            step = max(1, CELL_BUDGET // max(1, len(t_ids)))
+            for s in range(0, len(v), step):
+                part = v.iloc[s:s + step]
+                known = part.notna().to_numpy()
+                if known.any() and len(t_ids):
+                    d = V.pair_distances(V.stack(part[known]), t_mat, metric)
+                    out[np.arange(s, s + len(part))[known]] = _mean_target(d, t_ids, t_y, k, weights)
+            return pd.Series(out)
+
+        p = predict(F.col(vec))
+        return queries.select(query_id, p.alias("prediction")).withColumn(
+            "prediction", F.when(F.isnan("prediction"), None).otherwise(F.col("prediction")))
+    nb = knn_neighbours(queries, train, k, query_id=query_id, train_id=train_id, target=target, vec=vec,
+                        train_vec=train_vec, metric=metric, max_chunk_rows=max_chunk_rows)
     if weights == "uniform":
         pred = F.avg("y")
     else:
         zero = F.col("distance") == 0
         pred = F.coalesce(
             F.avg(F.when(zero, F.col("y"))),
-            F.sum(F.col("y") / F.col("distance")) / F.sum(1.0 / F.col("distance")))
+            F.sum(F.try_divide(F.col("y"), F.col("distance"))) / F.sum(F.try_divide(F.lit(1.0), F.col("distance"))))
     return nb.groupBy(F.col("qid").alias(query_id)).agg(pred.alias("prediction"))
 
 
@@ -273,27 +334,102 @@ def cluster_semi_join(candidates: DataFrame, anchors: DataFrame, cluster_col: st
                       anchor_cluster_col: str | None = None) -> DataFrame:
     """Keep candidates whose cluster id occurs among the anchors' clusters.
 
-    The right side is the distinct cluster ids (bounded by the number of
-    clusters), so it is broadcast; if the candidate table is partitioned by
-    the cluster column, dynamic partition pruning skips whole directories.
+    The right side is the distinct cluster ids; Spark broadcasts it when its
+    size allows.  If the candidate table is partitioned by the cluster column,
+    dynamic partition pruning skips whole directories.
     """
     keys = anchors.select(F.col(anchor_cluster_col or cluster_col).alias(cluster_col)).distinct()
-    bounded_rows(keys, MAX_CHUNK_ROWS, "anchor cluster ids")  # proven bound before broadcasting
-    return candidates.join(F.broadcast(keys), cluster_col, "left_semi")
+    return candidates.join(keys, cluster_col, "left_semi")
 
 
-def distance_anti_join(candidates: DataFrame, anchors: DataFrame, within: float, *,
-                       cand_id: str = "vec_id", anchor_id: str = "anchor_id",
-                       vec: str = "vec", anchor_vec: str = "vec", metric: str = "euclidean",
-                       max_chunk_rows: int = MAX_CHUNK_ROWS) -> DataFrame:
-    """Drop candidates within ``within`` of any anchor."""
-    a = anchors.select(F.col(anchor_id).alias("__aid"), F.col(anchor_vec).alias("__avec"))
-    close = None
-    for ch in _chunks(a, "__aid", max_chunk_rows):
-        part = _close_candidates(candidates.select(cand_id, vec), ch, cand_id, "__avec", vec,
-                                 metric, within)
-        close = part if close is None else close.unionByName(part)
-    return candidates.join(close.distinct(), cand_id, "left_anti")
+def _profile_kernel(it, vec, metric, a_mat, per_batch):
+    """Feed ``per_batch`` with the distances of each slice of candidates, without pairs that have none."""
+    for pdf in _split(it, len(a_mat)):
+        pdf = pdf[pdf[vec].notna()]
+        if len(pdf) and len(a_mat):
+            per_batch(pdf, V.pair_distances(a_mat, V.stack(pdf[vec]), metric))
+
+
+def profile_pairs(candidates: DataFrame, anchors: DataFrame, probs: list[float], *, anchor_id: str = "anchor_id",
+                  vec: str = "vec", anchor_vec: str = "vec", metric: str = "euclidean",
+                  max_chunk_rows: int = MAX_CHUNK_ROWS) -> tuple[dict, list]:
+    """Moments (``n, min, max, mean, m2``) and exact percentiles of all anchor x candidate distances.
+
+    No pair leaves its task: the kernel keeps per-task moments and bin counts,
+    and a few refining passes (see ``stats.select_ranks``) find the values at
+    the wanted ranks.  The driver sees one row per pass and bin.
+    """
+    from astrolabe.operators import stats
+
+    def passes(make):
+        """Rows of one pass over all chunks; ``make(rows)`` returns the per-batch function that fills ``rows``."""
+        got = []
+        for _, _, a_mat, _ in _chunks(anchors, anchor_id, anchor_vec, [], max_chunk_rows):
+            def kernel(it, a_mat=a_mat):
+                rows = {}
+                _profile_kernel(it, vec, metric, a_mat, make(rows))
+                if rows:
+                    yield pd.DataFrame([(*key, *values) for key, values in rows.items()],
+                                       columns=["iv", "bin", "n", "lo", "hi", "mean", "m2"])
+
+            part = candidates.select(vec).mapInPandas(
+                kernel, "iv long, bin long, n long, lo double, hi double, mean double, m2 double")
+            # moments of the tasks merge around the mean of their means, which keeps the digits
+            middle = F.avg("mean").over(Window.partitionBy("iv", "bin"))
+            got += (part.withColumn("mid", middle).groupBy("iv", "bin").agg(
+                F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+                (F.first("mid") + F.sum(F.col("n") * (F.col("mean") - F.col("mid"))) / F.sum("n")).alias("mean"),
+                F.sum("m2").alias("m2"), F.sum(F.col("n") * (F.col("mean") - F.col("mid")) ** 2).alias("between"),
+                (F.sum(F.col("n") * (F.col("mean") - F.col("mid"))) / F.sum("n")).alias("shift")).collect())
+        return got
+
+    def moments(rows):
+        def add(pdf, d):
+            d = d[~np.isnan(d)]
+            if not len(d):
+                return
+            n, mean = len(d), float(d.mean())
+            m2 = float(((d - mean) ** 2).sum())
+            if (0, 0) in rows:
+                n0, lo, hi, mean0, m20 = rows[(0, 0)]
+                total = n0 + n
+                rows[(0, 0)] = (total, min(lo, d.min()), max(hi, d.max()), mean0 + (mean - mean0) * n / total,
+                                m20 + m2 + (mean - mean0) ** 2 * n0 * n / total)
+            else:
+                rows[(0, 0)] = (n, d.min(), d.max(), mean, m2)
+        return add
+
+    whole = {"n": 0, "min": None, "max": None, "mean": None, "m2": 0.0}
+    for r in passes(moments):
+        m2 = r.m2 + r.between - r.n * r["shift"] ** 2
+        n0, total = whole["n"], whole["n"] + r.n
+        mean0 = whole["mean"] if n0 else r["mean"]
+        whole = {"n": total, "min": r.lo if not n0 else min(whole["min"], r.lo), "max": r.hi if not n0 else max(whole["max"], r.hi),
+                 "mean": mean0 + (r["mean"] - mean0) * r.n / total, "m2": whole["m2"] + m2 + (r["mean"] - mean0) ** 2 * n0 * r.n / total}
+
+    def histogram(intervals, bins):
+        def counts(rows):
+            def add(pdf, d):
+                d = d[~np.isnan(d)]
+                for i, (a, b) in enumerate(intervals):
+                    part = d[(d >= a) & (d <= b)]
+                    at = np.minimum(((part - a) / (b - a) * bins).astype(np.int64), bins - 1)
+                    order = np.argsort(at, kind="stable")
+                    used, first, size = np.unique(at[order], return_index=True, return_counts=True)
+                    if not len(used):
+                        continue
+                    low, high = np.minimum.reduceat(part[order], first), np.maximum.reduceat(part[order], first)
+                    for u, c, lo, hi in zip(used.tolist(), size.tolist(), low.tolist(), high.tolist()):
+                        old = rows.get((i, u), (0, lo, hi, 0.0, 0.0))
+                        rows[(i, u)] = (old[0] + c, min(old[1], lo), max(old[2], hi), 0.0, 0.0)
+            return add
+        found = {}
+        for r in passes(counts):
+            old = found.get((r.iv, r.bin), (0, r.lo, r.hi))
+            found[(r.iv, r.bin)] = (old[0] + r.n, min(old[1], r.lo), max(old[2], r.hi))
+        return found
+
+    return whole, stats.percentiles_by_rank(whole["n"], whole["min"], whole["max"], probs, histogram)
 
 
 def pair_distances(candidates: DataFrame, anchors: DataFrame, *, cand_id: str = "vec_id",
@@ -301,39 +437,59 @@ def pair_distances(candidates: DataFrame, anchors: DataFrame, *, cand_id: str =
                    metric: str = "euclidean", max_chunk_rows: int = MAX_CHUNK_ROWS) -> DataFrame:
     """All anchor x candidate distances as rows ``(anchor_id, entry, distance)``.
 
-    Used where the reference aggregates over every pair (A6, A7).  The anchor
-    side is bounded and chunked; output grows as anchors x candidates.
+    For matrices whose pairs are the result (F2, A16); profiles over pairs use
+    :func:`profile_pairs`.  The anchor side is chunked; output grows as anchors x candidates.
     """
     a = anchors.select(F.col(anchor_id).alias("__aid"), F.col(anchor_vec).alias("__avec"))
+    c = candidates.select(F.col(cand_id).alias("__cid"), F.col(vec).alias("__cvec")).where("__cvec IS NOT NULL")
+    schema = (f"anchor_id {a.schema['__aid'].dataType.simpleString()}, entry {c.schema['__cid'].dataType.simpleString()}, "
+              "distance double")
     out = None
-    for ch in _chunks(a, "__aid", max_chunk_rows):
-        a_ids, a_mat, _ = _to_numpy(ch, "__aid", "__avec")
-        a_ids = a_ids.astype(np.int64)
-
+    for n, a_ids, a_mat, _ in _chunks(a, "__aid", "__avec", [], max_chunk_rows):
         def kernel(it, a_ids=a_ids, a_mat=a_mat):
             for pdf in _split(it, len(a_ids)):
-                if len(pdf) == 0:
+                if len(pdf) == 0 or len(a_ids) == 0:
                     continue
-                ids = pdf[cand_id].to_numpy().astype(np.int64)
-                d = V.pair_distances(a_mat, V.stack(pdf[vec]), metric)
-                yield pd.DataFrame({"anchor_id": np.repeat(a_ids, len(ids)),
-                                    "entry": np.tile(ids, len(a_ids)), "distance": d.ravel()})
+                ids = pdf["__cid"].to_numpy()
+                d = V.pair_distances(a_mat, V.stack(pdf["__cvec"]), metric)
+                rows = pd.DataFrame({"anchor_id": np.repeat(a_ids, len(ids)),
+                                     "entry": np.tile(ids, len(a_ids)), "distance": d.ravel()})
+                yield rows[rows["distance"].notna()]
 
-        part = candidates.select(cand_id, vec).mapInPandas(
-            kernel, "anchor_id long, entry long, distance double")
+        part = _settled(c.mapInPandas(kernel, schema), n)
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def mean_distances(candidates: DataFrame, anchors: DataFrame, *, cand_id: str = "vec_id", anchor_id: str = "anchor_id",
+                   vec: str = "vec", anchor_vec: str = "vec", metric: str = "euclidean",
+                   max_chunk_rows: int = MAX_CHUNK_ROWS) -> DataFrame:
+    """``(entry, mean_d)``: mean distance of each candidate to all anchors, made in the kernel."""
+    c = candidates.select(F.col(cand_id).alias("entry"), F.col(vec).alias("__cvec")).where("__cvec IS NOT NULL")
+    schema = f"entry {c.schema['entry'].dataType.simpleString()}, s double, n long"
+    out, n = None, 1
+    for n, _, a_mat, _ in _chunks(anchors, anchor_id, anchor_vec, [], max_chunk_rows):
+        def kernel(it, a_mat=a_mat):
+            for pdf in _split(it, len(a_mat)):
+                if len(pdf) == 0 or len(a_mat) == 0:
+                    continue
+                d = V.pair_distances(a_mat, V.stack(pdf["__cvec"]), metric)
+                yield pd.DataFrame({"entry": pdf["entry"].to_numpy(), "s": np.nansum(d, axis=0), "n": (~np.isnan(d)).sum(axis=0)})
+
+        part = _settled(c.mapInPandas(kernel, schema), n)
+        out = part if out is None else out.unionByName(part)
+    if n > 1:
+        out = out.groupBy("entry").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    return out.where("n > 0").select("entry", (F.col("s") / F.col("n")).alias("mean_d"))
+
+
 def rec_counts(topk: DataFrame) -> DataFrame:
     """A5: how many anchors recommended each candidate."""
     return topk.groupBy("entry").agg(F.count(F.lit(1)).alias("counts"))
 
 
-def pairwise_similarity(df: DataFrame, *, key: str = "vec_id", vec: str = "vec",
-                        max_rows: int = MAX_CHUNK_ROWS) -> DataFrame:
-    """cosine similarity of every pair ``i <= j`` of a bounded set (symmetry used)."""
-    bounded_rows(df, max_rows, "pairwise_similarity")
+def pairwise_similarity(df: DataFrame, *, key: str = "vec_id", vec: str = "vec") -> DataFrame:
+    """cosine similarity of every pair ``i <= j`` of a list (symmetry used); the result is the matrix."""
     renamed = df.select(F.col(key).alias("anchor_id"), F.col(vec).alias("__v"))
     d = pair_distances(df.select(key, vec), renamed, cand_id=key, anchor_id="anchor_id",
                        vec=vec, anchor_vec="__v", metric="cosine")
@@ -344,77 +500,69 @@ def pairwise_similarity(df: DataFrame, *, key: str = "vec_id", vec: str = "vec",
 
 def greedy_assignment(candidates: DataFrame, queries: DataFrame, *, cand_id: str = "vec_id",
                       query_id: str = "anchor_id", query_order: str | None = None,
-                      vec: str = "vec", query_vec: str = "vec", metric: str = "euclidean") -> DataFrame:
+                      vec: str = "vec", query_vec: str = "vec", metric: str = "euclidean",
+                      first_k: int = 8) -> DataFrame:
     """Walk queries in order; each takes its nearest not-yet-taken candidate.
 
-    Exact reduction: with Q queries at most Q-1 candidates are taken before any
-    query picks, so only each query's Q nearest candidates can matter.  Spark
-    computes those (J3), then one grouped pandas step resolves the Q x Q rows.
-    """
-    q = bounded_rows(queries, MAX_GREEDY_QUERIES, "greedy_assignment queries")
-    order_col = query_order or query_id
-    qsel = queries.select(F.col(query_id).alias("anchor_id"), F.col(query_vec).alias("__qv"),
-                          F.col(order_col).alias("__ord"))
-    top = knn_topk(candidates, qsel, q, cand_id=cand_id, anchor_id="anchor_id",
-                   vec=vec, anchor_vec="__qv", metric=metric)
-    top = top.join(qsel.select("anchor_id", "__ord"), "anchor_id")
-
-    def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken, rows = set(), []
-        for (ordv, aid), grp in pdf.sort_values(["__ord", "anchor_id"]).groupby(["__ord", "anchor_id"], sort=False):
-            for e, d in zip(*grp.sort_values(["distance", "entry"])[["entry", "distance"]].T.values):
-                if e not in taken:
-                    taken.add(e)
-                    rows.append((int(aid), int(e), float(d), len(rows) + 1))
-                    break
-        return pd.DataFrame(rows, columns=["anchor_id", "entry", "distance", "step"])
-
-    return (top.select("anchor_id", "entry", "distance", "__ord")
-            .groupBy(F.lit(0).alias("__g"))
-            .applyInPandas(resolve, "anchor_id long, entry long, distance double, step long"))
-
-
-def _pair_percentiles(pairs: DataFrame, col: str, probs: list[float], names: list[str],
-                      exact: bool, accuracy: int) -> DataFrame:
-    """Percentiles over all pair distances: exact (one distributed sort) or, for
-    pair counts too large to sort, Spark's mergeable quantile summaries."""
-    from astrolabe.operators import stats
-    if exact:
-        return stats.exact_percentiles(pairs, col, probs, names)
-    q = pairs.agg(F.percentile_approx(col, probs, accuracy).alias("__q"))
-    return q.select(*[F.col("__q")[i].alias(n) for i, n in enumerate(names)])
-
-
-def distance_profile(pairs: DataFrame, probs: list[float], names: list[str],
-                     col: str = "distance", digits: int = 6, exact: bool = True,
-                     accuracy: int = 100_000) -> DataFrame:
-    """Min / max / mean / population std and percentiles over all pairs.
-
-    The moments are partial aggregates: pair rows stream from the distance
-    kernel into the map-side aggregate of the same stage, never shuffled.
+    In rounds: each query proposes its nearest row that no earlier query holds,
+    each row keeps its earliest query, until nobody moves.  A row's order of
+    preference is the order of the queries, so this ends in the walk's result.
+    Each query's ``first_k`` nearest rows are looked at first; the lists double
+    when one of them is used up.  Output ``anchor_id, entry, distance, step``.
     """
     from astrolabe.operators import stats
-    basic = pairs.agg(F.min(col).alias("d_min"), F.max(col).alias("d_max"), F.avg(col).alias("d_mean"),
-                      F.stddev_pop(col).alias("d_std"))
-    pct = _pair_percentiles(pairs, col, probs, names, exact, accuracy)
-    out = stats.with_scalars(basic, pct)
+    from astrolabe.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(candidates.sparkSession)
+    qsel = queries.select(F.col(query_id).alias("anchor_id"), F.col(query_vec).alias("__qv"),
+                          F.col(query_order or query_id).alias("__ord"))
+    order = F.struct("__ord", "anchor_id")
+    total, k = candidates.count(), first_k
+    held = None
+    while True:
+        lists = knn_topk(candidates, qsel, k, cand_id=cand_id, anchor_id="anchor_id", vec=vec, anchor_vec="__qv",
+                         metric=metric).join(qsel.select("anchor_id", "__ord"), "anchor_id").checkpoint(eager=True)
+        state = lists.where("rank = 1") if held is None else lists.join(held, ["anchor_id", "rank"], "left_semi")
+        while True:
+            keeper = state.groupBy("entry").agg(F.min(order).alias("best"))
+            losers = (state.join(keeper, "entry").where(order != F.col("best"))
+                      .select("anchor_id", F.col("rank").alias("lost_rank"))).checkpoint(eager=True)
+            if losers.isEmpty():
+                break
+            # the loser's next row that is free or held by a later query
+            nxt = (lists.join(losers, "anchor_id").where("rank > lost_rank").join(keeper, "entry", "left")
+                   .where(F.col("best").isNull() | (order < F.col("best")))
+                   .groupBy("anchor_id").agg(F.min("rank").alias("rank")))
+            moved = lists.join(nxt, ["anchor_id", "rank"], "left_semi")
+            state = state.join(losers, "anchor_id", "left_anti").unionByName(moved.select(state.columns)).checkpoint(eager=True)
+        # a query that used its list up needs a longer one; if there is none, it stays without a row
+        missing = qsel.join(state, "anchor_id", "left_anti").count()
+        if not missing or k >= total:
+            break
+        held, k = None, k * 2
+    pos = stats.global_position(state.select("anchor_id", "entry", "distance", "__ord"), ["__ord", "anchor_id"], "step")
+    return pos.select("anchor_id", "entry", "distance", F.col("step").cast("long").alias("step"))
+
+
+def distance_profile(candidates: DataFrame, anchors: DataFrame, probs: list[float], names: list[str],
+                     digits: int = 6, **options) -> DataFrame:
+    """Min / max / mean / population std and percentiles over all pairs, as one row."""
+    m, values = profile_pairs(candidates, anchors, probs, **options)
+    std = float(np.sqrt(max(0.0, m["m2"] / m["n"]))) if m["n"] else None
+    row = [m["min"], m["max"], m["mean"], std, *values]
+    names = ["d_min", "d_max", "d_mean", "d_std", *names]
+    out = candidates.sparkSession.createDataFrame([tuple(None if x is None else float(x) for x in row)],
+                                                  ", ".join(f"{n} double" for n in names))
     return out.select(*[round6(c, digits).alias(c) for c in out.columns])
 
 
-def distant_flag(pairs: DataFrame, upper_percentile: float, const: float,
-                 col: str = "distance", exact: bool = True, accuracy: int = 100_000) -> DataFrame:
+def distant_flag(candidates: DataFrame, anchors: DataFrame, upper_percentile: float, const: float, **options) -> DataFrame:
     """Per candidate mean distance to all anchors; flag above the global
-    percentile of all pair distances, and above a constant.
-
-    A candidate's pairs are all produced in the task that holds the candidate,
-    so the partial aggregate leaves one row per candidate before the shuffle.
-    """
-    from astrolabe.operators import stats
-    upper = _pair_percentiles(pairs, col, [upper_percentile], ["upper"], exact, accuracy)
-    m = pairs.groupBy("entry").agg(F.avg(col).alias("mean_d"))
-    return stats.with_scalars(m, upper).select(
-        "entry", round6("mean_d").alias("mean_d"), (F.col("mean_d") > F.col("upper")).alias("above_pct"),
-        (F.col("mean_d") > const).alias("above_const"))
+    percentile of all pair distances, and above a constant."""
+    chosen = {k: v for k, v in options.items() if k != "cand_id"}
+    _, (upper,) = profile_pairs(candidates, anchors, [upper_percentile], **chosen)
+    m = mean_distances(candidates, anchors, **options)
+    return m.select("entry", round6("mean_d").alias("mean_d"), (F.col("mean_d") > F.lit(upper).cast("double")).alias("above_pct"),
+                    (F.col("mean_d") > const).alias("above_const"))
 
 
 def covariance_rows(cov: DataFrame) -> DataFrame:
@@ -422,3 +570,17 @@ def covariance_rows(cov: DataFrame) -> DataFrame:
     z = cov.withColumn("cov", F.when(F.col("i") == F.col("j"), F.lit(0.0)).otherwise(F.col("cov")))
     return z.groupBy("i").agg(round6(F.avg("cov")).alias("mean_cov"),
                               F.max_by("j", F.struct("cov", (-F.col("j")).alias("nj"))).alias("top_j"))
+
+
+def covariance_order(cov: DataFrame) -> DataFrame:
+    """Per row all columns from the largest entry down (the diagonal counts as zero): ``i, j, place``."""
+    z = cov.withColumn("cov", F.when(F.col("i") == F.col("j"), F.lit(0.0)).otherwise(F.col("cov")))
+    return z.select("i", "j", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("cov"), "j")).alias("place"))
+
+
+def covariance_blocks(cov: DataFrame, groups: DataFrame, key: str, group: str) -> DataFrame:
+    """Mean entry of each sub-block (rows of one group, columns of another), off the diagonal."""
+    left = groups.select(F.col(key).alias("i"), F.col(group).alias(f"{group}_i"))
+    right = groups.select(F.col(key).alias("j"), F.col(group).alias(f"{group}_j"))
+    return (cov.where("i <> j").join(left, "i").join(right, "j").groupBy(f"{group}_i", f"{group}_j")
+            .agg(round6(F.avg("cov")).alias("mean_cov"), F.count(F.lit(1)).alias("n")))

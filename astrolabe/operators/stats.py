@@ -1,12 +1,11 @@
 """Distributed scalar statistics that must not funnel a column into one task.
 
 Spark's exact ``percentile`` aggregate merges every distinct value into one
-buffer in the final task.  ``exact_percentiles`` instead range-partitions and
-sorts the column once, reads one row count per sorted partition, and fetches
-only the rows at the two ranks around each requested position.  The result
-is the same linear-interpolation percentile as NumPy / DuckDB
-``quantile_cont``.  Global row numbers, ranks and running sums use the same
-range-partition-plus-offsets idea instead of a window without partition.
+buffer in the final task.  ``exact_percentiles`` instead counts values in bins
+and narrows the bins around the two ranks of each requested position.  The
+result is the same linear-interpolation percentile as NumPy / DuckDB
+``quantile_cont``.  Global row numbers, ranks and running sums range-partition
+and add per-partition offsets instead of a window without partition.
 """
 
 from __future__ import annotations
@@ -35,66 +34,75 @@ def _range_sorted(df: DataFrame, order: list, n_parts: int | None) -> DataFrame:
     return df.repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
 
 
-def exact_percentiles(df: DataFrame, col: str, probs: list[float],
-                      names: list[str] | None = None, n_parts: int | None = None) -> DataFrame:
-    """One-row DataFrame with the exact linear-interpolated percentiles of ``col``.
+#: Bins of one refining pass.
+BINS = 4096
+
+
+def select_ranks(lo: float, hi: float, ranks: list[int], histogram) -> dict[int, float]:
+    """Values at 0-based ``ranks`` of the sorted values in ``[lo, hi]``, by counting.
 
-    One range-partitioned sort (persisted for the two passes below); the
-    driver only sees the per-partition row counts and the at most
-    ``2 * len(probs)`` rows it asked for, never the column itself.
+    ``histogram(intervals, bins)`` counts the values of each closed interval in
+    equal-width bins: ``{(interval, bin): (count, min, max)}``.  A pass narrows
+    a rank to the bin that holds it, to the bin's own smallest and largest
+    value; passes go on until these are equal or the rank is one of the two.
     """
-    from pyspark import StorageLevel, TaskContext
-    import pandas as pd
+    found: dict[int, float] = {}
+    place = {r: (lo, hi, r) for r in set(ranks)}  # rank -> interval and rank inside it
+    while place:
+        for r, (a, b, _) in list(place.items()):
+            if a == b:
+                found[r] = a
+                del place[r]
+        intervals = sorted({(a, b) for a, b, _ in place.values()})
+        counts = histogram(intervals, BINS) if intervals else {}
+        for r, (a, b, inside) in list(place.items()):
+            i, below = intervals.index((a, b)), 0
+            for (_, _), (n, low, high) in sorted((k, v) for k, v in counts.items() if k[0] == i):
+                if inside < below + n:
+                    if inside in (below, below + n - 1):
+                        found[r] = low if inside == below else high
+                        del place[r]
+                    else:
+                        place[r] = (low, high, inside - below)
+                    break
+                below += n
+    return found
+
+
+def percentiles_by_rank(n: int, lo, hi, probs: list[float], histogram) -> list:
+    """Linear-interpolated percentiles of ``n`` values in ``[lo, hi]`` (None without values)."""
+    if not n:
+        return [None] * len(probs)
+    spots = [(int(np.floor(p * (n - 1))), int(np.ceil(p * (n - 1))), p * (n - 1)) for p in probs]
+    got = select_ranks(lo, hi, [r for a, b, _ in spots for r in (a, b)], histogram)
+    return [got[a] + (got[b] - got[a]) * (pos - a) for a, b, pos in spots]
+
+
+def exact_percentiles(df: DataFrame, col: str, probs: list[float], names: list[str] | None = None) -> DataFrame:
+    """One-row DataFrame with the exact linear-interpolated percentiles of ``col``.
 
+    Counting passes instead of a sort: nothing is shuffled but bin counts, and a
+    value shared by many rows is one count.  NULL, NaN and infinite values take
+    no part.  Each pass reads ``df`` once, so derive an expensive one first.
+    """
     names = names or [f"p{i}" for i in range(len(probs))]
-    spark = df.sparkSession
-    # No ``v IS NOT NULL`` filter here: Catalyst would push it below the
-    # projections that derive ``col`` and evaluate that expression tree inside
-    # the filter once per reference.  NULLs sort first instead; they are left
-    # out of the counts and skipped when picking.
-    # the random tiebreak spreads a value shared by many rows over several range
-    # partitions; both passes below read this one persisted plan, so the sampled
-    # range boundaries and the tiebreaks are fixed for the counts and the picks
-    v = df.select(F.col(col).cast("double").alias("v"), F.rand(7).alias("__t"))
-    srt = _range_sorted(v, ["v", "__t"], n_parts).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        counts = dict(srt.groupBy(F.spark_partition_id().alias("pid")).agg(F.count("v")).collect())
-        counts = {k: c for k, c in counts.items() if c > 0}
-        n = sum(counts.values())
-        if n == 0:
-            return spark.createDataFrame([tuple([None] * len(probs))],
-                                         ", ".join(f"{nm} double" for nm in names))
-        offsets, acc = {}, 0
-        for pid in sorted(counts):
-            offsets[pid] = acc
-            acc += counts[pid]
-        wanted: dict[int, dict[int, int]] = {}  # pid -> {local index: global rank}
-        plan = []
-        for p in probs:
-            pos = p * (n - 1)
-            lo, hi = int(np.floor(pos)), int(np.ceil(pos))
-            plan.append((lo, hi, pos - lo))
-            for r in (lo, hi):
-                pid = max(k for k in offsets if offsets[k] <= r and counts[k] > 0)
-                wanted.setdefault(pid, {})[r - offsets[pid]] = r
-
-        def pick(it):
-            want = wanted.get(TaskContext.get().partitionId(), {})
-            base = 0
-            for pdf in it:
-                pdf = pdf[pdf["v"].notna()]
-                m = len(pdf)
-                hits = [(i, r) for i, r in want.items() if base <= i < base + m]
-                if hits:
-                    yield pd.DataFrame({"r": [r for _, r in hits],
-                                        "v": [pdf["v"].iat[i - base] for i, _ in hits]})
-                base += m
-
-        got = {row["r"]: row["v"] for row in srt.mapInPandas(pick, "r long, v double").collect()}
-        vals = tuple(float(got[lo] + (got[hi] - got[lo]) * frac) for lo, hi, frac in plan)
-        return spark.createDataFrame([vals], ", ".join(f"{nm} double" for nm in names))
-    finally:
-        srt.unpersist()
+    v = F.col("v")
+    finite = v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    values = df.select(F.col(col).cast("double").alias("v"))
+    n, lo, hi = values.agg(F.count(F.when(finite, v)), F.min(F.when(finite, v)), F.max(F.when(finite, v))).first()
+
+    def histogram(intervals, bins):
+        cell = None
+        for i, (a, b) in enumerate(intervals):
+            at = F.least(F.floor((v - a) / (b - a) * bins), F.lit(bins - 1)).cast("long") + i * bins
+            inside = finite & (v >= a) & (v <= b)
+            cell = F.when(inside, at) if cell is None else cell.when(inside, at)
+        rows = (values.select("v", cell.alias("cell")).groupBy("cell")
+                .agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).where("cell IS NOT NULL"))
+        return {(r.cell // bins, r.cell % bins): (r.n, r.lo, r.hi) for r in rows.collect()}
+
+    got = percentiles_by_rank(n, lo, hi, probs, histogram)
+    return df.sparkSession.createDataFrame([tuple(got)], ", ".join(f"{nm} double" for nm in names))
 
 
 def with_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:

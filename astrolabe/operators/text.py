@@ -24,57 +24,49 @@ def composition(s) -> Column:
 
 
 def list_fingerprint(df: DataFrame, group: str | None, key: str, value: str,
-                     block: int = 1000) -> DataFrame:
-    """Order-preserving MD5 fingerprint of the newline-joined ``value`` list.
-
-    A group of at most ``block`` rows gets exactly ``md5(join(values in key
-    order))`` (a bounded collect).  A larger group is never gathered in one
-    task: it gets a Merkle form — level 1 hashes the values of each run of
-    ``block`` consecutive keys, each further level hashes ``block`` consecutive
-    digests of the level below, and the fingerprint is the MD5 of the top
-    level's digests in key order.
+                     block: int = 1000, levels: int = 2) -> DataFrame:
+    """Order-preserving MD5 fingerprint of each group's ``value`` list, as a Merkle tree.
+
+    Rows are numbered in key order; level 1 hashes the newline-joined values of
+    each run of ``block`` rows, each further of the ``levels`` hashes ``block``
+    consecutive digests, and the fingerprint is the MD5 of the last level's
+    digests in order.  The form is the same for any number of rows (and any kind
+    of key), and no task gathers more than ``block`` values, or one digest per
+    ``block ** levels`` rows.  ``n_blocks`` counts the runs of level 1.
     """
+    from astrolabe.operators import stats
     g = [group] if group else []
 
-    def digest(col_order, col_value):
+    def digest(order, col):
         return F.md5(F.array_join(F.transform(
-            F.array_sort(F.collect_list(F.struct(F.col(col_order).alias("o"), F.col(col_value).alias("v")))),
+            F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(col).alias("v")))),
             lambda r: r["v"]), "\n"))
 
-    rows = df.select(*g, F.col(key).alias("__k"), F.col(value).alias("__v"))
-    if g:
-        sizes = rows.groupBy(*g).agg(F.count(F.lit(1)).alias("__n"))
-        small = rows.join(sizes.where(F.col("__n") <= block).select(*g), g, "left_semi")
-        big = rows.join(sizes.where(F.col("__n") > block).select(*g), g, "left_semi")
-    else:  # one list: pick the form once (a global aggregate always yields a row)
-        n = rows.count()
-        small, big = (rows, rows.limit(0)) if n <= block else (rows.limit(0), rows)
-    exact = small.groupBy(*g).agg(digest("__k", "__v").alias("fingerprint"), F.lit(1).cast("long").alias("n_blocks"))
-    if not g:
-        exact = exact.where(F.lit(n <= block))
-
-    lvl = big.withColumn("blk", F.floor(F.col("__k") / F.lit(block)))
-    lvl = lvl.groupBy(*g, "blk").agg(digest("__k", "__v").alias("d"))
-    while True:
-        widest = lvl.groupBy(*g).count().agg(F.max("count")).collect()[0][0] or 0  # one scalar
-        if widest <= block:
-            break
-        lvl = (lvl.withColumn("__up", F.floor(F.col("blk") / F.lit(block)))
-               .groupBy(*g, F.col("__up").alias("blk_up")).agg(digest("blk", "d").alias("d"))
-               .withColumnRenamed("blk_up", "blk"))
-    merkle = lvl.groupBy(*g).agg(digest("blk", "d").alias("fingerprint"), F.count(F.lit(1)).alias("n_blocks"))
-    if not g:
-        merkle = merkle.where(F.lit(n > block))
-    return exact.unionByName(merkle)
+    rows = df.select(*g, F.col(key).alias("__k"), F.col(value).cast("string").alias("__v"))
+    pos = stats.global_position(rows, [*g, "__k"], "__pos")
+    first = pos.groupBy(*g).agg(F.min("__pos").alias("__first"))
+    pos = pos.join(first, g) if g else stats.with_scalars(pos, first)
+    level = pos.select(*g, (F.col("__pos") - F.col("__first")).alias("at"), F.col("__v").alias("d"))
+    sizes = None
+    for _ in range(levels):
+        level = (level.withColumn("up", F.floor(F.col("at") / F.lit(block)))
+                 .groupBy(*g, "up").agg(digest("at", "d").alias("d")).withColumnRenamed("up", "at"))
+        if sizes is None:
+            sizes = level.groupBy(*g).agg(F.count(F.lit(1)).alias("n_blocks"))
+    top = level.groupBy(*g).agg(digest("at", "d").alias("fingerprint"))
+    return top.join(sizes, g) if g else stats.with_scalars(top, sizes)
 
 
 def formula_mass(formula, masses: dict) -> Column:
-    """Σ mass(symbol) × count over ``<Symbol><digits>`` tokens, per row (no shuffle)."""
+    """Σ mass(symbol) × count over ``<Symbol><digits>`` tokens, per row (no shuffle).
+
+    A formula with a symbol that ``masses`` lacks has no mass: NULL.
+    """
     toks = F.regexp_extract_all(_c(formula), F.lit(r"[A-Z][a-z]?[0-9]*"), 0)
     m = F.create_map(*[F.lit(x) for kv in masses.items() for x in kv])
 
     def term(t):
-        sym_mass = F.coalesce(F.try_element_at(m, F.regexp_extract(t, r"^[A-Z][a-z]?", 0)), F.lit(0.0))
+        sym_mass = F.try_element_at(m, F.regexp_extract(t, r"^[A-Z][a-z]?", 0))
         n = F.coalesce(F.nullif(F.regexp_extract(t, r"[0-9]+", 0), F.lit("")).cast("int"), F.lit(1))
         return sym_mass * n
 
@@ -127,29 +119,59 @@ def harvest_digits(lines: DataFrame, file_cols: list[str], order: list[str], mar
     return agg.select(*file_cols, F.flatten(F.transform("s", lambda r: r["vals"])).alias("values"))
 
 
-def next_line_tokens(lines: DataFrame, file_cols: list[str], order: list[str], marker: str,
+def next_line_tokens(rows: DataFrame, file_cols: list[str], order_cols: list[str], text_col: str, marker: str,
                      positions: list[int], n_following: int = 1) -> DataFrame:
     """For marker lines, the following line(s) of the same file joined and tokenised.
 
-    No window over a whole file (one huge file would land in one task): every
-    line gets a global line number from a range-partitioned sort, and the
-    following lines are attached by equi-joins on ``number + i`` within the
-    same file (unique keys, so no join skew).
+    ``rows`` holds a file's text in one or more rows, in ``order_cols`` order.
+    The following lines stand in the row's own line array, except at its end:
+    only there the first lines of the next rows are looked up.  Those heads are
+    numbered by a range-partitioned sort (one entry per row, not per line), so
+    no file meets in one task, and are attached by equi-joins on unique keys.
+    Output ``*file_cols, *order_cols, pos, t<k>..., __toks``.
     """
     from astrolabe.operators import stats
-    num = stats.global_position(lines, [*file_cols, *order], "__g")
-    out = num
-    nxt_cols = []
-    for i in range(1, n_following + 1):
-        nxt = num.select(*[F.col(c).alias(f"__f{i}_{c}") for c in file_cols],
-                         (F.col("__g") - i).alias(f"__g{i}"), F.col("line").alias(f"__l{i}"))
-        cond = [out["__g"] == nxt[f"__g{i}"]] + [out[c] == nxt[f"__f{i}_{c}"] for c in file_cols]
-        out = out.join(nxt, cond, "left").drop(f"__g{i}", *[f"__f{i}_{c}" for c in file_cols])
-        nxt_cols.append(F.col(f"__l{i}"))
-    joined = F.concat_ws("\t", *nxt_cols) if n_following > 1 else nxt_cols[0]
-    res = out.withColumn("__next", joined).where(F.col("line").contains(marker))
-    return res.select(*file_cols, *order, *[tok("__next", p).alias(f"t{p}") for p in positions],
-                      tokens("__next").alias("__toks"))
+    key = [*file_cols, *order_cols]
+    n = n_following
+    arr = rows.select(*key, F.split(_c(text_col), "\n").alias("__a")).where("__a IS NOT NULL")
+    heads = stats.global_position(arr.select(*key, F.slice("__a", 1, n).alias("__h")), key, "__g")
+    after, parts = heads, []
+    for i in range(1, n + 1):  # the next rows' heads, as many as short rows may need
+        nxt = heads.select(*[F.col(c).alias(f"__f{i}_{c}") for c in file_cols], (F.col("__g") - i).alias(f"__g{i}"),
+                           F.col("__h").alias(f"__h{i}"))
+        cond = [after["__g"] == nxt[f"__g{i}"]] + [after[c].eqNullSafe(nxt[f"__f{i}_{c}"]) for c in file_cols]
+        after = after.join(nxt, cond, "left").drop(f"__g{i}", *[f"__f{i}_{c}" for c in file_cols])
+        parts.append(F.coalesce(f"__h{i}", F.array().cast("array<string>")))
+    after = after.select(*[F.col(c).alias(f"__r_{c}") for c in key], F.slice(F.concat(*parts), 1, n).alias("__after"))
+
+    spots = F.filter(F.transform("__a", lambda line, k: F.struct(
+        k.alias("pos"), line.contains(marker).alias("hit"), F.slice("__a", k + 2, n).alias("own"))), lambda x: x["hit"])
+    marks = arr.select(*key, F.explode(spots).alias("x")).select(*key, "x.pos", "x.own")
+    inside = marks.where(F.size("own") == n)
+    ends = (marks.where(F.size("own") < n)
+            .join(after, [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in key], "left")
+            .select(*key, "pos", F.slice(F.concat("own", F.coalesce("__after", F.array().cast("array<string>"))), 1, n).alias("own")))
+    # without any following line there is nothing to tokenise
+    nxt = F.when(F.size("own") > 0, F.array_join("own", "\t"))
+    res = inside.unionByName(ends).withColumn("__next", nxt)
+    return res.select(*key, "pos", *[tok("__next", p).alias(f"t{p}") for p in positions], tokens("__next").alias("__toks"))
+
+
+def ignore_list(files: DataFrame, name_col: str, text_col: str, markers: list[str]) -> DataFrame:
+    """D3: ids of the files whose text holds a marker, distinct, in numeric order with their place.
+
+    The id is the number that ends the file name (before its suffix); names with
+    ``_`` are left out.  Output ``id long, place long``.
+    """
+    from astrolabe.operators import stats
+    hit = F.lit(False)
+    for m in markers:
+        hit = hit | F.col(text_col).contains(m)
+    base = F.regexp_extract(name_col, r"([^/]*)$", 1)
+    ids = (files.where(hit & ~base.contains("_"))
+           .select(F.regexp_extract(base, r"(\d+)(?:\.[^.]*)?$", 1).try_cast("long").alias("id"))
+           .where("id IS NOT NULL").distinct())
+    return stats.global_position(ids, ["id"], "place")
 
 
 def last_block(lines: DataFrame, file_cols: list[str], order_key: str, marker: str) -> DataFrame:

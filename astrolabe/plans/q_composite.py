@@ -13,6 +13,7 @@ from astrolabe.operators import curate as C
 from astrolabe.operators import search, stats
 from astrolabe.operators import text as X
 from astrolabe.operators.resample import uniform_sql
+from astrolabe.constants import OBSERVED_SQL
 from astrolabe.plans.registry import register
 
 
@@ -21,7 +22,7 @@ def T(spark, sf, name):
 
 
 _V = "v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS vec, label FROM embeddings)"
-_A = "a AS (SELECT vec_id AS anchor_id, vec AS avec FROM v WHERE vec_id < 20)"
+_A = f"a AS (SELECT vec_id AS anchor_id, vec AS avec FROM v WHERE {OBSERVED_SQL})"
 _TOPK = """t AS (SELECT * FROM (SELECT a.anchor_id, v.vec_id AS entry, list_distance(a.avec, v.vec) AS distance,
                        row_number() OVER (PARTITION BY a.anchor_id ORDER BY list_distance(a.avec, v.vec), v.vec_id) AS rank
                 FROM a, v) WHERE rank <= {k})"""
@@ -47,7 +48,7 @@ def recommend_batch_rows(spark, sf):
     """R2 up to scoring: top-100 per inventory item → drop self → first occurrence per
     entry (anchor order, then rank) → content filters on the entry's whole text."""
     v = tables.vectors(spark, sf)
-    anchors = v.where("vec_id < 20").withColumnRenamed("vec_id", "anchor_id")
+    anchors = tables.inventory(v).withColumnRenamed("vec_id", "anchor_id")
     top = search.knn_topk(v, anchors, 100).where(F.col("entry") != F.col("anchor_id"))
     first = C.dedupe_first(top, "entry", ["anchor_id", "rank"])
     docs = T(spark, sf, "documents").select(F.col("doc_id").alias("entry"), "text", "n_chars")
@@ -81,7 +82,7 @@ def q_target_list(spark, sf):
     200 characters, under 1 % digits) → substring exclusion → not in the inventory →
     length > 3."""
     v = tables.vectors(spark, sf)
-    anchors = v.where("vec_id < 20").withColumnRenamed("vec_id", "anchor_id")
+    anchors = tables.inventory(v).withColumnRenamed("vec_id", "anchor_id")
     u = search.knn_topk(v, anchors, 50).select("entry").distinct()
     docs = T(spark, sf, "documents").select(F.col("doc_id").alias("entry"), "n_chars", "text")
     j = u.join(docs, "entry").where(
@@ -208,7 +209,7 @@ def q_series_validation(spark, sf):
 
 
 @register("similarity_ranking", f"""
-WITH {_V}, l AS (SELECT vec_id, vec FROM v WHERE vec_id < 20), f AS (SELECT vec AS v0 FROM v WHERE vec_id = 0)
+WITH {_V}, l AS (SELECT vec_id, vec FROM v WHERE {OBSERVED_SQL}), f AS (SELECT vec AS v0 FROM v WHERE vec_id = 0)
 SELECT vec_id, round(list_cosine_similarity(vec, v0), 6) AS cos,
        round(list_distance(vec, v0) * list_distance(vec, v0), 6) AS sqdist,
        row_number() OVER (ORDER BY list_cosine_similarity(vec, v0) DESC, vec_id) AS rank
@@ -217,7 +218,7 @@ FROM l, f
 def q_similarity_ranking(spark, sf):
     """A (bounded) list ranked by cosine similarity to its first member."""
     v = tables.vectors(spark, sf)
-    lst = v.where("vec_id < 20")
+    lst = tables.inventory(v)
     first = v.where("vec_id = 0").select(F.col("vec").alias("v0"))
     j = stats.with_scalars(lst, first).withColumn("c", V.cosine_similarity("vec", "v0"))
     r = stats.global_position(j.select("vec_id", "c", "vec", "v0"), [F.desc("c"), "vec_id"], "rank")
@@ -237,7 +238,7 @@ FROM d GROUP BY lang
 def q_rec_report(spark, sf):
     """Descriptive report over the recommended items: flags (P17), group counts (A2), means (A10)."""
     v = tables.vectors(spark, sf)
-    anchors = v.where("vec_id < 20").withColumnRenamed("vec_id", "anchor_id")
+    anchors = tables.inventory(v).withColumnRenamed("vec_id", "anchor_id")
     r = search.knn_topk(v, anchors, 10).select("entry").distinct()
     d = T(spark, sf, "documents").select(F.col("doc_id").alias("entry"), "lang", "n_chars",
                                          F.col("text").contains("License").alias("lic"),
@@ -249,6 +250,18 @@ def q_rec_report(spark, sf):
                                  round6(F.avg("n_chars")).alias("mean_chars"))
 
 
+@register("rec_report_anchors", f"""
+WITH {_V}, {_A}, {_TOPK.format(k=10)}
+SELECT anchor_id AS anchor, count(*) AS n, round(avg(distance), 6) AS mean_distance FROM t GROUP BY anchor_id
+""")
+def q_rec_report_anchors(spark, sf):
+    """How many items each anchor brought in, and how near they are."""
+    v = tables.vectors(spark, sf)
+    anchors = tables.inventory(v).withColumnRenamed("vec_id", "anchor_id")
+    return (search.knn_topk(v, anchors, 10).groupBy(F.col("anchor_id").alias("anchor"))
+            .agg(F.count(F.lit(1)).alias("n"), round6(F.avg("distance")).alias("mean_distance")))
+
+
 @register("curation_funnel", f"""
 WITH k AS (SELECT doc_id, text, nullif(lower(trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g'))), '') AS key FROM documents),
 f AS (SELECT *, key IS NOT NULL AS nonempty,

@@ -14,7 +14,7 @@ from astrolabe.operators import gram, reduce, search, stats
 from astrolabe.operators import resample as R
 from astrolabe.operators import text as X
 from astrolabe.functions.schema import seq_long
-from astrolabe.constants import DISTANT_CONST
+from astrolabe.constants import DISTANT_CONST, OBSERVED_SQL
 from astrolabe.plans.registry import register
 
 
@@ -29,9 +29,9 @@ def _li_key():
     return F.concat_ws("-", *[F.col(c).cast("string") for c in tables.ROW_KEYS["lineitem"]])
 
 
-def _li_xy(spark, sf):
+def _li_xy(spark, sf, more=()):
     return T(spark, sf, "lineitem").select(
-        _li_key().alias("k"), F.col("l_quantity").alias("x1"),
+        *more, _li_key().alias("k"), F.col("l_quantity").alias("x1"),
         (F.col("l_discount") * 100).alias("x2"), (F.col("l_extendedprice") / 1000.0).alias("y"))
 
 
@@ -41,8 +41,9 @@ def fit_table(stats_df, d, alpha=0.0, intercept=True):
     """Solve a one-row statistics table into ``intercept, w0..`` (one pandas group)."""
     def solve(pdf):
         n, sx, sy, syy, xtx, xty = gram.stats_to_arrays(pdf.iloc[0], d)
-        b0, w = gram.solve_ridge(n, sx, sy, xtx, xty, alpha, intercept)
-        return pd.DataFrame([[b0, *w]], columns=["intercept"] + [f"w{i}" for i in range(d)])
+        center = gram.center_of(pdf.iloc[0], d)
+        b0, w = gram.solve_ridge(n, sx, sy, xtx, xty, alpha, intercept, center)
+        return pd.DataFrame([[gram.original_intercept(b0, w, center), *w]], columns=["intercept"] + [f"w{i}" for i in range(d)])
     schema = "intercept double, " + ", ".join(f"w{i} double" for i in range(d))
     out = stats_df.groupBy(F.lit(0).alias("__one")).applyInPandas(solve, schema)
     return out.select(*[round6(c).alias(c) for c in out.columns])
@@ -80,21 +81,18 @@ ALPHAS = [0.0, 1.0, 10.0, 100.0, 1000.0]
 
 
 def _cv_sql(alphas_sql: str, intercept_sql: str = "true", extra_cols: str = "", settings: str | None = None):
+    """Each fold's fit from the moments of its training rows, its error from its own rows."""
     src = settings or f"SELECT unnest({alphas_sql}) AS alpha, {intercept_sql} AS icpt"
     return f"""
 WITH b AS (SELECT {R.fold_sql(_LI_KEY, 5)} AS fold, l_quantity AS x, l_extendedprice / 1000.0 AS y FROM lineitem),
-s AS (SELECT fold, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy, sum(y * y) AS syy
-      FROM b GROUP BY fold),
-t AS (SELECT sum(n) AS n, sum(sx) AS sx, sum(sy) AS sy, sum(sxx) AS sxx, sum(sxy) AS sxy FROM s),
+f AS (SELECT DISTINCT fold FROM b),
+m AS (SELECT f.fold, avg(x) AS mx, avg(y) AS my, var_pop(x) * count(*) AS cxx, covar_pop(y, x) * count(*) AS cxy,
+             sum(x * x) AS sxx, sum(x * y) AS sxy FROM f JOIN b ON b.fold <> f.fold GROUP BY f.fold),
 a AS ({src}),
-r AS (SELECT a.*, s.fold, s.n AS nt, s.sx AS sxt, s.sy AS syt, s.sxx AS sxxt, s.sxy AS sxyt, s.syy AS syyt,
-             t.n - s.n AS nr, t.sx - s.sx AS sxr, t.sy - s.sy AS syr, t.sxx - s.sxx AS sxxr, t.sxy - s.sxy AS sxyr
-      FROM s, t, a),
-w AS (SELECT *, CASE WHEN icpt THEN (sxyr - sxr * syr / nr) / (sxxr - sxr * sxr / nr + alpha)
-                     ELSE sxyr / (sxxr + alpha) END AS w1 FROM r),
-wb AS (SELECT *, CASE WHEN icpt THEN (syr - w1 * sxr) / nr ELSE 0.0 END AS b0 FROM w),
-e AS (SELECT *, (syyt - 2 * b0 * syt - 2 * w1 * sxyt + nt * b0 * b0 + 2 * b0 * w1 * sxt + w1 * w1 * sxxt) / nt
-                AS test_mse FROM wb)
+w AS (SELECT a.*, m.*, CASE WHEN icpt THEN cxy / (cxx + alpha) ELSE sxy / (sxx + alpha) END AS w1 FROM m, a),
+wb AS (SELECT *, CASE WHEN icpt THEN my - w1 * mx ELSE 0.0 END AS b0 FROM w),
+e AS (SELECT wb.* EXCLUDE (mx, my, cxx, cxy, sxx, sxy), avg((y - b0 - w1 * x) ^ 2) AS test_mse, var_pop(y) AS var_y
+      FROM wb JOIN b USING (fold) GROUP BY ALL)
 """
 
 
@@ -109,7 +107,68 @@ def q_grid_search(spark, sf):
     return gram.summarize_scores(sc, ["alpha"])
 
 
-N_SETTINGS = 8
+_CV2_SQL = """
+WITH b AS (SELECT {fold} AS fold, l_quantity AS x, l_extendedprice / 1000.0 AS y FROM lineitem),
+f AS (SELECT DISTINCT fold FROM b),
+m AS (SELECT f.fold, avg(x) AS mx, avg(y) AS my, var_pop(x) * count(*) AS cxx, covar_pop(y, x) * count(*) AS cxy
+      FROM f JOIN b ON b.fold <> f.fold GROUP BY f.fold),
+a AS (SELECT unnest([0.0, 0.01, 1.0, 1000.0]::DOUBLE[]) AS alpha),
+z AS (SELECT unnest([false, true]) AS normalize),
+w AS (SELECT alpha, normalize, m.*, cxy / (cxx + alpha * CASE WHEN normalize THEN cxx ELSE 1 END) AS w1 FROM m, a, z),
+e AS (SELECT alpha, normalize, fold, avg((y - my - w1 * (x - mx)) ^ 2) AS mse, var_pop(y) AS var_y
+      FROM w JOIN b USING (fold) GROUP BY alpha, normalize, fold)
+"""
+_CV2_ALPHAS = [0.0, 0.01, 1.0, 1000.0]
+
+
+@register("grid_search_r2", _CV2_SQL.format(fold=R.fold_sql("CAST(l_suppkey AS VARCHAR)", 5)) + """
+SELECT alpha, normalize, round(avg(1 - mse / var_y), 6) AS mean_score, round(stddev_pop(1 - mse / var_y), 6) AS std_score
+FROM e GROUP BY alpha, normalize
+""")
+def q_grid_search_r2(spark, sf):
+    """R² over folds that keep a supplier's rows together, with and without normalised columns."""
+    d = (_li_xy(spark, sf, ("l_suppkey",)).withColumn("fold", R.fold_of(F.col("l_suppkey").cast("string"), 5)))
+    sc = gram.grid_search(gram.sufficient_stats(d, ["x1"], "y", ["fold"]), 1, "fold", _CV2_ALPHAS, (False, True), "r2")
+    return sc.select("alpha", "normalize", round6("mean_score").alias("mean_score"), round6("std_score").alias("std_score"))
+
+
+@register("grid_search_refit", _CV2_SQL.format(fold=R.fold_sql(_LI_KEY, 5)) + """,
+s AS (SELECT alpha, normalize, avg(mse) AS score FROM e GROUP BY alpha, normalize),
+best AS (SELECT * FROM s ORDER BY score, alpha, normalize LIMIT 1),
+t AS (SELECT avg(x) AS mx, avg(y) AS my, var_pop(x) * count(*) AS cxx, covar_pop(y, x) * count(*) AS cxy FROM b),
+g AS (SELECT cxy / (cxx + alpha * CASE WHEN normalize THEN cxx ELSE 1 END) AS w0, mx, my FROM t, best)
+SELECT round(my - w0 * mx, 6) AS intercept, round(w0, 6) AS w0 FROM g
+""")
+def q_grid_search_refit(spark, sf):
+    """The best setting over shuffled folds, fitted again on all rows."""
+    d = _li_xy(spark, sf).withColumn("fold", R.fold_of(F.col("k"), 5))
+    st = gram.sufficient_stats(d, ["x1"], "y", ["fold"])
+    fit = gram.refit_best(st, 1, gram.grid_search(st, 1, "fold", _CV2_ALPHAS, (False, True)))
+    return fit.select(round6("intercept").alias("intercept"), round6("w0").alias("w0"))
+
+
+@register("scaled_ridge", """
+WITH r AS (SELECT l_quantity AS x1, l_discount * 100 AS x2, l_extendedprice / 1000.0 AS y FROM lineitem),
+q AS (SELECT avg(x1) AS m1, avg(x2) AS m2, stddev_pop(x1) AS s1, stddev_pop(x2) AS s2 FROM r),
+b AS (SELECT (x1 - m1) / s1 AS x1, (x2 - m2) / s2 AS x2, y FROM r, q),
+c AS (SELECT avg(y) AS my, var_pop(x1) * count(*) AS c11, var_pop(x2) * count(*) AS c22, covar_pop(x1, x2) * count(*) AS c12,
+             covar_pop(x1, y) * count(*) AS c1y, covar_pop(x2, y) * count(*) AS c2y FROM b),
+w AS (SELECT my, ((c22 + 100) * c1y - c12 * c2y) / ((c11 + 100) * (c22 + 100) - c12 * c12) AS w0,
+             ((c11 + 100) * c2y - c12 * c1y) / ((c11 + 100) * (c22 + 100) - c12 * c12) AS w1 FROM c)
+SELECT round(my, 6) AS intercept, round(w0, 6) AS w0, round(w1, 6) AS w1 FROM w
+""")
+def q_scaled_ridge(spark, sf):
+    """Scaler, then regressor: ridge on columns of mean 0 and deviation 1."""
+    d = _li_xy(spark, sf)
+    scale = d.agg(*[f(c).alias(f"{n}_{c}") for c in ("x1", "x2") for n, f in (("m", F.avg), ("s", F.stddev_pop))])
+    s = stats.with_scalars(d, scale)
+    s = s.select("y", *[((F.col(c) - F.col(f"m_{c}")) / F.when(F.col(f"s_{c}") == 0, 1.0).otherwise(F.col(f"s_{c}"))).alias(c)
+                        for c in ("x1", "x2")])
+    return fit_table(gram.sufficient_stats(s, ["x1", "x2"], "y"), 2, alpha=100.0)
+
+
+#: The reference's default number of random settings.
+N_SETTINGS = 500
 
 
 def _settings(spark, n):
@@ -152,32 +211,19 @@ def q_random_search(spark, sf):
 _SWEEP2 = f"""
 WITH b AS (SELECT {R.fold_sql(_LI_KEY, 5)} AS fold, l_quantity AS x1, l_discount * 100 AS x2,
                   l_extendedprice / 1000.0 AS y FROM lineitem),
-s AS (SELECT fold, count(*) AS n, sum(x1) AS s1, sum(x2) AS s2, sum(y) AS sy, sum(x1 * x1) AS s11,
-             sum(x2 * x2) AS s22, sum(x1 * x2) AS s12, sum(x1 * y) AS s1y, sum(x2 * y) AS s2y, sum(y * y) AS syy
-      FROM b GROUP BY fold),
-t AS (SELECT sum(n) AS n, sum(s1) AS s1, sum(s2) AS s2, sum(sy) AS sy, sum(s11) AS s11, sum(s22) AS s22,
-             sum(s12) AS s12, sum(s1y) AS s1y, sum(s2y) AS s2y FROM s),
+f AS (SELECT DISTINCT fold FROM b),
+m AS (SELECT f.fold, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, var_pop(x1) * count(*) AS c11, var_pop(x2) * count(*) AS c22,
+             covar_pop(x1, x2) * count(*) AS c12, covar_pop(y, x1) * count(*) AS c1y, covar_pop(y, x2) * count(*) AS c2y
+      FROM f JOIN b ON b.fold <> f.fold GROUP BY f.fold),
 a AS (SELECT unnest([0.0, 10.0, 1000.0]::DOUBLE[]) AS alpha),
-r AS (SELECT a.alpha, s.fold, s.n AS nt, s.s1 AS s1t, s.s2 AS s2t, s.sy AS syt, s.s11 AS s11t, s.s22 AS s22t,
-             s.s12 AS s12t, s.s1y AS s1yt, s.s2y AS s2yt, s.syy AS syyt,
-             t.n - s.n AS nr, t.s1 - s.s1 AS s1r, t.s2 - s.s2 AS s2r, t.sy - s.sy AS syr, t.s11 - s.s11 AS s11r,
-             t.s22 - s.s22 AS s22r, t.s12 - s.s12 AS s12r, t.s1y - s.s1y AS s1yr, t.s2y - s.s2y AS s2yr
-      FROM s, t, a),
-c AS (SELECT *, s11r - s1r * s1r / nr + alpha AS a11, s22r - s2r * s2r / nr + alpha AS a22,
-                s12r - s1r * s2r / nr AS a12, s1yr - s1r * syr / nr AS b1, s2yr - s2r * syr / nr AS b2 FROM r),
-one AS (SELECT alpha, fold, 1 AS n_features, b1 / a11 AS w1, 0.0 AS w2, nt, s1t, s2t, syt, s11t, s22t, s12t, s1yt, s2yt,
-               syyt, nr, s1r, s2r, syr FROM c),
-two AS (SELECT alpha, fold, 2 AS n_features, (a22 * b1 - a12 * b2) / (a11 * a22 - a12 * a12) AS w1,
-               (a11 * b2 - a12 * b1) / (a11 * a22 - a12 * a12) AS w2, nt, s1t, s2t, syt, s11t, s22t, s12t, s1yt,
-               s2yt, syyt, nr, s1r, s2r, syr FROM c),
-u AS (SELECT * FROM one UNION ALL SELECT * FROM two),
-e AS (SELECT alpha, n_features, fold, (syr - w1 * s1r - w2 * s2r) / nr AS b0, w1, w2, nt, s1t, s2t, syt, s11t, s22t,
-             s12t, s1yt, s2yt, syyt FROM u),
-m AS (SELECT alpha, n_features, (syyt - 2 * b0 * syt - 2 * w1 * s1yt - 2 * w2 * s2yt + nt * b0 * b0
-             + 2 * b0 * w1 * s1t + 2 * b0 * w2 * s2t + w1 * w1 * s11t + 2 * w1 * w2 * s12t + w2 * w2 * s22t) / nt
-             AS test_mse FROM e)
+u AS (SELECT alpha, m.*, 1 AS n_features, c1y / (c11 + alpha) AS w1, 0.0 AS w2 FROM m, a
+      UNION ALL
+      SELECT alpha, m.*, 2, ((c22 + alpha) * c1y - c12 * c2y) / ((c11 + alpha) * (c22 + alpha) - c12 * c12),
+             ((c11 + alpha) * c2y - c12 * c1y) / ((c11 + alpha) * (c22 + alpha) - c12 * c12) FROM m, a),
+e AS (SELECT alpha, n_features, fold, avg((y - (my - w1 * m1 - w2 * m2) - w1 * x1 - w2 * x2) ^ 2) AS test_mse
+      FROM u JOIN b USING (fold) GROUP BY alpha, n_features, fold)
 SELECT alpha, n_features, round(avg(test_mse), 6) AS mean_score, round(stddev_pop(test_mse), 6) AS std_score
-FROM m GROUP BY alpha, n_features
+FROM e GROUP BY alpha, n_features
 """
 
 
@@ -307,7 +353,7 @@ def q_shuffle_split_fit(spark, sf):
 
 
 @register("best_fold", _cv_sql("[0.0]::DOUBLE[]") + """,
-best AS (SELECT arg_max(fold, (1 - test_mse * nt / (syyt - syt * syt / nt), -fold)) AS fold FROM e)
+best AS (SELECT arg_max(fold, (1 - test_mse / var_y, -fold)) AS fold FROM e)
 SELECT e.fold AS best_fold, round(e.b0, 6) AS intercept, round(e.w1, 6) AS w0 FROM e JOIN best USING (fold)
 """)
 def q_best_fold(spark, sf):
@@ -359,6 +405,21 @@ def q_masked_resample(spark, sf):
     return s.groupBy("split_id", "is_train").agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("checksum"))
 
 
+@register("masked_resample_count", """
+WITH sp AS (SELECT range AS split_id FROM range(5)),
+r AS (SELECT sp.split_id, l.doc_id, l.quality = 1 AS is_train,
+             row_number() OVER (PARTITION BY sp.split_id, l.quality = 1 ORDER BY
+               (('0x' || substr(md5(concat_ws('_', '42', 'mr' || sp.split_id, CAST(l.doc_id AS VARCHAR))), 1, 8))::BIGINT
+                / 4294967296.0), l.doc_id) AS rk FROM labels l, sp)
+SELECT split_id, is_train, CAST(count(*) AS BIGINT) AS n, CAST(sum(doc_id) AS BIGINT) AS checksum
+FROM r WHERE rk <= 25 GROUP BY split_id, is_train
+""")
+def q_masked_resample_count(spark, sf):
+    lab = T(spark, sf, "labels").select("doc_id", (F.col("quality") == 1).alias("is_train"))
+    s = R.masked_resample(lab, "doc_id", "is_train", n_splits=5, n_rows=25, seed=42)
+    return s.groupBy("split_id", "is_train").agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("checksum"))
+
+
 @register("learning_curve", """
 WITH sp AS (SELECT range AS split_id FROM range(5)),
 b AS (SELECT sp.split_id, p.p_partkey, p.p_size AS x, p.p_retailprice AS y,
@@ -423,9 +484,9 @@ def q_cv_unpivot(spark, sf):
     return gram.unpivot_codes(w, "setting_id", ["alpha", "fit_intercept"])
 
 
-@register("negative_augment", """
+@register("negative_augment", f"""
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS vec, label FROM embeddings),
-a AS (SELECT vec_id AS anchor_id, vec AS avec, label FROM v WHERE vec_id < 20),
+a AS (SELECT vec_id AS anchor_id, vec AS avec, label FROM v WHERE {OBSERVED_SQL}),
 d AS (SELECT a.anchor_id, v.vec_id AS entry, 1 - list_cosine_similarity(a.avec, v.vec) AS distance FROM a, v),
 p AS (SELECT quantile_cont(distance, 0.97) AS upper FROM d),
 m AS (SELECT entry, avg(distance) AS mean_d FROM d GROUP BY entry)
@@ -434,9 +495,9 @@ UNION ALL SELECT entry, 0.0, true FROM m, p WHERE mean_d > upper
 """)
 def q_negative_augment(spark, sf):
     v = tables.vectors(spark, sf)
-    anchors = v.where("vec_id < 20")
-    d = search.pair_distances(v, anchors.withColumnRenamed("vec_id", "anchor_id"), metric="cosine")
-    flags = search.distant_flag(d, 0.97, DISTANT_CONST).where("above_pct")
+    anchors = tables.inventory(v)
+    flags = search.distant_flag(v, anchors.withColumnRenamed("vec_id", "anchor_id"), 0.97, DISTANT_CONST,
+                                metric="cosine").where("above_pct")
     neg = flags.select(F.col("entry").alias("vec_id"), F.lit(0.0).alias("y"), F.lit(True).alias("is_negative"))
     pos = anchors.select("vec_id", F.col("label").cast("double").alias("y"), F.lit(False).alias("is_negative"))
     return pos.unionByName(neg)
@@ -569,7 +630,7 @@ def q_sample_without(spark, sf):
 
 @register("batched_apply", f"""
 WITH {_UNNEST_V},
-c AS (SELECT list(m ORDER BY i) AS coef FROM (SELECT i, avg(x) AS m FROM u WHERE vec_id < 20 GROUP BY i)),
+c AS (SELECT list(m ORDER BY i) AS coef FROM (SELECT i, avg(x) AS m FROM u WHERE {OBSERVED_SQL} GROUP BY i)),
 v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings)
 SELECT vec_id, round(list_dot_product(vec, coef), 6) AS score FROM v, c
 """)
@@ -577,6 +638,6 @@ def q_batched_apply(spark, sf):
     """A fitted linear scorer (here: the inventory centroid) applied per Arrow batch."""
     from astrolabe.operators.models import LinearModel
     v = tables.vectors(spark, sf)
-    cen = reduce.moments(v.where("vec_id < 20"), "vec").collect()[0]["mean"]  # d numbers
+    cen = reduce.moments(tables.inventory(v), "vec").collect()[0]["mean"]  # d numbers
     scored = LinearModel(np.asarray(cen), 0.0).predict(v.select("vec_id", "vec"), "vec", "score")
     return scored.select("vec_id", round6("score").alias("score"))

@@ -20,7 +20,7 @@ GP_KERNEL = MD.Kernel(const=1.0, length=0.8, rq_const=0.5, rq_length=1.0, rq_alp
 
 
 def _inventory(v):
-    return v.where("vec_id < 20")
+    return tables.inventory(v)
 
 
 @register("train_word_vectors")
@@ -194,11 +194,17 @@ def q_recommend_batch_scored(spark, sf):
     from astrolabe.sources import io
     recs = recommend_batch_rows(spark, sf)
     with_vec = recs.join(v.select(F.col("vec_id").alias("entry"), "vec"), "entry")
-    scored = gp.predict(with_vec, "vec").drop("vec")
-    # the batch's two outputs: a CSV table (S13) and a one-per-line target list
-    io.write_csv(scored, scratch_path(spark, "recommendations-csv"))
-    io.write_lines(scored, "entry", scratch_path(spark, "targets"))
-    return scored
+    # scored once, as a table that the batch's outputs are written from
+    store = scratch_path(spark, "recommendations")
+    gp.predict(with_vec, "vec").drop("vec").write.parquet(store)
+    scored = spark.read.parquet(store)
+    # the two outputs: a CSV table (S13) and a one-per-line target list (S14); the result is what they hold
+    table, lines = scratch_path(spark, "recommendations-csv"), scratch_path(spark, "targets")
+    io.write_csv(scored, table)
+    io.write_lines(scored, "entry", lines)
+    back = spark.read.schema(scored.schema).option("header", True).csv(table)
+    targets = spark.read.text(lines).select(F.col("value").cast("long").alias("entry"))
+    return back.join(targets, "entry", "left_semi")
 
 
 @register("hyperparam_importance")
@@ -258,5 +264,5 @@ def q_store_recommend(spark, sf):
     docs = tables.load(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"),
                                                       F.log10("n_chars").alias("y"))
     items = store.join(docs, "vec_id")
-    anchors = items.where("vec_id < 20")
+    anchors = tables.inventory(items)
     return recommend(items, anchors, top=10, cluster_col="cluster_id", target_col="y")

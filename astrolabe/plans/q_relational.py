@@ -13,7 +13,7 @@ from astrolabe.functions import vectors as V
 from astrolabe.operators import curate as C
 from astrolabe.operators import stats
 from astrolabe.operators.resample import uniform, uniform_sql
-from astrolabe.constants import CUMULATIVE_TARGET, ROW_SCALE
+from astrolabe.constants import CUMULATIVE_TARGET, ROW_SCALE, OBSERVED_SQL
 from astrolabe.plans.registry import register
 
 
@@ -211,20 +211,22 @@ def q_pattern_flags(spark, sf):
 
 @register("row_template", rf"""
 SELECT p_partkey,
-       p_name || ' & ' || CASE WHEN p_size > 25
+       p_name || ' & ' || CASE WHEN p_size > 45 THEN '$\\infty$' WHEN p_size > 25
                  THEN CAST(CAST(round(CAST(p_retailprice AS DECIMAL(12,2)) * CAST({ROW_SCALE} AS DECIMAL(6,4)), 4)
                                 AS DECIMAL(18,4)) AS VARCHAR)
                                ELSE ' - ' END
-              || ' & ' || CAST(p_size AS VARCHAR) AS row_text
+              || ' & ' || CAST(abs(p_size - 30) AS VARCHAR) AS row_text
 FROM part
 """)
 def q_row_template(spark, sf):
     # exact decimal arithmetic: binary doubles round ties differently per engine
     scaled = F.round(F.col("p_retailprice").cast("decimal(12,2)") * F.lit(ROW_SCALE).cast("decimal(6,4)"), 4)
     scaled = scaled.cast("decimal(18,4)").cast("string")
+    # a value that is missing prints as infinity; F21: absolute value of a column
+    value = F.when(F.col("p_size") <= 45, scaled)
     txt = F.concat_ws(" & ", "p_name",
-                      F.when(F.col("p_size") > 25, scaled).otherwise(F.lit(" - ")),
-                      F.col("p_size").cast("string"))
+                      F.when(F.col("p_size") > 25, F.coalesce(value, F.lit("$\\infty$"))).otherwise(F.lit(" - ")),
+                      F.abs(F.col("p_size") - 30).cast("string"))
     return T(spark, sf, "part").select("p_partkey", txt.alias("row_text"))
 
 
@@ -347,13 +349,14 @@ def q_score_summary(spark, sf):
 
 
 @register("cluster_histogram", """
-WITH k AS (SELECT CAST(range AS INTEGER) AS label FROM range(12)),
+WITH k AS (SELECT CAST(unnest(range(least(0, min(label)), max(label) + 1)) AS INTEGER) AS label FROM embeddings),
 c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label)
 SELECT k.label, coalesce(c.n, 0) AS n FROM k LEFT JOIN c USING (label)
 """)
 def q_cluster_histogram(spark, sf):
     counts = T(spark, sf, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    bins = spark.range(12).select(F.col("id").cast("int").alias("label"))
+    lo, hi = counts.agg(F.min("label"), F.max("label")).first()  # two scalars: labels without rows count 0
+    bins = spark.range(min(0, lo or 0), (hi if hi is not None else -1) + 1).select(F.col("id").cast("int").alias("label"))
     return bins.join(counts, "label", "left").select("label", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
@@ -412,8 +415,10 @@ def q_fit_gap(spark, sf):
 
 
 @register("list_fingerprint", """
-SELECT p_brand, md5(string_agg(p_name, chr(10) ORDER BY p_partkey)) AS fingerprint, CAST(1 AS BIGINT) AS n_blocks
-FROM part GROUP BY p_brand
+WITH r AS (SELECT p_brand, p_name, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS at FROM part),
+a AS (SELECT p_brand, at // 1000 AS up, md5(string_agg(p_name, chr(10) ORDER BY at)) AS d FROM r GROUP BY ALL),
+b AS (SELECT p_brand, up // 1000 AS up, md5(string_agg(d, chr(10) ORDER BY up)) AS d, count(*) AS n FROM a GROUP BY p_brand, up // 1000)
+SELECT p_brand, md5(string_agg(d, chr(10) ORDER BY up)) AS fingerprint, CAST(sum(n) AS BIGINT) AS n_blocks FROM b GROUP BY p_brand
 """)
 def q_list_fingerprint(spark, sf):
     from astrolabe.operators import text
@@ -545,13 +550,13 @@ def q_pool_sources(spark, sf):
     return pooled.select(F.md5("raw").alias("raw_md5"), "source")
 
 
-@register("stack_with_mask", """
-SELECT vec_id, true AS is_anchor FROM embeddings WHERE vec_id < 20
+@register("stack_with_mask", f"""
+SELECT vec_id, true AS is_anchor FROM embeddings WHERE {OBSERVED_SQL}
 UNION ALL SELECT vec_id, false FROM embeddings WHERE vec_id >= 20
 """)
 def q_stack_with_mask(spark, sf):
     e = T(spark, sf, "embeddings").select("vec_id")
-    return (e.where("vec_id < 20").withColumn("is_anchor", F.lit(True))
+    return (tables.inventory(e).withColumn("is_anchor", F.lit(True))
             .unionByName(e.where("vec_id >= 20").withColumn("is_anchor", F.lit(False))))
 
 

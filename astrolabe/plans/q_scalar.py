@@ -168,7 +168,7 @@ _FORMULA_SQL = """('C' || CAST(p_size AS VARCHAR) || 'H' || CAST(length(p_name)
 
 
 def _count_sql(el):
-    toks = f"regexp_extract_all(formula, '{el}[0-9]{{0,2}}')"
+    toks = f"regexp_extract_all(formula, '{el}[0-9]*')"
     return (f"CASE WHEN len({toks}) = 0 THEN 0 WHEN replace({toks}[-1], '{el}', '') = '' THEN 1 "
             f"ELSE CAST(replace({toks}[-1], '{el}', '') AS INTEGER) END")
 
@@ -193,9 +193,9 @@ _MASS_VALUES = ", ".join(f"('{k}', CAST({v} AS DOUBLE))" for k, v in S.ATOMIC_MA
 WITH f AS (SELECT p_partkey, {_FORMULA_SQL} AS formula FROM part),
 t AS (SELECT p_partkey, unnest(regexp_extract_all(formula, '[A-Z][a-z]?[0-9]*')) AS tok FROM f),
 m(sym, mass) AS (VALUES {_MASS_VALUES})
-SELECT p_partkey, round(sum(m.mass * CASE WHEN regexp_extract(tok, '[0-9]+') = '' THEN 1
-                                          ELSE CAST(regexp_extract(tok, '[0-9]+') AS INTEGER) END), 6) AS mass
-FROM t JOIN m ON regexp_extract(tok, '^[A-Z][a-z]?') = m.sym GROUP BY p_partkey
+SELECT p_partkey, round(CASE WHEN count(m.mass) = count(*) THEN sum(m.mass * CASE WHEN regexp_extract(tok, '[0-9]+') = '' THEN 1
+                                          ELSE CAST(regexp_extract(tok, '[0-9]+') AS INTEGER) END) END, 6) AS mass
+FROM t LEFT JOIN m ON regexp_extract(tok, '^[A-Z][a-z]?') = m.sym GROUP BY p_partkey
 """)
 def q_formula_mass(spark, sf):
     from astrolabe.operators import text

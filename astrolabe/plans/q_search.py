@@ -7,19 +7,15 @@ from pyspark.sql import functions as F
 from astrolabe.functions.scalar import round6
 from astrolabe import tables
 from astrolabe.plans.recommend import recommend
-from astrolabe.constants import DIST_THRES, DISTANT_CONST
+from astrolabe.constants import DIST_THRES, DISTANT_CONST, OBSERVED_SQL
 from astrolabe.plans.registry import register
 
-# Inventory stand-in: the first 20 vectors of the store are the "observed" items.
-ANCHOR_LIMIT = 20
-
-
 def anchors_of(vecs):
-    return vecs.where(F.col("vec_id") < ANCHOR_LIMIT)
+    return tables.inventory(vecs)
 
 
 _V = "v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS vec, label FROM embeddings)"
-_A = "a AS (SELECT vec_id AS anchor_id, vec AS avec, label AS alabel FROM v WHERE vec_id < 20)"
+_A = f"a AS (SELECT vec_id AS anchor_id, vec AS avec, label AS alabel FROM v WHERE {OBSERVED_SQL})"
 
 
 @register("recommend", f"""
@@ -116,8 +112,7 @@ FROM d
 """)
 def q_distance_profile(spark, sf):
     v = tables.vectors(spark, sf)
-    d = search.pair_distances(v, _anchor_frame(v), metric="cosine")
-    return search.distance_profile(d, [0.03, 0.5, 0.97], ["p3", "p50", "p97"])
+    return search.distance_profile(v, _anchor_frame(v), [0.03, 0.5, 0.97], ["p3", "p50", "p97"], metric="cosine")
 
 
 @register("distant_flag", f"""
@@ -128,8 +123,7 @@ SELECT entry, round(mean_d, 6) AS mean_d, mean_d > upper AS above_pct, mean_d >
 """)
 def q_distant_flag(spark, sf):
     v = tables.vectors(spark, sf)
-    d = search.pair_distances(v, _anchor_frame(v), metric="cosine")
-    return search.distant_flag(d, 0.97, DISTANT_CONST)
+    return search.distant_flag(v, _anchor_frame(v), 0.97, DISTANT_CONST, metric="cosine")
 
 
 @register("covariance_rows", f"""
@@ -139,11 +133,35 @@ z AS (SELECT i, j, CASE WHEN i = j THEN 0.0 ELSE cov END AS cov FROM c)
 SELECT i, round(avg(cov), 6) AS mean_cov, arg_max(j, (cov, -j)) AS top_j FROM z GROUP BY i
 """)
 def q_covariance_rows(spark, sf):
-    v = tables.vectors(spark, sf)
-    a = anchors_of(v)
+    return search.covariance_rows(_covariances(spark, sf))
+
+
+def _covariances(spark, sf):
+    a = anchors_of(tables.vectors(spark, sf))
     cov = search.pair_distances(a, a.withColumnRenamed("vec_id", "anchor_id"), metric="dot")
-    cov = cov.select(F.col("anchor_id").alias("i"), F.col("entry").alias("j"), F.col("distance").alias("cov"))
-    return search.covariance_rows(cov)
+    return cov.select(F.col("anchor_id").alias("i"), F.col("entry").alias("j"), F.col("distance").alias("cov"))
+
+
+@register("covariance_order", f"""
+WITH {_V}, {_A},
+c AS (SELECT x.anchor_id AS i, y.anchor_id AS j, CASE WHEN x.anchor_id = y.anchor_id THEN 0.0
+             ELSE list_dot_product(x.avec, y.avec) END AS cov FROM a x, a y)
+SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY cov DESC, j) AS place FROM c
+""")
+def q_covariance_order(spark, sf):
+    """Every row's full ordering of the others by covariance."""
+    return search.covariance_order(_covariances(spark, sf)).select("i", "j", F.col("place").cast("long").alias("place"))
+
+
+@register("covariance_blocks", f"""
+WITH {_V}, {_A}
+SELECT x.alabel AS label_i, y.alabel AS label_j, round(avg(list_dot_product(x.avec, y.avec)), 6) AS mean_cov, count(*) AS n
+FROM a x, a y WHERE x.anchor_id <> y.anchor_id GROUP BY x.alabel, y.alabel
+""")
+def q_covariance_blocks(spark, sf):
+    """Mean covariance of each block of two groups, without the diagonal."""
+    groups = anchors_of(tables.vectors(spark, sf)).select("vec_id", "label")
+    return search.covariance_blocks(_covariances(spark, sf), groups, "vec_id", "label")
 
 
 @register("pairwise_similarity", f"""
@@ -157,12 +175,25 @@ def q_pairwise_similarity(spark, sf):
     return s.select("i", "j", round6("sim").alias("sim"))
 
 
-@register("greedy_assignment")
+@register("greedy_assignment", f"""
+WITH RECURSIVE {_V}, {_A},
+d AS (SELECT a.anchor_id, v.vec_id AS entry, list_distance(a.avec, v.vec) AS distance
+      FROM a, v WHERE v.vec_id NOT IN (SELECT anchor_id FROM a)),
+o AS (SELECT anchor_id, row_number() OVER (ORDER BY anchor_id) AS step FROM a),
+g AS (SELECT 0::BIGINT AS step, NULL::BIGINT AS anchor_id, NULL::BIGINT AS entry, NULL::DOUBLE AS distance, []::BIGINT[] AS taken
+      UNION ALL
+      SELECT o.step, o.anchor_id, p.entry, p.distance, list_append(g.taken, p.entry)
+      FROM g JOIN o ON o.step = g.step + 1,
+           LATERAL (SELECT arg_min(d.entry, (d.distance, d.entry)) AS entry, min(d.distance) AS distance FROM d
+                    WHERE d.anchor_id = o.anchor_id AND NOT list_contains(g.taken, d.entry)) p)
+SELECT anchor_id, entry, round(distance, 6) AS distance, step FROM g WHERE step > 0
+""")
 def q_greedy_assignment(spark, sf):
     # queries: the inventory; candidates: every other vector of the store
     v = tables.vectors(spark, sf)
-    cands = v.where(F.col("vec_id") >= ANCHOR_LIMIT)
-    return search.greedy_assignment(cands, _anchor_frame(v))
+    anchors = _anchor_frame(v)
+    cands = v.join(anchors.select(F.col("anchor_id").alias("vec_id")), "vec_id", "left_anti")
+    return search.greedy_assignment(cands, anchors).withColumn("distance", round6("distance"))
 
 
 @register("knn_regress", f"""

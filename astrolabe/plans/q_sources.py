@@ -68,7 +68,7 @@ def q_capped_valid_scan(spark, sf):
     path = scratch_path(spark, "id-value")
     d = T(spark, sf, "documents").select("doc_id", S.normalise_key("text").alias("value"))
     d.write.mode("overwrite").option("sep", "\t").option("escape", '"').csv(path)
-    out = io.read_capped_valid(spark, path, 300, r"^[a-z]{3}", id_col="doc_id")
+    out = io.read_capped_valid(spark, path, r"^[a-z]{3}", n_max=300, id_col="doc_id")
     return out.select(F.md5("value").alias("value_md5"))
 
 
@@ -77,17 +77,27 @@ SELECT user_id, CAST(event_id AS DOUBLE) AS t, value AS x FROM events
 """)
 def q_series_scan(spark, sf):
     path = scratch_path(spark, "series")
-    e = T(spark, sf, "events").select(F.col("event_id").cast("double").alias("t"), F.col("value").alias("x"),
-                                      "user_id")
-    # one directory per series; every task writes its own file per series, each
-    # starting with a header line that the reader skips (no repartition by user,
-    # so a series holding a third of the rows is still written by many tasks)
-    e.write.mode("overwrite").partitionBy("user_id") \
-        .option("header", True).option("sep", " ").csv(path)
-    s = io.read_series(spark, path, ("t", "x"))
+    # one file per task, each with a header line that the reader skips, and columns
+    # set apart by runs of blanks and tabs; the series' key is a column, not a folder
+    line = F.concat(F.lit("  "), F.col("event_id").cast("string"), F.lit("   "), F.coalesce(F.col("value").cast("string"), F.lit("nan")),
+                    F.lit("\t "), F.col("user_id").cast("string"))
+    (T(spark, sf, "events").select(line.alias("t x user")).write.option("header", True)
+     .option("sep", "\u0001").option("quote", "").csv(path))
+    s = io.read_series(spark, path, ("t", "x", "user_id"))
     return s.select(F.col("user_id").cast("long").alias("user_id"), "t", "x")
 
 
+@register("value_list_scan", f"""
+SELECT md5({_KEY_SQL}) AS value_md5 FROM documents WHERE {_KEY_SQL} IS NOT NULL
+""")
+def q_value_list_scan(spark, sf):
+    """A list with one value per line (values hold blanks), read back."""
+    path = scratch_path(spark, "value-list")
+    keys = T(spark, sf, "documents").select(S.normalise_key("text").alias("k")).where("k IS NOT NULL")
+    keys.select(F.concat(F.lit(" "), "k", F.lit("\t")).alias("value")).write.text(path)
+    return io.read_values(spark, path).select(F.md5("value").alias("value_md5"))
+
+
 @register("vector_scan", """
 SELECT vec_id, round(sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))), 6) AS norm
 FROM embeddings

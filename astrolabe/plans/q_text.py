@@ -10,6 +10,7 @@ from astrolabe import tables
 from astrolabe.functions import scalar as S
 from astrolabe.operators import search, stats
 from astrolabe.operators import text as X
+from astrolabe.constants import OBSERVED_SQL
 from astrolabe.plans.registry import register
 
 
@@ -41,7 +42,11 @@ SELECT doc_id,
   arg_max(k[5], pos) FILTER (WHERE contains(line, ' de ')) AS a_tok,
   arg_max(k[-1], pos) FILTER (WHERE contains(line, '###')) AS e_tok,
   arg_max(TRY_CAST(k[-1] AS DOUBLE), pos) FILTER (WHERE contains(line, '###') AND TRY_CAST(k[-1] AS DOUBLE) IS NOT NULL) AS e,
-  arg_max(k[-4], pos) FILTER (WHERE contains(line, 'License')) AS zpe_tok
+  arg_max(TRY_CAST(k[8] AS DOUBLE), pos) FILTER (WHERE contains(line, ' de ') AND TRY_CAST(k[8] AS DOUBLE) IS NOT NULL) AS b,
+  arg_max(k[8], pos) FILTER (WHERE contains(line, ' de ')) AS b_tok,
+  arg_max(k[11], pos) FILTER (WHERE contains(line, ' de ')) AS c_tok,
+  arg_max(k[-4], pos) FILTER (WHERE contains(line, 'License')) AS zpe_tok,
+  arg_max(k[-2], pos) FILTER (WHERE contains(line, 'License')) AS h_tok
 FROM t WHERE contains(line, ' de ') OR contains(line, '###') OR contains(line, 'License') GROUP BY doc_id
 """)
 def q_log_extract(spark, sf):
@@ -51,7 +56,11 @@ def q_log_extract(spark, sf):
         "a_tok": (" de ", X.tok("line", 4)),
         "e_tok": ("###", X.tok("line", -1)),
         "e": ("###", X.tok("line", -1).try_cast("double")),
+        "b": (" de ", X.tok("line", 7).try_cast("double")),
+        "b_tok": (" de ", X.tok("line", 7)),
+        "c_tok": (" de ", X.tok("line", 10)),
         "zpe_tok": ("License", X.tok("line", -4)),
+        "h_tok": ("License", X.tok("line", -2)),
     }
     any_marker = F.lit(False)
     aggs = []
@@ -83,7 +92,7 @@ k AS (SELECT conv_id, turn, pos, {_TOKS.format(x='nxt')} AS k FROM n WHERE conta
 SELECT conv_id, turn, CAST(pos AS INTEGER) AS pos, k[6] AS t5, k[4] AS t3, k[2] AS t1 FROM k
 """)
 def q_next_line_value(spark, sf):
-    out = X.next_line_tokens(conv_lines(spark, sf), ["conv_id"], ["turn", "pos"], "the", [5, 3, 1])
+    out = X.next_line_tokens(T(spark, sf, "conversations"), ["conv_id"], ["turn"], "text", "the", [5, 3, 1])
     return out.select("conv_id", "turn", "pos", "t5", "t3", "t1")
 
 
@@ -93,12 +102,16 @@ n AS (SELECT *, concat_ws(chr(9), lead(line, 1) OVER w, lead(line, 2) OVER w) AS
       WINDOW w AS (PARTITION BY conv_id ORDER BY turn, pos)),
 k AS (SELECT conv_id, turn, pos, {_TOKS.format(x='nxt')} AS k FROM n WHERE contains(line, 'the'))
 SELECT conv_id, turn, CAST(pos AS INTEGER) AS pos, CAST(len(k) // 2 AS INTEGER) AS n_pairs,
-       lower(replace(k[1], ':', '')) AS k0, k[2] AS v0 FROM k
+       array_to_string(list_transform(range(1, len(k) // 2 + 1),
+                                      lambda i: lower(replace(k[2 * i - 1], ':', '')) || '=' || k[2 * i]), ';') AS pairs FROM k
 """)
 def q_following_pairs(spark, sf):
-    out = X.next_line_tokens(conv_lines(spark, sf), ["conv_id"], ["turn", "pos"], "the", [0, 1], n_following=2)
-    return out.select("conv_id", "turn", "pos", F.floor(F.size("__toks") / 2).cast("int").alias("n_pairs"),
-                      F.lower(F.replace("t0", F.lit(":"), F.lit(""))).alias("k0"), F.col("t1").alias("v0"))
+    out = X.next_line_tokens(T(spark, sf, "conversations"), ["conv_id"], ["turn"], "text", "the", [], n_following=2)
+    n = F.floor(F.size(F.coalesce("__toks", F.array().cast("array<string>"))) / 2).cast("int")
+    key = lambda i: F.lower(F.replace(F.get("__toks", 2 * i), F.lit(":"), F.lit("")))
+    pairs = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.concat(key(i), F.lit("="), F.get("__toks", 2 * i + 1)))
+    return out.select("conv_id", "turn", "pos", n.alias("n_pairs"),
+                      F.array_join(F.when(n > 0, pairs).otherwise(F.array().cast("array<string>")), ";").alias("pairs"))
 
 
 @register("last_block", f"""
@@ -137,7 +150,9 @@ WITH u AS (SELECT user_id, bool_or(event_type = 'purchase') AS done, bool_or(eve
            FROM events GROUP BY user_id)
 SELECT o.o_orderkey,
   CASE WHEN o.o_orderstatus = 'P' THEN 'skip-ignored' WHEN coalesce(u.done, false) THEN 'skip-done'
-       WHEN coalesce(u.failed, false) THEN 'restart' ELSE 'run' END AS state
+       WHEN coalesce(u.failed, false) THEN 'restart' ELSE 'run' END AS state,
+  CASE WHEN o.o_orderstatus = 'P' THEN 'skip-ignored' WHEN coalesce(u.done, false) THEN 'skip-done'
+       WHEN coalesce(u.failed, false) THEN 'skip-failed' ELSE 'run' END AS state_no_restart
 FROM orders o LEFT JOIN u ON o.o_custkey = u.user_id
 """)
 def q_work_state(spark, sf):
@@ -146,10 +161,26 @@ def q_work_state(spark, sf):
         F.bool_or(F.col("event_type") == "error").alias("failed"))
     o = T(spark, sf, "orders")
     j = o.join(u, o.o_custkey == u.user_id, "left")
-    state = (F.when(F.col("o_orderstatus") == "P", "skip-ignored")
-             .when(F.coalesce("done", F.lit(False)), "skip-done")
-             .when(F.coalesce("failed", F.lit(False)), "restart").otherwise("run"))
-    return j.select("o_orderkey", state.alias("state"))
+    def state(failed: str):
+        return (F.when(F.col("o_orderstatus") == "P", "skip-ignored")
+                .when(F.coalesce("done", F.lit(False)), "skip-done")
+                .when(F.coalesce("failed", F.lit(False)), failed).otherwise("run"))
+    # with and without the option to start failed jobs again
+    return j.select("o_orderkey", state("restart").alias("state"), state("skip-failed").alias("state_no_restart"))
+
+
+@register("ignore_list", """
+WITH f AS (SELECT CASE WHEN doc_id % 7 = 0 THEN 'jobs/run_' ELSE 'jobs/' END || (doc_id // 2) || '.log' AS name, text FROM documents),
+i AS (SELECT DISTINCT CAST(regexp_extract(name, '([0-9]+)\\.log$', 1) AS BIGINT) AS id FROM f
+      WHERE NOT contains(name, '_') AND (contains(text, 'License') OR contains(text, ' de la ')))
+SELECT id, row_number() OVER (ORDER BY id) AS place FROM i
+""")
+def q_ignore_list(spark, sf):
+    """D3: logs named after a number, two rows a log and some names with ``_``."""
+    name = F.concat(F.when(F.col("doc_id") % 7 == 0, "jobs/run_").otherwise("jobs/"),
+                    F.floor(F.col("doc_id") / 2).cast("string"), F.lit(".log"))
+    files = T(spark, sf, "documents").select(name.alias("name"), "text")
+    return X.ignore_list(files, "name", "text", ["License", " de la "])
 
 
 @register("log_mask", f"""
@@ -178,9 +209,9 @@ def q_target_table(spark, sf):
     return p.select("p_partkey", "idx", "charge", "multi", S.scf_reference("multi").alias("method"))
 
 
-@register("result_summary", """
+@register("result_summary", f"""
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings),
-a AS (SELECT vec_id AS anchor_id, vec AS avec FROM v WHERE vec_id < 20),
+a AS (SELECT vec_id AS anchor_id, vec AS avec FROM v WHERE {OBSERVED_SQL}),
 d AS (SELECT a.anchor_id, v.vec_id AS entry, list_distance(a.avec, v.vec) AS distance FROM a, v),
 t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY distance, entry) AS rn FROM d) WHERE rn <= 10)
 SELECT t.entry AS recommendation, t.anchor_id AS anchor, round(t.distance, 6) AS distance,
@@ -189,7 +220,7 @@ FROM t JOIN documents doc ON doc.doc_id = t.entry WHERE t.distance >= 1e-3
 """)
 def q_result_summary(spark, sf):
     v = tables.vectors(spark, sf)
-    recs = search.knn_topk(v, v.where("vec_id < 20").withColumnRenamed("vec_id", "anchor_id"), 10)
+    recs = search.knn_topk(v, tables.inventory(v).withColumnRenamed("vec_id", "anchor_id"), 10)
     docs = T(spark, sf, "documents").select("doc_id", "lang", "n_chars")
     j = recs.where(F.col("distance") >= 1e-3).join(docs, recs.entry == docs.doc_id)
     return j.select(F.col("entry").alias("recommendation"), F.col("anchor_id").alias("anchor"),

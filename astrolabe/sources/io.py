@@ -43,22 +43,42 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.explode(toks).alias("token")).where(F.col("token") != "")
 
 
-def read_capped_valid(spark: SparkSession, path: str, n_max: int, valid_pattern: str,
+def read_values(spark: SparkSession, path: str, name: str = "value") -> DataFrame:
+    """One value per line (white space inside it is kept, around it dropped), blank lines skipped."""
+    value = F.regexp_replace("value", r"^\s+|\s+$", "")
+    return spark.read.text(path).select(value.alias(name)).where(F.col(name) != "")
+
+
+def read_capped_valid(spark: SparkSession, path: str, valid_pattern: str, n_max: int | None = None,
                       id_col: str = "id", value_col: str = "value") -> DataFrame:
-    """Two-column ``id<TAB>value`` scan; keep the first ``n_max`` *valid*
-    rows in id order (the cap is the feature), distinct values."""
+    """Two-column ``id<TAB>value`` scan; the distinct values of the *valid* rows.
+
+    With ``n_max`` only the first ``n_max`` valid rows in id order count: that
+    drops the rest of the file, so it is off unless asked for.
+    """
     df = (spark.read.schema(f"{id_col} long, {value_col} string").option("sep", "\t")
           .option("escape", '"').csv(path))
     valid = df.where(F.col(value_col).rlike(valid_pattern))
-    return valid.orderBy(id_col).limit(n_max).select(value_col).distinct()
+    if n_max is not None:
+        from astrolabe.operators import stats
+        # positions by range partitions, so that a large cap isn't gathered in one task
+        valid = stats.global_position(valid, [id_col], "__pos").where(F.col("__pos") <= n_max)
+    return valid.select(value_col).distinct()
 
 
 def read_series(spark: SparkSession, path: str, names: tuple[str, str] = ("t", "x")) -> DataFrame:
-    """Headerless whitespace-delimited series, first line of each file skipped;
-    partition directories (``key=value``) become columns."""
-    df = (spark.read.option("header", True).option("sep", " ")
-          .schema(f"{names[0]} double, {names[1]} double").csv(path))
-    return df
+    """Whitespace-delimited series (any amount of blanks and tabs), first line of
+    each file skipped; partition directories (``key=value``) become columns.
+
+    The CSV reader's header option is the per-file skip; its separator is a
+    character that no line holds, so each line arrives whole.
+    """
+    lines = (spark.read.option("header", True).option("sep", "\u0001").option("quote", "").option("enforceSchema", True)
+             .schema("__line string").csv(path))
+    cells = F.split(F.regexp_replace("__line", r"^\s+|\s+$", ""), r"\s+")
+    rest = [c for c in lines.columns if c != "__line"]
+    return (lines.where(F.trim(F.regexp_replace("__line", r"\s+", " ")) != "")
+            .select(*[F.get(cells, i).try_cast("double").alias(n) for i, n in enumerate(names)], *rest))
 
 
 def vector_column(df: DataFrame, preferred: str = "pca", fallback: str = "embedding") -> str:

@@ -29,37 +29,17 @@ ROW_KEYS = {
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Scan one table (see :func:`spread_small`)."""
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread_small(df)
-
-
-# Inputs at most this large may be spread over the cores with one cheap shuffle.
-SPREAD_MAX_BYTES = 1 << 30
-
-
-def spread_small(df: DataFrame) -> DataFrame:
-    """Spread a *small* scan that arrives in fewer splits than there are cores.
-
-    A scan gets one task per file split; a one-row-group file is one task, so
-    all per-row work before the first shuffle (regexes, vector kernels) would
-    run on one core.  When the input is both under-split and small (Catalyst's
-    size estimate <= 1 GiB), its rows are spread round-robin over the cores.
-    Large inputs are never reshuffled here: they keep their scan partitioning.
-    """
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        parts = df.rdd.getNumPartitions()
-        est = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        size = est if isinstance(est, int) else int(est.toString())
-    except Exception:  # Spark Connect: no RDD / plan statistics; leave the scan as it is
-        return df
-    if parts < cores and size <= SPREAD_MAX_BYTES:
-        return df.repartition(cores)
-    return df
+    """Scan one table."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vector store with ``vec`` as ``array<double>`` (arithmetic type)."""
     return (load(spark, sf_dir, "embeddings")
             .select("vec_id", F.col("embedding").cast("array<double>").alias("vec"), "label"))
+
+
+def inventory(vecs: DataFrame) -> DataFrame:
+    """The observed rows of a vector table."""
+    from astrolabe.constants import OBSERVED_KEYS
+    return vecs.where(F.col("vec_id").isin(*OBSERVED_KEYS))

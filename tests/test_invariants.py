@@ -134,7 +134,7 @@ def test_vector_stats_tree_merge(spark):
     x = rng.normal(size=(300, 4))
     df = spark.createDataFrame([(i % 3, x[i].tolist(), float(i)) for i in range(300)],
                                "g long, v array<double>, y double").repartition(7)
-    st = {r.g: r for r in gram.vector_stats(df, "v", "y", ["g"], fan_in=2).collect()}
+    st = {r.g: r for r in gram.vector_stats(df, "v", "y", ["g"], fan_in=2, centered=False).collect()}
     for g in range(3):
         xs = x[np.arange(300) % 3 == g]
         assert np.allclose(np.array(st[g].xtx).reshape(4, 4), xs.T @ xs)

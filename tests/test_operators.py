@@ -114,14 +114,23 @@ def test_composition_first_seen_order(spark):
     assert df.select(X.composition("s")).collect()[0][0] == "b2l2u1e1o1t1"
 
 
-def test_list_fingerprint_merkle(spark):
+def plain_fingerprint(values, block, levels=2):
     import hashlib
-    rows = [(k, f"n{k}") for k in range(7)]
-    df = spark.createDataFrame(rows, "k long, v string")
-    got = X.list_fingerprint(df, None, "k", "v", block=3).collect()[0]
-    blocks = [hashlib.md5("\n".join(v for k, v in rows if k // 3 == b).encode()).hexdigest() for b in range(3)]
-    assert got["fingerprint"] == hashlib.md5("\n".join(blocks).encode()).hexdigest()
-    assert got["n_blocks"] == 3
+
+    def md5(xs):
+        return hashlib.md5("\n".join(xs).encode()).hexdigest()
+    for _ in range(levels):
+        values = [md5(values[i:i + block]) for i in range(0, len(values), block)]
+    return md5(values)
+
+
+def test_list_fingerprint_is_one_form_for_all_sizes(spark):
+    for n in (1, 2, 3, 4, 9, 10):
+        rows = [(7 * k, f"n{k}") for k in range(n)]
+        df = spark.createDataFrame(rows, "k long, v string")
+        got = X.list_fingerprint(df, None, "k", "v", block=3).collect()[0]
+        assert got["fingerprint"] == plain_fingerprint([v for _, v in rows], 3)
+        assert got["n_blocks"] == -(-n // 3)
 
 
 def test_token_sentence_radius_one(spark):
@@ -224,21 +233,6 @@ def test_global_rank_ties_across_arrow_batches(spark):
     assert got == {i: 1 + sum(1 for w in vals if w > v) for i, v in enumerate(vals)}
 
 
-def test_list_fingerprint_recurses_when_wide(spark):
-    import hashlib
-
-    def md5(xs):
-        return hashlib.md5("\n".join(xs).encode()).hexdigest()
-    rows = [(k, f"n{k}") for k in range(9)]
-    df = spark.createDataFrame(rows, "k long, v string")
-    got = X.list_fingerprint(df, None, "k", "v", block=2).collect()[0]
-    lvl1 = {b: md5([v for k, v in rows if k // 2 == b]) for b in range(5)}          # 5 blocks > 2
-    lvl2 = {b: md5([lvl1[x] for x in sorted(lvl1) if x // 2 == b]) for b in range(3)}  # 3 > 2
-    lvl3 = {b: md5([lvl2[x] for x in sorted(lvl2) if x // 2 == b]) for b in range(2)}  # 2 <= 2
-    assert got["fingerprint"] == md5([lvl3[b] for b in sorted(lvl3)])
-    assert got["n_blocks"] == 2
-
-
 def test_knn_topk_tree_merge_many_partitions(spark):
     rng = np.random.default_rng(7)
     cand = rng.normal(size=(300, 4))
@@ -253,12 +247,11 @@ def test_knn_topk_tree_merge_many_partitions(spark):
     assert [by_anchor[100 + i] for i in range(3)] == _brute_topk(anc, cand, 6)
 
 
-def test_list_fingerprint_small_group_is_plain_md5(spark):
-    import hashlib
-    rows = [("a", 3, "z"), ("a", 1, "x"), ("a", 2, "y"), ("b", 5, "q")]
-    df = spark.createDataFrame(rows, "g string, k long, v string")
-    got = {r.g: r.fingerprint for r in X.list_fingerprint(df, "g", "k", "v", block=10).collect()}
-    assert got == {"a": hashlib.md5("x\ny\nz".encode()).hexdigest(), "b": hashlib.md5(b"q").hexdigest()}
+def test_list_fingerprint_of_groups(spark):
+    rows = [(g, f"k{k:02d}", f"{g}{k}") for g, n in (("a", 2), ("b", 7)) for k in range(n)]
+    df = spark.createDataFrame(rows, "g string, k string, v string")
+    got = {r.g: r.fingerprint for r in X.list_fingerprint(df, "g", "k", "v", block=2).collect()}
+    assert got == {g: plain_fingerprint([v for x, _, v in rows if x == g], 2) for g in "ab"}
 
 
 def test_global_position_offsets_join_path(spark):
@@ -291,24 +284,10 @@ def test_hot_value_percentiles_and_ranks(spark):
     vals = np.where(rng.random(3000) < 1 / 3, 0.0, rng.normal(size=3000).round(2))
     df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(vals)], "k long, v double").repartition(6)
     probs = [0.1, 0.3, 0.5, 0.9]
-    got = stats.exact_percentiles(df, "v", probs, n_parts=6).collect()[0]
+    got = stats.exact_percentiles(df, "v", probs).collect()[0]
     assert list(got) == pytest.approx(list(np.percentile(vals, [p * 100 for p in probs])))
     rk = stats.global_position(df, [F.asc("v")], "r", method="rank", value_cols=["v"], n_parts=6)
     got_r = {r.k: r.r for r in rk.collect()}
     srt = np.sort(vals)
     expect = {i: int(np.searchsorted(srt, v, side="left")) + 1 for i, v in enumerate(vals)}
     assert got_r == expect
-
-
-def test_spread_small_only_for_small_under_split_inputs(spark):
-    from astrolabe import tables
-    cores = spark.sparkContext.defaultParallelism
-    small = tables.load(spark, "/root/testdata/sf0.001", "nation")
-    assert small.rdd.getNumPartitions() == max(cores, 1)
-    old = tables.SPREAD_MAX_BYTES
-    tables.SPREAD_MAX_BYTES = 0  # pretend every input is large: the scan is left as it is
-    try:
-        big = tables.load(spark, "/root/testdata/sf0.001", "nation")
-        assert big.rdd.getNumPartitions() == 1
-    finally:
-        tables.SPREAD_MAX_BYTES = old
