@@ -28,6 +28,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of one Arrow batch of texts; a worker and its JVM hold a few batches at a time.
+TEXT_BATCH_ROWS = 1000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Let Python workers get texts in batches of ``TEXT_BATCH_ROWS`` (Spark's own default is ten times that)."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from astrolabe.llm import register
-from astrolabe.llm.common import table
+from astrolabe.llm.common import table, text_batches
 
 DIMENSIONS = 512
 ORDER = 3
@@ -157,6 +157,7 @@ def prototypes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if sums:
             yield pd.DataFrame({"lang": list(sums), "sums": [v.tolist() for v in sums.values()]})
 
+    text_batches(docs.sparkSession)
     known = (docs.where(~held_out(F.col(id_col), folds) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
              .select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")))
     part = known.mapInPandas(kernel, "lang string, sums array<double>")

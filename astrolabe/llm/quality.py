@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from astrolabe.llm import register
-from astrolabe.llm.common import table
+from astrolabe.llm.common import table, text_batches
 
 BITS = 18
 TRAIN_ROWS = 8_000
@@ -124,6 +124,7 @@ def _weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "quality", limit: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray, float]:
     """Indices and weights of the non-zero coordinates, and the bias."""
+    text_batches(docs.sparkSession)
     known = (labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
              .select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
              .orderBy(F.xxhash64("id"), "id", "y").limit(limit))

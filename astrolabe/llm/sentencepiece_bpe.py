@@ -36,10 +36,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from astrolabe.llm import register
-from astrolabe.llm.common import table
+from astrolabe.llm.common import table, text_batches
 
 GAP = "▁"  # the piece character of a space (fixed value)
-MEMO_WORDS = 300_000
+MEMO_WORDS = 120_000
+MEMO_PAIRS = 500_000
 MEMO_CHARS = 48
 
 
@@ -242,6 +243,8 @@ class Memo(dict):
         if len(self) >= MEMO_WORDS:
             self.old = dict(self)
             self.clear()
+        if len(self.table.compatible) >= MEMO_PAIRS:
+            self.table.compatible.clear()
 
 
 # spaces, then word characters or others; the vocabulary uses _ and ² as others
@@ -313,6 +316,7 @@ def _mapped(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...],
                 made = pd.DataFrame([row(table_, t or "") for t in part["text"]], columns=names, index=part.index)
                 yield pd.concat([part[["id", *kept]], made], axis=1)
 
+    text_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"),
                        *[F.col(f"`{c}`").cast("string").alias(k) for c, k in zip(carry, kept)])
     out = base.mapInPandas(kernel, ", ".join(["id string", *[f"{k} string" for k in kept], columns]))

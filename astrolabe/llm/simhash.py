@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from astrolabe.llm import register
-from astrolabe.llm.common import materialise, table
+from astrolabe.llm.common import materialise, table, text_batches
 
 SHINGLE_WORDS = 4
 RADIUS = 4
@@ -74,6 +74,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             bits = np.array([fingerprint(t, words) for t in batch["text"]], dtype="u8")
             yield pd.DataFrame({"id": batch["id"], "fp": bits.view("i8")})
 
+    text_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     id_type = base.schema["id"].dataType.simpleString()
     # identifiers pass through Python as text: a null stays a null, a long stays exact

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from astrolabe.llm import register
-from astrolabe.llm.common import materialise, table
+from astrolabe.llm.common import materialise, table, text_batches
 from astrolabe.session import scratch_path
 
 REVISIT_BYTES = 1000
@@ -161,6 +161,7 @@ def classify(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pa
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url",
                    payload_col: str = "html") -> DataFrame:
     """Writes the records of ``pages`` as bundles below ``folder``; the manifest, as a written table."""
+    text_batches(pages.sparkSession)
     ready = (classify(pages, id_col, url_col, payload_col)
              .select(F.col("id").cast("string").alias("page_id"), "url", "payload", "digest",
                      F.col("response_id").cast("string").alias("refers_to")))
