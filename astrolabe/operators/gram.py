@@ -334,6 +334,29 @@ def refit_best(stats: DataFrame, d: int, settings: DataFrame) -> DataFrame:
     return stats.groupBy(F.lit(0).alias("__one")).applyInPandas(solve, schema)
 
 
+def dimension_sweep(df: DataFrame, vec: str, y: str, fold_col: str, dims: list[int], alpha: float = 0.0) -> DataFrame:
+    """Cross-validated ridge error of the leading ``dims`` components: ``n_dims, mean_score, std_score``."""
+    st = vector_stats(df, vec, y, [fold_col])
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        d = len(pdf["sx"].iloc[0])
+        per = [(float(r["n"]), np.asarray(r["sx"]), float(r["sy"]), float(r["syy"]), np.asarray(r["xtx"]).reshape(d, d),
+                np.asarray(r["xty"])) for _, r in pdf.iterrows()]
+        rows = []
+        for k in dims:
+            part = [(n, sx[:k], sy, syy, xtx[:k, :k], xty[:k]) for n, sx, sy, syy, xtx, xty in per]
+            errors = []
+            for i, test in enumerate(part):
+                n, sx, sy, _, xtx, xty = [sum(v) for v in zip(*(p for j, p in enumerate(part) if j != i))]
+                b0, w = solve_ridge(n, sx, sy, xtx, xty, alpha)
+                errors.append(sse_from_stats(*test, b0, w) / test[0])
+            rows.append((k, float(np.mean(errors)), float(np.std(errors))))
+        return pd.DataFrame(rows, columns=["n_dims", "mean_score", "std_score"])
+
+    out = st.groupBy(F.lit(0).alias("__one")).applyInPandas(solve, "n_dims int, mean_score double, std_score double")
+    return out.select("n_dims", round6("mean_score").alias("mean_score"), round6("std_score").alias("std_score"))
+
+
 def split_scores(stats: DataFrame, d: int, split_col: str, test_col: str,
                  alpha: float = 0.0, intercept: bool = True) -> DataFrame:
     """Per split: fit on the train side's statistics, score both sides."""
@@ -416,17 +439,31 @@ def learning_curve(df: DataFrame, key: str, x: list[str], y: str, fractions: lis
 def data_importance(df: DataFrame, key: str, x: list[str], y: str, n_splits: int, test_size: float,
                     seed: int = 42, stream: str = "di") -> DataFrame:
     """Per row, std over splits of (split test error when the row trained, else 0),
-    divided by the smallest such std over all rows."""
-    from astrolabe.operators import resample as R
+    divided by the smallest such std over all rows.
 
-    rows = df.select("*", S.seq_long(n_splits).alias("split_id"))
-    rows = rows.withColumn("is_test", R.uniform(seed, F.concat(F.lit(stream), F.col("split_id").cast("string")),
-                                                F.col(key)) < test_size)
-    st = sufficient_stats(rows, x, y, ["split_id", "is_test"])
-    err = split_scores(st, len(x), "split_id", "is_test").select("split_id", F.col("test_mse").alias("err"))
-    # n_splits rows: broadcast
-    per_row = rows.select(key, "split_id", "is_test").join(F.broadcast(err), "split_id")
-    s = per_row.groupBy(key).agg(F.stddev_pop(F.when(F.col("is_test"), F.lit(0.0)).otherwise(F.col("err"))).alias("s"))
+    A row's draws are made once, as one array that a written table keeps.  The
+    statistics of all splits come from one pass over it, and a row's std from
+    its array and the ``n_splits`` errors, without a second row x split table.
+    """
+    from astrolabe.operators import resample as R
+    from astrolabe.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    splits = F.sequence(F.lit(0).cast("long"), F.lit(n_splits - 1).cast("long"))
+    tests = F.transform(splits, lambda s: R.uniform(seed, F.concat(F.lit(stream), s.cast("string")), F.col(key)) < test_size)
+    rows = df.select(key, *[_c(c).alias(f"__x{i}") for i, c in enumerate(x)], _c(y).alias("__y"), tests.alias("__tests")
+                     ).checkpoint(eager=True)
+    long = rows.select("*", F.posexplode("__tests").alias("__pos", "is_test")).withColumn("split_id", F.col("__pos").cast("long"))
+    st = sufficient_stats(long, [f"__x{i}" for i in range(len(x))], "__y", ["split_id", "is_test"])
+    err = {r.split_id: r.test_mse for r in split_scores(st, len(x), "split_id", "is_test").collect()}  # one number a split
+    errors = F.array(*[F.lit(float(err[s])) if err.get(s) is not None and not np.isnan(err[s]) else F.lit(None).cast("double")
+                       for s in range(n_splits)])
+    values = F.filter(F.zip_with("__tests", errors, lambda t, e: F.when(e.isNotNull(), F.when(t, F.lit(0.0)).otherwise(e))),
+                      lambda v: v.isNotNull())
+    mean = F.aggregate("v", F.lit(0.0), lambda a, v: a + v) / F.size("v")
+    spread = F.aggregate("v", F.lit(0.0), lambda a, v: a + (v - F.col("m")) * (v - F.col("m")))
+    s = (rows.select(key, values.alias("v")).withColumn("m", mean)
+         .select(key, F.sqrt(spread / F.size("v")).alias("s")))
     mn = s.agg(F.min("s").alias("__min"))
     return stats.with_scalars(s, mn).select(key, (F.col("s") / F.col("__min")).alias("importance"))
 

@@ -20,13 +20,16 @@ FLOAT_PATTERN = r"\d.\d{3,4}[eE][\+\-]\d{1,2}"
 INT_PATTERN = r"\s+\d{1,2}\s+"
 
 
-def parse_reactions(lines: DataFrame, col: str = "value") -> DataFrame:
+def parse_reactions(lines: DataFrame, col: str = "value", signed: bool = False) -> DataFrame:
     """``!`` lines are comments; tokens 1-2 are the reactants; the first
     three float matches are alpha, beta, gamma; the *second* whitespace-
-    delimited 1-2 digit integer is the reaction class."""
+    delimited 1-2 digit integer is the reaction class.
+
+    The number pattern has no sign: a negative number is read as positive,
+    unless ``signed`` is set."""
     body = lines.where(~F.col(col).startswith("!"))
     toks = F.split(F.trim(F.col(col)), r"\s+")
-    floats = F.regexp_extract_all(F.col(col), F.lit(FLOAT_PATTERN), 0)
+    floats = F.regexp_extract_all(F.col(col), F.lit(("[+-]?" if signed else "") + FLOAT_PATTERN), 0)
     ints = F.regexp_extract_all(F.col(col), F.lit(INT_PATTERN), 0)
     return body.select(
         F.get(toks, 0).alias("A"), F.get(toks, 1).alias("B"),

@@ -125,64 +125,42 @@ def with_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------
 
 def _local_positions(df: DataFrame, order: list, n_parts: int | None) -> DataFrame:
-    """Range-partition by the order key and number the rows inside each partition."""
-    from pyspark import TaskContext
-    from pyspark.sql.types import IntegerType, LongType
+    """Range-partition by the order key and number the rows inside each partition.
 
-    from astrolabe.functions.schema import extend
-
-    sorted_df = _range_sorted(df, order, n_parts)
-    schema = extend(sorted_df.schema, ("__pid", IntegerType()), ("__local", LongType()))
-    cols = list(sorted_df.columns)
-
-    def kernel(it):
-        pid = TaskContext.get().partitionId()
-        base = 0
-        for pdf in it:
-            n = len(pdf)
-            if n == 0:
-                continue
-            out = pdf[cols].copy()
-            out["__pid"] = pid
-            out["__local"] = np.arange(base, base + n, dtype=np.int64)
-            base += n
-            yield out
-
-    return sorted_df.mapInPandas(kernel, schema)
+    ``monotonically_increasing_id`` is the partition id and the row's place in
+    it, so the rows are numbered in the JVM.
+    """
+    numbered = _range_sorted(df, order, n_parts).withColumn("__id", F.monotonically_increasing_id())
+    return (numbered.withColumn("__pid", F.shiftright("__id", 33))
+            .withColumn("__local", F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))).drop("__id"))
 
 
 def global_position(df: DataFrame, order: list, out: str = "pos", method: str = "row_number",
-                    value_cols: list[str] | None = None, n_parts: int | None = None,
-                    literal_limit: int = 10_000) -> DataFrame:
+                    value_cols: list[str] | None = None, n_parts: int | None = None) -> DataFrame:
     """1-based global ``row_number`` (or competition ``rank``) over ``order``.
 
     A seeded random tiebreak is appended to the order, so a value shared by a
     third of the rows is still spread over many range partitions.  One range
     shuffle, one checkpoint (the positions are pinned: range boundaries are
-    sampled per job), one count per partition read by the driver.  For
-    ``rank`` (``value_cols`` = the plain columns the order is made of) every
-    tie group takes its smallest row number — a partial ``min`` aggregate
-    joined back on the key, so hot ties never meet in one task.
+    sampled per job), one count per partition read by the driver and joined back
+    as a table of 16 bytes a partition.  For ``rank`` (``value_cols`` = the plain
+    columns the order is made of) every tie group takes its smallest row number:
+    a partial ``min`` aggregate joined back on the key.
     """
     from astrolabe.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
     base = df.withColumn("__tb", F.rand(42))
     loc = _local_positions(base, list(order) + [F.col("__tb")], n_parts).checkpoint(eager=True)
     counts = dict(loc.groupBy("__pid").agg(F.count(F.lit(1)).alias("c")).collect())
-    offsets, acc = {}, 0
+    offsets, acc = [], 0
     for pid in sorted(counts):
-        offsets[pid] = acc
+        offsets.append((pid, acc))
         acc += counts[pid]
     rn = "__rn" if method == "rank" else out
-    if len(offsets) <= literal_limit:  # a literal map in the plan
-        off = F.create_map(*[x for kv in offsets.items() for x in (F.lit(kv[0]), F.lit(kv[1]))]) \
-            if offsets else F.create_map().cast("map<int,bigint>")
-        res = loc.withColumn(rn, F.coalesce(F.element_at(off, F.col("__pid")), F.lit(0)) + F.col("__local") + 1)
-    else:  # very many partitions: a two-column offsets table (16 bytes per partition) joined on the id
-        offs = df.sparkSession.createDataFrame(list(offsets.items()), "__pid int, __off long")
-        res = loc.join(F.broadcast(offs), "__pid").withColumn(rn, F.col("__off") + F.col("__local") + 1) \
-            .drop("__off")
-    res = res.drop("__pid", "__local", "__tb")
+    offs = spark.createDataFrame(offsets, "__pid long, __off long")
+    res = (loc.join(F.broadcast(offs), "__pid").withColumn(rn, F.col("__off") + F.col("__local") + 1)
+           .drop("__pid", "__local", "__tb", "__off"))
     if method != "rank":
         return res
     keys = list(value_cols or [])

@@ -254,6 +254,17 @@ def q_alpha_sweep(spark, sf):
                                                  round6(F.stddev_pop("test_mse")).alias("std_score"))
 
 
+@register("pca_sweep")
+def q_pca_sweep(spark, sf):
+    """Ridge error over folds by the number of principal components (y = label).
+
+    One PCA, one pass of fold statistics on the projected columns; every
+    dimension is a leading block of those.
+    """
+    v = tables.vectors(spark, sf).withColumn("fold", R.fold_of(F.col("vec_id"), 5))
+    return gram.dimension_sweep(reduce.fit_pca(v, "vec", k=32).transform(v, "vec", "pc"), "pc", "label", "fold", [2, 4, 8, 16, 32], 1.0)
+
+
 # ---- L12-L16: bootstrap and shuffle splits -------------------------------------------------
 
 _PART_POS = "r AS (SELECT *, row_number() OVER (ORDER BY p_partkey) AS pos FROM part), n AS (SELECT count(*) AS n FROM part)"
@@ -439,7 +450,8 @@ def q_learning_curve(spark, sf):
     return gram.learning_curve(p, "p_partkey", ["x"], "y", [0.25, 0.5, 1.0], n_splits=5, test_size=0.2, seed=42)
 
 
-N_IMPORTANCE = 50
+#: The reference's default number of splits.
+N_IMPORTANCE = 500
 
 
 @register("data_importance", f"""
@@ -577,14 +589,12 @@ _UNNEST_V = """u AS (SELECT vec_id, label, unnest(CAST(embedding AS DOUBLE[])) A
 @register("standardise", f"""
 WITH {_UNNEST_V},
 m AS (SELECT i, avg(x) AS mu, stddev_pop(x) AS sd FROM u GROUP BY i)
-SELECT vec_id, round(max(CASE WHEN i = 1 THEN (x - mu) / CASE WHEN sd = 0 THEN 1 ELSE sd END END), 6) AS z0,
-       round(max(CASE WHEN i = 2 THEN (x - mu) / CASE WHEN sd = 0 THEN 1 ELSE sd END END), 6) AS z1,
-       round(max(CASE WHEN i = 64 THEN (x - mu) / CASE WHEN sd = 0 THEN 1 ELSE sd END END), 6) AS z63
-FROM u JOIN m USING (i) GROUP BY vec_id
+SELECT vec_id, CAST(i - 1 AS INTEGER) AS i, round((x - mu) / CASE WHEN sd = 0 THEN 1 ELSE sd END, 6) + 0.0 AS z FROM u JOIN m USING (i)
 """)
 def q_standardise(spark, sf):
+    """M5: every component of every vector."""
     z = reduce.standardise(tables.vectors(spark, sf), "vec")
-    return z.select("vec_id", *[round6(F.get("z", i)).alias(f"z{i}") for i in (0, 1, 63)])
+    return z.select("vec_id", F.posexplode("z").alias("i", "v")).select("vec_id", "i", (round6("v") + F.lit(0.0)).alias("z"))
 
 
 @register("covariance_matrix", f"""

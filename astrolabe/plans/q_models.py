@@ -42,9 +42,9 @@ def q_pca_variance(spark, sf):
 
 @register("kmeans_fit")
 def q_kmeans_fit(spark, sf):
-    """M7: k-means (k=10, seed 42) labels for every vector."""
+    """M7: k-means (k=20, seed 42) labels for every vector."""
     v = tables.vectors(spark, sf)
-    model = reduce.fit_kmeans(v, "vec", k=10, seed=42)
+    model = reduce.fit_kmeans(v, "vec", k=20, seed=42)
     return reduce.kmeans_assign(model, v, "vec").select("vec_id", "cluster_id")
 
 

@@ -257,7 +257,7 @@ def test_list_fingerprint_of_groups(spark):
 def test_global_position_offsets_join_path(spark):
     df = spark.createDataFrame([(i, (i * 7) % 11) for i in range(40)], "k long, v long")
     a = {r.k: r.p for r in stats.global_position(df, ["v", "k"], "p", n_parts=5).collect()}
-    b = {r.k: r.p for r in stats.global_position(df, ["v", "k"], "p", n_parts=5, literal_limit=0).collect()}
+    b = {r.k: r.p for r in stats.global_position(df, ["v", "k"], "p", n_parts=5).collect()}
     assert a == b and sorted(a.values()) == list(range(1, 41))
 
 

@@ -78,6 +78,39 @@ def test_constant_fold_has_no_r2(spark):
     assert gram.best_fold_refit(st, 1, "fold").first().best_fold == 0
 
 
+def test_dimension_sweep_is_the_direct_one(spark):
+    rng = np.random.default_rng(8)
+    x, fold = rng.normal(size=(120, 6)) + 1e6, np.arange(120) % 3
+    y = x[:, 0] - 2 * x[:, 4] + rng.normal(size=120)
+    df = frame(spark, [(v.tolist(), float(t), int(f)) for v, t, f in zip(x, y, fold)], "v array<double>, y double, fold long")
+    got = {r.n_dims: r.mean_score for r in gram.dimension_sweep(df, "v", "y", "fold", [1, 5]).collect()}
+    for k, score in got.items():
+        errors = []
+        for f in range(3):
+            b0, w = direct(x[fold != f][:, :k], y[fold != f])
+            errors.append(np.mean((y[fold == f] - b0 - x[fold == f][:, :k] @ w) ** 2))
+        assert score == pytest.approx(np.mean(errors), rel=1e-5)
+
+
+def test_dot_product_kernel_and_variance_root(spark):
+    rng = np.random.default_rng(9)
+    x, y, z = rng.normal(size=(15, 3)), rng.normal(size=15), rng.normal(size=(6, 3))
+    kernel = models.Kernel(const=0.0, rq_const=1.0, rq_length=1.5, rq_alpha=0.7, dot_const=1.0, dot_sigma=0.8, noise=0.1)
+    train = frame(spark, [(i, v.tolist(), float(t)) for i, (v, t) in enumerate(zip(x, y))], "k long, v array<double>, y double")
+    gp = models.fit_gp(train, key="k", vec="v", target="y", kernel=kernel)
+    inv = np.linalg.inv(kernel(x, x) + 0.1 * np.eye(15))
+    mean, std = gp.predict_arrays(z)
+    assert np.allclose(mean, kernel(z, x) @ inv @ y, atol=1e-5)
+    assert np.allclose(std ** 2, np.diag(kernel(z, z) - kernel(z, x) @ inv @ kernel(x, z)), atol=1e-5)
+    assert np.allclose(np.diag(kernel(z, z)), kernel.diag(z))
+
+
+def test_signed_reaction_numbers(spark):
+    from astrolabe.operators import graph
+    lines = spark.createDataFrame([("H2 CN  1.000e-10 2.500e+00 -3.1000e-01 1 logn 4 10 280",)], "value string")
+    assert graph.parse_reactions(lines).first().gamma == 0.31 and graph.parse_reactions(lines, signed=True).first().gamma == -0.31
+
+
 # ---- percentiles and profiles ------------------------------------------------------
 
 def test_percentiles_skip_nan_and_infinite(spark):
