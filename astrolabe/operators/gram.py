@@ -68,19 +68,25 @@ def _xcols(x) -> list[Column]:
     return [_c(c).cast("double") for c in x]
 
 
-def sufficient_stats(df: DataFrame, x: list, y, group: list | None = None) -> DataFrame:
+def column_means(df: DataFrame, x: list, y) -> list[float]:
+    """Means of the columns ``x`` and ``y`` (0 where there is none): the centre of the statistics."""
+    row = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate([*_xcols(x), _c(y).cast("double")])]).first()
+    return [float(m) if m is not None and np.isfinite(m) else 0.0 for m in row]
+
+
+def sufficient_stats(df: DataFrame, x: list, y, group: list | None = None, means: list[float] | None = None) -> DataFrame:
     """Per group: ``n, sy, syy, sx_i, sxy_i, sxx_i_j (i <= j)`` as one hash aggregate.
 
     The sums are taken around the column means of a first pass (``cx_i``, ``cy``,
-    literals on every row), so columns with a large offset lose no digits.  For a
+    literals on every row), so columns with a large offset lose no digits; give
+    ``means`` where statistics of several tables meet.  For a
     handful of features (the fold / split / sweep queries) the sums are plain
     aggregate columns; Spark combines them map-side, so the shuffle carries one
     partial row per task and group.  Wide feature vectors use :func:`vector_stats`.
     """
     raw = [*_xcols(x), _c(y).cast("double")]
     d = len(x)
-    means = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(raw)]).first()
-    center = [F.lit(float(m) if m is not None and np.isfinite(m) else 0.0) for m in means]
+    center = [F.lit(m) for m in (column_means(df, x, y) if means is None else means)]
     xs, yy = [c - m for c, m in zip(raw[:d], center)], raw[d] - center[d]
     aggs = [F.count(F.lit(1)).alias("n"), F.sum(yy).alias("sy"), F.sum(yy * yy).alias("syy")]
     aggs += [F.sum(xs[i]).alias(f"sx_{i}") for i in range(d)]
@@ -294,7 +300,8 @@ def summarize_scores(scores: DataFrame, by: list[str], col: str = "test_mse", di
     """Mean and population std of per-split scores per setting, plus rank."""
     agg = scores.groupBy(*by).agg(F.avg(col).alias("mean_score"), F.stddev_pop(col).alias("std_score"))
     from pyspark.sql import Window
-    w = Window.orderBy(F.col("mean_score").asc())  # one row per setting: bounded
+    # one row per setting; scores that print the same share a rank
+    w = Window.orderBy(round6("mean_score", digits).asc())
     return agg.select(*by, round6("mean_score", digits).alias("mean_score"),
                       round6("std_score", digits).alias("std_score"),
                       F.rank().over(w).alias("rank"))
@@ -424,8 +431,9 @@ def learning_curve(df: DataFrame, key: str, x: list[str], y: str, fractions: lis
     pos = pos.withColumn("__rn", F.col("__gpos") - F.col("__first") + 1)
     fr = F.explode(F.array(*[F.lit(float(f)) for f in fractions])).alias("fraction")
     pref = pos.select("*", fr).where(F.col("__rn") <= F.floor(F.col("fraction") * F.col("__n")))
-    st_tr = sufficient_stats(pref, x, y, ["split_id", "fraction"]).withColumn("is_test", F.lit(False))
-    st_te = sufficient_stats(rows.where("is_test"), x, y, ["split_id"])
+    means = column_means(df, x, y)
+    st_tr = sufficient_stats(pref, x, y, ["split_id", "fraction"], means).withColumn("is_test", F.lit(False))
+    st_te = sufficient_stats(rows.where("is_test"), x, y, ["split_id"], means)
     st_te = st_te.select("*", F.explode(F.array(*[F.lit(float(f)) for f in fractions])).alias("fraction")) \
         .withColumn("is_test", F.lit(True))
     both = st_tr.unionByName(st_te)

@@ -98,7 +98,7 @@ e AS (SELECT wb.* EXCLUDE (mx, my, cxx, cxy, sxx, sxy), avg((y - b0 - w1 * x) ^
 
 @register("grid_search", _cv_sql("[0.0, 1.0, 10.0, 100.0, 1000.0]::DOUBLE[]") + """
 SELECT alpha, round(avg(test_mse), 6) AS mean_score, round(stddev_pop(test_mse), 6) AS std_score,
-       CAST(rank() OVER (ORDER BY avg(test_mse)) AS INTEGER) AS rank FROM e GROUP BY alpha
+       CAST(rank() OVER (ORDER BY round(avg(test_mse), 6)) AS INTEGER) AS rank FROM e GROUP BY alpha
 """)
 def q_grid_search(spark, sf):
     d = _li_xy(spark, sf).withColumn("fold", R.fold_of(F.col("k"), 5))
@@ -186,7 +186,7 @@ _SETTINGS_SQL = f"""SELECT range AS setting_id, pow(10.0, -2.0 + 5.0 * {R.unifor
 @register("random_search", _cv_sql("", settings=_SETTINGS_SQL) + """
 SELECT setting_id, round(alpha, 6) AS alpha, icpt AS fit_intercept, round(avg(test_mse), 6) AS mean_score,
        round(stddev_pop(test_mse), 6) AS std_score,
-       CAST(rank() OVER (ORDER BY avg(test_mse)) AS INTEGER) AS rank
+       CAST(rank() OVER (ORDER BY round(avg(test_mse), 6)) AS INTEGER) AS rank
 FROM e GROUP BY setting_id, alpha, icpt
 """)
 def q_random_search(spark, sf):
@@ -476,7 +476,7 @@ def q_data_importance(spark, sf):
 _RANDOM_SEARCH_SELECT = """
 SELECT setting_id, round(alpha, 6) AS alpha, icpt AS fit_intercept, round(avg(test_mse), 6) AS mean_score,
        round(stddev_pop(test_mse), 6) AS std_score,
-       CAST(rank() OVER (ORDER BY avg(test_mse)) AS INTEGER) AS rank
+       CAST(rank() OVER (ORDER BY round(avg(test_mse), 6)) AS INTEGER) AS rank
 FROM e GROUP BY setting_id, alpha, icpt
 """
 

@@ -211,7 +211,7 @@ def q_pattern_flags(spark, sf):
 
 @register("row_template", rf"""
 SELECT p_partkey,
-       p_name || ' & ' || CASE WHEN p_size > 45 THEN '$\\infty$' WHEN p_size > 25
+       p_name || ' & ' || CASE WHEN p_size > 45 THEN '$\infty$' WHEN p_size > 25
                  THEN CAST(CAST(round(CAST(p_retailprice AS DECIMAL(12,2)) * CAST({ROW_SCALE} AS DECIMAL(6,4)), 4)
                                 AS DECIMAL(18,4)) AS VARCHAR)
                                ELSE ' - ' END
@@ -415,8 +415,8 @@ def q_fit_gap(spark, sf):
 
 
 @register("list_fingerprint", """
-WITH r AS (SELECT p_brand, p_name, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS at FROM part),
-a AS (SELECT p_brand, at // 1000 AS up, md5(string_agg(p_name, chr(10) ORDER BY at)) AS d FROM r GROUP BY ALL),
+WITH r AS (SELECT p_brand, p_name, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS pos FROM part),
+a AS (SELECT p_brand, pos // 1000 AS up, md5(string_agg(p_name, chr(10) ORDER BY pos)) AS d FROM r GROUP BY p_brand, pos // 1000),
 b AS (SELECT p_brand, up // 1000 AS up, md5(string_agg(d, chr(10) ORDER BY up)) AS d, count(*) AS n FROM a GROUP BY p_brand, up // 1000)
 SELECT p_brand, md5(string_agg(d, chr(10) ORDER BY up)) AS fingerprint, CAST(sum(n) AS BIGINT) AS n_blocks FROM b GROUP BY p_brand
 """)

@@ -62,6 +62,14 @@ def test_no_intercept_fit_goes_through_zero(spark):
     assert got.intercept == 0 and abs(got.w0 - (x[:, 0] @ y) / (x[:, 0] @ x[:, 0] + 2.0)) < 1e-6
 
 
+def test_learning_curve_near_1e9(spark, offset):
+    df, x, y = offset
+    rows = df.selectExpr("CAST(x1 - 1e9 AS LONG) AS k", "x1", "y")
+    far = {r.fraction: r.mean_mse for r in gram.learning_curve(rows, "k", ["x1"], "y", [0.5, 1.0]).collect()}
+    near = rows.selectExpr("k", "x1 - 1e9 AS x1", "y")
+    assert far == pytest.approx({r.fraction: r.mean_mse for r in gram.learning_curve(near, "k", ["x1"], "y", [0.5, 1.0]).collect()}, rel=1e-4)
+
+
 def test_covariance_and_pca_near_1e9(spark, offset):
     df, x, _ = offset
     cov = {(r.i, r.j): r.cov for r in reduce.covariance(df, "v").collect()}
