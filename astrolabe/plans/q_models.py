@@ -8,6 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from astrolabe import tables
+from astrolabe.functions.scalar import round6
 from astrolabe.functions import vectors as V
 from astrolabe.operators import models as MD
 from astrolabe.operators import reduce, search, stats
@@ -33,6 +34,21 @@ def q_train_word_vectors(spark, sf):
     return w2v.getVectors().select("word", vector_to_array("vector").alias("vector"))
 
 
+@register("pca_moments", """
+WITH u AS (SELECT vec_id, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+c AS (SELECT a.i, b.i AS j, covar_pop(a.x, b.x) AS cov FROM u a JOIN u b ON a.vec_id = b.vec_id GROUP BY a.i, b.i)
+SELECT round(sum(CASE WHEN i = j THEN cov END), 6) AS total_variance, round(sum(cov * cov), 9) AS sum_of_squares,
+       CAST(count(DISTINCT i) AS BIGINT) AS n_components FROM c
+""")
+def q_pca_moments(spark, sf):
+    """M6: the components' variances sum to the covariance's trace, their squares to its squared norm."""
+    model = reduce.fit_pca(tables.vectors(spark, sf), "vec")
+    t = reduce.variance_table(model, spark)
+    return t.agg(round6(F.sum("variance")).alias("total_variance"),
+                 round6(F.sum(F.col("variance") * F.col("variance")), 9).alias("sum_of_squares"),
+                 F.count(F.lit(1)).alias("n_components"))
+
+
 @register("pca_variance")
 def q_pca_variance(spark, sf):
     """M6: explained variance per component (exact, centred, population covariance)."""
@@ -164,11 +180,28 @@ def predict_list(model, store, keys=None, vectors=None):
     return model.predict(rows.select("vec_id", "vec"), "vec").select("vec_id", "gp_mean", "gp_std")
 
 
-@register("demo_set")
-def q_demo_set(spark, sf):
-    """8 points between two items → greedy one-to-one nearest store rows →
-    distance to the start item → model predictions and truth → sorted by distance."""
-    v = tables.vectors(spark, sf)
+@register("demo_rows", """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS vec, label FROM embeddings),
+p AS (SELECT s AS anchor_id, list_transform(list_zip(a.vec, b.vec), lambda z: z[1] + (z[2] - z[1]) * (s / 7.0)) AS pvec
+      FROM (SELECT unnest(range(8)) AS s), (SELECT vec FROM v WHERE vec_id = 0) a, (SELECT vec FROM v WHERE vec_id = 1) b),
+d AS (SELECT anchor_id, vec_id, list_distance(pvec, vec) AS distance FROM p, v),
+g AS (SELECT -1::BIGINT AS anchor_id, NULL::BIGINT AS vec_id, []::BIGINT[] AS taken
+      UNION ALL
+      SELECT g.anchor_id + 1, n.vec_id, list_append(g.taken, n.vec_id)
+      FROM g, LATERAL (SELECT arg_min(d.vec_id, (d.distance, d.vec_id)) AS vec_id FROM d
+                       WHERE d.anchor_id = g.anchor_id + 1 AND NOT list_contains(g.taken, d.vec_id)) n
+      WHERE g.anchor_id < 7)
+SELECT g.anchor_id, g.vec_id, round(list_distance(v.vec, z.vec), 6) AS distance, CAST(v.label AS BIGINT) AS truth
+FROM g JOIN v USING (vec_id), (SELECT vec FROM v WHERE vec_id = 0) z WHERE g.anchor_id >= 0
+""")
+def q_demo_rows(spark, sf):
+    """R5 up to scoring: the rows of the demo set, with distance to the start item and truth."""
+    return demo_rows(tables.vectors(spark, sf)).select(
+        "anchor_id", "vec_id", round6("distance").alias("distance"), F.col("label").cast("long").alias("truth"))
+
+
+def demo_rows(v):
+    """8 points between two items, their greedy one-to-one nearest rows, and the distance to the start item."""
     a = v.where("vec_id = 0").select(F.col("vec").alias("va"))
     b = v.where("vec_id = 1").select(F.col("vec").alias("vb"))
     ends = stats.with_scalars(a, b)  # both ends in one row
@@ -177,7 +210,14 @@ def q_demo_set(spark, sf):
     assigned = search.greedy_assignment(v, pts)
     rows = v.join(assigned.select(F.col("entry").alias("vec_id"), "anchor_id"), "vec_id")
     start = v.where("vec_id = 0").select(F.col("vec").alias("v0"))
-    rows = stats.with_scalars(rows, start).withColumn("distance", V.euclidean("vec", "v0")).drop("v0")
+    return stats.with_scalars(rows, start).withColumn("distance", V.euclidean("vec", "v0")).drop("v0")
+
+
+@register("demo_set")
+def q_demo_set(spark, sf):
+    """The demo rows with model predictions and truth, sorted by distance."""
+    v = tables.vectors(spark, sf)
+    rows = demo_rows(v)
     gp = MD.fit_gp(_inventory(v), key="vec_id", vec="vec", target="label", kernel=GP_KERNEL)
     ridge = MD.fit_ridge_vec(v, "vec", "label", alpha=1.0)
     scored = ridge.predict(gp.predict(rows, "vec"), "vec", "ridge")
