@@ -31,11 +31,11 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from astrolabe.llm import register
-from astrolabe.llm.common import materialise, table, text_batches
+from astrolabe.llm.common import materialise, table, text_batches, text_of
 
 SHINGLE_WORDS = 4
 RADIUS = 4
@@ -66,20 +66,29 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+def text_digest(text_col: str) -> Column:
+    """Rows of one identifier are told apart by it; a null text is an empty one."""
+    return F.sha2(text_of(text_col).cast("binary"), 256)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 words: int = SHINGLE_WORDS) -> DataFrame:
-    """``id, fp`` per row; ``fp`` holds the 64 bits as a long."""
+                 words: int = SHINGLE_WORDS, digest: bool = False) -> DataFrame:
+    """``id, fp`` per row, on demand with ``digest``; ``fp`` holds the 64 bits as a long."""
+    extra = ["digest"] if digest else []
+
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             bits = np.array([fingerprint(t, words) for t in batch["text"]], dtype="u8")
-            yield pd.DataFrame({"id": batch["id"], "fp": bits.view("i8")})
+            yield pd.DataFrame({"id": batch["id"], "fp": bits.view("i8"), **{c: batch[c] for c in extra}})
 
     text_batches(docs.sparkSession)
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"),
+                       *[text_digest(text_col).alias(c) for c in extra])
     id_type = base.schema["id"].dataType.simpleString()
     # identifiers pass through Python as text: a null stays a null, a long stays exact
-    out = base.withColumn("id", F.col("id").cast("string")).mapInPandas(kernel, "id string, fp long")
-    return out.select(F.col("id").cast(id_type).alias("id"), "fp")
+    out = base.withColumn("id", F.col("id").cast("string")).mapInPandas(
+        kernel, ", ".join(["id string", "fp long", *[f"{c} string" for c in extra]]))
+    return out.select(F.col("id").cast(id_type).alias("id"), "fp", *extra)
 
 
 class BKTree:
@@ -253,32 +262,49 @@ def connected(edges: DataFrame, name: str = "components") -> DataFrame:
     return now.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS,
-                    radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
-    """``id, fp, component_id`` per row."""
-    prints = materialise(fingerprints(docs, id_col, text_col, words), "simhash-fp")
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS,
+           radius: int = RADIUS, blocks: int | None = None, digest: bool = False) -> DataFrame:
+    """``id, fp, root, component_id`` per row, on demand with ``digest``; ``root`` names the group by a fingerprint."""
+    prints = materialise(fingerprints(docs, id_col, text_col, words, digest), "simhash-fp")
     distinct = prints.groupBy("fp").agg(F.min("id").alias("least"))
     roots = connected(links(distinct.select("fp"), radius, blocks), "simhash-links")
     # the group's smallest identifier, for the fingerprints that have a link at all
     linked = roots.union(roots.select(F.col("root"), F.col("root"))).distinct()
     member = distinct.join(linked, distinct["fp"] == linked["node"]).select("fp", "root", "least")
     least = member.groupBy("root").agg(F.min("least").alias("group_least"))
-    named = (distinct.join(member.join(least, "root").select("fp", "group_least"), "fp", "left")
-             .select("fp", F.coalesce("group_least", "least").alias("component_id")))
-    return prints.join(named, "fp").select("id", "fp", "component_id")
+    named = (distinct.join(member.join(least, "root").select("fp", "root", "group_least"), "fp", "left")
+             .select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("group_least", "least").alias("component_id")))
+    return prints.join(named, "fp").select("id", "fp", "root", "component_id", *(["digest"] if digest else []))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS,
+                    radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
+    """``id, fp, component_id`` per row."""
+    return groups(docs, id_col, text_col, words, radius, blocks).select("id", "fp", "component_id")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS,
           radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
-    """The rows of ``docs`` whose identifier is their group's smallest (one document of each group).
+    """The rows of ``docs`` whose identifier is their own group's smallest (one document of each group).
 
-    Rows that share that identifier are copies of one document and stay together;
-    a row without an identifier stays if its group has none.
+    Rows of a group that share that identifier are copies of one document and stay
+    together; of a group without any identifier one row stays, of the text with the
+    smallest digest.  A row goes by its identifier and text, so what happens to it
+    does not depend on rows of other groups with the same identifier or none.
     """
-    near = near_duplicates(docs, id_col, text_col, words, radius, blocks)
-    gone = near.where("NOT (id <=> component_id)").select(F.col("id").alias("gone_id")).distinct()
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("own_id"))
-    return whole.join(gone, F.col("own_id").eqNullSafe(F.col("gone_id")), "left_anti").select("row.*")
+    near = materialise(groups(docs, id_col, text_col, words, radius, blocks, digest=True), "simhash-near")
+    nameless = near.where("component_id IS NULL")
+    chosen = nameless.groupBy("root").agg(F.min("digest").alias("chosen"))
+    gone = (near.where("NOT (id <=> component_id)").select("id", "digest")
+            .union(nameless.join(chosen, "root").where("digest <> chosen").select("id", "digest")).distinct()
+            .select(F.col("id").alias("gone_id"), F.col("digest").alias("gone_digest")))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("own_id"),
+                        text_digest(text_col).alias("own_digest"))
+    same = F.col("own_digest") == F.col("gone_digest")
+    named = whole.where("own_id IS NOT NULL").join(gone, same & (F.col("own_id") == F.col("gone_id")), "left_anti")
+    unnamed = (whole.where("own_id IS NULL").join(gone.where("gone_id IS NULL"), same, "left_anti")
+               .groupBy("own_digest").agg(F.first("row").alias("row")))
+    return named.select("row.*").union(unnamed.select("row.*"))
 
 
 @register("op3_simhash_near_dedup")

@@ -91,3 +91,15 @@ def test_hostile_rows(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "7", "7", "9"]
 
 
+def test_dedup_goes_by_row_not_by_identifier_alone(spark):
+    one, two = "one text of many words " * 40, "quite another matter altogether in this place " * 40
+    rows = [(5, one, "a"), (None, one, "b"), (None, "solo text of its own kind here", "c"), (2, two, "d"), (5, two, "e"),
+            (None, "no number anywhere", "f"), (None, "No  number anywhere", "g"), (None, "no number anywhere", "f"), (8, "last of all the rows", "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component_id string")
+    kept = simhash.dedup(docs)
+    got = sorted(r.component_id for r in kept.collect())
+    assert [x for x in got if x not in "fg"] == ["a", "c", "d", "h"] and len([x for x in got if x in "fg"]) == 1
+    assert kept.columns == docs.columns
+    # every group keeps a row, whatever identifiers its members share with other groups
+    fps = {brute_fingerprint(r.text) for r in kept.collect()}
+    assert fps == {brute_fingerprint(t) for _, t, _ in rows}
