@@ -16,10 +16,18 @@ from astrolabe.operators import text as X
 from astrolabe.plans.registry import register
 from astrolabe.session import scratch_path
 
+# The reference's sizes: dimensions and passes of the word vectors, most principal components.
+WORD_DIM, WORD_PASSES, MOST_COMPONENTS = 300, 5, 70
+
 # Fixed kernel parameters of the GP scorer (inputs, not tuned here).
 GP_KERNEL = MD.Kernel(const=1.0, length=0.8, rq_const=0.5, rq_length=1.0, rq_alpha=1.0, bias=0.1, noise=0.05)
 
 
+def _components(v):
+    """As many components as the vectors allow, up to the reference's."""
+    return min(MOST_COMPONENTS, v.select(F.size("vec")).first()[0])
+
+
 def _inventory(v):
     return tables.inventory(v)
 
@@ -29,7 +37,7 @@ def q_train_word_vectors(spark, sf):
     """M2: word vectors (skip-gram in Spark; dimension and window are parameters)."""
     from pyspark.ml.feature import Word2Vec
     docs = tables.load(spark, sf, "documents").select(X.token_sentence("text", radius=0).alias("tokens"))
-    w2v = Word2Vec(vectorSize=16, minCount=1, windowSize=1, maxIter=1, seed=42,
+    w2v = Word2Vec(vectorSize=WORD_DIM, minCount=1, windowSize=1, maxIter=WORD_PASSES, seed=42,
                    inputCol="tokens", outputCol="vec").fit(docs)
     return w2v.getVectors().select("word", vector_to_array("vector").alias("vector"))
 
@@ -69,7 +77,7 @@ def q_embedder_transform(spark, sf):
     """M9: scaler → PCA → k-means; the embedder applies all but the last stage."""
     v = tables.vectors(spark, sf)
     from pyspark.ml.functions import array_to_vector
-    _, embedder = reduce.fit_embedder(v, "vec", k_pca=8, k_clusters=10)
+    _, embedder = reduce.fit_embedder(v, "vec", k_pca=_components(v), k_clusters=10)
     out = embedder.transform(v.withColumn("__features", array_to_vector("vec")))
     return out.select("vec_id", vector_to_array("__pca").alias("pca"))
 
@@ -88,7 +96,7 @@ def q_model_roundtrip(spark, sf):
     from pyspark.ml import PipelineModel
     from pyspark.ml.functions import array_to_vector
     v = tables.vectors(spark, sf)
-    model, _ = reduce.fit_embedder(v, "vec", k_pca=8, k_clusters=10)
+    model, _ = reduce.fit_embedder(v, "vec", k_pca=_components(v), k_clusters=10)
     path = scratch_path(spark, "embedder-model")
     model.write().overwrite().save(path)
     loaded = PipelineModel.load(path)
@@ -284,8 +292,8 @@ def q_tree_grid_search(spark, sf):
 def _store(spark, sf):
     from astrolabe.plans.store import build_vector_store
     docs = tables.load(spark, sf, "documents").select("doc_id", "text")
-    return build_vector_store(docs, "doc_id", "text", scratch_path(spark, "vector-store"), dim=16, k_pca=8,
-                              k_clusters=5)
+    return build_vector_store(docs, "doc_id", "text", scratch_path(spark, "vector-store"), dim=WORD_DIM,
+                              k_pca=MOST_COMPONENTS, k_clusters=5)
 
 
 @register("build_store")

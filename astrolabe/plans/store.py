@@ -18,14 +18,20 @@ def hashed_token_vectors(tokens_df: DataFrame, token_col: str = "token", dim: in
     distinct token, so no model has to be trained or shipped for the vocabulary.
 
     Default: one md5 draw per component (the scheme the SQL oracles use).  With
-    ``one_hash`` (dim <= 16) all components come from one SHA-512 digest, eight
-    hex digits each — one hash per token instead of ``dim``.
+    ``one_hash`` sixteen components come from one SHA-512 digest, eight hex digits
+    each — one hash per token and sixteen components instead of ``dim``.
     """
     toks = tokens_df.select(token_col).distinct()
     if one_hash and dim <= 16:
         h = F.sha2(F.concat_ws("_", F.lit(str(seed)), F.col(token_col)), 512)
         comps = [F.conv(F.substring(h, 8 * c + 1, 8), 16, 10).cast("double") / F.lit(4294967296.0) - 0.5
                  for c in range(dim)]
+    elif one_hash:
+        digests = F.array(*[F.sha2(F.concat_ws("_", F.lit(str(seed)), *([F.lit(str(b))] if b else []), F.col(token_col)), 512)
+                            for b in range(-(-dim // 16))])
+        draws = F.transform(digests, lambda h: F.transform(F.sequence(F.lit(0), F.lit(15)), lambda c: F.conv(
+            F.substr(h, 8 * c + 1, F.lit(8)), 16, 10).cast("double") / F.lit(4294967296.0) - 0.5))
+        return toks.select(token_col, F.slice(F.flatten(draws), 1, dim).alias("tvec"))
     else:
         comps = [R.uniform(seed, f"dim{c}", F.col(token_col)) - 0.5 for c in range(dim)]
     return toks.select(token_col, F.array(*comps).alias("tvec"))

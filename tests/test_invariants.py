@@ -221,3 +221,19 @@ def test_sum_pool_equals_word2vec_mean_times_count(spark):
                 for r in model.transform(toks).select("doc_id", "tokens", vector_to_array("m").alias("m")).collect()}
     for d in pooled:
         assert np.allclose(pooled[d], via_mean[d], atol=1e-6)
+
+
+def test_models_have_the_references_sizes(spark):
+    # 300 dimensions a word; as many components as the vectors allow, up to 70
+    assert {len(r.vector) for r in Q["train_word_vectors"](spark, SF_SMALL).limit(20).collect()} == {300}
+    assert {len(r.pca) for r in Q["embedder_transform"](spark, SF_SMALL).collect()} == {64}
+    from astrolabe.plans.q_models import _store
+    assert {len(r.pca) for r in _store(spark, SF_SMALL).select("pca").collect()} == {70}
+
+
+def test_hashed_components_agree_with_a_plain_loop(spark):
+    import hashlib
+    from astrolabe.plans.store import hashed_token_vectors
+    got = hashed_token_vectors(spark.createDataFrame([("ab",)], "token string"), dim=40, one_hash=True).first().tvec
+    digest = "".join(hashlib.sha512(x.encode()).hexdigest() for x in ("7_ab", "7_1_ab", "7_2_ab"))
+    assert got == [int(digest[8 * c:8 * c + 8], 16) / 2**32 - 0.5 for c in range(40)]
