@@ -488,16 +488,6 @@ def rec_counts(topk: DataFrame) -> DataFrame:
     return topk.groupBy("entry").agg(F.count(F.lit(1)).alias("counts"))
 
 
-def pairwise_similarity(df: DataFrame, *, key: str = "vec_id", vec: str = "vec") -> DataFrame:
-    """cosine similarity of every pair ``i <= j`` of a list (symmetry used); the result is the matrix."""
-    renamed = df.select(F.col(key).alias("anchor_id"), F.col(vec).alias("__v"))
-    d = pair_distances(df.select(key, vec), renamed, cand_id=key, anchor_id="anchor_id",
-                       vec=vec, anchor_vec="__v", metric="cosine")
-    return (d.where(F.col("anchor_id") <= F.col("entry"))
-            .select(F.col("anchor_id").alias("i"), F.col("entry").alias("j"),
-                    (1.0 - F.col("distance")).alias("sim")))
-
-
 def greedy_assignment(candidates: DataFrame, queries: DataFrame, *, cand_id: str = "vec_id",
                       query_id: str = "anchor_id", query_order: str | None = None,
                       vec: str = "vec", query_vec: str = "vec", metric: str = "euclidean",
@@ -563,24 +553,3 @@ def distant_flag(candidates: DataFrame, anchors: DataFrame, upper_percentile: fl
     m = mean_distances(candidates, anchors, **options)
     return m.select("entry", round6("mean_d").alias("mean_d"), (F.col("mean_d") > F.lit(upper).cast("double")).alias("above_pct"),
                     (F.col("mean_d") > const).alias("above_const"))
-
-
-def covariance_rows(cov: DataFrame) -> DataFrame:
-    """Zero the diagonal, mean per row, and the column of the largest entry per row."""
-    z = cov.withColumn("cov", F.when(F.col("i") == F.col("j"), F.lit(0.0)).otherwise(F.col("cov")))
-    return z.groupBy("i").agg(round6(F.avg("cov")).alias("mean_cov"),
-                              F.max_by("j", F.struct("cov", (-F.col("j")).alias("nj"))).alias("top_j"))
-
-
-def covariance_order(cov: DataFrame) -> DataFrame:
-    """Per row all columns from the largest entry down (the diagonal counts as zero): ``i, j, place``."""
-    z = cov.withColumn("cov", F.when(F.col("i") == F.col("j"), F.lit(0.0)).otherwise(F.col("cov")))
-    return z.select("i", "j", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("cov"), "j")).alias("place"))
-
-
-def covariance_blocks(cov: DataFrame, groups: DataFrame, key: str, group: str) -> DataFrame:
-    """Mean entry of each sub-block (rows of one group, columns of another), off the diagonal."""
-    left = groups.select(F.col(key).alias("i"), F.col(group).alias(f"{group}_i"))
-    right = groups.select(F.col(key).alias("j"), F.col(group).alias(f"{group}_j"))
-    return (cov.where("i <> j").join(left, "i").join(right, "j").groupBy(f"{group}_i", f"{group}_j")
-            .agg(round6(F.avg("cov")).alias("mean_cov"), F.count(F.lit(1)).alias("n")))

@@ -209,17 +209,16 @@ def q_series_validation(spark, sf):
 
 
 @register("similarity_ranking", f"""
-WITH {_V}, l AS (SELECT vec_id, vec FROM v WHERE {OBSERVED_SQL}), f AS (SELECT vec AS v0 FROM v WHERE vec_id = 0)
+WITH {_V}, l AS (SELECT vec_id, vec FROM v), f AS (SELECT arg_min(vec, vec_id) AS v0 FROM v)
 SELECT vec_id, round(list_cosine_similarity(vec, v0), 6) AS cos,
        round(list_distance(vec, v0) * list_distance(vec, v0), 6) AS sqdist,
        row_number() OVER (ORDER BY list_cosine_similarity(vec, v0) DESC, vec_id) AS rank
 FROM l, f
 """)
 def q_similarity_ranking(spark, sf):
-    """A (bounded) list ranked by cosine similarity to its first member."""
-    v = tables.vectors(spark, sf)
-    lst = tables.inventory(v)
-    first = v.where("vec_id = 0").select(F.col("vec").alias("v0"))
+    """The whole table ranked by cosine similarity to its first member."""
+    lst = tables.vectors(spark, sf)
+    first = lst.groupBy().agg(F.min_by("vec", "vec_id").alias("v0"))
     j = stats.with_scalars(lst, first).withColumn("c", V.cosine_similarity("vec", "v0"))
     r = stats.global_position(j.select("vec_id", "c", "vec", "v0"), [F.desc("c"), "vec_id"], "rank")
     return r.select("vec_id", round6("c").alias("cos"), round6(V.sq_euclidean("vec", "v0")).alias("sqdist"),

@@ -41,7 +41,7 @@ def q_recommend(spark, sf_dir):
                      n_neighbors=4)
 
 
-from astrolabe.operators import search, stats  # noqa: E402
+from astrolabe.operators import pairs, search, stats  # noqa: E402
 
 
 def _anchor_frame(vecs):
@@ -127,52 +127,47 @@ def q_distant_flag(spark, sf):
 
 
 @register("covariance_rows", f"""
-WITH {_V}, {_A},
-c AS (SELECT x.anchor_id AS i, y.anchor_id AS j, list_dot_product(x.avec, y.avec) AS cov FROM a x, a y),
-z AS (SELECT i, j, CASE WHEN i = j THEN 0.0 ELSE cov END AS cov FROM c)
-SELECT i, round(avg(cov), 6) AS mean_cov, arg_max(j, (cov, -j)) AS top_j FROM z GROUP BY i
+WITH {_V},
+c AS (SELECT x.vec_id AS i, y.vec_id AS j, CASE WHEN x.vec_id = y.vec_id THEN 0.0 ELSE list_dot_product(x.vec, y.vec) END AS cov FROM v x, v y)
+SELECT i, round(avg(cov), 6) AS mean_cov, arg_max(j, (cov, -j)) AS top_j FROM c GROUP BY i
 """)
 def q_covariance_rows(spark, sf):
-    return search.covariance_rows(_covariances(spark, sf))
-
-
-def _covariances(spark, sf):
-    a = anchors_of(tables.vectors(spark, sf))
-    cov = search.pair_distances(a, a.withColumnRenamed("vec_id", "anchor_id"), metric="dot")
-    return cov.select(F.col("anchor_id").alias("i"), F.col("entry").alias("j"), F.col("distance").alias("cov"))
+    """Mean of every row of the whole table's covariance matrix, its diagonal zeroed, and the largest entry's column."""
+    rows = pairs.row_summaries(tables.vectors(spark, sf), diagonal=0.0)
+    return rows.select("i", round6(F.col("total") / F.col("n")).alias("mean_cov"), "top_j")
 
 
 @register("covariance_order", f"""
-WITH {_V}, {_A},
-c AS (SELECT x.anchor_id AS i, y.anchor_id AS j, CASE WHEN x.anchor_id = y.anchor_id THEN 0.0
-             ELSE list_dot_product(x.avec, y.avec) END AS cov FROM a x, a y)
-SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY cov DESC, j) AS place FROM c
+WITH {_V},
+c AS (SELECT x.vec_id AS i, y.vec_id AS j, CASE WHEN x.vec_id = y.vec_id THEN 0.0 ELSE list_dot_product(x.vec, y.vec) END AS cov FROM v x, v y)
+SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY cov DESC, j) AS place FROM c QUALIFY place <= 20
 """)
 def q_covariance_order(spark, sf):
-    """Every row's full ordering of the others by covariance."""
-    return search.covariance_order(_covariances(spark, sf)).select("i", "j", F.col("place").cast("long").alias("place"))
+    """The head of every row's ordering of all others by covariance."""
+    return pairs.top_partners(tables.vectors(spark, sf), 20, diagonal=0.0).select("i", "j", F.col("place").cast("long").alias("place"))
 
 
 @register("covariance_blocks", f"""
-WITH {_V}, {_A}
-SELECT x.alabel AS label_i, y.alabel AS label_j, round(avg(list_dot_product(x.avec, y.avec)), 6) AS mean_cov, count(*) AS n
-FROM a x, a y WHERE x.anchor_id <> y.anchor_id GROUP BY x.alabel, y.alabel
+WITH {_V}
+SELECT x.label AS label_i, y.label AS label_j, round(avg(list_dot_product(x.vec, y.vec)), 6) AS mean_cov, count(*) AS n
+FROM v x, v y WHERE x.vec_id <> y.vec_id GROUP BY x.label, y.label
 """)
 def q_covariance_blocks(spark, sf):
-    """Mean covariance of each block of two groups, without the diagonal."""
-    groups = anchors_of(tables.vectors(spark, sf)).select("vec_id", "label")
-    return search.covariance_blocks(_covariances(spark, sf), groups, "vec_id", "label")
+    """Mean covariance of each block of two groups of the whole table, without the diagonal."""
+    return pairs.group_products(tables.vectors(spark, sf), "label").withColumn("mean_cov", round6("mean_cov"))
 
 
 @register("pairwise_similarity", f"""
-WITH {_V}, {_A}
-SELECT x.anchor_id AS i, y.anchor_id AS j, round(list_cosine_similarity(x.avec, y.avec), 6) AS sim
-FROM a x, a y WHERE x.anchor_id <= y.anchor_id
+WITH {_V},
+c AS (SELECT x.vec_id AS i, y.vec_id AS j, list_cosine_similarity(x.vec, y.vec) AS sim FROM v x, v y WHERE x.vec_id <> y.vec_id)
+SELECT i, count(*) AS n, round(avg(sim), 6) AS mean_sim, round(min(sim), 6) AS low_sim, round(max(sim), 6) AS top_sim,
+       arg_max(j, (sim, -j)) AS top_j FROM c GROUP BY i
 """)
 def q_pairwise_similarity(spark, sf):
-    v = tables.vectors(spark, sf)
-    s = search.pairwise_similarity(anchors_of(v))
-    return s.select("i", "j", round6("sim").alias("sim"))
+    """the whole table's cosine matrix, each row by mean, least and largest entry and the largest one's column."""
+    rows = pairs.row_summaries(tables.vectors(spark, sf), metric="cosine")
+    return rows.select("i", "n", round6(F.col("total") / F.col("n")).alias("mean_sim"), round6("low").alias("low_sim"),
+                       round6("top_value").alias("top_sim"), "top_j")
 
 
 @register("greedy_assignment", f"""
