@@ -54,6 +54,8 @@ LEAST_CELLS, MOST_CELLS = 1 << 20, 1 << 30
 HEAVY_SHARE, HEAVY_LEAST = 1 << 18, 1000
 #: Windows that a task gathers before it settles what it can, and bytes of text for a group of the exact pass.
 GATHER = 1 << 20
+#: Words hashed at a time (a dozen arrays of 8 bytes each).
+SLICE_WORDS = 1 << 20
 GROUP_BYTES = 16 << 20
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], dtype=np.uint64)
@@ -129,6 +131,16 @@ def _flat(batch: pa.RecordBatch):
     return flat.view(np.uint64), (offsets[1:] - offsets[0]).astype(np.int64)
 
 
+def _slices(batch: pa.RecordBatch):
+    """A batch in pieces of at most ``SLICE_WORDS`` words, but for single longer documents."""
+    ends = batch.column("words").offsets.to_numpy().astype(np.int64)
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + SLICE_WORDS, side="right")) - 1)
+        yield batch.slice(a, b - a)
+        a = b
+
+
 def _runs(doc: np.ndarray, anchors: np.ndarray) -> np.ndarray:
     """Where a new run of windows of one document with one anchor begins."""
     return np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (anchors[1:] != anchors[:-1])]) if len(doc) else np.zeros(0, dtype=np.int64)
@@ -149,7 +161,7 @@ def _count_anchors(batches, cells: int, window: int, gram: int):
                     "cell": pa.array([(cell[part] & ((1 << BLOCK_BITS) - 1)).astype(np.int32)], pa.list_(pa.int32())),
                     "n": pa.array([n[part].astype(np.int32)], pa.list_(pa.int32()))})
 
-    for batch in batches:
+    for batch in (part for whole in batches for part in _slices(whole)):
         _, doc, anchors, _ = window_hashes(*_flat(batch), window, gram)
         runs = _runs(doc, anchors)
         doc, anchors = doc[runs], anchors[runs]
@@ -248,7 +260,7 @@ def _candidates(batches, sketch, buckets: int, window: int, gram: int):
         for k in range(0, out.num_rows, 10_000):
             yield out.slice(k, 10_000)
 
-    for batch in batches:
+    for batch in (part for whole in batches for part in _slices(whole)):
         at, doc, anchors, hashes = window_hashes(*_flat(batch), window, gram)
         repeated, heavy = sketch.value.lookup(anchors)
         pick = np.flatnonzero(repeated)
