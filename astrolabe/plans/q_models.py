@@ -11,7 +11,7 @@ from astrolabe import tables
 from astrolabe.functions.scalar import round6
 from astrolabe.functions import vectors as V
 from astrolabe.operators import models as MD
-from astrolabe.operators import reduce, search, stats
+from astrolabe.operators import reduce, search, stats, wordvec
 from astrolabe.operators import text as X
 from astrolabe.plans.registry import register
 from astrolabe.session import scratch_path
@@ -34,12 +34,9 @@ def _inventory(v):
 
 @register("train_word_vectors")
 def q_train_word_vectors(spark, sf):
-    """M2: word vectors (skip-gram in Spark; dimension and window are parameters)."""
-    from pyspark.ml.feature import Word2Vec
-    docs = tables.load(spark, sf, "documents").select(X.token_sentence("text", radius=0).alias("tokens"))
-    w2v = Word2Vec(vectorSize=WORD_DIM, minCount=1, windowSize=1, maxIter=WORD_PASSES, seed=42,
-                   inputCol="tokens", outputCol="vec").fit(docs)
-    return w2v.getVectors().select("word", vector_to_array("vector").alias("vector"))
+    """M2: CBOW word vectors with negative sampling over the whole corpus, at the reference's dimensions and passes."""
+    docs = tables.load(spark, sf, "documents").select("doc_id", X.token_sentence("text", radius=0).alias("tokens"))
+    return wordvec.train_cbow(docs, "doc_id", "tokens", dim=WORD_DIM, passes=WORD_PASSES)
 
 
 @register("pca_moments", """
