@@ -18,11 +18,9 @@ from pyspark.sql import functions as F
 from astrolabe.functions import schema as S
 from astrolabe.functions import vectors as V
 from astrolabe.operators import gram
+from astrolabe.operators.gp import GPModel, fit_gp  # noqa: F401
 from astrolabe.operators.search import _split
 
-MAX_LANDMARKS = 20_000
-
-
 # ---- kernels --------------------------------------------------------------------------
 
 @dataclass
@@ -53,92 +51,7 @@ class Kernel:
         return same + self.dot_const * (self.dot_sigma ** 2 + (a * a).sum(axis=1)) if self.dot_const else same
 
 
-# ---- L7 / L8: Gaussian-process scoring -------------------------------------------------
-
-@dataclass
-class GPModel:
-    kernel: Kernel
-    landmarks: np.ndarray
-    alpha: np.ndarray                # weights on landmark kernel features
-    root: np.ndarray                 # what the training rows take off the variance: |rootᵀ k_Z(x)|²
-    include_noise: bool = False
-    y_mean: float = 0.0
-
-    def _features(self, x):
-        return self.kernel(self.landmarks, x)   # [m, b]
-
-    def predict_arrays(self, x: np.ndarray):
-        ks = self._features(x)
-        mean = ks.T @ self.alpha + self.y_mean
-        var = self.kernel.diag(x) - ((self.root.T @ ks) ** 2).sum(axis=0)
-        if self.include_noise:
-            var = var + self.kernel.noise
-        return mean, np.sqrt(np.clip(var, 0, None))
-
-    def predict(self, df: DataFrame, vec: str = "vec", mean_col: str = "gp_mean",
-                std_col: str = "gp_std") -> DataFrame:
-        """Mean and std for every row, per Arrow batch (model shipped in the closure)."""
-        model, cols = self, df.columns
-
-        def kernel(it):
-            for pdf in _split(it, len(model.landmarks)):
-                if len(pdf) == 0:
-                    continue
-                m, s = model.predict_arrays(np.vstack(pdf[vec].to_numpy()))
-                out = pdf[cols].copy()
-                out[mean_col], out[std_col] = m, s
-                yield out
-
-        return df.mapInPandas(kernel, S.extend(df.schema, (mean_col, "double"), (std_col, "double")))
-
-    def covariance(self, xa: np.ndarray, xb: np.ndarray) -> np.ndarray:
-        ka, kb = self._features(xa), self._features(xb)
-        return self.kernel(xa, xb) - (self.root.T @ ka).T @ (self.root.T @ kb)
-
-
-def fit_gp(train: DataFrame, *, key: str, vec: str, target: str, kernel: Kernel,
-           landmarks: DataFrame | None = None, include_noise: bool = False,
-           normalize_y: bool = False) -> GPModel:
-    """GP regression in the landmark (DTC / Nyström) form.
-
-    With Z the landmarks, the distributed pass accumulates ``A = Σ k_Z(x) k_Z(x)ᵀ``
-    and ``b = Σ k_Z(x) y`` over the training rows; the posterior over landmark
-    weights is ``Σ = (A/σ² + K_ZZ)⁻¹``.  When the landmarks are the training
-    rows themselves (the default for a bounded training side), mean and
-    variance are exactly those of the full GP.
-    """
-    lm = landmarks if landmarks is not None else train
-    n = lm.count()
-    if n > MAX_LANDMARKS:
-        raise ValueError(f"{n} landmarks exceed {MAX_LANDMARKS}: pass fewer (landmarks=); all training rows are used either way")
-    zp = lm.select(key, vec).orderBy(key).toPandas()
-    z = np.vstack(zp[vec].to_numpy())
-    y_mean = 0.0
-    if normalize_y:
-        y_mean = float(train.agg(F.avg(target)).collect()[0][0])
-    k = kernel
-
-    def feats(it):
-        for pdf in _split(it, len(z)):
-            if len(pdf) == 0:
-                continue
-            phi = k(z, np.vstack(pdf[vec].to_numpy())).T
-            yield pd.DataFrame({"phi": list(phi), "y": pdf[target].to_numpy(dtype=float) - y_mean})
-
-    phi = train.select(vec, target).mapInPandas(feats, "phi array<double>, y double")
-    st = gram.vector_stats(phi, "phi", "y", centered=False).collect()[0]
-    m = len(z)
-    a = np.asarray(st["xtx"]).reshape(m, m)
-    b = np.asarray(st["xty"])
-    # K_ZZ = L Lᵀ; in the basis of L the posterior is diagonal: I + E, with E the data's eigenvalues
-    low = np.linalg.cholesky(k(z, z) + 1e-10 * np.eye(m))
-    inner = np.linalg.solve(low, np.linalg.solve(low, a / k.noise).T)
-    e, q = np.linalg.eigh((inner + inner.T) / 2)
-    e = np.clip(e, 0.0, None)
-    basis = np.linalg.solve(low.T, q)
-    alpha = basis @ ((basis.T @ b) / k.noise / (1.0 + e))
-    return GPModel(k, z, alpha, basis * np.sqrt(e / (1.0 + e)), include_noise, y_mean)
-
+# ---- L8: covariance among a list of rows ----------------------------------------------
 
 def gp_covariance_table(model: GPModel, rows: DataFrame, *, key: str, vec: str,
                         max_chunk_rows: int | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from astrolabe import tables
 from astrolabe.functions.scalar import round6
 from astrolabe.functions import vectors as V
 from astrolabe.operators import models as MD
-from astrolabe.operators import reduce, search, stats, wordvec
+from astrolabe.operators import pairs, reduce, search, stats, wordvec
 from astrolabe.operators import text as X
 from astrolabe.plans.registry import register
 from astrolabe.session import scratch_path
@@ -29,7 +29,7 @@ def _components(v):
 
 
 def _inventory(v):
-    return tables.inventory(v)
+    return tables.learning_rows(v)
 
 
 @register("train_word_vectors")
@@ -143,14 +143,22 @@ def q_gp_score(spark, sf):
     return gp.predict(v.select("vec_id", "vec"), "vec").select("vec_id", "gp_mean", "gp_std")
 
 
+@register("gp_residual", """
+SELECT vec_id, CAST(label AS DOUBLE) AS target FROM embeddings WHERE vec_id % 50 = 0
+""")
+def q_gp_residual(spark, sf):
+    """At a training row the mean and the noise times its weight add up to the target, if the system is solved."""
+    v, gp = _gp(spark, sf)
+    at = gp.predict(_inventory(v).select("vec_id", "vec"), "vec").join(gp.weights(spark, "vec_id"), "vec_id")
+    return at.select("vec_id", round6(F.col("gp_mean") + gp.kernel.noise * F.col("alpha")).alias("target"))
+
+
 @register("gp_covariance")
 def q_gp_covariance(spark, sf):
-    """Posterior covariance among the inventory and its top recommendations."""
+    """Posterior covariance among all rows, each row by its mean and its largest partner."""
     v, gp = _gp(spark, sf)
-    top = search.knn_topk(v, _inventory(v).withColumnRenamed("vec_id", "anchor_id"), 3)
-    rows = v.join(top.select(F.col("entry").alias("vec_id")).distinct(), "vec_id", "left_semi") \
-        .unionByName(_inventory(v)).dropDuplicates(["vec_id"])
-    return MD.gp_covariance_table(gp, rows, key="vec_id", vec="vec")
+    rows = pairs.row_summaries(v, metric=gp.covariance, diagonal=0.0)
+    return rows.select("i", (F.col("total") / F.col("n")).alias("mean_cov"), "top_j", F.col("top_value").alias("top_cov"))
 
 
 @register("score_all_models")

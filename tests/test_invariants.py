@@ -45,7 +45,7 @@ def test_kmeans_beats_random_centres(spark):
     assert cost <= cost_rnd
 
 
-def test_gp_landmarks_equal_exact_gp(spark):
+def test_gp_equals_the_dense_gp(spark):
     v = _vecs(spark)
     train = v.where("vec_id < 20")
     k = models.Kernel(const=1.0, length=0.8, noise=0.05)
