@@ -410,72 +410,6 @@ def best_fold_refit(stats: DataFrame, d: int, fold_col: str, alpha: float = 0.0)
     return stats.groupBy(F.lit(0).alias("__one")).applyInPandas(solve, schema)
 
 
-def learning_curve(df: DataFrame, key: str, x: list[str], y: str, fractions: list[float],
-                   n_splits: int = 5, test_size: float = 0.2, seed: int = 42, stream: str = "lc") -> DataFrame:
-    """For each split, fit on the first ``fraction`` of the train side (in key
-    order) and score on the split's test side; mean / std over splits.
-
-    ``split x row`` membership is an ``explode`` (bounded multiplier); prefix
-    positions come from a distributed global order per split; all fits come
-    from one pass of conditional sufficient statistics.
-    """
-    from astrolabe.operators import resample as R
-
-    rows = df.select("*", S.seq_long(n_splits).alias("split_id"))
-    rows = rows.withColumn("is_test", R.uniform(seed, F.concat(F.lit(stream), F.col("split_id").cast("string")),
-                                                F.col(key)) < test_size)
-    train = rows.where(~F.col("is_test"))
-    pos = stats.global_position(train, ["split_id", key], "__gpos")
-    first = pos.groupBy("split_id").agg(F.min("__gpos").alias("__first"), F.count(F.lit(1)).alias("__n"))
-    pos = pos.join(F.broadcast(first), "split_id")  # one row per split
-    pos = pos.withColumn("__rn", F.col("__gpos") - F.col("__first") + 1)
-    fr = F.explode(F.array(*[F.lit(float(f)) for f in fractions])).alias("fraction")
-    pref = pos.select("*", fr).where(F.col("__rn") <= F.floor(F.col("fraction") * F.col("__n")))
-    means = column_means(df, x, y)
-    st_tr = sufficient_stats(pref, x, y, ["split_id", "fraction"], means).withColumn("is_test", F.lit(False))
-    st_te = sufficient_stats(rows.where("is_test"), x, y, ["split_id"], means)
-    st_te = st_te.select("*", F.explode(F.array(*[F.lit(float(f)) for f in fractions])).alias("fraction")) \
-        .withColumn("is_test", F.lit(True))
-    both = st_tr.unionByName(st_te)
-    both = both.withColumn("__sf", F.struct("split_id", "fraction"))
-    sc = split_scores(both.drop("split_id", "fraction"), len(x), "__sf", "is_test")
-    sc = sc.select(F.col("__sf.fraction").alias("fraction"), "test_mse")
-    return sc.groupBy("fraction").agg(round6(F.avg("test_mse")).alias("mean_mse"),
-                                      round6(F.stddev_pop("test_mse")).alias("std_mse"))
-
-
-def data_importance(df: DataFrame, key: str, x: list[str], y: str, n_splits: int, test_size: float,
-                    seed: int = 42, stream: str = "di") -> DataFrame:
-    """Per row, std over splits of (split test error when the row trained, else 0),
-    divided by the smallest such std over all rows.
-
-    A row's draws are made once, as one array that a written table keeps.  The
-    statistics of all splits come from one pass over it, and a row's std from
-    its array and the ``n_splits`` errors, without a second row x split table.
-    """
-    from astrolabe.operators import resample as R
-    from astrolabe.session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(df.sparkSession)
-    splits = F.sequence(F.lit(0).cast("long"), F.lit(n_splits - 1).cast("long"))
-    tests = F.transform(splits, lambda s: R.uniform(seed, F.concat(F.lit(stream), s.cast("string")), F.col(key)) < test_size)
-    rows = df.select(key, *[_c(c).alias(f"__x{i}") for i, c in enumerate(x)], _c(y).alias("__y"), tests.alias("__tests")
-                     ).checkpoint(eager=True)
-    long = rows.select("*", F.posexplode("__tests").alias("__pos", "is_test")).withColumn("split_id", F.col("__pos").cast("long"))
-    st = sufficient_stats(long, [f"__x{i}" for i in range(len(x))], "__y", ["split_id", "is_test"])
-    err = {r.split_id: r.test_mse for r in split_scores(st, len(x), "split_id", "is_test").collect()}  # one number a split
-    errors = F.array(*[F.lit(float(err[s])) if err.get(s) is not None and not np.isnan(err[s]) else F.lit(None).cast("double")
-                       for s in range(n_splits)])
-    values = F.filter(F.zip_with("__tests", errors, lambda t, e: F.when(e.isNotNull(), F.when(t, F.lit(0.0)).otherwise(e))),
-                      lambda v: v.isNotNull())
-    mean = F.aggregate("v", F.lit(0.0), lambda a, v: a + v) / F.size("v")
-    spread = F.aggregate("v", F.lit(0.0), lambda a, v: a + (v - F.col("m")) * (v - F.col("m")))
-    s = (rows.select(key, values.alias("v")).withColumn("m", mean)
-         .select(key, F.sqrt(spread / F.size("v")).alias("s")))
-    mn = s.agg(F.min("s").alias("__min"))
-    return stats.with_scalars(s, mn).select(key, (F.col("s") / F.col("__min")).alias("importance"))
-
-
 def unpivot_codes(df: DataFrame, id_col: str, cols: list[str]) -> DataFrame:
     """Wide settings → long ``(param, value)`` → ordinal code per parameter
     (dense rank of the value, NULL → 0)."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from astrolabe.functions.scalar import round6
 from astrolabe import tables
-from astrolabe.operators import gram, reduce, search, stats
+from astrolabe.operators import gram, reduce, search, splits, stats
 from astrolabe.operators import resample as R
 from astrolabe.operators import text as X
 from astrolabe.functions.schema import seq_long
@@ -350,13 +350,9 @@ SELECT split_id, round(train_mse, 6) AS train_mse, round(test_mse, 6) AS test_ms
        split_id = (SELECT arg_min(split_id, (test_mse, split_id)) FROM e) AS is_best FROM e
 """)
 def q_shuffle_split_fit(spark, sf):
-    """Repeated shuffle splits; one statistics pass over ``split x row``; best = lowest test error."""
+    """Repeated shuffle splits from one product of masks and moments; best = lowest test error."""
     p = T(spark, sf, "part").select("p_partkey", F.col("p_size").alias("x"), F.col("p_retailprice").alias("y"))
-    rows = p.select("*", seq_long(N_SHUFFLE).alias("split_id"))
-    rows = rows.withColumn("is_test", R.uniform(42, F.concat(F.lit("ss"), F.col("split_id").cast("string")),
-                                                F.col("p_partkey")) < 0.2)
-    st = gram.sufficient_stats(rows, ["x"], "y", ["split_id", "is_test"])
-    sc = gram.split_scores(st, 1, "split_id", "is_test")
+    sc = splits.shuffle_split_scores(p, "p_partkey", ["x"], "y", N_SHUFFLE, 0.2, seed=42, stream="ss")
     best = sc.agg(F.min_by("split_id", F.struct("test_mse", "split_id")).alias("best"))
     return stats.with_scalars(sc, best).select(
         "split_id", round6("train_mse").alias("train_mse"), round6("test_mse").alias("test_mse"),
@@ -432,22 +428,22 @@ def q_masked_resample_count(spark, sf):
 
 
 @register("learning_curve", """
-WITH sp AS (SELECT range AS split_id FROM range(5)),
-b AS (SELECT sp.split_id, p.p_partkey, p.p_size AS x, p.p_retailprice AS y,
-             (('0x' || substr(md5(concat_ws('_', '42', 'lc' || sp.split_id, CAST(p.p_partkey AS VARCHAR))), 1, 8))::BIGINT
-              / 4294967296.0) < 0.2 AS is_test FROM part p, sp),
-tr AS (SELECT *, row_number() OVER (PARTITION BY split_id ORDER BY p_partkey) AS rn,
-              count(*) OVER (PARTITION BY split_id) AS n_train FROM b WHERE NOT is_test),
-fr AS (SELECT unnest([0.25, 0.5, 1.0]::DOUBLE[]) AS fraction),
-f AS (SELECT split_id, fraction, regr_intercept(y, x) AS b0, regr_slope(y, x) AS b1
-      FROM tr, fr WHERE rn <= floor(fraction * n_train) GROUP BY split_id, fraction),
-e AS (SELECT f.split_id, f.fraction, avg((b.y - f.b0 - f.b1 * b.x) ^ 2) AS test_mse
-      FROM f JOIN b ON b.split_id = f.split_id AND b.is_test GROUP BY f.split_id, f.fraction)
-SELECT fraction, round(avg(test_mse), 6) AS mean_mse, round(stddev_pop(test_mse), 6) AS std_mse FROM e GROUP BY fraction
+WITH sp AS (SELECT range AS split_id FROM range(20)),
+d AS (SELECT p_partkey, p_size AS x, p_retailprice AS y, row_number() OVER (ORDER BY p_partkey) AS rn, count(*) OVER () AS n
+      FROM part WHERE p_partkey % 10 <> 0),
+st AS (SELECT DISTINCT CAST(floor(f * n) AS BIGINT) AS step FROM d, (SELECT unnest([0.1, 0.25, 0.5, 0.75, 1.0]::DOUBLE[]) AS f)),
+f AS (SELECT step, split_id, regr_intercept(y, x) AS b0, regr_slope(y, x) AS b1 FROM d, st, sp
+      WHERE rn <= step AND (('0x' || substr(md5(concat_ws('_', '42', 'lc' || split_id, CAST(p_partkey AS VARCHAR))), 1, 8))::BIGINT
+                            / 4294967296.0) >= 0.2 GROUP BY step, split_id),
+t AS (SELECT p_size AS x, p_retailprice AS y FROM part WHERE p_partkey % 10 = 0)
+SELECT step, split_id, round(avg((t.y - b0 - b1 * t.x) ^ 2), 6) AS mse FROM f, t GROUP BY step, split_id
 """)
 def q_learning_curve(spark, sf):
+    """Fits on 20 splits of every prefix, scored on one fixed truth (every tenth part)."""
     p = T(spark, sf, "part").select("p_partkey", F.col("p_size").alias("x"), F.col("p_retailprice").alias("y"))
-    return gram.learning_curve(p, "p_partkey", ["x"], "y", [0.25, 0.5, 1.0], n_splits=5, test_size=0.2, seed=42)
+    held = F.col("p_partkey") % 10 == 0
+    return splits.learning_curve(p.where(~held), p.where(held), "p_partkey", ["x"], "y", [0.1, 0.25, 0.5, 0.75, 1.0],
+                                 n_splits=20, test_size=0.2, seed=42)
 
 
 #: The reference's default number of splits.
@@ -467,7 +463,7 @@ SELECT p_partkey, round(s / (SELECT min(s) FROM v), 6) AS importance FROM v
 """)
 def q_data_importance(spark, sf):
     p = T(spark, sf, "part").select("p_partkey", F.col("p_size").alias("x"), F.col("p_retailprice").alias("y"))
-    imp = gram.data_importance(p, "p_partkey", ["x"], "y", N_IMPORTANCE, 0.2, seed=42, stream="di")
+    imp = splits.data_importance(p, "p_partkey", ["x"], "y", N_IMPORTANCE, 0.2, seed=42, stream="di")
     return imp.select("p_partkey", round6("importance").alias("importance"))
 
 
