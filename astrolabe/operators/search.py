@@ -361,9 +361,10 @@ def profile_pairs(candidates: DataFrame, anchors: DataFrame, probs: list[float],
     """
     from astrolabe.operators import stats
 
+    fields = "iv long, bin long, n long, lo double, hi double, mean double, m2 double"
+
     def passes(make):
-        """Rows of one pass over all chunks; ``make(rows)`` returns the per-batch function that fills ``rows``."""
-        got = []
+        """Frames of one pass, one per chunk of anchors; ``make(rows)`` returns the per-batch function that fills ``rows``."""
         for _, _, a_mat, _ in _chunks(anchors, anchor_id, anchor_vec, [], max_chunk_rows):
             def kernel(it, a_mat=a_mat):
                 rows = {}
@@ -371,65 +372,74 @@ def profile_pairs(candidates: DataFrame, anchors: DataFrame, probs: list[float],
                 if rows:
                     yield pd.DataFrame([(*key, *values) for key, values in rows.items()],
                                        columns=["iv", "bin", "n", "lo", "hi", "mean", "m2"])
-
-            part = candidates.select(vec).mapInPandas(
-                kernel, "iv long, bin long, n long, lo double, hi double, mean double, m2 double")
-            # moments of the tasks merge around the mean of their means, which keeps the digits
-            middle = F.avg("mean").over(Window.partitionBy("iv", "bin"))
-            got += (part.withColumn("mid", middle).groupBy("iv", "bin").agg(
-                F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
-                (F.first("mid") + F.sum(F.col("n") * (F.col("mean") - F.col("mid"))) / F.sum("n")).alias("mean"),
-                F.sum("m2").alias("m2"), F.sum(F.col("n") * (F.col("mean") - F.col("mid")) ** 2).alias("between"),
-                (F.sum(F.col("n") * (F.col("mean") - F.col("mid"))) / F.sum("n")).alias("shift")).collect())
-        return got
+            yield candidates.select(vec).mapInPandas(kernel, fields)
+
+    def count(rows, iv, at, d):
+        """Adds the counts of one batch: ``at`` is the bin of each distance."""
+        order = np.argsort(at, kind="stable")
+        used, first, size = np.unique(at[order], return_index=True, return_counts=True)
+        if not len(used):
+            return
+        low, high = np.minimum.reduceat(d[order], first), np.maximum.reduceat(d[order], first)
+        for u, c, lo, hi in zip(used.tolist(), size.tolist(), low.tolist(), high.tolist()):
+            old = rows.get((iv, u), (0, lo, hi, 0.0, 0.0))
+            rows[(iv, u)] = (old[0] + c, min(old[1], lo), max(old[2], hi), 0.0, 0.0)
+
+    def merged(frames) -> dict:
+        found = {}
+        for part in frames:
+            for r in part.groupBy("iv", "bin").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect():
+                old = found.get((r.iv, r.bin), (0, r.lo, r.hi))
+                found[(r.iv, r.bin)] = (old[0] + r.n, min(old[1], r.lo), max(old[2], r.hi))
+        return found
 
     def moments(rows):
         def add(pdf, d):
-            d = d[~np.isnan(d)]
+            d = d[np.isfinite(d)]
             if not len(d):
                 return
             n, mean = len(d), float(d.mean())
             m2 = float(((d - mean) ** 2).sum())
-            if (0, 0) in rows:
-                n0, lo, hi, mean0, m20 = rows[(0, 0)]
+            if (-1, 0) in rows:
+                n0, lo, hi, mean0, m20 = rows[(-1, 0)]
                 total = n0 + n
-                rows[(0, 0)] = (total, min(lo, d.min()), max(hi, d.max()), mean0 + (mean - mean0) * n / total,
-                                m20 + m2 + (mean - mean0) ** 2 * n0 * n / total)
+                rows[(-1, 0)] = (total, min(lo, d.min()), max(hi, d.max()), mean0 + (mean - mean0) * n / total,
+                                 m20 + m2 + (mean - mean0) ** 2 * n0 * n / total)
             else:
-                rows[(0, 0)] = (n, d.min(), d.max(), mean, m2)
+                rows[(-1, 0)] = (n, d.min(), d.max(), mean, m2)
+            count(rows, 0, stats.octave_bin(d), d)
         return add
 
-    whole = {"n": 0, "min": None, "max": None, "mean": None, "m2": 0.0}
-    for r in passes(moments):
-        m2 = r.m2 + r.between - r.n * r["shift"] ** 2
-        n0, total = whole["n"], whole["n"] + r.n
-        mean0 = whole["mean"] if n0 else r["mean"]
-        whole = {"n": total, "min": r.lo if not n0 else min(whole["min"], r.lo), "max": r.hi if not n0 else max(whole["max"], r.hi),
-                 "mean": mean0 + (r["mean"] - mean0) * r.n / total, "m2": whole["m2"] + m2 + (r["mean"] - mean0) ** 2 * n0 * r.n / total}
+    # one pass for the moments and the first counts; moments of tasks merge around the mean of their means, which keeps the digits
+    whole, first = {"n": 0, "min": None, "max": None, "mean": None, "m2": 0.0}, {}
+    for part in passes(moments):
+        middle = F.avg(F.when(F.col("iv") == -1, F.col("mean"))).over(Window.partitionBy("iv", "bin"))
+        off = F.col("mean") - F.col("mid")
+        got = (part.withColumn("mid", middle).groupBy("iv", "bin").agg(
+            F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.first("mid").alias("mid"),
+            (F.sum(F.col("n") * off) / F.sum("n")).alias("shift"), F.sum("m2").alias("m2"), F.sum(F.col("n") * off * off).alias("between")).collect())
+        for r in got:
+            if r.iv == 0:
+                old = first.get(r.bin, (0, r.lo, r.hi))
+                first[r.bin] = (old[0] + r.n, min(old[1], r.lo), max(old[2], r.hi))
+                continue
+            mean, m2 = r.mid + r["shift"], r.m2 + r.between - r.n * r["shift"] ** 2
+            n0, total = whole["n"], whole["n"] + r.n
+            mean0 = whole["mean"] if n0 else mean
+            whole = {"n": total, "min": r.lo if not n0 else min(whole["min"], r.lo), "max": r.hi if not n0 else max(whole["max"], r.hi),
+                     "mean": mean0 + (mean - mean0) * r.n / total, "m2": whole["m2"] + m2 + (mean - mean0) ** 2 * n0 * r.n / total}
 
     def histogram(intervals, bins):
         def counts(rows):
             def add(pdf, d):
-                d = d[~np.isnan(d)]
+                d = d[np.isfinite(d)]
                 for i, (a, b) in enumerate(intervals):
                     part = d[(d >= a) & (d <= b)]
-                    at = np.minimum(((part - a) / (b - a) * bins).astype(np.int64), bins - 1)
-                    order = np.argsort(at, kind="stable")
-                    used, first, size = np.unique(at[order], return_index=True, return_counts=True)
-                    if not len(used):
-                        continue
-                    low, high = np.minimum.reduceat(part[order], first), np.maximum.reduceat(part[order], first)
-                    for u, c, lo, hi in zip(used.tolist(), size.tolist(), low.tolist(), high.tolist()):
-                        old = rows.get((i, u), (0, lo, hi, 0.0, 0.0))
-                        rows[(i, u)] = (old[0] + c, min(old[1], lo), max(old[2], hi), 0.0, 0.0)
+                    count(rows, i, np.minimum(((part - a) / (b - a) * bins).astype(np.int64), bins - 1), part)
             return add
-        found = {}
-        for r in passes(counts):
-            old = found.get((r.iv, r.bin), (0, r.lo, r.hi))
-            found[(r.iv, r.bin)] = (old[0] + r.n, min(old[1], r.lo), max(old[2], r.hi))
-        return found
+        return merged(passes(counts))
 
-    return whole, stats.percentiles_by_rank(whole["n"], whole["min"], whole["max"], probs, histogram)
+    return whole, stats.percentiles_by_rank(first, probs, histogram)
 
 
 def pair_distances(candidates: DataFrame, anchors: DataFrame, *, cand_id: str = "vec_id",

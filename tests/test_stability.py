@@ -3,6 +3,8 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from astrolabe.operators import gram, models, reduce, search, splits, stats
 from astrolabe.operators import text as X
 from astrolabe.plans.q_ml import fit_table
@@ -262,3 +264,31 @@ def test_long_counts_and_unknown_symbols(spark):
     got = df.select(S.element_count("f", "C").alias("c"), X.formula_mass("f", S.ATOMIC_MASS).alias("m")).collect()
     assert [r.c for r in got] == [120, 2, 0]
     assert got[0].m == pytest.approx(120 * 12.0107 + 4 * 1.00794) and got[1].m is None and got[2].m == 0.0
+
+
+@pytest.mark.parametrize("case", ["decades", "extremes", "denormals", "one value", "two neighbours"])
+def test_percentiles_take_few_passes_over_any_values(spark, monkeypatch, case):
+    rng = np.random.default_rng(6)
+    x = {"decades": np.concatenate([s * 10.0 ** rng.uniform(-20, 20, 4000) for s in (1, -1)]),
+         "extremes": np.array([-1.5e308, 0, 1, 2, 1.5e308, -0.0, 1.7e308, -1.7e308]),
+         "denormals": np.r_[rng.integers(0, 5000, 3000) * 5e-324, -5e-324, 1e-310],
+         "one value": np.full(500, 0.1), "two neighbours": np.r_[np.full(300, 1.0), np.full(300, np.nextafter(1.0, 2))]}[case]
+    passes, real = [], stats.select_ranks
+    monkeypatch.setattr(stats, "select_ranks", lambda first, ranks, histogram: real(first, ranks, lambda *a: passes.append(1) or histogram(*a)))
+    probs = [0.0, 0.03, 0.25, 0.5, 0.97, 1.0]
+    got = stats.exact_percentiles(frame(spark, [(float(v),) for v in x], "v double"), "v", probs).first()
+    ordered = np.sort(x)
+    for p, g in zip(probs, got):
+        at = p * (len(x) - 1)
+        a, b, w = ordered[int(np.floor(at))], ordered[int(np.ceil(at))], at - np.floor(at)
+        want = a * (1 - w) + b * w if a != b else a
+        assert g == want or abs(g - want) <= 1e-12 * abs(want)
+    assert 1 + len(passes) <= 6
+
+
+def test_octave_bins_order_as_the_values(spark):
+    x = np.sort(np.r_[0.0, [s * m * 2.0 ** e for s in (1, -1) for e in (-1074, -1022, -300, -1, 0, 1, 52, 1023) for m in (1, 1.0001, 1.5)]])
+    x = np.unique(x[np.isfinite(x)])
+    assert (np.diff(stats.octave_bin(x)) >= 0).all()
+    got = [r.b for r in frame(spark, [(float(v),) for v in x], "v double").select("v", stats.octave_bin(F.col("v")).alias("b")).orderBy("v").collect()]
+    assert got == sorted(got) and max(got) < 70_000 and np.abs(np.array(got) - stats.octave_bin(x)).max() <= 1
