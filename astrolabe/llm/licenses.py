@@ -1,24 +1,28 @@
 """License scan by conditional compression.
 
-Where a text holds words that license wordings are made of, candidate blocks are
-cut out: stretches of words around pairs of neighbouring words that some template
-holds, as far as a finding with that pair can reach.  Every template with such a pair in the block is compared word by word, and
-is found where nearly all of its words stand in order; the exact differences are
-kept with the finding.  The stretch found is compressed alone and with the template
-as a Zstandard raw dictionary; how much smaller that makes it ranks templates that
-fit equally well and is kept too, but leaves none out.
-After a finding the rest of the block is searched again, so a block with several
-wordings gives them all.
+Candidate blocks are cut out of a text: stretches of words around pairs of
+neighbouring words that some template holds, as far as a finding with that pair can
+reach.  A block is compressed alone and with each template that has such a pair in it
+as a Zstandard raw dictionary; the templates are ranked by how many bytes that saves.
+In this order, without a cut, they are held against the block's exact wording, and the
+first whose words stand there nearly all in order is the finding, with the exact
+differences.  After a finding the rest of the block is searched again, so a block with
+several wordings gives them all.
+
+Texts that cannot hold any template are passed over: of a template's rarest words, one
+more than may be missing, at least one must be in the text.
 
 Defined results: null, empty and wordless texts have no finding; findings of a
 document are numbered by place; a block longer than a window is searched in
 overlapping windows, so nothing is cut off; equal rows are separate rows; of
-templates that fit equally well the one that saves more, then the name, wins; an
-empty table gives an empty result; only identifier and text are read.
+templates that save as much, the closer wording, then the name, wins; templates have
+at least two words; an empty table gives an empty result; only identifier and text are
+read.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -54,8 +58,6 @@ TEMPLATES = {
     "CC-BY-NC-4.0": "licensed under cc by-nc 4.0",
     "CC-BY/text": "this work is licensed under a creative commons attribution 4.0 international license",
 }
-#: Only texts with one of these are scanned: every template has at least one, and they are part of the definition of a finding.
-CUES = ("licen", "permission", "conditions", "redistribut", "software")
 WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 #: Least words of a window.
 WINDOW_WORDS = 400
@@ -68,12 +70,13 @@ class Scanner:
 
     def __init__(self, templates: dict[str, str] = TEMPLATES) -> None:
         self.words = {name: WORD.findall(text.lower()) for name, text in sorted(templates.items())}
+        self.cues = sorted({c for w in self.words.values() for c in self._cues(w)})
         common = {"the", "of", "to", "and", "in", "is", "this", "a", "or", "with", "that", "by", "are", "it", "be"}
         self.pairs: dict[tuple[str, str], list[str]] = {}  # the templates that hold a pair
         for name, w in self.words.items():
-            for p in dict.fromkeys(zip(w, w[1:])):
-                if not common.issuperset(p):
-                    self.pairs.setdefault(p, []).append(name)
+            own = list(dict.fromkeys(zip(w, w[1:])))
+            for p in [p for p in own if not common.issuperset(p)] or own:
+                self.pairs.setdefault(p, []).append(name)
         # words that a stretch may have: a fifth more than the template's
         self.spans = {name: len(w) + len(w) // 5 + 1 for name, w in self.words.items()}
         self.reach = max(self.spans.values())
@@ -88,6 +91,12 @@ class Scanner:
             dict_data=zstandard.ZstdCompressionDict(" ".join(w).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
             for name, w in self.words.items()}
 
+    @staticmethod
+    def _cues(words: list[str]) -> list[str]:
+        """The longest distinct words, one more than a finding may lack: every finding has one of them."""
+        may_lack = len(words) - math.ceil(LEAST_WORDS * len(words))
+        return sorted(set(words), key=lambda w: (-len(w), w))[:may_lack + 1]
+
     def blocks(self, words: list[str]) -> list[tuple[int, int]]:
         """Half-open word ranges around the pairs that templates hold, in windows that overlap by a half."""
         out: list[list[int]] = []
@@ -100,7 +109,16 @@ class Scanner:
         return [(a, min(b, a + self.window)) for lo, b in out
                 for a in range(lo, max(lo + 1, b - self.window // 2), self.window // 2)]
 
-    def saving(self, name: str, stretch: str) -> float:
+    def ranked(self, part: list[str]) -> list[tuple[int, list[str]]]:
+        """Templates with a word pair in the block, in groups of equally many bytes saved, most first."""
+        data = " ".join(part).encode()
+        alone = len(self.plain.compress(data))
+        groups: dict[int, list[str]] = {}
+        for name in sorted({n for p in zip(part, part[1:]) for n in self.pairs.get(p, ())}):
+            groups.setdefault(alone - len(self.packers[name].compress(data)), []).append(name)
+        return sorted(groups.items(), reverse=True)
+
+    def share_saved(self, name: str, stretch: str) -> float:
         """The share of the stretch's compressed size that the template saves."""
         data = stretch.encode()
         return 1.0 - len(self.packers[name].compress(data)) / len(self.plain.compress(data))
@@ -148,30 +166,31 @@ class Scanner:
     def scan(self, text: str | None) -> list[tuple[str, int, int, float, float, str, str]]:
         """``(template, first word, end, share saved, share of words, missing, added)`` of each finding, by place."""
         low = (text or "").lower()
-        if not any(c in low for c in CUES):
+        if not any(c in low for c in self.cues):
             return []
         words = WORD.findall(low)
         found: dict[tuple[int, int], tuple] = {}
         todo = self.blocks(words)
         while todo:
             lo, hi = todo.pop()
-            if hi - lo < 3:
-                continue
-            part, best = words[lo:hi], None
-            for name in sorted({n for p in zip(part, part[1:]) for n in self.pairs.get(p, ())}):
-                same = self.compare(name, part)
-                if same is None:
-                    continue
-                fit = (len(self.words[name]) * same[0], same[0], self.saving(name, " ".join(part[same[1]:same[2]])))
-                if best is None or fit > best[0]:
-                    best = (fit, name, same)
+            part = words[lo:hi]
+            best = self.confirmed(part)
             if best is None:
                 continue
-            (_, share, saved), name, (_, a, b, missing, added) = best
+            name, (share, a, b, missing, added) = best
+            saved = self.share_saved(name, " ".join(part[a:b]))
             found[(lo + a, lo + b)] = (name, lo + a, lo + b, saved, share, " ".join(missing), " ".join(added))
             todo += [(lo, lo + a), (lo + b, hi)]
         return _outermost(sorted(found.values(), key=lambda f: (f[1], -f[2])))
 
+    def confirmed(self, part: list[str]) -> tuple[str, tuple] | None:
+        """The first template, by bytes saved, whose exact differences leave a finding."""
+        for _, names in self.ranked(part):
+            held = [(len(self.words[n]) * same[0], same[0], n, same) for n in names if (same := self.compare(n, part))]
+            if held:
+                return max(held, key=lambda h: h[:2])[2:]    # the first name of equal ones
+        return None
+
 
 def _outermost(found: list[tuple]) -> list[tuple]:
     """Without findings inside others (windows overlap)."""
