@@ -16,7 +16,7 @@ offsets.  What single tasks hold is one row per source, or one row per tree node
 
 Defined results: a null text has size 0; a source of size 0 gets target 0; a
 null source is a source of its own, ranked last; equal rows are separate rows;
-rows without an identifier stand first in the permuted order; an empty table
+rows without an identifier are ordered by a digest of all their columns; an empty table
 gives an empty result; other columns may have any name.
 """
 
@@ -34,6 +34,7 @@ WEIGHTS = (5, 2, 1)
 MOST_PASSES = 3
 GROUP_DIGITS = 3            # 16**3 digest ranges per source
 BLOCKS_PER_SHARD = 64
+SHARDS = 64
 
 
 def word_count(text: str | Column) -> Column:
@@ -69,8 +70,9 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_
 
 def permuted(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
     """``id, size, source, grp, digest`` per row; ordered by digest a source's rows are permuted."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    digest = F.when(F.col(id_col).isNull(), F.lit("")).otherwise(F.md5(text))
+    named = F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))
+    nameless = F.concat(F.lit(f"{seed}|"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))
+    digest = F.md5(F.coalesce(named, nameless))
     return docs.select(F.col(id_col).alias("id"), word_count(text_col).alias("size"),
                        F.col(source_col).cast("string").alias("source"), digest.alias("digest")
                        ).withColumn("grp", F.substring("digest", 1, GROUP_DIGITS))
@@ -117,7 +119,7 @@ def _split_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        weights: tuple = WEIGHTS, shards: int = 64, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+        weights: tuple = WEIGHTS, shards: int = SHARDS, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """``(rows, pieces)`` of the mix.
 
     ``rows``: ``id, size, source, source_size, target, grp, place`` per input row;
@@ -181,13 +183,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-                    **options) -> DataFrame:
+                    by_shard: bool = False, **options) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a document appears once per pass that takes it,
     its text cut where its source's target ends inside it, and not at all if no pass takes it.
-    Of rows that share identifier, source and size, each gets the passes of one of them."""
+    Of rows that share identifier, source and size, each gets the passes of one of them.
+
+    With ``by_shard`` there are two more columns, ``mix_shard`` and ``mix_position``, and the rows are dealt by shard and
+    sorted by position: written so, each output shard is its own disjoint, locally shuffled part of the mix.
+    """
     rows, pieces = mix(docs, id_col, text_col, source_col, **options)
     spot = ["source", "grp", "place"]
-    passes = (pieces.groupBy(*spot).agg(F.sort_array(F.collect_list("words"), asc=False).alias("words"),
+    passes = (pieces.groupBy(*spot).agg(F.sort_array(F.collect_list(F.struct("words", "shard", "position")), asc=False).alias("words"),
                                         F.first("id").alias("id")))
     own = (rows.select(*spot, "size").alias("r")
            .join(passes.alias("p"), [F.col(f"r.{c}").eqNullSafe(F.col(f"p.{c}")) for c in spot])
@@ -199,15 +205,40 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     taken = (whole.join(own, F.col("d_id").eqNullSafe(F.col("id")) & F.col("d_source").eqNullSafe(F.col("source"))
                         & (F.col("d_size") == F.col("size")))
              .withColumn("turn", F.row_number().over(twin) - 1)
-             .withColumn("words", F.explode(F.get("lists", F.col("turn")))))
+             .withColumn("piece", F.explode(F.get("lists", F.col("turn"))))
+             .withColumn("words", F.col("piece.words")))
     text = F.col("row").getField(text_col)
     begin = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"{SPACE[:-1]}*{WORD}"), F.lit(0)), 1,
                                  F.col("words").cast("int")), "")
     cut = F.when(F.col("words") < F.col("size"), begin).otherwise(text)
-    return taken.select(F.col("row").withField(f"`{text_col}`", cut).alias("row")).select("row.*")
+    made = taken.select(F.col("row").withField(f"`{text_col}`", cut).alias("row"), "piece.shard", "piece.position")
+    if not by_shard:
+        return made.select("row.*")
+    dealt = made.repartition(options.get("shards", SHARDS), "shard").sortWithinPartitions("shard", "position")
+    return dealt.select("row.*", F.col("shard").alias("mix_shard"), F.col("position").alias("mix_position"))
+
+
+def shares(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """Per row ``<id_col>, size, source_size, target, taken, shards, positions``: the words that the mix takes of it, and
+    where its passes went in the splitting tree's shards (in order of passes; empty if none takes it)."""
+    rows, pieces = mix(docs, id_col, **options)
+    spot = ["source", "grp", "place"]
+    went = F.array_sort(F.collect_list(F.struct("pass", "shard", "position")))
+    taken = pieces.groupBy(*spot).agg(F.sum("words").alias("taken"), went.alias("went"))
+    return (rows.alias("r").join(taken.alias("t"), [F.col(f"r.{c}").eqNullSafe(F.col(f"t.{c}")) for c in spot], "left")
+            .select(F.col("r.id").alias(id_col), "size", "source_size", "target",
+                    F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
+                    F.coalesce(F.col("went.shard"), F.array().cast("array<bigint>")).cast("array<int>").alias("shards"),
+                    F.coalesce(F.col("went.position"), F.array().cast("array<int>")).cast("array<bigint>").alias("positions")))
 
 
-@register("op9_mix_sources", """
+@register("op9_mix_sources")
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its size, its source's size and target, the words that the mix takes, and the shards they went to."""
+    return shares(table(spark, sf_dir, "documents"))
+
+
+@register("mix_sources_taken", """
 WITH d AS (SELECT doc_id, source, length(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
                   md5('1:' || doc_id) AS digest FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size,
@@ -229,11 +260,6 @@ SELECT doc_id, size, source_size, target,
         + greatest(0, least(size, round(target)::BIGINT - first - 2 * source_size)))::BIGINT AS taken
 FROM p
 """)
-def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document its size, its source's size and target, and the words that the mix takes."""
-    rows, pieces = mix(table(spark, sf_dir, "documents"))
-    spot = ["source", "grp", "place"]
-    taken = pieces.groupBy(*spot).agg(F.sum("words").alias("taken"))
-    return (rows.alias("r").join(taken.alias("t"), [F.col(f"r.{c}").eqNullSafe(F.col(f"t.{c}")) for c in spot], "left")
-            .select(F.col("r.id").alias("doc_id"), "size", "source_size", "target",
-                    F.coalesce("taken", F.lit(0)).cast("long").alias("taken")))
+def mix_sources_taken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of ``op9_mix_sources`` that SQL can express: everything but the draws of the tree."""
+    return shares(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")

@@ -3,7 +3,7 @@
 import re
 from collections import Counter, defaultdict
 
-from astrolabe.llm.mixing import _split_tree, mix, mixed_documents
+from astrolabe.llm.mixing import _split_tree, mix, mixed_documents, op9_mix_sources, shares
 
 SF = "/root/testdata/sf0.01"
 SIZE = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
@@ -113,3 +113,44 @@ def test_odd_rows(spark):
     empty = docs.limit(0)
     r, p = mix(empty, shards=4)
     assert r.count() == 0 and p.count() == 0 and mixed_documents(empty).count() == 0
+
+
+def test_result_follows_the_tree(spark):
+    """The shards of the result hold, source by source, as many blocks as the splitting tree's leaves give them."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows, pieces = mix(docs, shards=8)
+    rows, pieces = rows.collect(), pieces.collect()
+    block = -(-sum({r.source: r.source_size for r in rows}.values()) // (64 * 8))
+    quota = {r.source: -(-round(r.target) // block) for r in rows}
+    no = {s: k + 1 for k, s in enumerate(sorted(quota, key=lambda s: (s is None, s or "")))}
+    leaves = {(x.no, x.shard): x.blocks for x in _split_tree(spark.createDataFrame([(no[s], q) for s, q in quota.items()], "no int, blocks long"), 8, 1).collect()}
+    home = {(p.source, p.block): p.shard for p in pieces}
+    held = Counter((no[s], shard) for (s, _), shard in home.items())
+    assert all(held[k] <= leaves[k] for k in held)      # a block in which no document starts has no rows
+    full = [s for s in quota if all((s, b) in home for b in range(quota[s]))]
+    assert full and all(held[no[s], k] == leaves[no[s], k] for s in full for k in range(8))
+    got = {r.doc_id: r for r in shares(docs, shards=8).collect()}
+    went = defaultdict(list)
+    for p in sorted(pieces, key=lambda p: p["pass"]):
+        went[p.id].append((p.shard, p.position))
+    assert all(list(zip(r.shards, r.positions)) == went[i] for i, r in got.items())
+    assert all((r.taken > 0) == bool(r.shards) for r in got.values())
+
+
+def test_shards_are_written_in_order(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    made = mixed_documents(docs, shards=8, by_shard=True)
+    assert made.columns == [*docs.columns, "mix_shard", "mix_position"]
+    made.write.parquet(str(tmp_path / "mix"))
+    rows = [r for part in spark.read.parquet(str(tmp_path / "mix")).select("mix_shard", "mix_position").rdd.glom().collect() for r in part]
+    seen = defaultdict(list)
+    for r in rows:
+        seen[r.mix_shard].append(r.mix_position)
+    assert len(seen) == 8 and all(v == list(range(1, len(v) + 1)) for v in seen.values())
+    assert {r.shards[0] for r in op9_mix_sources(spark, "/root/testdata/sf0.001").collect() if r.shards} <= set(range(64))
+
+
+def test_rows_without_identifier_are_spread(spark):
+    rows = [(None, f"text {k} of its own", "s") for k in range(400)]
+    r, _ = mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), shards=2)
+    assert r.select("grp").distinct().count() > 300
