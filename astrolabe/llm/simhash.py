@@ -303,7 +303,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     same = F.col("own_digest") == F.col("gone_digest")
     named = whole.where("own_id IS NOT NULL").join(gone, same & (F.col("own_id") == F.col("gone_id")), "left_anti")
     unnamed = (whole.where("own_id IS NULL").join(gone.where("gone_id IS NULL"), same, "left_anti")
-               .groupBy("own_digest").agg(F.first("row").alias("row")))
+               .groupBy("own_digest").agg(F.min_by("row", F.sha2(F.to_json("row"), 256)).alias("row")))
     return named.select("row.*").union(unnamed.select("row.*"))
 
 

@@ -88,7 +88,15 @@ def test_hostile_rows(spark):
     kept = simhash.dedup(docs)
     assert kept.columns == docs.columns
     assert near_duplicates(docs.limit(0)).count() == 0 and simhash.dedup(docs.limit(0)).count() == 0
-    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "7", "7", "9"]
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "7", "7", "9", "None"]
+    assert [r.component_id for r in kept.where("doc_id IS NULL").collect()] == ["w"]
+
+
+def test_dedup_keeps_the_same_rows_on_any_layout(spark):
+    rows = [(None, "one text without any number", f"src{k}") for k in range(40)] + [(3, "another text", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = {tuple(sorted(r.source for r in simhash.dedup(docs.repartition(n, *by)).collect())) for n, by in ((1, ()), (7, ()), (5, ("source",)))}
+    assert len(kept) == 1 and len(kept.pop()) == 2
 
 
 def test_dedup_goes_by_row_not_by_identifier_alone(spark):
