@@ -41,16 +41,16 @@ def ionpol2(T, alpha, beta, gamma) -> Column:
     return a * b * (1.0 + IONPOL2_COEF * g * F.sqrt(T_REF / T) + (g * g / IONPOL2_DIV) * (T_REF / T))
 
 
-def compute_rate(react_class, T, alpha, beta, gamma, lenient: bool = True) -> Column:
+def compute_rate(react_class, T, alpha, beta, gamma, lenient: bool = False) -> Column:
     """dispatch on the reaction class (3, 4, 5).
 
-    Any other class is an error in strict mode (``raise_error``) and NULL in
-    lenient mode.
+    Any other class, or none, is an error (``raise_error``), and NULL on request
+    (``lenient``).
     """
     cls = _c(react_class)
     other = (F.lit(None).cast("double") if lenient
              else F.raise_error(F.concat(F.lit("reaction class not recognised: "),
-                                         cls.cast("string"))).cast("double"))
+                                         F.coalesce(cls.cast("string"), F.lit("none")))).cast("double"))
     return (F.when(cls == 3, arrhenius_rate(T, alpha, beta, gamma))
             .when(cls == 4, ionpol1(T, alpha, beta, gamma))
             .when(cls == 5, ionpol2(T, alpha, beta, gamma))
@@ -152,17 +152,16 @@ def scf_reference(mult) -> Column:
 
 # ---- F23-F24: string features, normalised key ---------------------------------
 
+#: Character classes of the string features: ring digits, branches, bond symbols, upper-case and lower-case letters.
+FEATURE_CLASSES = {"digits": r"[0-9]", "branches": r"\(", "bonds": r"[=#]", "upper": r"[A-Z]", "lower": r"[a-z]"}
+
+
 def string_features(s) -> Column:
-    """F23 (re-aimed): length, ring digits, branches, bond symbols, upper-case atoms."""
+    """F23 (re-aimed): length, the counts of ``FEATURE_CLASSES`` in order, and their shares of the length (0 for an empty string)."""
     s = _c(s)
-    return F.array(
-        F.length(s).cast("double"),
-        F.regexp_count(s, F.lit(r"[0-9]")).cast("double"),
-        F.regexp_count(s, F.lit(r"\(")).cast("double"),
-        F.regexp_count(s, F.lit(r"[=#]")).cast("double"),
-        F.regexp_count(s, F.lit(r"[A-Z]")).cast("double"),
-        F.regexp_count(s, F.lit(r"[a-z]")).cast("double"),
-    )
+    size = F.length(s).cast("double")
+    counts = [F.regexp_count(s, F.lit(c)).cast("double") for c in FEATURE_CLASSES.values()]
+    return F.array(size, *counts, *[F.when(size > 0, n / size).otherwise(F.when(size.isNotNull(), 0.0)) for n in counts])
 
 
 def normalise_key(s) -> Column:

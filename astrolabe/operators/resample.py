@@ -90,6 +90,12 @@ def sample_without(df: DataFrame, key: str, n: int, seed: int = 42, stream: str
             .orderBy("__u", key).limit(n).drop("__u"))
 
 
+def in_row_order(sample: DataFrame, order: list, position: str = "position") -> DataFrame:
+    """The rows of a sample numbered from 1 in the order of the table they come from."""
+    from astrolabe.operators import stats
+    return stats.global_position(sample, order, position)
+
+
 def group_shuffle_split(groups: DataFrame, group: str, n_splits: int, test_size: float,
                         seed: int = 42, stream: str = "gss") -> DataFrame:
     """Per split, groups ordered by their hash draw; the first ceil(test_size * G)

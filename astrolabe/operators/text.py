@@ -189,7 +189,7 @@ def any_marker(lines: DataFrame, file_cols: list[str], markers: list[str], name:
     return lines.groupBy(*file_cols).agg(F.bool_or(hit).alias(name))
 
 
-# ---- M1 / M3: token corpus and summed vectors ---------------------------------------
+# ---- M1: token corpus ---------------------------------------
 
 def token_sentence(s, radius: int = 1) -> Column:
     """M1 (re-aimed): word tokens plus, for radius 1, each word joined with its
@@ -211,19 +211,3 @@ def token_sentence(s, radius: int = 1) -> Column:
                        lambda ab, c: F.concat_ws("_", ab, c))
     pairs = F.zip_with(words, grams, lambda w, g: F.array(w, g))
     return F.when(n > 0, F.flatten(pairs)).otherwise(F.array().cast("array<string>"))
-
-
-def sum_pool(doc_tokens: DataFrame, token_vectors: DataFrame, doc_col: str, token_col: str,
-             vec_col: str, dim: int) -> DataFrame:
-    """M3/M4: item vector = sum of its token vectors; unknown tokens add zero.
-
-    Tokens are first counted per (item, token) (map-side partial aggregate),
-    then joined to the vocabulary; a very frequent token is one row per item,
-    and AQE splits a skewed join partition.  Per-dimension sums are plain
-    aggregate columns.
-    """
-    counts = doc_tokens.groupBy(doc_col, token_col).agg(F.count(F.lit(1)).alias("__c"))
-    j = counts.join(token_vectors, token_col, "left")
-    sums = [F.sum(F.coalesce(F.get(vec_col, i), F.lit(0.0)) * F.col("__c")).alias(f"__s{i}") for i in range(dim)]
-    agg = j.groupBy(doc_col).agg(*sums)
-    return agg.select(doc_col, F.array(*[F.col(f"__s{i}") for i in range(dim)]).alias("vec"))

@@ -10,11 +10,13 @@ from astrolabe import tables
 from astrolabe.functions import scalar as S
 from astrolabe.functions import vectors as V
 from astrolabe.operators import curate as C
-from astrolabe.operators import search, stats
+from astrolabe.operators import pooling, search, stats
 from astrolabe.operators import text as X
 from astrolabe.operators.resample import uniform_sql
 from astrolabe.constants import OBSERVED_SQL
 from astrolabe.plans.registry import register
+from astrolabe.session import scratch_path
+from astrolabe.sources import io
 
 
 def T(spark, sf, name):
@@ -96,6 +98,10 @@ def q_target_list(spark, sf):
 from astrolabe.plans.q_relational import EXCLUDED_ELEMENTS, _EXCL_SQL  # noqa: E402
 
 
+#: Letters whose counts are a key's composition.
+POOL_SYMBOLS = "chnos"
+
+
 @register("curate_pool", f"""
 WITH p AS (SELECT text AS raw, 0 AS source, doc_id AS o1, 0 AS o2 FROM documents
            UNION ALL SELECT text, 1, item_id, 0 FROM benchmark
@@ -103,13 +109,15 @@ WITH p AS (SELECT text AS raw, 0 AS source, doc_id AS o1, 0 AS o2 FROM documents
 k AS (SELECT nullif(lower(trim(regexp_replace(raw, '[ \t\r\n]+', ' ', 'g'))), '') AS key, raw, source, o1, o2 FROM p),
 d AS (SELECT key, arg_min(source, (source, o1, o2)) AS source, arg_min(raw, (source, o1, o2)) AS raw
       FROM k WHERE key IS NOT NULL GROUP BY key)
-SELECT md5(key) AS key_md5, source, CAST(length(key) AS INTEGER) AS weight FROM d
+SELECT md5(key) AS key_md5, source, round({" + ".join(f"{S.ATOMIC_MASS[x.upper()]}::DOUBLE * (length(key) - length(replace(key, '{x}', '')))" for x in POOL_SYMBOLS)}, 6) AS weight FROM d
 WHERE NOT regexp_matches(raw, '{_EXCL_SQL}')
 """)
 def q_curate_pool(spark, sf):
     """Pool sources (U1) → normalised key (F24) → drop empty (P3) → keep the first
     occurrence of each key in source order (A4, partial-aggregate form, so a hot key is
-    reduced map-side) → word exclusion (P5) → weight."""
+    reduced map-side) → word exclusion (P5) → mass of the key's composition (F15) → table and list of lines (S12, S14).
+
+    A key's composition counts the letters of ``POOL_SYMBOLS``.  The result is what the table holds afterwards."""
     docs = T(spark, sf, "documents").select(F.col("text").alias("raw"), F.lit(0).alias("source"),
                                             F.col("doc_id").alias("o1"), F.lit(0).cast("long").alias("o2"))
     bench = T(spark, sf, "benchmark").select(F.col("text").alias("raw"), F.lit(1).alias("source"),
@@ -121,11 +129,17 @@ def q_curate_pool(spark, sf):
     # Shuffle a 128-bit digest of the key (plus its length) instead of whole texts;
     # the case-sensitive element test runs on the original text before the shuffle
     # and only its boolean travels with the row.
-    slim = pool.select(F.md5("key").alias("key_md5"), F.length("key").alias("weight"), "source", "o1", "o2",
+    formula = F.concat(*[F.concat(F.lit(x.upper()), F.length("key") - F.length(F.replace("key", F.lit(x), F.lit("")))) for x in POOL_SYMBOLS])
+    slim = pool.select(F.md5("key").alias("key_md5"), F.length("key").alias("size"), formula.alias("formula"), "source", "o1", "o2",
                        C.contains_word("raw", EXCLUDED_ELEMENTS).alias("excluded"))
-    first = slim.groupBy("key_md5", "weight").agg(
-        F.min_by(F.struct("source", "excluded"), F.struct("source", "o1", "o2")).alias("f"))
-    return first.where(~F.col("f.excluded")).select("key_md5", F.col("f.source").alias("source"), "weight")
+    first = slim.groupBy("key_md5", "size").agg(
+        F.min_by(F.struct("source", "excluded", "formula"), F.struct("source", "o1", "o2")).alias("f"))
+    weight = round6(X.formula_mass("f.formula", S.ATOMIC_MASS)).alias("weight")
+    table, lines = scratch_path(spark, "pool"), scratch_path(spark, "pool-lines")
+    first.where(~F.col("f.excluded")).select("key_md5", F.col("f.source").alias("source"), weight).write.parquet(table)
+    kept = spark.read.parquet(table)
+    io.write_lines(kept, "key_md5", lines)
+    return kept
 
 
 HASH_DIM = 4
@@ -139,14 +153,14 @@ SELECT p_partkey, key, {", ".join(f"round(sum({uniform_sql(7, f'dim{c}', 'token'
 FROM t GROUP BY p_partkey, key
 """)
 def q_prepare_inventory(spark, sf):
-    """Scan → exclude one class (P2) → normalised key (F24) → summed token vectors (M3)."""
-    from astrolabe.plans.q_ml import hashed_token_vectors
+    """Scan → exclude one class (P2) → normalised key (F24) → summed token vectors (M3) → table; the result is what it holds."""
     p = C.filter_eq(T(spark, sf, "part"), "p_type", "PROMO", keep=False)
     p = p.select("p_partkey", S.normalise_key("p_name").alias("key"))
-    toks = p.select("p_partkey", F.explode(X.token_sentence("key", radius=0)).alias("token"))
-    pooled = X.sum_pool(toks, hashed_token_vectors(toks), "p_partkey", "token", "tvec", HASH_DIM)
-    return p.join(pooled, "p_partkey").select(
-        "p_partkey", "key", *[round6(F.get("vec", c)).alias(f"v{c}") for c in range(HASH_DIM)])
+    pooled = pooling.pool_hashed(p.select("p_partkey", X.token_sentence("key", radius=0).alias("tokens")), "p_partkey", "tokens", HASH_DIM)
+    table = scratch_path(spark, "inventory")
+    p.join(pooled, "p_partkey").select(
+        "p_partkey", "key", *[round6(F.get("vec", c)).alias(f"v{c}") for c in range(HASH_DIM)]).write.parquet(table)
+    return spark.read.parquet(table)
 
 
 @register("model_comparison", """

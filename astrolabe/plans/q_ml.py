@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from astrolabe.functions.scalar import round6
 from astrolabe import tables
-from astrolabe.operators import gram, reduce, search, splits, stats
+from astrolabe.operators import gram, pooling, reduce, search, splits, stats
 from astrolabe.operators import resample as R
 from astrolabe.operators import text as X
 from astrolabe.functions.schema import seq_long
@@ -198,7 +198,8 @@ def q_random_search(spark, sf):
         sub = settings[settings.icpt == icpt]
         if len(sub) == 0:
             continue
-        sc = gram.fold_scores(st, 1, "fold", list(sub.alpha), intercept=icpt, digits=None)
+        # each penalty once: settings that share one meet its scores in the join below
+        sc = gram.fold_scores(st, 1, "fold", sorted(set(sub.alpha)), intercept=icpt, digits=None)
         parts.append(sc.withColumn("icpt", F.lit(icpt)))
     sc = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     sdf = _settings(spark, N_SETTINGS)
@@ -556,12 +557,6 @@ def q_trend_line(spark, sf):
 HASH_DIM = 4
 
 
-def hashed_token_vectors(tokens_df, token_col="token", dim=HASH_DIM, seed=7):
-    """Token vectors as a pure function of the token (feature hashing)."""
-    from astrolabe.plans.store import hashed_token_vectors as hv
-    return hv(tokens_df, token_col, dim, seed)
-
-
 _WORDS_SQL = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda t: t <> '')"
 
 
@@ -571,10 +566,8 @@ SELECT doc_id, {", ".join(f"round(sum({R.uniform_sql(7, f'dim{c}', 'token')} - 0
 FROM t GROUP BY doc_id
 """)
 def q_sum_pool_vectors(spark, sf):
-    d = T(spark, sf, "documents")
-    toks = d.select("doc_id", F.explode(X.token_sentence("text", radius=0)).alias("token"))
-    vocab = hashed_token_vectors(toks)
-    pooled = X.sum_pool(toks, vocab, "doc_id", "token", "tvec", HASH_DIM)
+    d = T(spark, sf, "documents").select("doc_id", X.token_sentence("text", radius=0).alias("tokens"))
+    pooled = pooling.pool_hashed(d, "doc_id", "tokens", HASH_DIM)
     return pooled.select("doc_id", *[round6(F.get("vec", c)).alias(f"v{c}") for c in range(HASH_DIM)])
 
 
@@ -620,18 +613,19 @@ def q_assign_cluster(spark, sf):
 WITH r AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS pos FROM embeddings),
 n AS (SELECT count(*) AS n FROM embeddings),
 d AS (SELECT pos - 1 AS draw_id, CAST(floor({R.uniform_sql(42, 'boot', 'pos - 1')} * n) + 1 AS BIGINT) AS pick FROM r, n)
-SELECT d.draw_id, r.vec_id FROM d JOIN r ON r.pos = d.pick
+SELECT d.draw_id, r.vec_id, row_number() OVER (ORDER BY r.vec_id, d.draw_id) AS position FROM d JOIN r ON r.pos = d.pick
 """)
 def q_sample_with(spark, sf):
     e = T(spark, sf, "embeddings").select("vec_id")
-    return R.bootstrap(e, ["vec_id"]).select("draw_id", "vec_id")
+    return R.in_row_order(R.bootstrap(e, ["vec_id"]), ["vec_id", "draw_id"]).select("draw_id", "vec_id", "position")
 
 
 @register("sample_without", f"""
-SELECT vec_id FROM embeddings ORDER BY {R.uniform_sql(42, 'sample', 'vec_id')}, vec_id LIMIT 100
+SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS position FROM
+ (SELECT vec_id FROM embeddings ORDER BY {R.uniform_sql(42, 'sample', 'vec_id')}, vec_id LIMIT 100)
 """)
 def q_sample_without(spark, sf):
-    return R.sample_without(T(spark, sf, "embeddings").select("vec_id"), "vec_id", 100)
+    return R.in_row_order(R.sample_without(T(spark, sf, "embeddings").select("vec_id"), "vec_id", 100), ["vec_id"])
 
 
 @register("batched_apply", f"""

@@ -16,8 +16,8 @@ from astrolabe.operators import text as X
 from astrolabe.plans.registry import register
 from astrolabe.session import scratch_path
 
-# The reference's sizes: dimensions and passes of the word vectors, most principal components.
-WORD_DIM, WORD_PASSES, MOST_COMPONENTS = 300, 5, 70
+# The reference's sizes: dimensions and passes of the word vectors, most principal components, clusters.
+WORD_DIM, WORD_PASSES, MOST_COMPONENTS, CLUSTERS = 300, 5, 70, 20
 
 # Fixed kernel parameters of the GP scorer (inputs, not tuned here).
 GP_KERNEL = MD.Kernel(const=1.0, length=0.8, rq_const=0.5, rq_length=1.0, rq_alpha=1.0, bias=0.1, noise=0.05)
@@ -74,7 +74,7 @@ def q_embedder_transform(spark, sf):
     """M9: scaler → PCA → k-means; the embedder applies all but the last stage."""
     v = tables.vectors(spark, sf)
     from pyspark.ml.functions import array_to_vector
-    _, embedder = reduce.fit_embedder(v, "vec", k_pca=_components(v), k_clusters=10)
+    _, embedder = reduce.fit_embedder(v, "vec", k_pca=_components(v), k_clusters=CLUSTERS)
     out = embedder.transform(v.withColumn("__features", array_to_vector("vec")))
     return out.select("vec_id", vector_to_array("__pca").alias("pca"))
 
@@ -93,7 +93,7 @@ def q_model_roundtrip(spark, sf):
     from pyspark.ml import PipelineModel
     from pyspark.ml.functions import array_to_vector
     v = tables.vectors(spark, sf)
-    model, _ = reduce.fit_embedder(v, "vec", k_pca=_components(v), k_clusters=10)
+    model, _ = reduce.fit_embedder(v, "vec", k_pca=_components(v), k_clusters=CLUSTERS)
     path = scratch_path(spark, "embedder-model")
     model.write().overwrite().save(path)
     loaded = PipelineModel.load(path)
@@ -298,7 +298,7 @@ def _store(spark, sf):
     from astrolabe.plans.store import build_vector_store
     docs = tables.load(spark, sf, "documents").select("doc_id", "text")
     return build_vector_store(docs, "doc_id", "text", scratch_path(spark, "vector-store"), dim=WORD_DIM,
-                              k_pca=MOST_COMPONENTS, k_clusters=5)
+                              k_pca=MOST_COMPONENTS, k_clusters=CLUSTERS)
 
 
 @register("build_store")

@@ -143,13 +143,12 @@ def q_ordered_category(spark, sf):
 
 
 @register("dict_map", """
-SELECT p_partkey, CASE p_type WHEN 'STANDARD' THEN '#e41a1c' WHEN 'PROMO' THEN '#377eb8'
-                               WHEN 'SMALL' THEN '#4daf4a' WHEN 'LARGE' THEN '#984ea3' END AS colour
+SELECT p_partkey, CASE p_type WHEN 'STANDARD' THEN '#336699' WHEN 'PROMO' THEN '#993333'
+                               WHEN 'SMALL' THEN '#339966' WHEN 'LARGE' THEN '#996633' END AS colour
 FROM part
 """)
 def q_dict_map(spark, sf):
-    # Class → colour mapping of the reaction-network view.
-    colours = {"STANDARD": "#e41a1c", "PROMO": "#377eb8", "SMALL": "#4daf4a", "LARGE": "#984ea3"}
+    colours = {"STANDARD": "#336699", "PROMO": "#993333", "SMALL": "#339966", "LARGE": "#996633"}
     return T(spark, sf, "part").select("p_partkey", C.dict_map("p_type", colours).alias("colour"))
 
 
@@ -579,12 +578,11 @@ def q_set_difference(spark, sf):
 
 
 @register("set_intersection", """
-SELECT md5(text) AS text_md5 FROM documents INTERSECT SELECT md5(text) FROM conversations
+SELECT doc_id AS item_id FROM labels INTERSECT SELECT vec_id FROM embeddings
 """)
 def q_set_intersection(spark, sf):
-    d = T(spark, sf, "documents").select(F.md5("text").alias("text_md5"))
-    c = T(spark, sf, "conversations").select(F.md5("text").alias("text_md5"))
-    return d.intersect(c)
+    """Labelled items that the vector store holds."""
+    return T(spark, sf, "labels").select(F.col("doc_id").alias("item_id")).intersect(T(spark, sf, "embeddings").select("vec_id"))
 
 
 @register("drop_zero_vectors", """

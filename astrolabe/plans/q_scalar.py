@@ -90,7 +90,7 @@ CASE WHEN l_linenumber = 3 THEN l_quantity * pow({T} / 300.0, l_discount) * exp(
 
 
 def _rate(T_col):
-    return S.compute_rate("l_linenumber", T_col, "l_quantity", "l_discount", "l_tax")
+    return S.compute_rate("l_linenumber", T_col, "l_quantity", "l_discount", "l_tax", lenient=True)
 
 
 @register("rate_law", f"""
@@ -243,19 +243,19 @@ def q_acquisition(spark, sf):
                     round6(S.acquisition_ratio("m", "s")).alias("ratio"))
 
 
-@register("string_features", r"""
-SELECT doc_id, CAST(length(text) AS DOUBLE) AS f_len,
-  CAST(len(regexp_extract_all(text, '[0-9]')) AS DOUBLE) AS f_digits,
-  CAST(len(regexp_extract_all(text, '\(')) AS DOUBLE) AS f_branches,
-  CAST(len(regexp_extract_all(text, '[=#]')) AS DOUBLE) AS f_bonds,
-  CAST(len(regexp_extract_all(text, '[A-Z]')) AS DOUBLE) AS f_upper,
-  CAST(len(regexp_extract_all(text, '[a-z]')) AS DOUBLE) AS f_lower
+_FEATURE_COUNTS = {k: f"CAST(len(regexp_extract_all(text, '{v}')) AS DOUBLE)" for k, v in S.FEATURE_CLASSES.items()}
+
+
+@register("string_features", f"""
+SELECT doc_id, CAST(length(text) AS DOUBLE) AS f_len, {", ".join(f"{v} AS f_{k}" for k, v in _FEATURE_COUNTS.items())},
+  {", ".join(f"round(CASE WHEN length(text) > 0 THEN {v} / length(text) ELSE 0.0 END, 6) AS r_{k}" for k, v in _FEATURE_COUNTS.items())}
 FROM documents
 """)
 def q_string_features(spark, sf):
-    f = S.string_features("text")
-    names = ["f_len", "f_digits", "f_branches", "f_bonds", "f_upper", "f_lower"]
-    return T(spark, sf, "documents").select("doc_id", *[F.get(f, i).alias(n) for i, n in enumerate(names)])
+    f = T(spark, sf, "documents").select("doc_id", S.string_features("text").alias("f"))
+    names = [*S.FEATURE_CLASSES]
+    return f.select("doc_id", F.get("f", F.lit(0)).alias("f_len"), *[F.get("f", F.lit(i + 1)).alias(f"f_{n}") for i, n in enumerate(names)],
+                    *[round6(F.get("f", F.lit(i + 1 + len(names)))).alias(f"r_{n}") for i, n in enumerate(names)])
 
 
 @register("normalise_key", r"""

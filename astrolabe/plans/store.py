@@ -7,36 +7,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from astrolabe.operators import reduce
-from astrolabe.operators import resample as R
+from astrolabe.operators import pooling, reduce
 from astrolabe.operators import text as X
 
 
-def hashed_token_vectors(tokens_df: DataFrame, token_col: str = "token", dim: int = 16,
-                         seed: int = 7, one_hash: bool = False) -> DataFrame:
-    """Token vectors as a pure function of the token (feature hashing): one row per
-    distinct token, so no model has to be trained or shipped for the vocabulary.
-
-    Default: one md5 draw per component (the scheme the SQL oracles use).  With
-    ``one_hash`` sixteen components come from one SHA-512 digest, eight hex digits
-    each — one hash per token and sixteen components instead of ``dim``.
-    """
-    toks = tokens_df.select(token_col).distinct()
-    if one_hash and dim <= 16:
-        h = F.sha2(F.concat_ws("_", F.lit(str(seed)), F.col(token_col)), 512)
-        comps = [F.conv(F.substring(h, 8 * c + 1, 8), 16, 10).cast("double") / F.lit(4294967296.0) - 0.5
-                 for c in range(dim)]
-    elif one_hash:
-        digests = F.array(*[F.sha2(F.concat_ws("_", F.lit(str(seed)), *([F.lit(str(b))] if b else []), F.col(token_col)), 512)
-                            for b in range(-(-dim // 16))])
-        draws = F.transform(digests, lambda h: F.transform(F.sequence(F.lit(0), F.lit(15)), lambda c: F.conv(
-            F.substr(h, 8 * c + 1, F.lit(8)), 16, 10).cast("double") / F.lit(4294967296.0) - 0.5))
-        return toks.select(token_col, F.slice(F.flatten(draws), 1, dim).alias("tvec"))
-    else:
-        comps = [R.uniform(seed, f"dim{c}", F.col(token_col)) - 0.5 for c in range(dim)]
-    return toks.select(token_col, F.array(*comps).alias("tvec"))
-
-
 def build_vector_store(items: DataFrame, key: str, text_col: str, path: str, *, dim: int = 16,
                        k_pca: int = 8, k_clusters: int = 5, seed: int = 42,
                        token_vectors: DataFrame | None = None) -> DataFrame:
@@ -44,20 +18,19 @@ def build_vector_store(items: DataFrame, key: str, text_col: str, path: str, *,
     population standardisation (M5) → PCA (M6) → k-means (M7) → Parquet
     partitioned by ``cluster_id`` (S11).
 
-    ``token_vectors`` may come from ``pyspark.ml`` Word2Vec (``word, tvec``);
-    by default tokens are hashed.  The reduced vectors are checkpointed by the
+    ``token_vectors`` is a table of trained vectors (``token, tvec``); by default
+    tokens are hashed, where the items lie.  The reduced vectors are checkpointed by the
     write itself: everything downstream reads the store, not the lineage.
     """
     spark: SparkSession = items.sparkSession
-    toks = items.select(key, F.explode(X.token_sentence(text_col, radius=1)).alias("token"))
-    vocab = (token_vectors if token_vectors is not None
-             else hashed_token_vectors(toks, dim=dim, seed=seed, one_hash=True))
+    toks = items.select(key, X.token_sentence(text_col, radius=1).alias("tokens"))
     from astrolabe.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(spark)
     # The text work (tokenising, hashing, pooling) is read by the moments, the
     # PCA statistics and the transform: materialise it once in the shared
     # checkpoint folder instead of re-deriving it from the raw text each time.
-    pooled = X.sum_pool(toks, vocab, key, "token", "tvec", dim).checkpoint(eager=True)
+    pooled = (pooling.pool_hashed(toks, key, "tokens", dim, seed, draws=False) if token_vectors is None
+              else pooling.pool_trained(toks, key, "tokens", token_vectors, "token", "tvec", dim)).checkpoint(eager=True)
     z = reduce.standardise(pooled, "vec", "z")
     pca = reduce.fit_pca(z, "z", k=k_pca)
     # k-means iterates over the reduced vectors, then they are labelled and written

@@ -210,13 +210,14 @@ def test_sum_pool_equals_word2vec_mean_times_count(spark):
     # so the sum equals transform x number of tokens (all tokens are in the vocabulary)
     from pyspark.ml.feature import Word2Vec
     from pyspark.ml.functions import vector_to_array
+    from astrolabe.operators import pooling
     from astrolabe.operators import text as X
     docs = spark.createDataFrame([(1, "a b c a"), (2, "b c"), (3, "c c c d")], "doc_id long, text string")
     toks = docs.select("doc_id", X.token_sentence("text", radius=0).alias("tokens"))
     model = Word2Vec(vectorSize=5, minCount=1, seed=1, inputCol="tokens", outputCol="m").fit(toks)
     vocab = model.getVectors().select(F.col("word").alias("token"), vector_to_array("vector").alias("tvec"))
-    exploded = toks.select("doc_id", F.explode("tokens").alias("token"))
-    pooled = {r.doc_id: np.array(r.vec) for r in X.sum_pool(exploded, vocab, "doc_id", "token", "tvec", 5).collect()}
+    pooled = {r.doc_id: np.array(r.vec) for r in pooling.pool_trained(toks, "doc_id", "tokens", vocab, "token", "tvec", 5, heavy_bytes=80).collect()}
+    assert len(pooled) == 3
     via_mean = {r.doc_id: np.array(r.m) * len(r.tokens)
                 for r in model.transform(toks).select("doc_id", "tokens", vector_to_array("m").alias("m")).collect()}
     for d in pooled:
@@ -229,11 +230,3 @@ def test_models_have_the_references_sizes(spark):
     assert {len(r.pca) for r in Q["embedder_transform"](spark, SF_SMALL).collect()} == {64}
     from astrolabe.plans.q_models import _store
     assert {len(r.pca) for r in _store(spark, SF_SMALL).select("pca").collect()} == {70}
-
-
-def test_hashed_components_agree_with_a_plain_loop(spark):
-    import hashlib
-    from astrolabe.plans.store import hashed_token_vectors
-    got = hashed_token_vectors(spark.createDataFrame([("ab",)], "token string"), dim=40, one_hash=True).first().tvec
-    digest = "".join(hashlib.sha512(x.encode()).hexdigest() for x in ("7_ab", "7_1_ab", "7_2_ab"))
-    assert got == [int(digest[8 * c:8 * c + 8], 16) / 2**32 - 0.5 for c in range(40)]

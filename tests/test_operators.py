@@ -17,7 +17,7 @@ from astrolabe.operators import text as X
 def test_rate_laws(spark):
     df = spark.createDataFrame([(3, 10.0, 2.0, 0.5, 1.0), (4, 10.0, 2.0, 0.5, 1.0), (5, 10.0, 2.0, 0.5, 1.0),
                                 (7, 10.0, 2.0, 0.5, 1.0)], "c int, T double, a double, b double, g double")
-    got = [r[0] for r in df.select(S.compute_rate("c", "T", "a", "b", "g")).collect()]
+    got = [r[0] for r in df.select(S.compute_rate("c", "T", "a", "b", "g", lenient=True)).collect()]
     assert got[0] == pytest.approx(2.0 * (10 / 300) ** 0.5 * math.exp(-1 / 10))
     assert got[1] == pytest.approx(2.0 * 0.5 * (0.62 + 0.4767 * 1.0 * math.sqrt(300 / 10)))
     assert got[2] == pytest.approx(2.0 * 0.5 * (1 + 0.0967 * math.sqrt(30) + (1 / 10.526) * 30))
@@ -25,9 +25,25 @@ def test_rate_laws(spark):
 
 
 def test_rate_strict_mode_raises(spark):
-    df = spark.createDataFrame([(9, 10.0, 1.0, 1.0, 1.0)], "c int, T double, a double, b double, g double")
-    with pytest.raises(Exception):
-        df.select(S.compute_rate("c", "T", "a", "b", "g", lenient=False)).collect()
+    """An unknown class, or none, is an error unless the lenient form is asked for."""
+    df = spark.createDataFrame([(9, 10.0, 1.0, 1.0, 1.0), (None, 10.0, 1.0, 1.0, 1.0)], "c int, T double, a double, b double, g double")
+    for row, name in (("c = 9", "9"), ("c IS NULL", "none")):
+        with pytest.raises(Exception, match=f"not recognised: {name}"):
+            df.where(row).select(S.compute_rate("c", "T", "a", "b", "g")).collect()
+    assert [r[0] for r in df.select(S.compute_rate("c", "T", "a", "b", "g", lenient=True)).collect()] == [None, None]
+
+
+def test_string_feature_ratios(spark):
+    df = spark.createDataFrame([("C(=O)1a",), ("",), (None,)], "s string")
+    got = [r.f for r in df.select(S.string_features("s").alias("f")).collect()]
+    assert got[0] == [7, 1, 1, 1, 2, 1, *(n / 7 for n in (1, 1, 1, 2, 1))] and got[1] == [0.0] * 11 and got[2][0] is None
+
+
+def test_samples_are_in_row_order(spark):
+    from astrolabe.operators import resample as R
+    df = spark.createDataFrame([(k,) for k in range(500, 0, -1)], "k long").repartition(4)
+    rows = sorted(R.in_row_order(R.sample_without(df, "k", 40), ["k"]).collect(), key=lambda r: r.position)
+    assert [r.position for r in rows] == list(range(1, 41)) and [r.k for r in rows] == sorted(r.k for r in rows)
 
 
 def test_element_counts_and_quirk(spark):
@@ -203,13 +219,6 @@ def test_cosine_and_euclid_columns(spark):
     assert r[1][0] == pytest.approx(1.0) and r[1][1] == pytest.approx(math.sqrt(2))
 
 
-def test_sum_pool_unknown_tokens_add_zero(spark):
-    toks = spark.createDataFrame([(1, "a"), (1, "b"), (1, "a"), (2, "zzz")], "d long, token string")
-    vocab = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [0.5, 0.5])], "token string, tvec array<double>")
-    got = {r.d: r.vec for r in X.sum_pool(toks, vocab, "d", "token", "tvec", 2).collect()}
-    assert got == {1: [2.5, 4.5], 2: [0.0, 0.0]}
-
-
 def test_split_respects_cell_budget():
     import pandas as pd
     from astrolabe.operators.search import CELL_BUDGET, _split
