@@ -15,8 +15,8 @@ them further.  Addresses stay out of it: only identifier, key and day move.
 Defined results: a capture without address, host or day matches nothing; hosts
 are compared in lower case without a last dot, addresses without scheme, query
 and fragment; entries without list, key or day are left out; on one day a removal
-beats an addition; equal captures get equal results; a host of more than 253
-characters is looked up whole only; an empty list blocks nothing, an empty table
+beats an addition; equal captures get equal results; a host is looked up with
+every parent domain that is as long as a listed one can be; an empty list blocks nothing, an empty table
 gives an empty result; other columns may have any name.
 """
 
@@ -44,13 +44,20 @@ def address_of(url: Column) -> Column:
     return F.concat(host_of(url), path)
 
 
-def capture_keys(url: Column) -> Column:
-    """Array of the keys that concern an address: ``d:`` host and parent domains, ``u:`` the address."""
+def capture_keys(url: Column, longest: int = LONGEST_HOST) -> Column:
+    """Array of the keys that concern an address: ``d:`` host and parent domains, ``u:`` the address.
+
+    Domains of more than ``longest`` characters are left out: no listed one is longer (see ``filter_captures``).
+    Of a longer host only the end is cut into labels, so the keys' size follows ``longest``, not the host.
+    """
     host = host_of(url)
-    labels = F.split(host, r"\.")
-    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.concat(
-        F.lit("d:"), F.array_join(F.slice(labels, k, F.size(labels)), ".")))
-    domains = F.when(F.length(host) > LONGEST_HOST, F.array(F.concat(F.lit("d:"), host))).otherwise(parents)
+    cut = F.length(host) > longest
+    end = F.when(cut, F.right(host, F.lit(longest + 1))).otherwise(host)
+    labels = F.split(end, r"\.")
+    # the first label of a cut host is a part of one, or what stands before its first whole suffix
+    first = F.when(cut, 2).otherwise(1)
+    domains = F.when(F.size(labels) >= first, F.transform(F.sequence(first, F.size(labels)), lambda k: F.concat(
+        F.lit("d:"), F.array_join(F.slice(labels, k, F.size(labels)), ".")))).otherwise(F.array().cast("array<string>"))
     return F.when(host != "", F.concat(domains, F.array(F.concat(F.lit("u:"), address_of(url))))).otherwise(
         F.array().cast("array<string>"))
 
@@ -72,6 +79,8 @@ def filter_captures(captures: DataFrame, entries: DataFrame, id_col: str = "page
 
     ``entries`` has ``list, key, action, day`` with keys as in ``capture_keys``.
     """
+    listed = entries.where(F.col("key").startswith("d:")).agg(F.max(F.length("key"))).first()[0] or 0
+    longest = max(LONGEST_HOST, listed - 2)
     packed = (validity(entries).groupBy("key")
               .agg(F.collect_list(F.struct("list", "valid_from", "valid_to")).alias("spans"))
               .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))))
@@ -81,7 +90,7 @@ def filter_captures(captures: DataFrame, entries: DataFrame, id_col: str = "page
     name = F.xxhash64("id", "url", "day")
     probes = (base.where("url IS NOT NULL AND day IS NOT NULL")
               .select(name.alias("name"), "id", "url", "day")
-              .select("name", "id", "day", F.explode(capture_keys(F.col("url"))).alias("key"))
+              .select("name", "id", "day", F.explode(capture_keys(F.col("url"), longest)).alias("key"))
               .withColumn("salt", F.pmod("name", F.lit(salt)).cast("int")))
     active = F.filter("spans", lambda s: (s["valid_from"] <= F.col("day")) & (
         s["valid_to"].isNull() | (F.col("day") < s["valid_to"])))

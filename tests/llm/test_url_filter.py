@@ -12,7 +12,8 @@ D = lambda n: dt.date(2024, 1, 1) + dt.timedelta(n)
 def test_keys(spark):
     urls = {"https://U:p@A.b.Co.uk.:80/x/y?q#f": ["d:a.b.co.uk", "d:b.co.uk", "d:co.uk", "d:uk", "u:a.b.co.uk/x/y"],
             "http://h": ["d:h", "u:h"], "nonsense": [], "": [], "http:///x": [],
-            "http://" + "a." * 200 + "b/p": ["d:" + "a." * 200 + "b", "u:" + "a." * 200 + "b/p"]}
+            "http://" + "a." * 200 + "b/p": [*("d:" + "a." * k + "b" for k in range(126, -1, -1)), "u:" + "a." * 200 + "b/p"],
+            "http://" + "c" * 300: ["u:" + "c" * 300], "http://" + "c" * 100 + "." + "e" * 253: ["d:" + "e" * 253, "u:" + "c" * 100 + "." + "e" * 253]}
     df = spark.createDataFrame([(u,) for u in urls], "url string")
     assert {r.url: r.k for r in df.select("url", capture_keys(F.col("url")).alias("k")).collect()} == urls
 
@@ -55,3 +56,13 @@ def test_odd_rows(spark):
     assert [(r.list, r.valid_from, r.valid_to) for r in validity(entries).collect()] == [("l", D(0), None)]
     assert not filter_captures(captures, entries.limit(0)).where("blocked").count()
     assert filter_captures(captures.limit(0), entries).count() == 0
+
+
+def test_long_hosts_are_held_against_every_listed_parent(spark):
+    """A size of the host changes nothing: parents within and beyond the usual length of a host name."""
+    parent = ".".join(["q" * 60] * 6)     # 365 characters
+    hosts = {1: "x." * 130 + "bad.com", 2: "y" * 70_000 + ".bad.com", 3: "x." * 130 + "good.com", 4: "z." * 9 + parent, 5: parent, 6: "notbad.com"}
+    captures = spark.createDataFrame([(k, f"http://{h}/", D(1)) for k, h in hosts.items()], "page_id long, url string, fetch_day date")
+    entries = spark.createDataFrame([("l", "d:bad.com", "add", D(0)), ("m", "d:" + parent, "add", D(0))], "list string, key string, action string, day date")
+    got = {r.id: r.active_lists for r in filter_captures(captures, entries).collect()}
+    assert got == {1: "l", 2: "l", 3: "", 4: "m", 5: "m", 6: ""}
