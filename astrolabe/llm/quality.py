@@ -153,6 +153,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         yield pd.DataFrame({"i": [at.astype("<i4").tobytes()], "w": [w[at].tobytes()], "bias": [bias]})
 
     made = sample.mapInPandas(make, "at long, tie long, y int, i binary, v binary")
+    # the bound holds for the rows, also where many share an identifier
+    made = made.orderBy(F.xxhash64("at", "tie"), "at", "tie", "y").limit(limit)
     model = made.repartition(1).mapInPandas(learn, "i binary, w binary, bias double").first()
     if model is None:  # an empty sample has no partition to learn in
         return np.zeros(0, dtype=np.int64), np.zeros(0), 0.0

@@ -76,3 +76,14 @@ def test_odd_rows(spark):
         index, weights, bias = train(docs, part)
         assert len(index) == len(weights) == 0 and bias >= 0
     assert docs.limit(0).select(scorer(*model)("text")).count() == 0
+
+
+def test_bound_holds_for_the_rows(spark):
+    """Two identifiers that most rows share: no more rows are learned from than the bound says, whatever the layout."""
+    docs = spark.createDataFrame([(k % 2, f"words of text {k} and more {k * 7}") for k in range(3000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, quality int")
+    few = [train(docs.repartition(n), labels, limit=10) for n in (1, 6)]
+    assert np.array_equal(few[0][0], few[1][0]) and np.allclose(few[0][1], few[1][1])
+    most = max(len(Hasher().features(f"words of text {k} and more {k * 7}")[0]) for k in range(200))
+    assert 0 < len(few[0][0]) <= 10 * most
+    assert len(train(docs, labels, limit=3000)[0]) > len(few[0][0])
