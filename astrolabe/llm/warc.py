@@ -40,6 +40,8 @@ from astrolabe.session import scratch_path
 
 REVISIT_BYTES = 1000
 FRAME_BYTES = 1 << 20       # records are added to a frame until it holds as much
+#: Packed bytes of frames that a task reads back, on average.
+READ_BYTES = 4 << 20
 BUNDLE_BYTES = 256 << 20    # and frames to a bundle
 LEVEL = 3
 # Fixed values of the seekable format.
@@ -57,13 +59,19 @@ def record_id(page_id: str | None) -> str:
     return f"<urn:page:{page_id or ''}>"
 
 
+def line_safe(url: str) -> str:
+    """The address as it is, but for line ends, which would end the header line, and a leading blank, which belongs to it."""
+    safe = url.replace("\r", "%0D").replace("\n", "%0A")
+    return "%20" + safe[1:] if safe.startswith(" ") else safe
+
+
 def build_record(page_id: str | None, url: str | None, payload: bytes, digest: str, refers_to: str | None) -> bytes:
     """One WARC/1.1 record; a revisit holds the HTTP header only, whose length names the full payload's."""
     block = (f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n"
              ).encode() + (payload if refers_to is None else b"")
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
             f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {DATE}",
-            f"WARC-Target-URI: {' '.join((url or '').split())}", f"WARC-Payload-Digest: {digest}"]
+            f"WARC-Target-URI: {line_safe(url or '')}", f"WARC-Payload-Digest: {digest}"]
     if refers_to is not None:
         head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to)}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
@@ -146,13 +154,14 @@ def seek_table(source) -> list[tuple[int, int, int]]:
 def classify(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """``id, url, payload, digest, response_id`` per row; ``response_id`` is null for a response."""
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary")
-    narrow = pages.select(F.col(id_col).alias("id"), F.sha1(payload).alias("g_digest"), F.octet_length(payload).alias("g_size"))
-    groups = (narrow.where(F.col("g_size") >= REVISIT_BYTES).groupBy("g_digest", "g_size")
+    narrow = pages.select(F.col(id_col).alias("id"), F.sha1(payload).alias("g_digest"), F.sha2(payload, 256).alias("g_check"),
+                          F.octet_length(payload).alias("g_size"))
+    groups = (narrow.where(F.col("g_size") >= REVISIT_BYTES).groupBy("g_digest", "g_check", "g_size")
               .agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("copies"))
               .where("copies > 1 AND keep_id IS NOT NULL").drop("copies"))
     full = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"),
                         F.sha1(payload).alias("digest"))
-    same = (F.col("digest") == F.col("g_digest")) & (F.octet_length("payload") == F.col("g_size"))
+    same = (F.col("digest") == F.col("g_digest")) & (F.sha2("payload", 256) == F.col("g_check")) & (F.octet_length("payload") == F.col("g_size"))
     revisit = F.col("keep_id").isNotNull() & ~F.col("id").eqNullSafe(F.col("keep_id"))
     return (full.join(groups, same, "left")
             .select("id", "url", "payload", "digest", F.when(revisit, F.col("keep_id")).alias("response_id")))
@@ -202,6 +211,9 @@ def read_records(wanted: DataFrame, folder: str) -> DataFrame:
            "refers_to string")
     frames = (wanted.groupBy("bundle", "frame", "frame_offset", "frame_bytes")
               .agg(F.sort_array(F.collect_list(F.struct("start", "bytes"))).alias("places")))
+    # the manifest is a few bytes a record; what a task fetches are the frames
+    size = wanted.select("bundle", "frame", "frame_bytes").distinct().agg(F.sum("frame_bytes")).first()[0] or 0
+    frames = frames.repartition(max(1, -(-size // READ_BYTES)), "bundle", "frame")
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         files, _ = pafs.FileSystem.from_uri(folder)

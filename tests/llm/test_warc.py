@@ -17,7 +17,7 @@ def test_record_round_trip():
         digest = hashlib.sha1(payload).hexdigest()
         r = parse_record(build_record("7", "http://a/?b=c d\r\nX: y", payload, digest, None))
         assert (r["payload"], r["payload_bytes"], r["WARC-Payload-Digest"]) == (payload, len(payload), digest)
-        assert r["WARC-Record-ID"] == "<urn:page:7>" and r["WARC-Target-URI"] == "http://a/?b=c d X: y"
+        assert r["WARC-Record-ID"] == "<urn:page:7>" and r["WARC-Target-URI"] == "http://a/?b=c d%0D%0AX: y"
         v = parse_record(build_record("7", None, payload, digest, "9"))
         assert v["payload"] is None and v["payload_bytes"] == len(payload) and v["WARC-Refers-To"] == "<urn:page:9>"
 
@@ -68,3 +68,20 @@ def test_odd_rows(spark, tmp_path):
                           ("8", 3_000_000, "response", "None"), ("None", 0, "response", "None")])
     empty = write_archives(pages.limit(0), folder)
     assert empty.count() == 0 and read_records(empty, folder).count() == 0
+
+
+def test_addresses_are_kept(spark, tmp_path):
+    urls = {1: "http://x/a  b", 2: "http://x/a\r\nWARC-Type: other", 3: " http://x/ ", 4: "http://x/\u00e9: \t~", 5: ""}
+    pages = spark.createDataFrame([(k, u, "p") for k, u in urls.items()], "page_id long, url string, html string")
+    folder = f"file://{tmp_path}/w"
+    back = {r.page_id: r.url for r in read_records(write_archives(pages, folder), folder).collect()}
+    assert back == {"1": urls[1], "2": "http://x/a%0D%0AWARC-Type: other", "3": "%20http://x/ ", "4": urls[4], "5": ""}
+
+
+def test_reading_tasks_follow_the_archive(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "READ_BYTES", 2000)
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    folder = f"file://{tmp_path}/w"
+    manifest = write_archives(pages, folder)
+    size = sum(r.frame_bytes for r in manifest.select("bundle", "frame", "frame_bytes").distinct().collect())
+    assert read_records(manifest, folder).rdd.getNumPartitions() == -(-size // 2000) > 3
