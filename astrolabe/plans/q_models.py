@@ -319,3 +319,114 @@ def q_store_recommend(spark, sf):
     items = store.join(docs, "vec_id")
     anchors = tables.inventory(items)
     return recommend(items, anchors, top=10, cluster_col="cluster_id", target_col="y")
+
+
+# ---- properties of learned results that SQL can state -------------------------------------------
+
+_WORDS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda t: t <> '')"
+_CENTRED = """WITH u AS (SELECT vec_id, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+m AS (SELECT i, avg(x) AS mu, stddev_samp(x) AS sd FROM u GROUP BY i)"""
+
+
+@register("word_vector_words", f"""
+SELECT DISTINCT unnest({_WORDS}) AS word, 8 AS n_dims FROM documents
+""")
+def q_word_vector_words(spark, sf):
+    """M2: every word of the corpus has one vector of the wanted length."""
+    docs = tables.load(spark, sf, "documents").select("doc_id", X.token_sentence("text", radius=0).alias("tokens"))
+    return wordvec.train_cbow(docs, "doc_id", "tokens", dim=8, passes=1).select("word", F.size("vector").alias("n_dims"))
+
+
+@register("kmeans_nearest", """
+SELECT vec_id, true AS at_nearest FROM embeddings
+""")
+def q_kmeans_nearest(spark, sf):
+    """M7 / M8: the label of every row is its nearest centre, found by the distance kernel."""
+    v = tables.vectors(spark, sf)
+    model = reduce.fit_kmeans(v, "vec", k=CLUSTERS, seed=42)
+    labelled = reduce.kmeans_assign(model, v, "vec").select("vec_id", F.col("cluster_id").cast("long").alias("label"), "vec")
+    centres = spark.createDataFrame([(k, [float(x) for x in c]) for k, c in enumerate(model.clusterCenters())], "cluster_id long, centre array<double>")
+    near = reduce.assign_to_centres(v.select("vec_id", "vec"), centres, key="vec_id").withColumnRenamed("distance", "nearest")
+    own = labelled.join(centres, F.col("label") == F.col("cluster_id")).select("vec_id", V.euclidean("vec", "centre").alias("own"))
+    return own.join(near, "vec_id").select("vec_id", (F.col("own") <= F.col("nearest") + 1e-6).alias("at_nearest"))
+
+
+@register("roundtrip_same", """
+SELECT vec_id, true AS same FROM embeddings
+""")
+def q_roundtrip_same(spark, sf):
+    """The loaded pipeline labels every row as the fitted one does."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.functions import array_to_vector
+    v = tables.vectors(spark, sf)
+    model, _ = reduce.fit_embedder(v, "vec", k_pca=_components(v), k_clusters=CLUSTERS)
+    path = scratch_path(spark, "embedder-model")
+    model.write().overwrite().save(path)
+    rows = v.select("vec_id", array_to_vector("vec").alias("__features"))
+    a, b = (m.transform(rows).select("vec_id", F.col("cluster_id").alias(c)) for m, c in ((model, "a"), (PipelineModel.load(path), "b")))
+    return a.join(b, "vec_id").select("vec_id", (F.col("a") == F.col("b")).alias("same"))
+
+
+@register("pca_lengths", _CENTRED + """
+SELECT vec_id, round(sum((x - mu) * (x - mu)), 6) AS sq_length FROM u JOIN m USING (i) GROUP BY vec_id
+""")
+def q_pca_lengths(spark, sf):
+    """All components together keep a row's distance to the mean, so they are orthonormal and complete."""
+    v = tables.vectors(spark, sf)
+    made = reduce.fit_pca(v, "vec").transform(v.select("vec_id", "vec"), "vec", "p")
+    return made.select("vec_id", round6(V.dot("p", "p")).alias("sq_length"))
+
+
+@register("projection_moments", """
+SELECT count(*) AS n, 0.0::DOUBLE AS mean_x, 0.0::DOUBLE AS mean_y, 0.0::DOUBLE AS cov_xy, true AS x_is_wider FROM embeddings
+""")
+def q_projection_moments(spark, sf):
+    """Plot coordinates are centred, uncorrelated, and the first spreads at least as far."""
+    p = q_project_2d(spark, sf).agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"),
+                                    F.covar_pop("x", "y").alias("c"), (F.var_pop("x") >= F.var_pop("y")).alias("x_is_wider"))
+    return p.select("n", (F.abs(round6("mx"))).alias("mean_x"), F.abs(round6("my")).alias("mean_y"), F.abs(round6("c")).alias("cov_xy"), "x_is_wider")
+
+
+@register("embedder_lengths", _CENTRED + """
+SELECT vec_id, round(sum(((x - mu) / sd) * ((x - mu) / sd)), 4) AS sq_length FROM u JOIN m USING (i) GROUP BY vec_id
+""")
+def q_embedder_lengths(spark, sf):
+    """With as many components as dimensions the embedder keeps a scaled row's length."""
+    made = q_embedder_transform(spark, sf)
+    return made.select("vec_id", round6(V.dot("pca", "pca"), 4).alias("sq_length"))
+
+
+@register("bayes_ridge_mean", """
+SELECT round(avg(label), 6) AS mean_label, 0 AS n_without_spread FROM embeddings
+""")
+def q_bayes_ridge_mean(spark, sf):
+    """L3: the intercept is not penalised, so predictions of the learned rows average to their targets; every row has a spread."""
+    p = q_bayes_ridge(spark, sf)
+    return p.agg(round6(F.avg("br_mean")).alias("mean_label"), F.count_if(~(F.col("br_std") > 0)).cast("int").alias("n_without_spread"))
+
+
+@register("predict_list_residual", """
+SELECT vec_id, CAST(label AS DOUBLE) AS target FROM embeddings WHERE vec_id % 50 = 0
+""")
+def q_predict_list_residual(spark, sf):
+    """Predictions for a list of learned keys, held against the solved system as in ``gp_residual``."""
+    v, gp = _gp(spark, sf)
+    made = predict_list(gp, v, keys=_inventory(v).select("vec_id")).join(gp.weights(spark, "vec_id"), "vec_id")
+    return made.select("vec_id", round6(F.col("gp_mean") + gp.kernel.noise * F.col("alpha")).alias("target"))
+
+
+@register("importance_sums", """
+SELECT len(embedding)::BIGINT AS n_features, 1.0::DOUBLE AS total, 0::BIGINT AS n_negative FROM embeddings LIMIT 1
+""")
+def q_importance_sums(spark, sf):
+    """Importances are shares of the whole."""
+    return q_forest_importance(spark, sf).agg(F.count(F.lit(1)).alias("n_features"), round6(F.sum("importance")).alias("total"),
+                                              F.count_if(F.col("importance") < 0).alias("n_negative"))
+
+
+@register("store_rows", f"""
+SELECT count(*) AS n FROM documents WHERE len({_WORDS}) > 0
+""")
+def q_store_rows(spark, sf):
+    """The store holds every document with a token once."""
+    return q_build_store(spark, sf).agg(F.sum("n").alias("n"))
