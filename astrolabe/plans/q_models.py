@@ -11,7 +11,8 @@ from astrolabe import tables
 from astrolabe.functions.scalar import round6
 from astrolabe.functions import vectors as V
 from astrolabe.operators import models as MD
-from astrolabe.operators import pairs, reduce, search, stats, wordvec
+from astrolabe.operators import forest, pairs, reduce, search, stats, wordvec
+from astrolabe.operators.resample import fold_sql
 from astrolabe.operators import text as X
 from astrolabe.plans.registry import register
 from astrolabe.session import scratch_path
@@ -274,24 +275,40 @@ def q_hyperparam_importance(spark, sf):
 
 @register("tree_grid_search")
 def q_tree_grid_search(spark, sf):
-    """L10 for trees: ``CrossValidator`` over a depth grid with the same hash folds as
-    the linear grid search (``foldCol``), fits run in parallel."""
-    from pyspark.ml.evaluation import RegressionEvaluator
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.regression import RandomForestRegressor
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+    """L10 for trees: 72 settings of a forest over five hash folds, one pass over the rows per level of all of them."""
     from astrolabe.operators.resample import fold_of
-    v = tables.vectors(spark, sf)
-    data = v.select(array_to_vector("vec").alias("features"), F.col("label").cast("double").alias("y"),
-                    fold_of(F.col("vec_id"), 5).cast("int").alias("fold"))
-    rf = RandomForestRegressor(featuresCol="features", labelCol="y", numTrees=10, seed=42)
-    grid = ParamGridBuilder().addGrid(rf.maxDepth, [2, 4]).addGrid(rf.numTrees, [5, 10]).build()
-    cv = CrossValidator(estimator=rf, estimatorParamMaps=grid, foldCol="fold", numFolds=5, parallelism=4,
-                        evaluator=RegressionEvaluator(labelCol="y", metricName="mse"))
-    model = cv.fit(data)
-    rows = [(int(pm[rf.maxDepth]), int(pm[rf.numTrees]), float(m))
-            for pm, m in zip(grid, model.avgMetrics)]
-    return spark.createDataFrame(rows, "max_depth int, num_trees int, mean_mse double")
+    v = tables.vectors(spark, sf).withColumn("fold", fold_of(F.col("vec_id"), 5))
+    grid = forest.settings_grid([1, 2, 3, 4], [1, 5, 10], [1, 5, 20], [0.33, 1.0])
+    out = forest.grid_scores(v, "vec_id", "vec", "label", "fold", grid)
+    return out.select("max_depth", "n_trees", "min_leaf", "feature_share", *[round6(c).alias(c) for c in ("mean_mse", "std_mse", "mean_r2")], "rank")
+
+
+@register("stump_grid", f"""
+WITH b AS (SELECT {fold_sql('vec_id', 5)} AS fold, vec_id, CAST(label AS DOUBLE) AS y, generate_subscripts(embedding, 1) AS f,
+                  CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+e AS (SELECT f, min(x) AS lo, max(x) AS hi FROM b GROUP BY f),
+c AS (SELECT b.fold, vec_id, y, b.f, CAST(greatest(0, least(15, floor((x - lo) / CASE WHEN hi > lo THEN hi - lo ELSE 1.0 END * 16))) AS INTEGER) AS bin
+      FROM b JOIN e ON b.f = e.f),
+o AS (SELECT DISTINCT fold AS out_fold FROM b),
+h AS (SELECT out_fold, f, bin, count(*) AS w, sum(y) AS s FROM c JOIN o ON c.fold <> o.out_fold GROUP BY out_fold, f, bin),
+k AS (SELECT unnest(range(15)) AS cut),
+l AS (SELECT out_fold, f, cut, sum(CASE WHEN bin <= cut THEN w ELSE 0 END) AS wl, sum(CASE WHEN bin <= cut THEN s ELSE 0 END) AS sl,
+             sum(w) AS w, sum(s) AS s FROM h, k GROUP BY out_fold, f, cut),
+m AS (SELECT unnest([1, 5, 20]) AS min_leaf),
+g AS (SELECT *, round((sl * sl / wl + (s - sl) * (s - sl) / (w - wl) - s * s / w) / (s * s / w), 10) AS gain FROM l, m
+      WHERE wl >= min_leaf AND w - wl >= min_leaf AND wl > 0 AND w > wl),
+t AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY out_fold, min_leaf ORDER BY gain DESC, f, cut) = 1),
+p AS (SELECT min_leaf, c.fold, (c.y - CASE WHEN c.bin <= t.cut THEN t.sl / t.wl ELSE (t.s - t.sl) / (t.w - t.wl) END) ^ 2 AS err
+      FROM c JOIN t ON c.fold = t.out_fold AND c.f = t.f),
+x AS (SELECT min_leaf, fold, avg(err) AS mse FROM p GROUP BY min_leaf, fold)
+SELECT CAST(min_leaf AS INTEGER) AS min_leaf, round(avg(mse), 6) AS mean_mse, round(stddev_pop(mse), 6) AS std_mse FROM x GROUP BY min_leaf
+""")
+def q_stump_grid(spark, sf):
+    """The smallest trees of the forest grid (one split, no bootstrap), for three leaf sizes at once."""
+    from astrolabe.operators.resample import fold_of
+    v = tables.vectors(spark, sf).withColumn("fold", fold_of(F.col("vec_id"), 5))
+    out = forest.grid_scores(v, "vec_id", "vec", "label", "fold", forest.settings_grid([1], [1], [1, 5, 20], [1.0]), bootstrap=False)
+    return out.select("min_leaf", round6("mean_mse").alias("mean_mse"), round6("std_mse").alias("std_mse"))
 
 
 def _store(spark, sf):
