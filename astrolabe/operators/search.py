@@ -504,42 +504,72 @@ def greedy_assignment(candidates: DataFrame, queries: DataFrame, *, cand_id: str
                       first_k: int = 8) -> DataFrame:
     """Walk queries in order; each takes its nearest not-yet-taken candidate.
 
-    In rounds: each query proposes its nearest row that no earlier query holds,
-    each row keeps its earliest query, until nobody moves.  A row's order of
-    preference is the order of the queries, so this ends in the walk's result.
-    Each query's ``first_k`` nearest rows are looked at first; the lists double
-    when one of them is used up.  Output ``anchor_id, entry, distance, step``.
+    Queries with one vector share one list of nearest rows, as long as there are such queries and ``first_k`` at
+    least.  Lists that have a row in common form a component, and the components are walked side by side, each in
+    order in its own task.  A list that is used up is made twice as long, and the components are formed and walked
+    again: the number of rounds is the logarithm of the longest list, not the number of contested queries.
+    Output ``anchor_id, entry, distance, step``.
     """
     from astrolabe.operators import stats
+    from astrolabe.operators.components import connected
     from astrolabe.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(candidates.sparkSession)
-    qsel = queries.select(F.col(query_id).alias("anchor_id"), F.col(query_vec).alias("__qv"),
-                          F.col(query_order or query_id).alias("__ord"))
-    order = F.struct("__ord", "anchor_id")
-    total, k = candidates.count(), first_k
-    held = None
+    asked = queries.where(F.col(query_vec).isNotNull()).select(
+        F.col(query_id).alias("anchor_id"), F.col(query_vec).alias("__qv"), F.col(query_order or query_id).alias("__ord"))
+    total = candidates.count()
+    size = lambda n: F.pow(F.lit(2), F.ceil(F.log2(F.greatest(n, F.lit(first_k))))).cast("long")
+    groups = (asked.groupBy("__qv").agg(F.min("anchor_id").alias("grp"), F.count(F.lit(1)).alias("n"))
+              .select("grp", "__qv", size(F.col("n")).alias("k")).checkpoint(eager=True))
+    walkers = (asked.join(groups.select("__qv", "grp"), "__qv").select("anchor_id", "__ord", "grp")).checkpoint(eager=True)
+    entry_type = candidates.schema[cand_id].dataType.simpleString()
+    id_type, ord_type = (walkers.schema[c].dataType.simpleString() for c in ("anchor_id", "__ord"))
+
+    def lists_of(some: DataFrame) -> DataFrame | None:
+        made = None
+        for k in sorted(r.k for r in some.select("k").distinct().collect()):      # powers of two
+            part = knn_topk(candidates, some.where(F.col("k") == k), min(k, total), cand_id=cand_id, anchor_id="grp", vec=vec,
+                            anchor_vec="__qv", metric=metric)
+            part = part.select(F.col(part.columns[0]).alias("grp"), "entry", "distance", "rank")
+            made = part if made is None else made.unionByName(part)
+        return made
+
+    def walk(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        """One component: its queries in order take the first free row of their list."""
+        lists = {g: list(zip(part["entry"], part["distance"])) for g, part in right.sort_values("rank").groupby("grp")}
+        at, taken, out = dict.fromkeys(lists, 0), set(), []
+        for r in left.sort_values(["__ord", "anchor_id"]).itertuples(index=False, name=None):
+            anchor, order, g = r[:3]
+            own = lists.get(g, [])
+            while at.get(g, 0) < len(own) and own[at[g]][0] in taken:
+                at[g] += 1
+            if at.get(g, 0) < len(own):
+                entry, distance = own[at[g]]
+                taken.add(entry)
+                out.append((anchor, order, g, entry, distance))
+            else:
+                out.append((anchor, order, g, None, None))
+        return pd.DataFrame(out, columns=["anchor_id", "__ord", "grp", "entry", "distance"])
+
+    none = candidates.sparkSession.createDataFrame([], f"grp {id_type}, entry {entry_type}, distance double, rank int")
+    lists = (lists_of(groups) if total else None) or none
     while True:
-        lists = knn_topk(candidates, qsel, k, cand_id=cand_id, anchor_id="anchor_id", vec=vec, anchor_vec="__qv",
-                         metric=metric).join(qsel.select("anchor_id", "__ord"), "anchor_id").checkpoint(eager=True)
-        state = lists.where("rank = 1") if held is None else lists.join(held, ["anchor_id", "rank"], "left_semi")
-        while True:
-            keeper = state.groupBy("entry").agg(F.min(order).alias("best"))
-            losers = (state.join(keeper, "entry").where(order != F.col("best"))
-                      .select("anchor_id", F.col("rank").alias("lost_rank"))).checkpoint(eager=True)
-            if losers.isEmpty():
-                break
-            # the loser's next row that is free or held by a later query
-            nxt = (lists.join(losers, "anchor_id").where("rank > lost_rank").join(keeper, "entry", "left")
-                   .where(F.col("best").isNull() | (order < F.col("best")))
-                   .groupBy("anchor_id").agg(F.min("rank").alias("rank")))
-            moved = lists.join(nxt, ["anchor_id", "rank"], "left_semi")
-            state = state.join(losers, "anchor_id", "left_anti").unionByName(moved.select(state.columns)).checkpoint(eager=True)
-        # a query that used its list up needs a longer one; if there is none, it stays without a row
-        missing = qsel.join(state, "anchor_id", "left_anti").count()
-        if not missing or k >= total:
+        lists = lists.checkpoint(eager=True)
+        node = lambda side, c: F.xxhash64(F.lit(side), F.col(c).cast("string"))
+        parts = connected(lists.select(node("q", "grp").alias("a"), node("r", "entry").alias("b")))
+        placed = lists.join(parts, node("q", "grp") == F.col("node")).select("grp", "entry", "distance", "rank", "root")
+        # a query without any list walks alone
+        owners = walkers.join(placed.select("grp", "root").distinct(), "grp", "left").select(
+            "anchor_id", "__ord", "grp", F.coalesce("root", node("q", "grp")).alias("root"))
+        state = (owners.groupBy("root").cogroup(placed.groupBy("root")).applyInPandas(
+            walk, f"anchor_id {id_type}, __ord {ord_type}, grp {id_type}, entry {entry_type}, distance double")).checkpoint(eager=True)
+        short = groups.where(F.col("k") < total).join(state.where("entry IS NULL").select("grp").distinct(), "grp", "left_semi").checkpoint(eager=True)
+        if short.isEmpty():
             break
-        held, k = None, k * 2
-    pos = stats.global_position(state.select("anchor_id", "entry", "distance", "__ord"), ["__ord", "anchor_id"], "step")
+        groups = (groups.join(short.select("grp", F.lit(2).alias("more")), "grp", "left")
+                  .select("grp", "__qv", (F.col("k") * F.coalesce("more", F.lit(1))).alias("k"))).checkpoint(eager=True)
+        longer = lists_of(groups.join(short.select("grp"), "grp", "left_semi"))
+        lists = lists.join(short.select("grp"), "grp", "left_anti").select("grp", "entry", "distance", "rank").unionByName(longer)
+    pos = stats.global_position(state.where("entry IS NOT NULL").select("anchor_id", "entry", "distance", "__ord"), ["__ord", "anchor_id"], "step")
     return pos.select("anchor_id", "entry", "distance", F.col("step").cast("long").alias("step"))
 
 
