@@ -13,7 +13,8 @@ brings all vectors to the length of the longest (the query's is 0).
 
 The number of buckets to visit is fitted: for ``SAMPLE_QUERIES`` queries the true
 neighbours are found by a scan, and the count that reaches ``TARGET`` of them is
-taken for all (at most all ``3 ** HASHES`` step sets).  Every row is indexed.
+taken for all.  Every row is indexed.  Where all ``3 ** HASHES`` step sets together miss
+the target, buckets don't separate these vectors, and each query is held against all rows.
 
 The work is a grid: vectors are dealt to shards of about ``SHARD_ROWS`` rows
 whatever their buckets, queries to blocks of about ``BLOCK_ROWS``, and each cell
@@ -45,6 +46,8 @@ HASHES = 5
 #: Queries whose true neighbours set the number of probes, and the share of them to reach.
 SAMPLE_QUERIES = 48
 TARGET = 0.96
+#: In place of a number of probes: every row is a candidate.
+EVERY_ROW = 0
 #: Bucket width, as a part of the longest vector's length.
 WIDTH = 1.2
 SHARD_ROWS = 4096
@@ -80,8 +83,8 @@ class Hashing:
     """The hash functions; equal for all shards."""
 
     def __init__(self, dimensions: int, longest: float, tables: int = TABLES, hashes: int = HASHES,
-                 width: float = WIDTH) -> None:
-        self.hashes, self.longest, self.width = hashes, longest, width * longest
+                 width: float | None = None) -> None:
+        self.hashes, self.longest, self.width = hashes, longest, (WIDTH if width is None else width) * longest
         rng = np.random.default_rng(SEED)
         self.a = rng.standard_normal((dimensions + 1, tables * hashes)).astype(np.float32)
         self.b = (rng.random(tables * hashes) * self.width).astype(np.float32)
@@ -126,6 +129,9 @@ class Index:
 
     def candidates(self, queries: np.ndarray, probes: int) -> Iterator[np.ndarray]:
         """Per query, the positions that any visited bucket holds (rising)."""
+        if probes == EVERY_ROW:
+            yield from [np.arange(len(self.x))] * len(queries)
+            return
         keys = self.hashing.buckets(queries, probes)
         tables = keys.shape[1]
         low = np.stack([np.searchsorted(self.keys[:, t], keys[:, t], "left") for t in range(tables)], axis=1)
@@ -156,7 +162,7 @@ class Index:
 
 
 def fit_probes(base: DataFrame, asked: DataFrame, hashing: Hashing, k: int) -> int:
-    """The number of probes that finds ``TARGET`` of the true neighbours of a bounded sample of queries.
+    """The number of probes that finds ``TARGET`` of the true neighbours of a bounded sample of queries, or ``EVERY_ROW``.
 
     The sample (smallest hashes) and its neighbours, at most ``SAMPLE_QUERIES * k``
     vectors, pass through the driver; the scan keeps ``k`` rows a query and batch.
@@ -183,8 +189,9 @@ def fit_probes(base: DataFrame, asked: DataFrame, hashing: Hashing, k: int) -> i
     visits = hashing.buckets(q, 3 ** hashing.hashes)[[r.q for r in near]]
     stored = hashing.keys(np.array([r.v for r in near]))
     hit = visits == stored[:, :, None]
-    first = np.where(hit.any(axis=2), hit.argmax(axis=2), visits.shape[2] - 1).min(axis=1)
-    return int(np.quantile(first, TARGET, method="higher")) + 1
+    first = np.where(hit.any(axis=2), hit.argmax(axis=2).astype(float), np.inf).min(axis=1)
+    needed = float(np.sort(first)[int(np.ceil(TARGET * (len(first) - 1)))])
+    return int(needed) + 1 if np.isfinite(needed) else EVERY_ROW
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding",
@@ -206,7 +213,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     d, n, longest = facts
     base, asked = base.where(F.size("v") == d), asked.where(F.size("v") == d)
     hashing = Hashing(d, longest)
-    probes = probes or fit_probes(base, asked, hashing, k)
+    probes = fit_probes(base, asked, hashing, k) if probes is None else probes
     shards, blocks = -(-n // SHARD_ROWS), max(1, -(-asked.count() // BLOCK_ROWS))
 
     def cells(df: DataFrame, own: int, other: int, names: tuple[str, str], is_query: bool) -> DataFrame:

@@ -85,3 +85,16 @@ def test_odd_rows_and_several_cells(spark, monkeypatch):
     assert search(docs.limit(0), docs, k=5).count() == 0
     assert search(docs, docs.limit(0), k=5).count() == 0
     assert search(docs.where("vec_id = 0"), docs.where("vec_id = 0")).count() == 0
+
+
+def test_vectors_that_buckets_do_not_separate(spark, monkeypatch):
+    """Where even all step sets miss the target, every row is a candidate and the answer is exact."""
+    monkeypatch.setattr(ann, "WIDTH", 0.02)      # far too narrow buckets
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((300, 16)) * rng.uniform(0.1, 9, 300)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in search(df, df.where("vec_id % 20 = 0"), k=20).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    want = brute(np.arange(300), x)
+    assert {q: [v for _, v in sorted(rows)] for q, rows in got.items()} == {q: [v for v, _ in rows] for q, rows in want.items()}
