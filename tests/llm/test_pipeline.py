@@ -79,3 +79,30 @@ def test_token_stage(tables):
 def test_run_is_the_stages_in_turn(spark, tables):
     got = corpus_pipeline.run(spark, SF_SMALL)
     assert got.count() == len(tables[5]) and sum(r.n_tokens for r in got.collect()) == sum(r["n_tokens"] for r in tables[5])
+
+
+def test_hostile_rows_through_all_stages(spark):
+    """Null and repeated identifiers, null, empty, letterless and very long texts, extra columns with clashing names; an empty table."""
+    extra = ["id", "row", "range", "component_id", "shard", "position", "words", "fp", "size", "tie"]
+    texts = [(1, "The quick brown fox runs over the lazy dog and sleeps in the sun all day. " * 4, "a"), (1, "Quite another text under the same number, with its own words in it. " * 3, "a"),
+             (None, "A text without any number that stands alone in this table of documents. " * 3, "b"), (None, "Another text without any number, unlike the first in every word of it. " * 3, None),
+             (2, None, "a"), (3, "", "b"), (4, " \t\n", None), (5, "1234 5678 %% --", "a"),
+             (6, "The quick  brown fox runs over the lazy dog and sleeps in the sun all day. " * 4, "b"), (7, "w" * 30 + " long text of one word after the other " * 40_000, "c"),
+             (8, "Das ist ein deutscher Satz mit einigen Wörtern darin und noch mehr davon. " * 3, "c"), (8, "Das ist ein deutscher Satz mit einigen Wörtern darin und noch mehr davon. " * 3, "c")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in extra)
+    rows = [(i, t, "en", s, len(t or ""), *["x"] * len(extra)) for i, t, s in texts]
+    for docs in (spark.createDataFrame(rows, schema).repartition(3), spark.createDataFrame([], schema)):
+        was = docs.count()
+        for name, stage in corpus_pipeline.STAGES:
+            made = materialise(stage(spark, docs, SF_SMALL), "test-hostile")
+            now = made.collect()
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert made.columns == docs.columns
+                assert all(r[c] == "x" for r in now for c in extra)
+            if name in ("language ID", "exact dedup", "SimHash near-dedup"):
+                assert len(now) <= was
+                kept = {(r.doc_id, (r.text or "")[:9]) for r in now}
+            if was and name == "SimHash near-dedup":
+                assert kept == {(1, "The quick"), (1, "Quite ano"), (None, "A text wi"), (None, "Another t"), (7, "w" * 9), (8, "Das ist e")}
+            docs, was = made, len(now)
+        assert (was > 0) == bool(len(rows) and docs.count())
