@@ -37,6 +37,8 @@ FOLDS = 5
 UNKNOWN = "und"
 #: Letters bundled at once, which bounds a task's memory.
 SLICE_CHARS = 1 << 19
+#: Numbers of a slice's counts, and n-grams whose vectors are held at a time.
+COUNT_CELLS, GRAM_BLOCK = 16_000_000, 4096
 
 
 def held_out(doc_id: Column, folds: int = FOLDS) -> Column:
@@ -84,6 +86,7 @@ class Bundler:
 
     def __init__(self, dimensions: int = DIMENSIONS, order: int = ORDER) -> None:
         self.dimensions, self.order = dimensions, order
+        self.placed: dict[tuple[int, int], np.ndarray] = {}
 
     def counts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """``(counts, n-grams)``: documents x distinct n-grams, and the n-grams as rows of code points."""
@@ -115,25 +118,41 @@ class Bundler:
                 counts[d] = np.bincount(own, minlength=len(present))
         return counts, grams
 
+    def _placed(self, code: int, shift: int) -> np.ndarray:
+        """A letter's vector as it is permuted for its place in an n-gram."""
+        if (code, shift) not in self.placed:
+            self.placed[code, shift] = np.roll(letter_vector(code, self.dimensions), shift)
+        return self.placed[code, shift]
+
     def matrix(self, grams: np.ndarray) -> np.ndarray:
         """One bound vector per n-gram."""
         out = np.ones((len(grams), self.dimensions), dtype=np.float32)
         for k in range(self.order):
             codes, where = np.unique(grams[:, k], return_inverse=True)
-            place = np.stack([np.roll(letter_vector(c, self.dimensions), self.order - 1 - k) for c in codes.tolist()]
+            place = np.stack([self._placed(c, self.order - 1 - k) for c in codes.tolist()]
                              ) if len(codes) else np.zeros((0, self.dimensions), dtype=np.int8)
             out *= place[where]
         return out
 
 
+    def bundles(self, counts: np.ndarray, grams: np.ndarray) -> np.ndarray:
+        """Rows of counts to bundled vectors, ``GRAM_BLOCK`` n-grams at a time."""
+        out = np.zeros((len(counts), self.dimensions))
+        for a in range(0, len(grams), GRAM_BLOCK):
+            out += counts[:, a:a + GRAM_BLOCK] @ self.matrix(grams[a:a + GRAM_BLOCK])
+        return out
+
+
 def _slices(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """Runs of texts whose counts (texts x characters at most) stay within ``COUNT_CELLS``, but for single long texts."""
     part, chars = [], 0
     for t in texts:
-        part.append(t)
-        chars += len(t or "")
-        if chars >= SLICE_CHARS or len(part) >= 256:
+        size = len(t or "")
+        if part and ((len(part) + 1) * (chars + size) > COUNT_CELLS or chars + size > SLICE_CHARS or len(part) >= 256):
             yield part
             part, chars = [], 0
+        part.append(t)
+        chars += size
     if part:
         yield part
 
@@ -151,8 +170,7 @@ def prototypes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for lang, group in batch.groupby("lang")["text"]:
                 for part in _slices(group.tolist()):
                     counts, grams = bundler.counts(part)
-                    total = counts.sum(axis=0, dtype=np.float64)
-                    vector = total @ bundler.matrix(grams).astype(np.float64)
+                    vector = bundler.bundles(counts.sum(axis=0, dtype=np.float64)[None], grams)[0]
                     sums[lang] = sums.get(lang, 0) + vector
         if sums:
             yield pd.DataFrame({"lang": list(sums), "sums": [v.tolist() for v in sums.values()]})
@@ -180,7 +198,7 @@ def guess(langs: list[str], matrix: np.ndarray):
         bundler, found, scores = Bundler(matrix.shape[1]), [], []
         for part in _slices(texts):
             counts, grams = bundler.counts(part)
-            bundle = (counts @ bundler.matrix(grams)).astype(np.float64)
+            bundle = bundler.bundles(counts, grams)
             norm = np.linalg.norm(bundle, axis=1)
             cosine = bundle @ matrix.T / np.where(norm > 0, norm, 1.0)[:, None]
             best = cosine.argmax(axis=1)

@@ -66,3 +66,33 @@ def test_odd_rows(spark):
 
 def test_small_table_runs(spark):
     assert op6_language_id(spark, SF_SMALL).count() == 200
+
+
+def test_memory_for_long_texts():
+    """A text of very many different n-grams, and many texts of one alphabet each, in bounded memory."""
+    import tracemalloc
+
+    from astrolabe.llm import language_id
+    rng = np.random.default_rng(1)
+    long = "".join(map(chr, rng.integers(0x4E00, 0x9F00, 100_000)))
+    many = ["".join(map(chr, rng.integers(0x4E00, 0x9F00, 2040))) for _ in range(20)]
+    bundler = language_id.Bundler()
+    tracemalloc.start()
+    for part in language_id._slices([long, *many]):
+        bundles = bundler.bundles(*bundler.counts(part))
+        assert len(bundles) == len(part) and np.abs(bundles).max() > 0
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6
+
+
+def test_blocks_of_ngrams_change_nothing(monkeypatch):
+    from astrolabe.llm import language_id
+    texts = ["one text of words", "zwei deutsche W\u00f6rter und mehr", None, "trois mots"]
+    bundler = language_id.Bundler()
+    counts, grams = bundler.counts(texts)
+    whole = (counts @ bundler.matrix(grams)).astype(np.float64)
+    monkeypatch.setattr(language_id, "GRAM_BLOCK", 7)
+    assert np.array_equal(bundler.bundles(counts, grams), whole)
+    monkeypatch.setattr(language_id, "COUNT_CELLS", 40)
+    assert [t for part in language_id._slices(texts) for t in part] == texts
