@@ -22,7 +22,7 @@ Both passes hash on whole Arrow batches: words come as 64-bit hashes from the JV
 gram and window hashes are shifted sums over the batch.
 
 Size of what is broadcast: ``ROWS`` bit rows of at most ``MOST_CELLS`` bits
-(256 MB), and fewer than ``HEAVY_SHARE / 2`` heavy cells a row.  The rows have a cell for 16 bytes of
+(128 MB), and fewer than ``HEAVY_SHARE / 2`` heavy cells a row.  The rows have a cell for 16 bytes of
 text up to that size; a larger corpus fills the cells and sends more windows to
 the exact pass, whose result stays the same.
 
@@ -49,7 +49,7 @@ WINDOW = 50
 GRAM = 25
 ROWS = 2
 BLOCK_BITS = 20
-LEAST_CELLS, MOST_CELLS = 1 << 20, 1 << 30
+LEAST_CELLS, MOST_CELLS = 1 << 20, 1 << 29
 #: Anchors are heavy from one occurrence for so many bytes of text, which leaves fewer than HEAVY_SHARE / 2 heavy cells a row.
 HEAVY_SHARE, HEAVY_LEAST = 1 << 18, 1000
 #: Windows that a task gathers before it settles what it can, and bytes of text for a group of the exact pass.
