@@ -4,9 +4,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from astrolabe import tables
 from astrolabe.functions import vectors as V
 from astrolabe.operators import gp, models as MD
 from astrolabe.operators import search
+from astrolabe.plans import q_models
 
 KERNEL = MD.Kernel(const=1.0, length=0.8, rq_const=0.5, bias=0.1, noise=0.05)
 
@@ -79,3 +81,54 @@ def test_regression_by_neighbours(spark):
     split = {r.vec_id: r.prediction for r in search.knn_regress(v, v.where(F.col("vec_id") % 3 == 0), 4, query_id="vec_id", train_id="vec_id",
                                                                  target="label", max_chunk_rows=7).collect()}
     assert len(got) == 90 and all(abs(got[i] - split[i]) < 1e-9 for i in got)
+
+
+def test_spread_uses_all_cores_and_does_not_depend_on_the_files(spark, monkeypatch):
+    monkeypatch.setattr(MD, "TASK_ROWS", (20, 200))
+    v = rows(spark, n=900).unionByName(spark.createDataFrame([(None, [float(i)] * 5, 1.0) for i in range(300)], "vec_id long, vec array<double>, label double"))
+    one, many = MD.spread(v.coalesce(1), "vec_id", "vec"), MD.spread(v.repartition(7), "vec_id", "vec")
+    held = [sorted(map(repr, part)) for part in one.rdd.glom().collect()]
+    assert len(held) == 8 and max(map(len, held)) < 2 * 1200 / 8      # four cores; keys that are null are dealt as well
+    assert sorted(sum(held, [])) == sorted(map(repr, v.collect()))
+    assert held == [sorted(map(repr, part)) for part in many.rdd.glom().collect()]
+    fitted = [MD.fit_forest(x.where("vec_id IS NOT NULL"), "vec", "label", n_trees=3).toDebugString.split("\n", 1)[1] for x in (one, many)]
+    assert fitted[0] == fitted[1]
+    few = v.limit(15)
+    assert MD.spread(few, "vec_id", "vec") is few
+
+
+def test_query_sums_the_statistics_once_and_scores_one_file_with_all_cores(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(MD, "TASK_ROWS", (20, 200))
+    passes, vector_stats = [], MD.gram.vector_stats
+    monkeypatch.setattr(MD.gram, "vector_stats", lambda df, *a, **k: passes.append(df.rdd.getNumPartitions()) or vector_stats(df, *a, **k))
+    own = rows(spark, n=300).select("vec_id", F.col("vec").cast("array<float>").alias("embedding"), F.col("label").cast("int").alias("label"))
+    own.coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    out = {r.vec_id: r for r in q_models.q_score_all_models(spark, str(tmp_path)).collect()}
+    assert passes == [4] and len(out) == 300
+    v = tables.vectors(spark, str(tmp_path))
+    x = np.array([r.vec for r in v.orderBy("vec_id").collect()])
+    bayes, ridge = MD.fit_bayes_ridge(v, "vec", "label").arrays(x), MD.fit_ridge_vec(v, "vec", "label").arrays(x)
+    mean, std = MD.fit_gp(tables.learning_rows(v), key="vec_id", vec="vec", target="label", kernel=q_models.GP_KERNEL).predict_arrays(x)
+    for name, want in (("ridge", ridge[0]), ("bayes_mean", bayes[0]), ("bayes_std", bayes[1]), ("gp_mean", mean), ("gp_std", std)):
+        assert np.allclose([out[i][name] for i in range(300)], want)
+    knn = search.knn_regress(v, tables.learning_rows(v), 4, query_id="vec_id", train_id="vec_id", target="label")
+    assert all(out[r.vec_id].knn == r.prediction for r in knn.collect())
+
+
+@pytest.mark.parametrize("n,jobs", [(24, False), (25, True), (70, True)])
+def test_first_blocks_of_the_factor_take_no_job(spark, monkeypatch, n, jobs):
+    monkeypatch.setattr(gp, "BLOCK", 8)
+    monkeypatch.setattr(gp, "TILE", 10)
+    monkeypatch.setattr(gp, "STRIPE", 5)
+    v = rows(spark, n=n)
+    model = MD.fit_gp(v, key="vec_id", vec="vec", target="label", kernel=KERNEL)
+    assert (model.factor.table is not None) == jobs and model.residual < 1e-9
+    x, y = model.x, np.arange(n) % 7
+    dense, z = KERNEL(x, x) + KERNEL.noise * np.eye(n), x[::3] + 0.1
+    cross = KERNEL(x, z)
+    monkeypatch.setattr(gp, "FACTOR_CELLS", 500)
+    cells = [sum(w.size for _, w in model.factor.rows(s, e)) for s, e in model.factor.groups()]
+    assert len(cells) > 1 and max(cells) <= 500
+    mean, std = model.predict_arrays(z)
+    assert np.allclose(mean, cross.T @ np.linalg.solve(dense, y))
+    assert np.allclose(std, np.sqrt(KERNEL.diag(z) - (cross * np.linalg.solve(dense, cross)).sum(axis=0)))
