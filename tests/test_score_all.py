@@ -132,3 +132,21 @@ def test_first_blocks_of_the_factor_take_no_job(spark, monkeypatch, n, jobs):
     mean, std = model.predict_arrays(z)
     assert np.allclose(mean, cross.T @ np.linalg.solve(dense, y))
     assert np.allclose(std, np.sqrt(KERNEL.diag(z) - (cross * np.linalg.solve(dense, cross)).sum(axis=0)))
+
+
+@pytest.mark.parametrize("n,on_driver", [(5, [5]), (24, []), (70, [])])
+def test_driver_inverts_only_a_few_rows(spark, monkeypatch, n, on_driver):
+    for name, value in (("BLOCK", 8), ("TILE", 10), ("STRIPE", 5)):
+        monkeypatch.setattr(gp, name, value)
+    sizes, inverse = [], gp._inverse_of_factor
+    monkeypatch.setattr(gp, "_inverse_of_factor", lambda block: sizes.append(len(block)) or inverse(block))
+    monkeypatch.setattr(gp.KernelSystem, "product", None)   # and solves nothing of that size either
+    v = rows(spark, n=n)
+    model = MD.fit_gp(v, key="vec_id", vec="vec", target="label", kernel=KERNEL)
+    assert sizes == on_driver and model.keys.tolist() == list(range(n)) and model.residual < 1e-9
+    x = np.array([r.vec for r in v.orderBy("vec_id").collect()])
+    dense = KERNEL(x, x) + KERNEL.noise * np.eye(n)
+    assert (model.x == x).all() and np.allclose(model.alpha, np.linalg.solve(dense, np.arange(n) % 7))
+    whole = [w for s, e in model.factor.groups() for _, w in model.factor.rows(s, e)]
+    low = np.vstack([np.pad(w, ((0, 0), (0, n - w.shape[1]))) for w in whole])
+    assert np.allclose(low.T @ low, np.linalg.inv(dense))
