@@ -17,15 +17,23 @@ from hashlib import md5
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from astrolabe.operators.text import centred
+
 #: Vectors of heavy tokens that every task holds.
 HEAVY_BYTES = 16 << 20
 #: Numbers of token vectors that a task makes at a time (2.4 MB, to stay in the cache).
 CELLS = 300_000
+#: Tokens whose 64-bit hashed vectors are made together, and those that are looked up together.
+STEP, SPAN = 512, 2_000_000
+#: Vectors of frequent tokens that a task keeps (39 MB at 300 dimensions), which part of its first tokens it takes them from,
+#: and how many these must be.
+COMMON, EVERY, ENOUGH = 16_384, 4, 100_000
 
 
 def _spans(ends: np.ndarray, most: int):
@@ -65,11 +73,72 @@ def _sums(column: pa.ListArray, vectors, dim: int) -> np.ndarray:
     return out
 
 
-def pool_hashed(items: DataFrame, key: str, tokens: str, dim: int, seed: int = 7, draws: bool = True) -> DataFrame:
+class _Mixer:
+    """Sums of :func:`_mixed` vectors.  The most frequent tokens' are kept, any other's are made where they are added, in
+    buffers that stay near the core.  Sums within a buffer are those of whole numbers, without rounding."""
+
+    def __init__(self, dim: int, seed: int):
+        self.dim, self.step = dim, max(1, min(STEP, CELLS // dim))
+        self.offsets = np.arange(1, dim + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)
+        self.x, self.y = (np.empty((self.step, dim), np.uint64) for _ in range(2))
+        self.common = None
+
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        """The upper 53 bits of the scrambled hashes, in the buffer."""
+        x, y = self.x[:len(hashes)], self.y[:len(hashes)]
+        np.add(hashes[:, None], self.offsets, out=x)
+        np.right_shift(x, np.uint64(30), out=y)
+        np.bitwise_xor(x, y, out=x)
+        np.multiply(x, np.uint64(0xBF58476D1CE4E5B9), out=x)
+        np.right_shift(x, np.uint64(27), out=y)
+        np.bitwise_xor(x, y, out=x)
+        np.multiply(x, np.uint64(0x94D049BB133111EB), out=x)
+        return np.right_shift(x, np.uint64(11), out=x)
+
+    def keep(self, hashes: np.ndarray) -> None:
+        """Keeps the vectors of the tokens that come most often in every ``EVERY``-th of these."""
+        found, n = np.unique(hashes[::EVERY], return_counts=True)
+        often = np.sort(np.argsort(-n, kind="stable")[:COMMON])
+        self.common = found[often[n[often] > 1]]
+        self.table = np.empty((len(self.common), self.dim), np.uint64)
+        for s in range(0, len(self.common), self.step):
+            self.table[s:s + self.step] = self.numbers(self.common[s:s + self.step])
+
+    def add(self, out: np.ndarray, hashes: np.ndarray, rows: np.ndarray) -> None:
+        """Adds each token's vector to its row of ``out``; ``rows`` ascend."""
+        if self.common is None and len(hashes) >= ENOUGH:
+            self.keep(hashes)
+        if self.common is None or not len(self.common):
+            return self._add(out, hashes, rows, self.numbers)
+        at = np.minimum(np.searchsorted(self.common, hashes), len(self.common) - 1)
+        kept = self.common[at] == hashes
+        self._add(out, at[kept], rows[kept], lambda k: self.table.take(k, axis=0, out=self.x[:len(k)], mode="clip"))
+        self._add(out, hashes[~kept], rows[~kept], self.numbers)
+
+    def _add(self, out: np.ndarray, tokens: np.ndarray, rows: np.ndarray, numbers) -> None:
+        blocks = np.arange(0, len(tokens), self.step)
+        heads = np.union1d(blocks, np.flatnonzero(rows[1:] != rows[:-1]) + 1) if len(tokens) else blocks   # of a row's part in a block
+        own, less = rows[heads], (np.diff(heads, append=len(tokens)) << 52)[:, None]
+        first = np.searchsorted(heads, blocks).tolist() + [len(heads)]
+        for s, i, j in zip(blocks.tolist(), first[:-1], first[1:]):
+            x = numbers(tokens[s:s + self.step])
+            if j - i == 1:
+                out[own[i]] += (np.add.reduce(x, axis=0).view(np.int64) - less[i]) * (1 / (1 << 53))
+                continue
+            at = heads[i:j] - s
+            if j - i <= len(x) // 16:
+                total = np.array([np.add.reduce(x[a:b], axis=0) for a, b in zip(at, [*at[1:], len(x)])])
+            else:
+                total = np.add.reduceat(x, at, axis=0)
+            out[own[i:j]] += (total.view(np.int64) - less[i:j]) * (1 / (1 << 53))
+
+
+def pool_hashed(items: DataFrame, key: str, tokens: str, dim: int, seed: int = 7, draws: bool = True, radius: int = 0) -> DataFrame:
     """``<key>, vec`` per row with tokens: the sum of its tokens' hashed vectors, made where the row lies.
 
     With ``draws`` a component is an md5 draw that SQL can repeat; without, all components come from one 64-bit
-    hash of the token (many dimensions).
+    hash of the token (many dimensions).  With ``radius`` 1 the tokens are words, and the row's tokens are those of their
+    sentence (:func:`text.token_sentence`).
     """
     known: dict[str, list[float]] = {}
 
@@ -81,20 +150,31 @@ def pool_hashed(items: DataFrame, key: str, tokens: str, dim: int, seed: int = 7
         table = np.array([known.get(w) or known.setdefault(w, _draws(w, dim, seed)) for w in words], dtype=np.float64).reshape(-1, dim)
         return table[coded.indices.to_numpy()]
 
-    def mixed(flat: pa.Array) -> np.ndarray:
-        hashes, at = np.unique(flat.to_numpy(), return_inverse=True)     # a slice repeats many tokens
-        return _mixed(hashes, dim, seed)[at]
+    def mixed(column: pa.ListArray, mixer: _Mixer) -> np.ndarray:
+        ends, out = column.offsets.to_numpy().astype(np.int64), np.zeros((len(column), dim))
+        hashes = column.values.to_numpy().view(np.uint64)
+        for a, b in _spans(ends, SPAN):
+            mixer.add(out[a:b], hashes[ends[a]:ends[b]], np.repeat(np.arange(b - a), np.diff(ends[a:b + 1])))
+        return out
 
     def kernel(batches):
+        mixer = _Mixer(dim, seed)
         for batch in batches:
-            column = batch.column("tokens")
-            sums = _sums(column, drawn if draws else mixed, dim)
+            batch = batch.filter(pc.fill_null(pc.greater(pc.list_value_length(batch.column("tokens")), 0), False))
+            sums = _sums(batch.column("tokens"), drawn, dim) if draws else mixed(batch.column("tokens"), mixer)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sums) + 1, dtype=np.int32) * dim), pa.array(sums.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("key"), lists], names=[key, "vec"])
 
+    def made(words):
+        """A row's tokens or their hashes; the words are a lambda's variable, so that they are made once."""
+        if draws:
+            return F.flatten(F.transform(words, lambda w, i: F.array(w, centred(words, w, i)))) if radius else words
+        own = F.transform(words, lambda w: F.xxhash64(w))
+        return F.concat(own, F.transform(words, lambda w, i: F.xxhash64(centred(words, w, i)))) if radius else own
+
     listed = F.filter(F.col(tokens), lambda t: t.isNotNull())
-    rows = (items.select(F.col(key).alias("key"), (listed if draws else F.transform(listed, lambda t: F.xxhash64(t))).alias("tokens"))
-            .where(F.size("tokens") > 0))
+    # rows without tokens go in the tasks: a condition on the tokens would make them twice
+    rows = items.select(F.col(key).alias("key"), F.get(F.transform(F.array(listed), made), 0).alias("tokens"))
     return rows.mapInArrow(kernel, f"`{key}` {rows.schema['key'].dataType.simpleString()}, vec array<double>")
 
 
@@ -114,7 +194,6 @@ def pool_trained(items: DataFrame, key: str, tokens: str, vectors: DataFrame, to
 
     def kernel(batches):
         known = pa.array(names, pa.string())
-        import pyarrow.compute as pc
         zero = np.vstack([table, np.zeros((1, dim))])
         for batch in batches:
             def looked_up(flat):

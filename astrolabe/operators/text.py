@@ -196,18 +196,19 @@ def token_sentence(s, radius: int = 1) -> Column:
     neighbours (a centred trigram), interleaved per position like an
     alternating sentence.
 
-    Built from shifted copies of the word array with ``zip_with`` so lambdas
-    only touch their own elements: a lambda that indexes into an outer array
-    expression would re-evaluate that expression per element (quadratic).
+    A lambda that indexes into an outer array expression would re-evaluate that
+    expression per element (quadratic); a lambda's variable is only looked at.
     """
     words = F.filter(F.split(F.lower(_c(s)), r"[^\p{L}\p{N}]+"), lambda t: t != "")
     if radius == 0:
         return words
-    n = F.size(words)
-    null_arr = F.array(F.lit(None).cast("string"))
-    prev = F.concat(null_arr, F.slice(words, 1, F.greatest(n - 1, F.lit(0))))
-    nxt = F.concat(F.slice(words, 2, F.greatest(n - 1, F.lit(0))), null_arr)
-    grams = F.zip_with(F.zip_with(prev, words, lambda a, b: F.concat_ws("_", a, b)), nxt,
-                       lambda ab, c: F.concat_ws("_", ab, c))
-    pairs = F.zip_with(words, grams, lambda w, g: F.array(w, g))
-    return F.when(n > 0, F.flatten(pairs)).otherwise(F.array().cast("array<string>"))
+    # the words are a lambda's variable, so that a text is split once
+    def sentence(ws):
+        return F.flatten(F.transform(ws, lambda w, i: F.array(w, centred(ws, w, i))))
+
+    return F.coalesce(F.get(F.transform(F.array(words), sentence), 0), F.array().cast("array<string>"))
+
+
+def centred(words: Column, word: Column, at: Column) -> Column:
+    """A word joined with its neighbours; ``words`` is a lambda's variable, ``word`` its element ``at``."""
+    return F.concat_ws("_", F.get(words, at - 1), word, F.get(words, at + 1))

@@ -23,13 +23,15 @@ def build_vector_store(items: DataFrame, key: str, text_col: str, path: str, *,
     write itself: everything downstream reads the store, not the lineage.
     """
     spark: SparkSession = items.sparkSession
-    toks = items.select(key, X.token_sentence(text_col, radius=1).alias("tokens"))
+    # hashed tokens are summed where the items lie, and their sentences' trigrams are hashed as they are made
+    hashed = token_vectors is None
+    toks = items.select(key, X.token_sentence(text_col, radius=0 if hashed else 1).alias("tokens"))
     from astrolabe.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(spark)
     # The text work (tokenising, hashing, pooling) is read by the moments, the
     # PCA statistics and the transform: materialise it once in the shared
     # checkpoint folder instead of re-deriving it from the raw text each time.
-    pooled = (pooling.pool_hashed(toks, key, "tokens", dim, seed, draws=False) if token_vectors is None
+    pooled = (pooling.pool_hashed(toks, key, "tokens", dim, seed, draws=False, radius=1) if hashed
               else pooling.pool_trained(toks, key, "tokens", token_vectors, "token", "tvec", dim)).checkpoint(eager=True)
     z = reduce.standardise(pooled, "vec", "z")
     pca = reduce.fit_pca(z, "z", k=k_pca)

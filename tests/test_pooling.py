@@ -48,3 +48,37 @@ def test_trained_heavy_and_light(spark, heavy_bytes):
 def test_hashed_pooling_neither_joins_nor_shuffles(spark):
     plan = pooling.pool_hashed(items(spark), "k", "tokens", 4)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Aggregate" not in plan
+
+
+def test_mixed_sums_with_kept_vectors_and_parts_of_rows(monkeypatch):
+    """Rows that end within a buffer or are longer than one, frequent tokens and such that come once: plain sums of the vectors."""
+    for name, value in {"STEP": 40, "COMMON": 5, "EVERY": 2, "ENOUGH": 100}.items():
+        monkeypatch.setattr(pooling, name, value)
+    rng = np.random.default_rng(5)
+    sizes = np.array([1, 3, 0, 250, 7, 1, 90, 39, 2])
+    hashes = np.where(rng.random(sizes.sum()) < 0.5, rng.integers(0, 8, sizes.sum()), rng.integers(-2**63, 2**63 - 1, sizes.sum()))
+    rows = np.repeat(np.arange(len(sizes)), sizes)
+    want = np.array([pooling._mixed(hashes[rows == r], 6, 42).sum(axis=0) for r in range(len(sizes))])
+    mixer, out = pooling._Mixer(6, 42), np.zeros((len(sizes), 6))
+    mixer.add(out, hashes.view(np.uint64), rows)
+    assert len(mixer.common) == 5 and np.allclose(out, want, rtol=0, atol=1e-12)
+    mixer.add(out, hashes[:0].view(np.uint64), rows[:0])
+    mixer.add(out, hashes[:1].view(np.uint64), rows[:1])
+    assert np.allclose(out[0], 2 * want[0], rtol=0, atol=1e-12) and np.allclose(out[1:], want[1:], rtol=0, atol=1e-12)
+
+
+def test_hashed_sentences_are_split_once(spark):
+    """The trigrams of words are hashed as those of the finished sentence, and the plan makes a text's words once."""
+    from astrolabe.operators import text as X
+    texts = ["One two, three", "", None, "...", "word", "a b a b a b", "Ünï cödé 12 x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    words = df.select("k", X.token_sentence("text", radius=0).alias("tokens"))
+    made = pooling.pool_hashed(words, "k", "tokens", 8, 42, draws=False, radius=1)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+    assert X.token_sentence("text", 1)._jc.toString().count("split(") == 1
+    sentences = df.select("k", X.token_sentence("text", radius=1).alias("tokens"))
+    for draws in (False, True):
+        got, want = ({r.k: r.vec for r in pooling.pool_hashed(d, "k", "tokens", 8, 42, draws=draws, radius=r).collect()} for d, r in ((words, 1), (sentences, 0)))
+        assert set(got) == set(want) == {0, 4, 5, 6} and all(np.allclose(got[k], want[k], rtol=0, atol=1e-12) for k in want)
+    assert [r.s for r in df.select("k", X.token_sentence("text", 1).alias("s")).orderBy("k").collect()][1:4] == [[], [], []]
