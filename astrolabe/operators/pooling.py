@@ -29,11 +29,10 @@ from astrolabe.operators.text import centred
 HEAVY_BYTES = 16 << 20
 #: Numbers of token vectors that a task makes at a time (2.4 MB, to stay in the cache).
 CELLS = 300_000
-#: Tokens whose 64-bit hashed vectors are made together, and those that are looked up together.
-STEP, SPAN = 512, 2_000_000
-#: Vectors of frequent tokens that a task keeps (39 MB at 300 dimensions), which part of its first tokens it takes them from,
-#: and how many these must be.
-COMMON, EVERY, ENOUGH = 16_384, 4, 100_000
+#: Tokens whose 64-bit hashed vectors are made together, and those whose rows are summed at a time.
+STEP, SPAN = 512, 500_000
+#: Vectors of frequent tokens that a task keeps (20 MB at 300 dimensions), and from how many tokens at least it takes them.
+COMMON, ENOUGH = 8192, 100_000
 
 
 def _spans(ends: np.ndarray, most: int):
@@ -96,8 +95,8 @@ class _Mixer:
         return np.right_shift(x, np.uint64(11), out=x)
 
     def keep(self, hashes: np.ndarray) -> None:
-        """Keeps the vectors of the tokens that come most often in every ``EVERY``-th of these."""
-        found, n = np.unique(hashes[::EVERY], return_counts=True)
+        """Keeps the vectors of the tokens that come most often among these."""
+        found, n = np.unique(hashes, return_counts=True)
         often = np.sort(np.argsort(-n, kind="stable")[:COMMON])
         self.common = found[often[n[often] > 1]]
         self.table = np.empty((len(self.common), self.dim), np.uint64)
@@ -152,18 +151,19 @@ def pool_hashed(items: DataFrame, key: str, tokens: str, dim: int, seed: int = 7
 
     def mixed(column: pa.ListArray, mixer: _Mixer) -> np.ndarray:
         ends, out = column.offsets.to_numpy().astype(np.int64), np.zeros((len(column), dim))
-        hashes = column.values.to_numpy().view(np.uint64)
-        for a, b in _spans(ends, SPAN):
-            mixer.add(out[a:b], hashes[ends[a]:ends[b]], np.repeat(np.arange(b - a), np.diff(ends[a:b + 1])))
+        hashes = column.values.to_numpy()[ends[0]:ends[-1]].view(np.uint64)
+        mixer.add(out, hashes, np.repeat(np.arange(len(column), dtype=np.int32), np.diff(ends)))
         return out
 
     def kernel(batches):
         mixer = _Mixer(dim, seed)
         for batch in batches:
-            batch = batch.filter(pc.fill_null(pc.greater(pc.list_value_length(batch.column("tokens")), 0), False))
-            sums = _sums(batch.column("tokens"), drawn, dim) if draws else mixed(batch.column("tokens"), mixer)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sums) + 1, dtype=np.int32) * dim), pa.array(sums.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), lists], names=[key, "vec"])
+            for a, b in _spans(batch.column("tokens").offsets.to_numpy().astype(np.int64), SPAN):
+                part = batch.slice(a, b - a)
+                part = part.filter(pc.fill_null(pc.greater(pc.list_value_length(part.column("tokens")), 0), False))
+                sums = _sums(part.column("tokens"), drawn, dim) if draws else mixed(part.column("tokens"), mixer)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sums) + 1, dtype=np.int32) * dim), pa.array(sums.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column("key"), lists], names=[key, "vec"])
 
     def made(words):
         """A row's tokens or their hashes; the words are a lambda's variable, so that they are made once."""

@@ -52,7 +52,7 @@ def test_hashed_pooling_neither_joins_nor_shuffles(spark):
 
 def test_mixed_sums_with_kept_vectors_and_parts_of_rows(monkeypatch):
     """Rows that end within a buffer or are longer than one, frequent tokens and such that come once: plain sums of the vectors."""
-    for name, value in {"STEP": 40, "COMMON": 5, "EVERY": 2, "ENOUGH": 100}.items():
+    for name, value in {"STEP": 40, "COMMON": 5, "ENOUGH": 100}.items():
         monkeypatch.setattr(pooling, name, value)
     rng = np.random.default_rng(5)
     sizes = np.array([1, 3, 0, 250, 7, 1, 90, 39, 2])
